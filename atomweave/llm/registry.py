@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from atomweave.llm import queries_sentencepiece
+from atomweave.llm import queries_packing, queries_sentencepiece
 
-MODULES = (queries_sentencepiece,)
+MODULES = (queries_packing, queries_sentencepiece)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
