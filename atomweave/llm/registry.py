@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from atomweave.llm import queries_packing, queries_sentencepiece
+from atomweave.llm import queries_packing, queries_sentencepiece, queries_warc
 
-MODULES = (queries_packing, queries_sentencepiece)
+MODULES = (queries_packing, queries_sentencepiece, queries_warc)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
