@@ -175,7 +175,7 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), shard_pieces: int = SHARD
     shards = max(1, -(-pieces.count() // shard_pieces))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key, t):
         shard = key[0].as_py()
         t = t.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         bins, offsets = pack_shard(t["length"].to_numpy(), t["loss_tokens"].to_numpy(), limits)
