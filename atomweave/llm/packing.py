@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from atomweave.llm.common import materialise
 
 MEMO_WORDS = 400_000
+MARKS = ".,;:!?"
 #: Pieces that one task packs; more pieces make more shards.
 SHARD_PIECES = 20_000
 
@@ -53,37 +54,59 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        #: Ids that end a word: such an id closes each match of the pre-tokenizer.
+        self.closes = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.closes[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        self.older_cores: dict[str, bytes] = {}
+        self.marks = {m: self._ids([m]).tobytes() for m in ["", *MARKS]}
+
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        return np.array([i for e in self.tok.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
+
+    def _learn_cores(self, words: list[str]) -> None:
+        """Ids of words of letters only, many at once in one text; each is one match of the pre-tokenizer."""
+        for i in range(0, len(words), 2_000):
+            part = words[i : i + 2_000]
+            ids = self._ids([" ".join(part)])
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(part):
+                raw, starts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.cores.update(zip(part, [raw[x:y] for x, y in zip(starts, starts[1:])]))
+            else:  # a letter here that is none to the tokenizer
+                self.cores.update((w, self._ids([w]).tobytes()) for w in part)
 
     def learn(self, words: set[bytes]) -> None:
         """Ids of words that the memo lacks. Letters and one mark after them are separate matches of the pre-tokenizer."""
-        split: dict[bytes, tuple[str, str]] = {}
+        split: list[tuple[bytes, str, str]] = []
+        new: set[str] = set()
+        if len(self.cores) > MEMO_WORDS:
+            self.older_cores, self.cores = self.cores, {}
         for w in words:
             got = self.older.get(w)
             if got is not None:
                 self.memo[w] = got
                 continue
-            t = w.decode()
-            if t[-1] in ".,;:!?" and t.isascii() and t[:-1].isalpha():
-                split[w] = (t[:-1].lower(), t[-1])
-            elif t.isascii() and t.isalpha():
-                split[w] = (t.lower(), "")
-            else:
-                split[w] = (t, "")
-        new = list({x for pair in split.values() for x in pair if x and x not in self.cores})
-        if len(self.cores) + len(new) > MEMO_WORDS:
-            self.cores.clear()
-            new = list({x for pair in split.values() for x in pair if x})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.cores.update(zip(part, self._ids(part)))
-        for w, (a, b) in split.items():
-            self.memo[w] = self.cores[a] + (self.cores[b] if b else b"")
+            t, mark = w.decode(), ""
+            if t[-1] in MARKS and len(t) > 1:
+                t, mark = t[:-1], t[-1]
+            if not (t.isalpha() and t.lower().isalpha()):
+                self.memo[w] = self._ids([t + mark]).tobytes()
+                continue
+            if t.isascii():
+                t = t.lower()
+            if t not in self.cores:
+                got = self.older_cores.get(t)
+                if got is None:
+                    new.add(t)
+                else:
+                    self.cores[t] = got
+            split.append((w, t, mark))
+        self._learn_cores(list(new))
+        for w, t, mark in split:
+            self.memo[w] = self.cores[t] + self.marks[mark]
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text; white space is ASCII's here, a subset of what the tokenizer drops."""
