@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from atomweave.llm import queries_chat, queries_fingerprint, queries_language, queries_packing, queries_sentencepiece, queries_toxicity, queries_url, queries_warc
+from atomweave.llm import queries_chat, queries_fingerprint, queries_jaccard, queries_language, queries_packing, queries_sentencepiece, queries_toxicity, queries_url, queries_warc
 
-MODULES = (queries_warc, queries_language, queries_fingerprint, queries_chat, queries_packing, queries_toxicity, queries_url, queries_sentencepiece)
+MODULES = (queries_warc, queries_language, queries_fingerprint, queries_jaccard, queries_chat, queries_packing, queries_toxicity, queries_url, queries_sentencepiece)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
