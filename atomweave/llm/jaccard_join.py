@@ -22,6 +22,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +37,8 @@ from atomweave.llm.shingles import mix, shingle_sets
 
 BLOCK = 128
 QUERIES_PER_UNIT = 256
+#: Segment hashes that one task brings together, about.
+RANGE_SEGMENTS = 500_000
 
 
 @dataclass(frozen=True)
@@ -105,27 +108,99 @@ def segment_signatures(tokens: np.ndarray, t: Threshold) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def signatures(docs: DataFrame, t: Threshold, width: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, sigs) of every row: set size, two hashes of the set, its segments' hashes."""
+def set_hashes(x: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set, as signed 64-bit numbers."""
+    both = np.array([mix(x + np.uint64(1)).sum(dtype=np.uint64), mix(x + np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)], np.uint64)
+    return tuple(both.view(np.int64).tolist())
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def sets_of(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n_shingles, s1, s2) of every row: set size and two hashes of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, s1, s2, parts, lens = [], [], [], [], [0]
-            for x in shingle_sets(b.column(1), width):
-                n.append(len(x))
-                s1.append(int(mix(x + np.uint64(1)).sum(dtype=np.uint64)))
-                s2.append(int(mix(x + np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)))
-                parts.append(segment_signatures(x, t))
-                lens.append(lens[-1] + len(parts[-1]))
-            sigs = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            as_long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), as_long(s1), as_long(s2), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(sigs))],
-                ["doc_id", "n_shingles", "s1", "s2", "sigs"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sigs array<long>")
+            got = [(len(x), *set_hashes(x)) for x in shingle_sets(b.column(1), width)]
+            cols = list(zip(*got)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n_shingles", "s1", "s2"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers as eight byte planes, which compress well where high bytes repeat."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def shared_segments(docs: DataFrame, t: Threshold, width: int, ranges: int) -> DataFrame:
+    """(sig, doc_id, lead) of every segment that several rows have; lead is the smallest doc_id with it.
+
+    Segment hashes go to ranges in sorted blocks, not as rows. A task passes on a set once, however many of
+    its rows have it, so a range gets of a group of copies no more than one for each task.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        sigs: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+
+        def blocks() -> pa.RecordBatch:
+            sig, doc = np.concatenate(sigs), np.concatenate(ids)
+            o = np.argsort(sig)
+            sig, doc = sig[o], doc[o]
+            at = ((sig >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            edges = np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(edges))
+            step = np.diff(sig, prepend=np.uint64(0))
+            out = [], []
+            for r in full:
+                i, j = edges[r], edges[r + 1]
+                d = step[i:j].copy()
+                d[0] = sig[i]
+                out[0].append(_planes(d))
+                out[1].append(_planes(doc[i:j]))
+            sigs.clear()
+            ids.clear()
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["range", "sigs", "docs"])
+
+        held = 0
+        for b in batches:
+            for doc_id, x in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), width)):
+                key = set_hashes(x)
+                if doc_id is None or not len(x) or key in seen:
+                    continue
+                seen.add(key)
+                sig = segment_signatures(x, t)
+                sigs.append(sig)
+                ids.append(np.full(len(sig), doc_id, np.int64))
+                held += len(sig)
+                if held >= 1 << 21:
+                    yield blocks()
+                    held = 0
+        if held:
+            yield blocks()
+
+    def meet(key, table):
+        sig = np.concatenate([np.cumsum(_from_planes(x), dtype=np.uint64) for x in table["sigs"].to_pylist()])
+        doc = np.concatenate([_from_planes(x).view(np.int64) for x in table["docs"].to_pylist()])
+        o = np.lexsort((doc, sig))
+        sig, doc = sig[o], doc[o]
+        same = sig[1:] == sig[:-1]
+        keep = np.zeros(len(sig), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        sig, doc = sig[keep], doc[keep]
+        lead = doc[np.searchsorted(sig, sig)]
+        return pa.table({"sig": pa.array(sig.view(np.int64)), "doc_id": pa.array(doc), "lead": pa.array(lead)})
+
+    return _texts(docs).mapInArrow(cut, "range int, sigs binary, docs binary").groupBy("range").applyInArrow(meet, "sig long, doc_id long, lead long")
 
 
 def _token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -136,7 +211,7 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for b in batches:
             ids, which, parts, lens = [], [], [], [0]
             for rid, s1, x in zip(b.column("rid").to_pylist(), b.column("s1").to_pylist(), shingle_sets(b.column("text"), width)):
-                if int(mix(x + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) == s1:  # of rows that repeat the id, the one meant
+                if set_hashes(x)[0] == s1:  # of rows that repeat the id, the one meant
                     ids.append(rid)
                     which.append(s1)
                     parts.append(x)
@@ -218,17 +293,16 @@ def _units(queries: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar_components(docs: DataFrame, threshold: Threshold = Threshold(90), width: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links."""
-    rows = materialise(signatures(docs, threshold, width), "signatures")
-    classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("sigs").alias("sigs"))
-    classes = classes.where("rid IS NOT NULL")
-    run = Window.partitionBy("sig").orderBy("n", "rid")
-    shared = (
-        classes.select("rid", "n", "s1", F.explode("sigs").alias("sig"))
-        .withColumns({"before": F.lag("rid").over(run), "after": F.lead("rid").over(run), "lead": F.first("rid").over(run.rowsBetween(Window.unboundedPreceding, 0))})
-        .where("before IS NOT NULL OR after IS NOT NULL")
-        .select("sig", "rid", "s1", "n", "lead")
-    )
-    shared = materialise(shared, "shared-segments")
+    rows = materialise(sets_of(docs, width), "sets")
+    classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n")).where("rid IS NOT NULL")
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    per_token = 2.5 * (threshold.den - threshold.num) / threshold.den
+    ranges = max(1, math.ceil(total * per_token / RANGE_SEGMENTS))
+    met = materialise(shared_segments(docs, threshold, width, ranges), "met-segments")
+    # by class; a segment that only copies share says nothing
+    named = met.join(rows.select("doc_id", "s1", "s2"), "doc_id").join(classes, ["s1", "s2"]).groupBy("sig", "rid", "s1", "n").agg(F.min("lead").alias("lead"))
+    several = named.groupBy("sig").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).where("x < y").select("sig")
+    shared = materialise(named.join(several, "sig"), "shared-segments")
     member = shared.groupBy("rid", "s1").agg(F.min("lead").alias("gid"))
     sizes = member.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = materialise(member.join(sizes, "gid").select("rid", "s1", "gid", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("blocks")).cast("int").alias("block")), "blocks")
@@ -262,5 +336,14 @@ def similar_components(docs: DataFrame, threshold: Threshold = Threshold(90), wi
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     out = rows.select("doc_id", "n_shingles", "s1", "s2", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")).join(known, ["s1", "s2", "salt"], "left")
     out = materialise(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "component-ids")
-    discard(rows, shared, blocks, sets, links, found, placed, links2)
+    discard(rows, met, shared, blocks, sets, links, found, placed, links2)
     return out
+
+
+def one_of_each(docs: DataFrame, threshold: Threshold = Threshold(80), width: int = 5) -> DataFrame:
+    """Rows of docs, all columns as they are, of one document of each component: the one with the smallest doc_id.
+
+    Rows without a doc_id stay, and so do all rows of a staying doc_id.
+    """
+    gone = similar_components(docs, threshold, width).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
