@@ -146,3 +146,24 @@ def identify(docs: DataFrame) -> DataFrame:
     held = remainder(F.col("doc_id"), 4) == 2
     profiles = learn(docs.where(F.coalesce(~held, F.lit(True))))
     return predict(docs, profiles).select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+#: A text as far from every profile as this is in none of the languages.
+MIN_SCORE = 0.25
+
+
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """Rows of docs, all columns as they are, whose language can be told: not ``und``, score at least min_score.
+
+    Profiles are learned as in ``identify``. Whole rows stream through, so nothing is joined back.
+    """
+    held = remainder(F.col("doc_id"), 4) == 2
+    profiles = learn(docs.where(F.coalesce(~held, F.lit(True))))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [profiles.predict(t) for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array([lang != UND and s >= min_score for lang, s in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -264,3 +264,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from labelled rows whose remainder by 5 isn't 0, score all: (doc_id, held_out, score, predicted, evidence)."""
     out = score(docs, learn(docs, labels))
     return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Rows of docs, all columns as they are, whose score is under the threshold. Learned as in ``classify``."""
+    index = learn(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = None if isinstance(index, float) else Scorer(index)
+        for b in batches:
+            scores = [s.score(t)[0] if s else index for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array([x < threshold for x in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,13 +1,48 @@
-"""Corpus pipeline: filters documents by language and toxicity, removes near duplicates, packs the rest."""
+"""Corpus pipeline: drops documents of no known language and toxic ones, keeps one of near copies, packs the rest.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and rereads as the next
+stage's docs. All but the last return the columns of ``documents``. No stage is SQL-expressible (profiles, a trained
+scorer and packing), so ORACLE_SQL is None; tests hold the stages against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from atomweave.llm.common import materialise, table
+from atomweave.llm.jaccard_join import Threshold, one_of_each
+from atomweave.llm.language_id import keep_identified
+from atomweave.llm.packing import pack_documents
+from atomweave.llm.toxicity import keep_clean
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told."""
+    return keep_identified(docs)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5."""
+    return keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at 0.8 or more."""
+    return one_of_each(docs, Threshold(80), 5)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [("language", language), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("packing", packing)]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
