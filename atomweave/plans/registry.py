@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from atomweave.plans import search
+from atomweave.plans import analytics, relational, search
 
-MODULES = (search,)
+MODULES = (search, relational, analytics)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
