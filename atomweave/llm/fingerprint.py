@@ -140,8 +140,11 @@ def in_order(docs: DataFrame) -> DataFrame:
         shares = [i / n for i in range(1, n)]
         cuts = sorted(set(rows.agg(F.percentile_approx("key_d", shares, max(10_000, 10 * n))).first()[0]))
     splits = [float("-inf"), *cuts, float("inf")]
-    put = Bucketizer(splits=splits, inputCol="key_d", outputCol="bucket_d")
-    rows = put.transform(rows).withColumn("bucket", F.col("bucket_d").cast("int")).select("bucket", F.lit(0).alias("tail"), "key", "doc_id", "text")
+    if cuts:
+        rows = Bucketizer(splits=splits, inputCol="key_d", outputCol="bucket_d").transform(rows).withColumn("bucket", F.col("bucket_d").cast("int"))
+    else:  # a Bucketizer needs two buckets
+        rows = rows.withColumn("bucket", F.lit(0))
+    rows = rows.select("bucket", F.lit(0).alias("tail"), "key", "doc_id", "text")
     order = Window.orderBy("bucket")
     heads = rows.groupBy("bucket").agg(F.min("key").alias("key"))
     heads = heads.select("key", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("before"))
