@@ -35,8 +35,8 @@ from atomweave.llm.common import discard, materialise
 from atomweave.llm.components import components
 from atomweave.llm.shingles import mix, shingle_sets
 
-BLOCK = 128
-QUERIES_PER_UNIT = 256
+BLOCK = 512
+QUERIES_PER_UNIT = 512
 #: Segment hashes that one task brings together, about.
 RANGE_SEGMENTS = 500_000
 
