@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from atomweave.plans import analytics, relational, search
+from atomweave.plans import analytics, relational, search, vectors
 
-MODULES = (search, relational, analytics)
+MODULES = (search, relational, analytics, vectors)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
