@@ -16,6 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run a statement over the tables it names; each becomes a relation of this statement alone."""
     frames = {n: table(spark, sf_dir, n) for n in TABLES if re.search(rf"\b{n}\b", sql)}
+    sql = sql.replace("{", "{{").replace("}", "}}")  # names of relations go in braces
     for n in frames:
         sql = re.sub(rf"\b(FROM|JOIN|,)(\s+){n}\b", rf"\1\2{{{n}}}", sql)
     return spark.sql(sql, **frames)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from atomweave.plans import analytics, relational, search, vectors
+from atomweave.plans import analytics, graph, relational, search, texts, vectors
 
-MODULES = (search, relational, analytics, vectors)
+MODULES = (search, relational, analytics, vectors, graph, texts)
 
 QUERIES: dict = {}
 ORACLES: dict = {}

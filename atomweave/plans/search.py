@@ -34,14 +34,14 @@ def exact_search_euclidean(spark, sf_dir):
 
 @R.add(
     "temporal_vector_search",
-    f"""SELECT e.vec_id, round({COS}, 6) AS similarity, round(date_diff('second', v.ts, TIMESTAMP '2024-01-02 00:00:00') / 3600.0, 4)::DOUBLE AS hours_to_end
+    f"""SELECT e.vec_id, round({COS}, 6) AS similarity, round(date_diff('microsecond', v.ts, TIMESTAMP '2024-01-02 00:00:00')::DOUBLE / 3600000000.0::DOUBLE, 4) AS hours_to_end
         FROM embeddings e JOIN events v ON v.event_id = e.vec_id, {Q0} WHERE v.ts BETWEEN TIMESTAMP '2024-01-01 06:00:00' AND TIMESTAMP '2024-01-02 00:00:00' AND len(e.embedding) = 64
         ORDER BY similarity DESC, e.vec_id LIMIT 10""",
 )
 def temporal_vector_search(spark, sf_dir):
     e, q = _load(spark, sf_dir)
     v = table(spark, sf_dir, "events").where("ts BETWEEN TIMESTAMP_NTZ '2024-01-01 06:00:00' AND TIMESTAMP_NTZ '2024-01-02 00:00:00'").select(F.col("event_id").alias("vec_id"), "ts")
-    hours = F.round(F.expr("timestampdiff(SECOND, ts, TIMESTAMP_NTZ '2024-01-02 00:00:00')") / 3600.0, 4).alias("hours_to_end")
+    hours = F.round(F.expr("timestampdiff(MICROSECOND, ts, TIMESTAMP_NTZ '2024-01-02 00:00:00')") / 3.6e9, 4).alias("hours_to_end")
     rows = e.where(F.size("embedding") == 64).join(v, "vec_id").select("vec_id", F.round(V.cosine(F.col("embedding"), S.literal(q)), 6).alias("similarity"), hours)
     return S.top(rows, "similarity", 10)
 
