@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from atomweave.plans import analytics, graph, relational, search, texts, vectors
+from atomweave.plans import aggregates, analytics, graph, relational, search, texts, vectors
 
-MODULES = (search, relational, analytics, vectors, graph, texts)
+MODULES = (search, relational, analytics, vectors, graph, texts, aggregates)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
