@@ -39,6 +39,8 @@ BLOCK = 64
 PULL = 0.5
 PREFIXES = (4, 5, 6, 7)
 MIN_DOCS = 3
+#: Chi-squared below which a term tells nothing (one in a thousand by chance).
+MIN_CHI = 10.83
 MEMO_WORDS = 600_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -209,8 +211,8 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibrat
         F.sum(F.when(F.col("toxic") > 0, 0).otherwise(F.col("n"))).cast("double").alias("b"),
     )
     expected = F.col("a") * n0 - F.col("b") * n1
-    chi = expected * expected / ((F.col("a") + F.col("b")) * (n1 + n0 - F.col("a") - F.col("b") + 1))
-    best = by.where(F.col("a") + F.col("b") >= MIN_DOCS).orderBy(chi.desc(), "term").limit(terms).select("term").collect()
+    chi = (n1 + n0) / (n1 * n0) * expected * expected / ((F.col("a") + F.col("b")) * F.greatest(n1 + n0 - F.col("a") - F.col("b"), F.lit(1.0)))
+    best = by.where((F.col("a") + F.col("b") >= MIN_DOCS) & (chi >= MIN_CHI)).orderBy(chi.desc(), "term").limit(terms).select("term").collect()
     vocab = {r["term"]: i for i, r in enumerate(best)}
     empty = Index.build(vocab, [], [], [], [], 0.0) if vocab else None
     if empty is None:
