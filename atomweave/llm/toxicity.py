@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
 Terms are lower-cased words and word prefixes (4 to 7 letters, which stand for inflected forms); the vocabulary is the
-``TERMS`` terms that tell the two labels apart best (chi-squared on document frequencies). Examples are at most
+``TERMS`` terms that tell the two labels apart best (chi-squared on document frequencies, significant and at least
+``MIN_LIFT`` times as common in one label). Examples are at most
 ``EXAMPLES`` labelled documents of each label with distinct texts, smallest hashes first, and
 ``CALIBRATION`` more of each set the scores; both bounds are parameters. Example ids are cut into blocks; for
 each term and block the index keeps the largest weight, so a block whose bound (sum over the query's terms) can't
@@ -41,6 +42,8 @@ PREFIXES = (4, 5, 6, 7)
 MIN_DOCS = 3
 #: Chi-squared below which a term tells nothing (one in a thousand by chance).
 MIN_CHI = 10.83
+#: Ratio of a term's shares in the two labels, either way, below which it is as good as common.
+MIN_LIFT = 3.0
 MEMO_WORDS = 600_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -105,19 +108,21 @@ class Index:
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         found, sims = none
-        for i in range(0, len(order), 8):
-            if len(sims) >= k and bounds[order[i]] < sims[k - 1] - 1e-12:
+        at, step = 0, 4
+        while at < len(order):
+            if len(sims) >= k:  # blocks from the first whose bound is too small are never opened
+                order = order[bounds[order] >= sims[k - 1] - 1e-12]
+            some = order[at : at + step]
+            at, step = at + step, step * 8
+            if not len(some):
                 break
-            score = np.zeros((8, BLOCK))
-            some = order[i : i + 8]
-            for j, b in enumerate(some):
-                lo, hi = self.start[t * blocks + b], self.start[t * blocks + b + 1]
-                for x, a, z in zip(w, lo, hi):
-                    if z > a:
-                        score[j, self.example[a:z] - b * BLOCK] += x * self.weight[a:z]
-            j, e = np.nonzero(score)
-            found = np.concatenate([found, some[j] * BLOCK + e])
-            sims = np.concatenate([sims, score[j, e]])
+            cells = t[:, None] * blocks + some[None, :]
+            lo, size = self.start[cells].ravel(), (self.start[cells + 1] - self.start[cells]).ravel()
+            post = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            x = np.repeat(np.repeat(w, len(some)), size) * self.weight[post]
+            score = np.bincount(self.example[post], x, len(self.ids))
+            e = np.flatnonzero(score)
+            found, sims = np.concatenate([found, e]), np.concatenate([sims, score[e]])
             best = np.lexsort([found, -sims])[:k]
             found, sims = found[best], sims[best]
         return found, sims
@@ -212,7 +217,9 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibrat
     )
     expected = F.col("a") * n0 - F.col("b") * n1
     chi = (n1 + n0) / (n1 * n0) * expected * expected / ((F.col("a") + F.col("b")) * F.greatest(n1 + n0 - F.col("a") - F.col("b"), F.lit(1.0)))
-    best = by.where((F.col("a") + F.col("b") >= MIN_DOCS) & (chi >= MIN_CHI)).orderBy(chi.desc(), "term").limit(terms).select("term").collect()
+    lift = (F.col("a") + 0.5) / n1 / ((F.col("b") + 0.5) / n0)
+    telling = (F.col("a") + F.col("b") >= MIN_DOCS) & (chi >= MIN_CHI) & ((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT))
+    best = by.where(telling).orderBy(chi.desc(), "term").limit(terms).select("term").collect()
     vocab = {r["term"]: i for i, r in enumerate(best)}
     empty = Index.build(vocab, [], [], [], [], 0.0) if vocab else None
     if empty is None:
