@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from atomweave.plans import aggregates, analytics, graph, relational, search, spatial, streams, temporal, texts, vectors
+from atomweave.plans import aggregates, analytics, graph, grouped, relational, search, spatial, streams, temporal, texts, vectors
 
-MODULES = (search, relational, analytics, vectors, graph, texts, aggregates, spatial, temporal, streams)
+MODULES = (search, relational, analytics, vectors, graph, texts, aggregates, spatial, temporal, streams, grouped)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
