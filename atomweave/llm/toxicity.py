@@ -3,7 +3,7 @@
 Terms are lower-cased words and word prefixes (4 to 7 letters, which stand for inflected forms); the vocabulary is the
 ``TERMS`` terms that tell the two labels apart best (chi-squared on document frequencies, significant and at least
 ``MIN_LIFT`` times as common in one label). Examples are at most
-``EXAMPLES`` labelled documents of each label with distinct texts, smallest hashes first, and
+``EXAMPLES`` labelled documents of each label (in expectation; drawn by hash), and
 ``CALIBRATION`` more of each set the scores; both bounds are parameters. Example ids are cut into blocks; for
 each term and block the index keeps the largest weight, so a block whose bound (sum over the query's terms) can't
 reach the current k-th similarity is never opened. That pruning is exact.
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomweave.llm.language_id import remainder
@@ -40,6 +40,8 @@ BLOCK = 64
 PULL = 0.5
 PREFIXES = (4, 5, 6, 7)
 MIN_DOCS = 3
+#: Labelled rows of a label below which none is set aside for calibration.
+FEW = 500
 #: Chi-squared below which a term tells nothing (one in a thousand by chance).
 MIN_CHI = 10.83
 #: Ratio of a term's shares in the two labels, either way, below which it is as good as common.
@@ -183,20 +185,28 @@ class Scorer:
         return x.probability(vote), evidence
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
-    """At most per_label documents of each label: (doc_id, text, toxic, r, n); r ranks hashes within a label of n rows."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, aside: float) -> tuple[DataFrame, dict[int, int]]:
+    """About per_label documents at most of each label, by hash: (doc_id, text, toxic, aside), and all labelled rows by label.
+
+    ``aside`` is the share kept for calibration; none is where a label has under ``FEW`` rows.
+    """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(remainder(F.col("doc_id"), 5) != 0).withColumn("h", F.xxhash64("doc_id"))
-    sizes = known.groupBy("toxic").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    some = known.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_label).join(F.broadcast(sizes), "toxic")
+    known = known.where(remainder(F.col("doc_id"), 5) != 0)
+    sizes = {int(r["toxic"] > 0): r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    top = 1 << 30
+    taken = F.lit(False)
+    for k, n in sizes.items():
+        taken = taken | (((F.col("toxic") > 0) == bool(k)) & (F.pmod(F.xxhash64("doc_id"), F.lit(top)) < int(top * min(1.0, per_label / n))))
+    aside = aside if len(sizes) == 2 and min(sizes.values()) >= FEW else 0.0
+    apart = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(top)) < int(top * aside)
+    some = known.where(taken).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), apart.alias("aside"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(some.select("doc_id", "toxic", "r", "n")), "doc_id")  # per_label rows of each label
+    return texts.join(F.broadcast(some), "doc_id"), sizes  # per_label rows of each label
 
 
 def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibration: int = CALIBRATION, terms: int = TERMS) -> Index | float:
     """An index with its calibration, or a constant score where there are no two labels to learn from."""
-    rows = labelled_sample(docs, labels, examples + calibration)
+    rows, every = labelled_sample(docs, labels, examples + calibration, calibration / (examples + calibration))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,12 +215,11 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibrat
                 out.update((t, toxic) for t in {t for w in set((text or "").lower().split()) for t in terms_of(w)})
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int32()), pa.array(out.values(), pa.int64())], ["term", "toxic", "n"])
 
-    distinct = rows.where(F.col("r") <= examples).groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic")
-    sizes = {r["toxic"]: (r["m"], r["n"]) for r in rows.where(F.col("r") <= examples).groupBy("toxic").agg(F.count("*").alias("m"), F.max("n").alias("n")).collect()}
-    kinds = {int(k > 0) for k in sizes}
-    if len(kinds) < 2:
-        return float(kinds == {1})
-    n1, n0 = sizes[1][0], sizes[0][0]
+    distinct = rows.where("NOT aside").groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic")
+    sizes = {r["toxic"]: r["m"] for r in rows.where("NOT aside").groupBy("toxic").agg(F.count("*").alias("m")).collect()}
+    if len(sizes) < 2:
+        return float(set(sizes) == {1})
+    n1, n0 = sizes[1], sizes[0]
     by = distinct.mapInArrow(count, "term string, toxic int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).cast("double").alias("a"),
         F.sum(F.when(F.col("toxic") > 0, 0).otherwise(F.col("n"))).cast("double").alias("b"),
@@ -230,18 +239,18 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibrat
         for b in batches:
             c = [s.counts(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("toxic"), b.column("r").cast(pa.int64()), pa.array([list(x.keys()) for x in c], pa.list_(pa.int32())), pa.array([list(x.values()) for x in c], pa.list_(pa.int32()))],
-                ["doc_id", "toxic", "r", "t", "n"],
+                [b.column("doc_id"), b.column("toxic"), b.column("aside"), pa.array([list(x.keys()) for x in c], pa.list_(pa.int32())), pa.array([list(x.values()) for x in c], pa.list_(pa.int32()))],
+                ["doc_id", "toxic", "aside", "t", "n"],
             )
 
-    got = rows.select("doc_id", "text", "toxic", "r").mapInArrow(vectors, "doc_id long, toxic int, r long, t array<int>, n array<int>").orderBy("toxic", "r", "doc_id").collect()
-    share = {k: n / m for k, (m, n) in sizes.items()}  # labelled rows that an example stands for
+    got = rows.select("doc_id", "text", "toxic", "aside").mapInArrow(vectors, "doc_id long, toxic int, aside boolean, t array<int>, n array<int>").orderBy("toxic", "doc_id").collect()
+    share = {k: every[k] / m for k, m in sizes.items()}  # labelled rows that an example stands for
     scale = max(share.values())
-    all1, all0 = sizes[1][1], sizes[0][1]
+    all1, all0 = every[1], every[0]
     seen, known, rest = set(), [], []
     for r in got:
         c = Counter(dict(zip(r["t"], r["n"])))
-        if r["r"] > examples:
+        if r["aside"]:
             rest.append((c, r))
         elif c and (key := (r["toxic"], frozenset(c.items()))) not in seen:
             seen.add(key)
