@@ -6,7 +6,7 @@ the sum of rank differences, with the largest penalty for n-grams that the profi
 profile names the language; ties go to the language first in order. The score is 1 minus the distance's share
 of the largest one.
 
-Profiles are learned from at most ``PROFILE_DOCS`` documents of a language (the smallest hashes of doc_id); their whole
+Profiles are learned from at most ``PROFILE_DOCS`` documents of a language (in expectation; drawn by a hash of doc_id); their whole
 texts are counted in parallel. Only profiles go to the driver, for at most ``MAX_LANGUAGES`` languages.
 Prediction reads the text alone, all of it, and needs no shuffle.
 
@@ -93,16 +93,14 @@ class Profiles:
 
 def learn(labelled: DataFrame, profile_docs: int = PROFILE_DOCS, k: int = PROFILE_GRAMS) -> Profiles:
     """Profiles from rows (doc_id, text, lang); rows with null lang or text don't count."""
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    w = Window.partitionBy("lang").orderBy("h")
-    limits = rows.select("lang", "h").withColumn("n", F.row_number().over(w)).where(F.col("n") <= profile_docs).groupBy("lang").agg(F.max("h").alias("h"))
-    limit = {r["lang"]: r["h"] for r in limits.limit(MAX_LANGUAGES + 1).collect()}
-    if len(limit) > MAX_LANGUAGES:
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not limit:
+    if not sizes:
         return Profiles({}, k)
-    known = F.create_map(*[F.lit(x) for pair in limit.items() for x in pair])
-    sample = rows.where(F.col("h") <= F.try_element_at(known, F.col("lang"))).select("lang", "text")
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << 30) * min(1.0, profile_docs / n)))])
+    sample = rows.where(F.col("h") < F.try_element_at(share, F.col("lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
