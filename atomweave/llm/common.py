@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,7 +38,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete materialised intermediates that no later plan reads."""
+    """Delete materialised intermediates that no later plan reads.
+
+    Spark deletes shuffle files once the plans that made them are collected; that is asked for here, so that
+    loops don't pile them up.
+    """
+    if frames:
+        gc.collect()
+        frames[0].sparkSession._jvm.System.gc()
     for df in frames:
         path = getattr(df, "_atomweave_path", None)
         if path:
