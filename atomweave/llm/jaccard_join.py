@@ -318,12 +318,12 @@ def similar_components(docs: DataFrame, threshold: Threshold = Threshold(90), wi
     placed = shared.select("sig", "rid", "s1", "n").join(found.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
     placed = materialise(placed.join(mixed, "sig").join(blocks, ["rid", "s1"]), "mixed-segments")
-    targets = placed.groupBy("sig", "gid", "block", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    targets = placed.groupBy("sig", "gid", "block").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"))
     p, q = threshold.num, threshold.den
     pairs = (
         placed.select("sig", "rid", "s1", "n", F.col("component").alias("own"))
         .join(targets, "sig")
-        .where(f"own <> component AND n * {p} <= most * {q} AND least * {p} <= n * {q}")
+        .where(f"(x < y OR own <> x) AND n * {p} <= most * {q} AND least * {p} <= n * {q}")  # the block holds another component
         .select("rid", "s1", "gid", "block")
         .distinct()
     )
