@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +53,27 @@ def discard(*frames: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Bits of a membership bitmap: 1 MB, whatever the number of keys.
+BITMAP_BITS = 1 << 23
+
+
+def maybe_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` with a boolean ``maybe``: false only if the row's key is surely not in ``keys`` (one column of longs).
+
+    A bitmap of hashes of fixed size is broadcast, so rows needn't be shuffled to find out that they aren't meant;
+    with many keys it only says ``maybe`` more often.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS)) + 1
+    v = place(keys.columns[0])
+    maps = keys.groupBy(F.bitmap_bucket_number(v).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("_bits"))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2
+    return (
+        rows.withColumn("_bucket", F.bitmap_bucket_number(place(key)))
+        .join(F.broadcast(maps), "_bucket", "left")
+        .withColumn("maybe", F.coalesce(bit == 1, F.lit(False)))
+        .drop("_bucket", "_bits")
+    )

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from atomweave.llm.common import discard, materialise
+from atomweave.llm.common import discard, materialise, maybe_among
 from atomweave.llm.components import components
 from atomweave.llm.shingles import mix, shingle_sets
 
@@ -205,7 +205,8 @@ def shared_segments(docs: DataFrame, t: Threshold, width: int, ranges: int) -> D
 
 def _token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(rid, s1, tokens) of the documents named in wanted (rid, s1)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("rid"), F.col("text").cast("string").alias("text")).join(wanted, "rid")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rid"), F.col("text").cast("string").alias("text"))
+    texts = maybe_among(texts, "rid", wanted.select("rid")).where("maybe").drop("maybe").join(wanted, "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -346,4 +347,7 @@ def one_of_each(docs: DataFrame, threshold: Threshold = Threshold(80), width: in
     Rows without a doc_id stay, and so do all rows of a staying doc_id.
     """
     gone = similar_components(docs, threshold, width).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    names = docs.columns
+    told = maybe_among(docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("id")), "id", gone)
+    stay = told.where("NOT maybe").select("row").union(told.where("maybe").join(gone.withColumnRenamed("doc_id", "id"), "id", "left_anti").select("row"))
+    return stay.select("row.*")

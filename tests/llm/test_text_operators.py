@@ -188,3 +188,14 @@ def test_language_of_odd_documents(spark, odd_docs, no_docs):
     assert {r["doc_id"] for r in keep_identified(docs).collect()} == set(got) - {3000, 3001}
     assert identify(odd_docs).count() == odd_docs.count()
     assert identify(no_docs).count() == 0
+
+
+def test_bitmap_never_misses_a_key(spark):
+    from pyspark.sql import functions as F
+
+    from atomweave.llm.common import maybe_among
+
+    rows = spark.range(2000).withColumn("x", F.lit("t"))
+    got = maybe_among(rows, "id", spark.range(0, 2000, 50).withColumnRenamed("id", "k")).where("maybe").select("id").toPandas()["id"]
+    assert set(range(0, 2000, 50)) <= set(got) and len(got) < 60
+    assert maybe_among(rows, "id", spark.range(0).withColumnRenamed("id", "k")).where("maybe").count() == 0
