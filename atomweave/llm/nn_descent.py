@@ -1,13 +1,14 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, queries by greedy search on it.
 
 Equal vectors are one node (its copies come back at the end, smallest ids first), so groups of copies don't fill each
-other's lists. The first lists come from exact neighbours within leaves of random-projection trees, which are fitted on at
-most ``TREE_SAMPLE`` vectors; every vector is indexed. Then each round joins neighbours of neighbours: a node's sampled
+other's lists. The first lists come from exact neighbours within leaves of random-projection trees, which are fitted on a
+sample (see ``sample_of``); every vector is indexed. Then each round joins neighbours of neighbours: a node's sampled
 forward and reverse neighbours (new ones first) are joined with their vectors, all pairs in that bounded list are
-compared, and pairs nearer than a list's current last are merged into the lists. Rounds are written tables.
+compared, and all pairs nearer than a list's current last are merged into the lists. Rounds go on until under ``SETTLED``
+of the entries are new. Rounds are written tables.
 
-Greedy search keeps for each query a pool of the ``POOL`` nearest nodes seen, expands the nearest unexpanded ones, and ends
-when none is left. A round joins the frontier with adjacency, deals the (query, node) pairs to buckets of
+Greedy search keeps for each query a pool of the nearest nodes seen, expands the nearest unexpanded ones, and ends
+when none is left. Trees, their sample, leaves and the pool grow with the number of nodes. A round joins the frontier with adjacency, deals the (query, node) pairs to buckets of
 nodes where each needed query vector goes once, and merges distances into the pools.
 
 Vectors that are null, zero, hold null or non-finite components, or differ in length from the smallest vec_id's valid one take
@@ -17,6 +18,7 @@ values; ties go to the smaller vec_id. Rows that repeat an id and vector count o
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +30,37 @@ from atomweave.llm.common import discard, materialise
 
 NEIGHBOURS = 24
 SAMPLED = 32
-ROUNDS = 5
+#: Rounds after which building ends with a warning if the lists aren't settled; they usually are after a dozen.
+ROUNDS = 100
 #: Share of list entries replaced in a round below which building ends.
 SETTLED = 0.02
-PER_MEMBER = 4
 TREES, LEAF, LEAF_MOST, TREE_SAMPLE = 2, 800, 2000, 20_000
 REVERSE = 64
-POOL, BEAM, SEARCH_ROUNDS = 400, 64, 64
+POOL, BEAM = 400, 64
+#: Nodes up to which TREES and POOL do; the trees grow with the logarithm beyond, the pool with the square root.
+FEW_NODES = 50_000
+#: Vectors of the sample per leaf, so that medians are worth something.
+PER_LEAF = 16
 BUCKET_NODES = 2000
 
 
+def pool_of(count: int) -> int:
+    return int(np.ceil(POOL * max(1.0, count / FEW_NODES) ** 0.5))
+
+
+def trees_of(count: int) -> int:
+    return TREES + int(np.ceil(np.log2(max(1.0, count / FEW_NODES)) / 2))
+
+
+def depth_of(count: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, count) / LEAF))))
+
+
+def sample_of(count: int) -> int:
+    """Vectors to fit the trees on: enough for leaves of LEAF, however many nodes there are."""
+    return max(TREE_SAMPLE, 2 * PER_LEAF << depth_of(count))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1) if len(c) else np.zeros((0, 0))
@@ -72,8 +95,7 @@ class Trees:
     def __init__(self, sample: np.ndarray, count: int, trees: int = TREES, seed: int = 11):
         rng = np.random.default_rng(seed)
         width = sample.shape[1] if len(sample) else 0
-        depth = max(0, int(np.ceil(np.log2(max(1, count) / LEAF))))
-        self.depth = min(depth, int(np.log2(max(1, len(sample) / 16))))
+        self.depth = min(depth_of(count), int(np.log2(max(1, len(sample) / PER_LEAF))))
         self.normals = rng.standard_normal((trees, (1 << self.depth) - 1, width))
         self.cuts = np.zeros((trees, (1 << self.depth) - 1))
         for t in range(trees):
@@ -121,9 +143,10 @@ def _edges(ids, nb, d, new) -> pa.Table:
 
 def first_lists(nodes: DataFrame, count: int, k: int = NEIGHBOURS) -> DataFrame:
     """Exact neighbours within leaves of the trees; a leaf over LEAF_MOST is dealt by hash."""
-    share = min(1.0, TREE_SAMPLE / max(1, count))
-    sample = nodes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").limit(2 * TREE_SAMPLE).toArrow()
-    trees = Trees(_matrix(sample["v"]), count)
+    wanted = sample_of(count)
+    share = min(1.0, wanted / max(1, count))
+    sample = nodes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").limit(2 * wanted).toArrow()
+    trees = Trees(_matrix(sample["v"]), count, trees_of(count))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,15 +237,12 @@ def descend(edges: DataFrame, nodes: DataFrame, buckets: int, salt: int, k: int
             g = np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0)
             g[~(new[rows][:, None] | new[rows][None, :])] = np.inf
             np.fill_diagonal(g, np.inf)
-            e = min(PER_MEMBER, len(rows) - 1)
-            at = np.argpartition(g, e - 1, 1)[:, :e]
-            d = np.take_along_axis(g, at, 1)
-            i, j = np.nonzero(d < far[rows][:, None])
-            out.append((nb[rows][i], nb[rows][at[i, j]], d[i, j]))
+            i, j = np.nonzero(g < far[rows][:, None])
+            out.append((nb[rows][i], nb[rows][j], g[i, j]))
         if not out:
             return _edges([], [], [], [])
         a, b, d = (np.concatenate(x) for x in zip(*out))
-        return _edges(*_nearest_in_order(a, b, d, np.ones(len(a), bool), 1 << 40))
+        return _edges(*_nearest_in_order(a, b, d, np.ones(len(a), bool), k))  # no list takes more than k of them
 
     found = lists.groupBy("bucket").applyInArrow(run, EDGES)
     return _merge(edges.withColumn("new", F.lit(False)).union(found), buckets, k)
@@ -239,12 +259,14 @@ def build(nodes: DataFrame, count: int, k: int = NEIGHBOURS, rounds: int = ROUND
         fresh = edges.agg(F.avg(F.col("new").cast("double"))).first()[0] or 0.0
         if fresh < SETTLED:
             break
+    else:
+        warnings.warn(f"neighbour lists aren't settled after {rounds} rounds", stacklevel=2)
     return edges
 
 
-def search(edges: DataFrame, nodes: DataFrame, starts: DataFrame, count: int, keep: int, pool: int = POOL, beam: int = BEAM) -> DataFrame:
+def search(edges: DataFrame, nodes: DataFrame, starts: DataFrame, count: int, keep: int, pool: int | None = None, beam: int = BEAM) -> DataFrame:
     """(q, id, d): the ``keep`` nearest nodes found for each query node in starts (q), itself among them, d Euclidean."""
-    buckets = max(1, -(-count // BUCKET_NODES))
+    buckets, pool = max(1, -(-count // BUCKET_NODES)), pool or pool_of(count)
     adjacency = materialise(sampled_lists(edges, buckets, NEIGHBOURS + REVERSE, 0, nearest=True).groupBy("id").agg(F.collect_list("nb").alias("nbs")), "adjacency")
     vectors = materialise(nodes.select(_bucket("id", buckets).alias("bucket"), "id", "v"), "vectors")
     state_type = "q long, ids array<long>, ds array<double>, done array<boolean>, front array<long>"
@@ -292,7 +314,7 @@ def search(edges: DataFrame, nodes: DataFrame, starts: DataFrame, count: int, ke
         )
 
     nothing = F.lit(None).cast("array<double>")
-    for _ in range(SEARCH_ROUNDS):
+    while True:  # a pool only gets nearer, so there is an end
         if not state.where(F.size("front") > 0).limit(1).count():
             break
         pairs = state.select("q", F.explode("front").alias("id")).join(adjacency, "id").select("q", F.explode("nbs").alias("id")).distinct()

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from atomweave.llm import toxicity, warc
+from atomweave.llm import nn_descent, toxicity, warc
 from atomweave.llm.chat import rotate
 from atomweave.llm.common import fresh_path
 from atomweave.llm.nn_descent import nearest
@@ -78,6 +78,19 @@ def test_neighbours_recall_and_odd_rows(spark):
     assert nearest(df.limit(0), F.col("vec_id") == 0, 10).count() == 0
 
 
+def test_neighbour_lists_settle_and_bounds_follow_the_nodes(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "LEAF", 40)
+    x = np.random.default_rng(2).standard_normal((3000, 32))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").cache()
+    edges = nn_descent.build(nodes, 3000, 10)
+    assert edges.agg(F.avg(F.col("new").cast("double"))).first()[0] < nn_descent.SETTLED
+    with pytest.warns(UserWarning, match="settled"):
+        nn_descent.build(nodes, 3000, 10, rounds=1)
+    few, many = 50_000, 5_000_000
+    assert nn_descent.pool_of(many) > nn_descent.pool_of(few) == nn_descent.POOL and nn_descent.trees_of(many) > nn_descent.trees_of(few)
+    assert nn_descent.sample_of(many) >= nn_descent.PER_LEAF * many / nn_descent.LEAF
+
+
 def test_rotation_by_hand(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, None, "<|x"), (None, 0, "ann", "n"), (2, 0, "system", "only"), (3, 600, "ann", "late")]
     got = {(r["conv_id"], r["perspective"], r["part"]): r for r in rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
