@@ -1,18 +1,21 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
-Terms are lower-cased words and word prefixes (4 to 7 letters, which stand for inflected forms); the vocabulary is the
-``TERMS`` terms that tell the two labels apart best (chi-squared on document frequencies, significant and at least
-``MIN_LIFT`` times as common in one label). Examples are at most
+Terms are lower-cased words and word prefixes (4 to 7 letters, which stand for inflected forms). Texts are compared
+by the ``TERMS`` terms that tell the two labels apart best (chi-squared on document frequencies, significant and at least
+``MIN_LIFT`` times as common in one label), among the examples with such a term; a text without any is compared by every
+term of the examples, among all of them. Each of the two ways has its index and calibration. Examples are at most
 ``EXAMPLES`` labelled documents of each label (in expectation; drawn by hash), and
 ``CALIBRATION`` more of each set the scores; both bounds are parameters. Example ids are cut into blocks; for
 each term and block the index keeps the largest weight, so a block whose bound (sum over the query's terms) can't
-reach the current k-th similarity is never opened. That pruning is exact.
+reach the current k-th similarity is never opened. That pruning is exact. Many queries at once are sifted instead: the
+products with common terms by matrix, those with rare ones by postings, in single precision, and whatever comes within
+``MARGIN`` of the k-th is measured again in double precision; the result is the same.
 
 The k nearest examples vote with their similarities, weighted for the share of their label that was sampled and
 drawn to the prior by ``PULL``; a logistic curve fitted on the calibration documents turns the vote into
 a probability. The evidence is the nearest examples themselves. Ties go to the smaller example number.
 
-A text without a vocabulary term (empty and null ones too) has no neighbour and gets the prior's score. With
+A text without a term of any example (empty and null ones too) has no neighbour and gets the prior's score. With
 labels of one kind only every score is 1 or 0 after that kind, with none 0. Rows of ``labels`` that
 repeat a doc_id count once, as toxic if any is; null labels don't count. Other columns are ignored.
 """
@@ -24,28 +27,36 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomweave.llm.language_id import remainder
 
-TERMS = 1024
 EXAMPLES = 3000
 CALIBRATION = 1000
 NEIGHBOURS = 15
 BLOCK = 64
 PULL = 0.5
-PREFIXES = (4, 5, 6, 7)
+TERMS = 1024
 MIN_DOCS = 3
+PREFIXES = (4, 5, 6, 7)
 #: Labelled rows of a label below which none is set aside for calibration.
 FEW = 500
 #: Chi-squared below which a term tells nothing (one in a thousand by chance).
 MIN_CHI = 10.83
 #: Ratio of a term's shares in the two labels, either way, below which it is as good as common.
 MIN_LIFT = 3.0
+#: A term in one of so many examples or more is common; so many numbers the matrix of common terms has at most.
+COMMON, DENSE = 64, 1 << 24
+#: More than single precision can be wrong by in a cosine.
+MARGIN = 1e-4
+BATCH = 64
 MEMO_WORDS = 600_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -65,10 +76,9 @@ class Index:
 
     vocab: dict[str, int]
     idf: np.ndarray
-    start: np.ndarray  # [term, block]: where the term's postings of that block begin
-    example: np.ndarray
+    first: np.ndarray  # where each example's terms begin
+    term: np.ndarray
     weight: np.ndarray
-    bound: np.ndarray  # [term, block]: largest weight
     ids: np.ndarray
     toxic: np.ndarray
     vote_weight: np.ndarray
@@ -78,26 +88,56 @@ class Index:
 
     @classmethod
     def build(cls, vocab: dict[str, int], counts: list[Counter], ids: list[int], toxic: list[int], vote_weight: list[float], prior: float) -> Index:
-        n, v = len(counts), len(vocab)
-        df = np.zeros(v)
-        for c in counts:
-            df[list(c)] += 1
-        idf = np.log((n + 1) / (df + 1)) + 1
-        blocks = -(-n // BLOCK)
-        t_, e_, w_ = [], [], []
-        for e, c in enumerate(counts):
-            t, w = unit(c, idf)
-            t_.append(t)
-            e_.append(np.full(len(t), e))
-            w_.append(w)
-        t, e, w = (np.concatenate(x) if x else np.zeros(0) for x in (t_, e_, w_))
-        order = np.lexsort([e, t])
-        t, e, w = t[order].astype(np.int64), e[order].astype(np.int64), w[order]
-        cell = t * blocks + e // BLOCK
-        start = np.searchsorted(cell, np.arange(v * blocks + 1))
-        bound = np.zeros(v * blocks)
-        np.maximum.at(bound, cell, w)
-        return cls(vocab, idf, start, e, w, bound.reshape(v, blocks), np.array(ids), np.array(toxic), np.array(vote_weight), prior)
+        size = np.array([len(c) for c in counts], np.int64)
+        t = np.fromiter((t for c in counts for t in c), np.int32, int(size.sum()))
+        n = np.fromiter((n for c in counts for n in c.values()), np.int32, int(size.sum()))
+        return cls.of(vocab, size, t, n, ids, toxic, vote_weight, prior)
+
+    @classmethod
+    def of(cls, vocab: dict[str, int], size: np.ndarray, t: np.ndarray, n: np.ndarray, ids: list[int], toxic: list[int], vote_weight: list[float], prior: float) -> Index:
+        """size: distinct terms of each example; t, n: their numbers and how often they occur."""
+        idf = np.log((len(size) + 1) / (np.bincount(t, minlength=len(vocab)) + 1)) + 1
+        w = (1 + np.log(n)) * idf[t]
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        w /= np.sqrt(np.bincount(owner, w * w, len(size)))[owner]
+        return cls(vocab, idf, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), t, w, np.array(ids, np.int64), np.array(toxic, float), np.array(vote_weight, float), prior)
+
+    def forget(self) -> None:
+        self.__dict__ = self.__getstate__()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("postings", "cells", "common")}
+
+    @cached_property
+    def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each term's postings begin; their examples, ascending, and weights."""
+        order = np.argsort(self.term, kind="stable")
+        example = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.first))[order]
+        return np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(self.vocab)))]), example, self.weight[order]
+
+    @cached_property
+    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A cell is a term's postings in a block: where each term's cells begin; their blocks, first postings, largest weights."""
+        start, example, weight = self.postings
+        block = example // BLOCK
+        fresh = np.ones(len(block), bool)
+        fresh[1:] = block[1:] != block[:-1]
+        fresh[start[:-1][start[:-1] < len(block)]] = True
+        at = np.flatnonzero(fresh)
+        return np.searchsorted(at, start), block[at], np.append(at, len(block)), np.maximum.reduceat(weight, at) if len(at) else weight
+
+    @cached_property
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each term's row in the matrix of common terms or -1; the matrix."""
+        start, example, weight = self.postings
+        df, n = np.diff(start), len(self.ids)
+        some = np.argsort(-df, kind="stable")[: DENSE // max(1, n)]
+        some = some[df[some] * COMMON >= n]
+        row, out = np.full(len(df), -1), np.zeros((len(some), n), np.float32)
+        row[some] = np.arange(len(some))
+        for i, t in enumerate(some):
+            out[i, example[start[t] : start[t + 1]]] = weight[start[t] : start[t + 1]]
+        return row, out
 
     def nearest(self, counts: Counter, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine over 0, exactly: example numbers and cosines."""
@@ -105,8 +145,10 @@ class Index:
         if not counts or not len(self.ids):
             return none
         t, w = unit(counts, self.idf)
-        blocks = self.bound.shape[1]
-        bounds = w @ self.bound[t]
+        _, example, weight = self.postings
+        cell, block, begin, most = self.cells
+        c, of = ranges(cell[t], cell[t + 1])
+        bounds = np.bincount(block[c], w[of] * most[c], -(-len(self.ids) // BLOCK))
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         found, sims = none
@@ -118,21 +160,52 @@ class Index:
             at, step = at + step, step * 8
             if not len(some):
                 break
-            cells = t[:, None] * blocks + some[None, :]
-            lo, size = self.start[cells].ravel(), (self.start[cells + 1] - self.start[cells]).ravel()
-            post = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            x = np.repeat(np.repeat(w, len(some)), size) * self.weight[post]
-            score = np.bincount(self.example[post], x, len(self.ids))
+            opened = np.isin(block[c], some)
+            post, which = ranges(begin[c[opened]], begin[c[opened] + 1])
+            score = np.bincount(example[post], w[of[opened]][which] * weight[post], len(self.ids))
             e = np.flatnonzero(score)
             found, sims = np.concatenate([found, e]), np.concatenate([sims, score[e]])
             best = np.lexsort([found, -sims])[:k]
             found, sims = found[best], sims[best]
         return found, sims
 
-    def vote(self, counts: Counter) -> tuple[float, np.ndarray, np.ndarray]:
-        e, s = self.nearest(counts)
-        w = s * self.vote_weight[e]
-        return float((w @ self.toxic[e] + PULL * self.prior) / (w.sum() + PULL)), e, s
+    def nearest_many(self, many: list[Counter], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As ``nearest`` for each."""
+        n, out = len(self.ids), [(np.zeros(0, np.int64), np.zeros(0)) for _ in many]
+        some = [i for i, c in enumerate(many) if c]
+        if not n or not some:
+            return out
+        start, example, weight = self.postings
+        row, matrix = self.common
+        units = [unit(many[i], self.idf) for i in some]
+        t, w = (np.concatenate(x) for x in zip(*units))
+        q = np.repeat(np.arange(len(some)), [len(x) for x, _ in units])
+        dense = np.zeros((len(some), len(matrix)), np.float32)
+        in_matrix = row[t] >= 0
+        dense[q[in_matrix], row[t[in_matrix]]] = w[in_matrix]
+        tr, wr, qr = t[~in_matrix], w[~in_matrix], q[~in_matrix]
+        post, of = ranges(start[tr], start[tr + 1])
+        score = dense @ matrix
+        score += np.bincount(qr[of] * n + example[post], wr[of] * weight[post], len(some) * n).reshape(len(some), n)
+        least = np.partition(score, n - k, 1)[:, n - k] - MARGIN if n > k else np.zeros(len(some))
+        scratch = np.zeros(len(self.vocab))
+        for j, (i, (x, wx)) in enumerate(zip(some, units)):
+            e = np.flatnonzero((score[j] >= least[j]) & (score[j] > 0))
+            scratch[x] = wx
+            p, of = ranges(self.first[e], self.first[e + 1])
+            sims = np.bincount(of, scratch[self.term[p]] * self.weight[p], len(e))
+            scratch[x] = 0
+            best = np.lexsort([e, -sims])[:k]
+            out[i] = e[best], sims[best]
+        return out
+
+    def votes(self, many: list[Counter]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        out = []
+        for i in range(0, len(many), BATCH):
+            for e, s in self.nearest_many(many[i : i + BATCH]):
+                w = s * self.vote_weight[e]
+                out.append((float((w @ self.toxic[e] + PULL * self.prior) / (w.sum() + PULL)), e, s))
+        return out
 
     def probability(self, vote: float) -> float:
         v = min(max(vote, 1e-6), 1 - 1e-6)
@@ -152,6 +225,13 @@ class Index:
         self.slope, self.shift = map(float, beta)
 
 
+def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from begin to end (without it), one pair after the other, and each number's pair."""
+    size = end - begin
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (begin - (np.cumsum(size) - size))[of], of
+
+
 def unit(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Term numbers and unit-length weights (1 + ln tf) * idf."""
     t = np.fromiter(counts.keys(), np.int64, len(counts))
@@ -159,31 +239,49 @@ def unit(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, w / np.sqrt(w @ w)
 
 
+@dataclass
+class Model:
+    """An index of the telling terms, one of all terms for texts without those, and the first's numbers of the second's terms."""
+
+    telling: Index
+    full: Index
+    number: dict[int, int]
+
+    def told(self, counts: Counter) -> Counter:
+        return Counter({self.number[t]: counts[t] for t in counts.keys() & self.number.keys()})
+
+    def votes(self, many: list[Counter]) -> list[tuple[Index, float, np.ndarray, np.ndarray]]:
+        told = [self.told(c) for c in many]
+        by = (iter(self.full.votes([c for c, x in zip(many, told) if not x])), iter(self.telling.votes([x for x in told if x])))
+        return [((self.full, self.telling)[bool(x)], *next(by[bool(x)])) for x in told]
+
+
 class Scorer:
-    """An index with a bounded memo of words."""
+    """A model with a bounded memo of words."""
 
-    def __init__(self, index: Index):
-        self.index, self.memo = index, {}
+    def __init__(self, model: Model):
+        self.model, self.memo = model, {}
 
     def counts(self, text: str | None) -> Counter:
-        out: Counter = Counter()
-        memo, vocab = self.memo, self.index.vocab
+        out: list[int] = []
+        memo, vocab = self.memo, self.model.full.vocab
         for w in (text or "").lower().split():
             got = memo.get(w)
             if got is None:
                 if len(memo) >= MEMO_WORDS:
                     memo.clear()
                 got = memo[w] = tuple(vocab[t] for t in terms_of(w) if t in vocab)
-            if got:
-                out.update(got)
+            out += got
+        return Counter(out)
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
+        out = []
+        for i in range(0, len(texts), BATCH):
+            for x, vote, e, s in self.model.votes([self.counts(t) for t in texts[i : i + BATCH]]):
+                evidence = [{"doc_id": int(x.ids[i]), "similarity": float(c), "toxic": int(x.toxic[i])} for i, c in zip(e[:3], s[:3])]
+                out.append((x.probability(vote), evidence))
         return out
 
-    def score(self, text: str | None) -> tuple[float, list[dict]]:
-        x = self.index
-        vote, e, s = x.vote(self.counts(text))
-        evidence = [{"doc_id": int(x.ids[i]), "similarity": float(c), "toxic": int(x.toxic[i])} for i, c in zip(e[:3], s[:3])]
-        return x.probability(vote), evidence
-
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, aside: float) -> tuple[DataFrame, dict[int, int]]:
     """About per_label documents at most of each label, by hash: (doc_id, text, toxic, aside), and all labelled rows by label.
@@ -204,74 +302,103 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, aside: f
     return texts.join(F.broadcast(some), "doc_id"), sizes  # per_label rows of each label
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibration: int = CALIBRATION, terms: int = TERMS) -> Index | float:
-    """An index with its calibration, or a constant score where there are no two labels to learn from."""
+def telling(words: list[str], term: np.ndarray, label: np.ndarray, n1: int, n0: int, most: int) -> np.ndarray:
+    """Numbers of the terms that tell n1 toxic from n0 other examples best; term and label: of each example's distinct terms."""
+    a, b = (np.bincount(term[(label > 0) == x], minlength=len(words)).astype(float) for x in (True, False))
+    expected = a * n0 - b * n1
+    chi = (n1 + n0) / (n1 * n0) * expected * expected / ((a + b) * np.maximum(n1 + n0 - a - b, 1.0))
+    lift = (a + 0.5) / n1 / ((b + 0.5) / n0)
+    some = np.flatnonzero((a + b >= MIN_DOCS) & (chi >= MIN_CHI) & ((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT)))
+    return np.array(sorted(some, key=lambda i: (-chi[i], words[i]))[:most], np.int64)
+
+
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibration: int = CALIBRATION, terms: int = TERMS) -> Model | float:
+    """A model with its calibrations, or a constant score where there are no two labels to learn from."""
     rows, every = labelled_sample(docs, labels, examples + calibration, calibration / (examples + calibration))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: Counter = Counter()
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                out.update((t, toxic) for t in {t for w in set((text or "").lower().split()) for t in terms_of(w)})
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int32()), pa.array(out.values(), pa.int64())], ["term", "toxic", "n"])
-
-    distinct = rows.where("NOT aside").groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic")
-    sizes = {r["toxic"]: r["m"] for r in rows.where("NOT aside").groupBy("toxic").agg(F.count("*").alias("m")).collect()}
-    if len(sizes) < 2:
-        return float(set(sizes) == {1})
-    n1, n0 = sizes[1], sizes[0]
-    by = distinct.mapInArrow(count, "term string, toxic int, n long").groupBy("term").agg(
-        F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).cast("double").alias("a"),
-        F.sum(F.when(F.col("toxic") > 0, 0).otherwise(F.col("n"))).cast("double").alias("b"),
-    )
-    expected = F.col("a") * n0 - F.col("b") * n1
-    chi = (n1 + n0) / (n1 * n0) * expected * expected / ((F.col("a") + F.col("b")) * F.greatest(n1 + n0 - F.col("a") - F.col("b"), F.lit(1.0)))
-    lift = (F.col("a") + 0.5) / n1 / ((F.col("b") + 0.5) / n0)
-    telling = (F.col("a") + F.col("b") >= MIN_DOCS) & (chi >= MIN_CHI) & ((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT))
-    best = by.where(telling).orderBy(chi.desc(), "term").limit(terms).select("term").collect()
-    vocab = {r["term"]: i for i, r in enumerate(best)}
-    empty = Index.build(vocab, [], [], [], [], 0.0) if vocab else None
-    if empty is None:
-        return n1 / (n1 + n0)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scorer(empty)
-        for b in batches:
-            c = [s.counts(t) for t in b.column("text").to_pylist()]
+            c = [Counter(t for w in (text or "").lower().split() for t in terms_of(w)) for text in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("toxic"), b.column("aside"), pa.array([list(x.keys()) for x in c], pa.list_(pa.int32())), pa.array([list(x.values()) for x in c], pa.list_(pa.int32()))],
-                ["doc_id", "toxic", "aside", "t", "n"],
+                [b.column("doc_id"), b.column("toxic"), b.column("aside"), b.column("h"), pa.array([list(x.keys()) for x in c], pa.list_(pa.string())), pa.array([list(x.values()) for x in c], pa.list_(pa.int32()))],
+                ["doc_id", "toxic", "aside", "h", "t", "n"],
             )
 
-    got = rows.select("doc_id", "text", "toxic", "aside").mapInArrow(vectors, "doc_id long, toxic int, aside boolean, t array<int>, n array<int>").orderBy("toxic", "doc_id").collect()
+    got = rows.select("doc_id", "text", "toxic", "aside", F.xxhash64("text").alias("h")).mapInArrow(count, "doc_id long, toxic int, aside boolean, h long, t array<string>, n array<int>").toArrow()
+    ids, label, apart, h = (got[c].to_numpy() for c in ("doc_id", "toxic", "aside", "h"))
+    order = np.lexsort([ids, label])
+    sizes = {int(k): int(m) for k, m in zip(*np.unique(label[~apart], return_counts=True))}
+    if len(sizes) < 2:
+        return float(set(sizes) == {1})
+    size = pc.list_value_length(got["t"]).to_numpy().astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(size)])
+    names = pa.chunked_array([c.flatten() for c in got["t"].chunks]).dictionary_encode().unify_dictionaries()
+    t, n = np.concatenate([c.indices.to_numpy() for c in names.chunks]), np.concatenate([c.flatten().to_numpy() for c in got["n"].chunks])
+    names = names.chunk(0).dictionary
+    del got  # the strings are most of it, and the driver is small
+    pa.default_memory_pool().release_unused()
+    known = order[~apart[order] & (size[order] > 0)]
+    if not len(known):
+        return sizes[1] / (sizes[1] + sizes[0])
+    at, owner = ranges(first[known], first[known + 1])
+    number = np.full(len(names), -1, np.int32)  # terms of examples only
+    used = np.unique(t[at])
+    number[used] = np.arange(len(used))
+    words = names.take(pa.array(used)).to_pylist()
+    once = np.zeros(len(known), bool)  # copies of a text count once in a label's document frequencies
+    once[np.unique(np.stack([h[known], label[known]]), axis=1, return_index=True)[1]] = True
     share = {k: every[k] / m for k, m in sizes.items()}  # labelled rows that an example stands for
     scale = max(share.values())
     all1, all0 = every[1], every[0]
-    seen, known, rest = set(), [], []
-    for r in got:
-        c = Counter(dict(zip(r["t"], r["n"])))
-        if r["aside"]:
-            rest.append((c, r))
-        elif c and (key := (r["toxic"], frozenset(c.items()))) not in seen:
-            seen.add(key)
-            known.append((c, r))
-    index = Index.build(vocab, [c for c, _ in known], [r["doc_id"] for _, r in known], [r["toxic"] for _, r in known], [share[r["toxic"]] / scale for _, r in known], all1 / (all1 + all0))
-    if rest:
-        votes = np.array([index.vote(c)[0] for c, _ in rest])
-        y = np.array([r["toxic"] for _, r in rest], float)
-        index.calibrate(votes, y, np.array([share[r["toxic"]] for _, r in rest]))
-    return index
-
-
-def score(docs: DataFrame, index: Index | float) -> DataFrame:
+    def indexed(vocab: list[str], number: np.ndarray) -> Index:
+        """Of the examples with terms of the vocabulary, those alike in a label once."""
+        seen, some, at, size = set(), [], [], []
+        for i in known:
+            have = (first[i] + np.flatnonzero(number[t[first[i] : first[i + 1]]] >= 0)).astype(np.int32 if first[-1] < 1 << 31 else np.int64)
+            have = have[np.argsort(number[t[have]])]
+            key = (label[i], number[t[have]].tobytes(), n[have].tobytes())
+            if len(have) and key not in seen:
+                seen.add(key)
+                some.append(i)
+                at.append(have)
+                size.append(len(have))
+        at = np.concatenate(at) if at else np.zeros(0, np.int64)
+        return Index.of({w: i for i, w in enumerate(vocab)}, np.array(size, np.int64), number[t[at]], n[at], ids[np.array(some, np.int64)], label[np.array(some, np.int64)], [share[k] / scale for k in label[np.array(some, np.int64)]], all1 / (all1 + all0))
+
+    tell = telling(words, number[t[at]][once[owner]], label[known][owner][once[owner]], sizes[1], sizes[0], terms)
+    del at, owner
+    place = np.full(len(number), -1, np.int32)
+    place[used[tell]] = np.arange(len(tell))
+    model = Model(indexed([words[i] for i in tell], place), indexed(words, number), {int(i): j for j, i in enumerate(tell)})
+    rest = np.flatnonzero(apart)
+    votes, index = [], []
+    for some in np.array_split(rest, -(-len(rest) // BATCH)) if len(rest) else []:
+        counts = [Counter({int(number[x]): int(y) for x, y in zip(t[first[i] : first[i + 1]], n[first[i] : first[i + 1]]) if number[x] >= 0}) for i in some]
+        for x, vote, _, _ in model.votes(counts):
+            votes.append(vote)
+            index.append(x is model.telling)
+    for x, mine in ((model.telling, np.array(index, bool)), (model.full, ~np.array(index, bool))):
+        if mine.any():
+            x.forget()
+            x.calibrate(np.array(votes)[mine], label[rest[mine]].astype(float), np.array([share[k] for k in label[rest[mine]]]))
+    return model
+
+
+def _shared(docs: DataFrame, index: Model | float) -> tuple[Broadcast | None, float | None]:
+    """An index as a broadcast, which a Python worker reads once for all its tasks; or a constant."""
+    return (None, index) if isinstance(index, float) else (docs.sparkSession.sparkContext.broadcast(index), None)
+
+
+def score(docs: DataFrame, index: Model | float) -> DataFrame:
     """(doc_id, score, evidence) of every row, from its text alone."""
+    shared, index = _shared(docs, index)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = None if isinstance(index, float) else Scorer(index)
+        s = Scorer(shared.value) if shared else None
         for b in batches:
             texts = b.column(1).to_pylist()
-            got = [s.score(t) for t in texts] if s else [(index, [])] * len(texts)
+            got = s.scores(texts) if s else [(index, [])] * len(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], kind)], ["doc_id", "score", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -286,13 +413,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Rows of docs, all columns as they are, whose score is under the threshold. Learned as in ``classify``."""
-    index = learn(docs, labels)
+    shared, index = _shared(docs, learn(docs, labels))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = None if isinstance(index, float) else Scorer(index)
+        s = Scorer(shared.value) if shared else None
         for b in batches:
-            scores = [s.score(t)[0] if s else index for t in b.column(at).to_pylist()]
+            texts = b.column(at).to_pylist()
+            scores = [x for x, _ in s.scores(texts)] if s else [index] * len(texts)
             yield b.filter(pa.array([x < threshold for x in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

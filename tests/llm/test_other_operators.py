@@ -118,6 +118,31 @@ def test_block_max_index_is_exact():
         assert np.allclose(got, s[want])
 
 
+def test_many_at_once_as_one_by_one():
+    r = random.Random(1)
+    counts = [Counter(min(int(r.expovariate(0.02)), 399) for _ in range(r.randint(1, 60))) for _ in range(700)]
+    x = toxicity.Index.build({str(i): i for i in range(400)}, counts, list(range(700)), [i % 2 for i in range(700)], [1.0] * 700, 0.5)
+    asks = [Counter(min(int(r.expovariate(0.02)), 399) for _ in range(r.randint(0, 40))) for _ in range(90)]
+    assert 0 < len(x.common[1]) < 400
+    for q, (e, s) in zip(asks, x.nearest_many(asks)):
+        want, sims = x.nearest(q)
+        assert np.allclose(s, sims) and (len(set(np.round(sims, 9))) < len(sims) or e.tolist() == want.tolist())
+
+
+def test_toxicity_keeps_every_term_of_every_example(spark):
+    rows = [(i, f"calm tree w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" + (" vile scum" if i % 4 == 0 else ""), "en", "s", 1) for i in range(100)] + [(500, "onlyhere", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(100)] + [(500, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    index = model.full
+    taken = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert any(r[0] == 500 for r in taken)
+    assert set(index.vocab) == {t for r in taken for w in r[1].split() for t in toxicity.terms_of(w)}
+    assert set(index.ids.tolist()) == {r[0] for r in taken}
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    assert got[500]["evidence"][0]["doc_id"] == 500 and abs(got[500]["evidence"][0]["similarity"] - 1) < 1e-9
+
+
 def test_toxicity_learns_and_takes_odd_rows(spark, odd_docs, no_docs):
     r = random.Random(5)
     text = lambda bad: " ".join(r.choice(["calm", "tree", "river", "stone"]) for _ in range(20)) + (" vile scum" if bad else "")
