@@ -22,13 +22,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomweave.llm.common import materialise
 
-MEMO_WORDS = 400_000
+#: Words that a worker remembers, about; those of the slice at hand stay.
+MEMO_WORDS = 1_000_000
 MARKS = ".,;:!?"
+#: A word of letters with one mark after them at most.
+LETTERS = r"^\p{L}+[.,;:!?]?$"
+#: Bytes of text whose words are told apart at once; a longer text is taken alone.
+SLICE = 16 << 20
 #: Pieces that one task packs; more pieces make more shards.
 SHARD_PIECES = 20_000
 
@@ -45,8 +51,10 @@ class Limits:
 class WordTokenizer:
     """Ids of whole texts by a tokenizers file that drops white space.
 
-    No token spans white space, so a text's ids are those of its words in a row; a word that a worker
-    has seen is looked up (the memo is bounded).
+    No token spans white space, so a text's ids are those of its words in a row. A slice of texts is split and
+    dictionary-encoded as columns; each distinct word is taken apart into letters and one mark after them, which are
+    separate matches of the pre-tokenizer, and only letters that a worker has not seen are tokenised, many in one call. Words of
+    another make are tokenised as they are. Both memos are bounded.
     """
 
     def __init__(self, path: str):
@@ -57,68 +65,100 @@ class WordTokenizer:
         #: Ids that end a word: such an id closes each match of the pre-tokenizer.
         self.closes = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.closes[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
-        self.memo: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.older_cores: dict[str, bytes] = {}
-        self.marks = {m: self._ids([m]).tobytes() for m in ["", *MARKS]}
+        self.marks = [self._ids([m]) for m in MARKS]
+        self.known: dict[str, int] = {}  # number of a run of letters, or of another word
+        self.first = np.zeros(1, np.int64)  # where the ids of each begin
+        self.flat = np.zeros(0, np.uint32)
+
+    def _forget_all_but(self, words: list[str]) -> None:
+        kept = [w for w in words if w in self.known]
+        number = np.array([self.known[w] for w in kept], np.int64)
+        size = self.first[number + 1] - self.first[number]
+        self.flat = self.flat[spread(self.first[number], size)]
+        self.first = np.concatenate([[0], np.cumsum(size)])
+        self.known = dict(zip(kept, range(len(kept))))
 
     def _ids(self, texts: list[str]) -> np.ndarray:
-        return np.array([i for e in self.tok.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
+        return np.array([i for e in self.tok.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
 
-    def _learn_cores(self, words: list[str]) -> None:
-        """Ids of words of letters only, many at once in one text; each is one match of the pre-tokenizer."""
+    def _letters(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of runs of letters and how many each has, many at once in one text; each is one match of the pre-tokenizer."""
+        ids, sizes = [], []
         for i in range(0, len(words), 2_000):
             part = words[i : i + 2_000]
-            ids = self._ids([" ".join(part)])
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(part):
-                raw, starts = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self.cores.update(zip(part, [raw[x:y] for x, y in zip(starts, starts[1:])]))
-            else:  # a letter here that is none to the tokenizer
-                self.cores.update((w, self._ids([w]).tobytes()) for w in part)
-
-    def learn(self, words: set[bytes]) -> None:
-        """Ids of words that the memo lacks. Letters and one mark after them are separate matches of the pre-tokenizer."""
-        split: list[tuple[bytes, str, str]] = []
-        new: set[str] = set()
-        if len(self.cores) > MEMO_WORDS:
-            self.older_cores, self.cores = self.cores, {}
-        for w in words:
-            got = self.older.get(w)
-            if got is not None:
-                self.memo[w] = got
-                continue
-            t, mark = w.decode(), ""
-            if t[-1] in MARKS and len(t) > 1:
-                t, mark = t[:-1], t[-1]
-            if not (t.isalpha() and t.lower().isalpha()):
-                self.memo[w] = self._ids([t + mark]).tobytes()
-                continue
-            if t.isascii():
-                t = t.lower()
-            if t not in self.cores:
-                got = self.older_cores.get(t)
-                if got is None:
-                    new.add(t)
-                else:
-                    self.cores[t] = got
-            split.append((w, t, mark))
-        self._learn_cores(list(new))
-        for w, t, mark in split:
-            self.memo[w] = self.cores[t] + self.marks[mark]
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text; white space is ASCII's here, a subset of what the tokenizer drops."""
-        for i in range(0, len(texts), 256):
-            split = [t.encode().split() if t else [] for t in texts[i : i + 256]]
-            unknown = {w for words in split for w in words if w not in self.memo}
-            if len(self.memo) + len(unknown) > MEMO_WORDS:
-                self.older, self.memo = self.memo, {}
-                unknown = set().union(*split)
-            self.learn(unknown)
-            for words in split:
-                yield np.frombuffer(b"".join(map(self.memo.__getitem__, words)), "<u4")
+            got = self._ids([" ".join(part)])
+            ends = np.flatnonzero(self.closes[got]) + 1
+            if len(ends) != len(part):  # a letter here that is none to the tokenizer
+                each = [self._ids([w]) for w in part]
+                got, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            ids.append(got)
+            sizes.append(np.diff(ends, prepend=0))
+        return ids, sizes
+
+    def _others(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        each = [e.ids for i in range(0, len(words), 2_000) for e in self.tok.encode_batch_fast(words[i : i + 2_000], add_special_tokens=False)]
+        return [np.array([i for x in each for i in x], np.uint32)], [np.array([len(x) for x in each], np.int64)]
+
+    def _numbers(self, words: list[str], learn) -> np.ndarray:
+        """Numbers of words in the memo, which learns those that it lacks."""
+        got = [self.known.get(w, -1) for w in words]
+        new = [w for w, k in zip(words, got) if k < 0]
+        if new:
+            n = len(self.known)
+            self.known.update(zip(new, range(n, n + len(new))))
+            ids, sizes = learn(new)
+            self.flat = np.concatenate([self.flat, *ids])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
+            got = [self.known[w] for w in words]
+        return np.array(got, np.int64)
+
+    def _table(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each distinct word begin (one more at the end), and the ids."""
+        plain = pc.match_substring_regex(words, LETTERS)
+        cores = pc.utf8_rtrim(words.filter(plain), MARKS)
+        ascii_ = pc.string_is_ascii(cores)
+        cores = pc.if_else(ascii_, pc.ascii_lower(cores), cores).dictionary_encode()
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        letters, others = cores.dictionary.to_pylist(), words.filter(pc.invert(plain)).to_pylist()
+        if len(self.known) + len(letters) + len(others) > MEMO_WORDS:
+            self._forget_all_but(letters + others)
+        number, mark = np.zeros(len(words), np.int64), np.full(len(words), -1)
+        number[is_plain] = self._numbers(letters, self._letters)[cores.indices.to_numpy()]
+        for k, m in enumerate(MARKS):
+            mark[pc.ends_with(words, m).to_numpy(zero_copy_only=False) & is_plain] = k
+        number[~is_plain] = self._numbers(others, self._others)
+        size = self.first[number + 1] - self.first[number]
+        more = np.array([len(x) for x in self.marks] + [0])[mark]
+        start = np.concatenate([[0], np.cumsum(size + more)])
+        ids = np.zeros(start[-1], np.uint32)
+        ids[spread(start[:-1], size)] = self.flat[spread(self.first[number], size)]
+        for k, x in enumerate(self.marks):
+            for j in range(len(x)):
+                ids[(start[:-1] + size)[mark == k] + j] = x[j]
+        return start, ids
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text, null as empty; white space is ASCII's here, a subset of what the tokenizer drops."""
+        texts = texts.fill_null("")
+        upto = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE, "right")))
+            words = pc.ascii_split_whitespace(texts.slice(i, j - i))
+            some = words.flatten().dictionary_encode()
+            start, ids = self._table(some.dictionary)
+            w = some.indices.to_numpy()
+            size = np.diff(start)[w]
+            flat = ids[spread(start[w], size)]
+            at = np.concatenate([[0], np.cumsum(size)])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+            for a, b in zip(at, at[1:]):
+                yield flat[a:b]
+            i = j
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 ... of each in a row, as many as its size."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -140,15 +180,15 @@ def cut(docs: DataFrame, tokenizer_file: str, end_id: int = 2, capacity: int = 4
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = tokenizer(tokenizer_file), np.array([end_id], "<u4")
+        tok, end = tokenizer(tokenizer_file), np.array([end_id], np.uint32)
         for b in batches:
             rows: list[tuple] = []
-            for d, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1).to_pylist())):
+            for d, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1))):
                 ids = np.concatenate([ids, end])
                 n = len(ids)
                 for s in range(0, n, capacity):
                     part = ids[s : s + capacity]
-                    rows.append((d, s, len(part), len(part) - (s == 0), zlib.crc32(part.tobytes()), n))
+                    rows.append((d, s, len(part), len(part) - (s == 0), zlib.crc32(part.astype("<u4", copy=False)), n))
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "loss_tokens", "ids_crc32", "doc_tokens"])
 

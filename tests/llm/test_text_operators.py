@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,7 +99,59 @@ def test_tokenizer_memo_equals_the_library(text):
     from tokenizers import Tokenizer
 
     lib = test_tokenizer_memo_equals_the_library.__dict__.setdefault("lib", Tokenizer.from_file(default_tokenizer()))
-    assert next(iter(tokenizer(default_tokenizer()).encode([text]))).tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert next(iter(tokenizer(default_tokenizer()).encode(pa.array([text])))).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def naive_packing(pieces, limits):
+    """Bins of (tokens, loss, number) by the dot-product heuristic, one look at every piece that is left each time."""
+    left, bins = sorted(pieces, key=lambda p: (-p[0], -p[1], p[2])), []
+    while left:
+        rt, rs, rq, now = limits.tokens, limits.segments, limits.loss_tokens, []
+        while rs:
+            fit = [p for p in left if p[0] <= rt and p[1] <= rq]
+            if not fit:
+                break
+            score = [p[0] / limits.tokens * (rt / limits.tokens) + p[1] / max(1, limits.loss_tokens) * (rq / max(1, limits.loss_tokens)) + (1 / limits.segments) * (rs / limits.segments) for p in fit]
+            best = fit[max(range(len(fit)), key=lambda i: (round(score[i], 12), -i))]
+            left.remove(best)
+            now.append(best[2])
+            rt, rs, rq = rt - best[0], rs - 1, rq - best[1]
+        bins.append(now)
+    return bins
+
+
+@pytest.mark.parametrize("limits", [Limits(512, 256, 512), Limits(512, 4, 512), Limits(512, 6, 150), Limits(512, 256, 100)])
+def test_packing_follows_the_dot_product_within_limits_that_bind(limits):
+    r = np.random.default_rng(5)
+    tokens = np.minimum(512, r.lognormal(4.2, 1.0, 300).astype(int) + 1)
+    loss = np.minimum((tokens * r.random(300)).astype(int), limits.loss_tokens)  # answers after prompts
+    bins, offsets = pack_shard(tokens, loss, limits)
+    got = [np.flatnonzero(bins == b)[np.argsort(offsets[bins == b], kind="stable")].tolist() for b in range(bins.max() + 1)]
+    assert got == naive_packing(list(zip(tokens.tolist(), loss.tolist(), range(300))), limits)
+    per = lambda x: np.bincount(bins, x)
+    assert per(tokens).max() <= limits.tokens and per(loss).max() <= limits.loss_tokens and np.bincount(bins).max() <= limits.segments
+    bound = max(-(-tokens.sum() // limits.tokens), -(-loss.sum() // limits.loss_tokens), -(-300 // limits.segments))
+    assert bins.max() + 1 <= 1.15 * bound + 1
+
+
+def test_packing_leaves_little_padding():
+    tokens = np.minimum(4096, np.random.default_rng(6).lognormal(5.5, 1.2, 20_000).astype(int) + 1)
+    bins, _ = pack_shard(tokens, tokens - 1, Limits())
+    assert tokens.sum() >= 0.99 * 4096 * (bins.max() + 1)
+
+
+def test_tokenizer_forgets_within_its_bound(monkeypatch):
+    from atomweave.llm import packing
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "MEMO_WORDS", 30)
+    monkeypatch.setattr(packing, "SLICE", 200)
+    tok, lib = packing.WordTokenizer(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+    r = np.random.default_rng(1)
+    texts = [" ".join("".join(r.choice(list("abÉé1.,'"), r.integers(1, 5))) for _ in range(r.integers(0, 60))) for _ in range(80)] + [None, ""]
+    for text, ids in zip(texts, tok.encode(pa.array(texts))):
+        assert ids.tolist() == lib.encode(text or "", add_special_tokens=False).ids
+    assert len(tok.known) < 200
 
 
 def test_packing_covers_every_id_once(odd_docs, no_docs):
@@ -109,7 +162,7 @@ def test_packing_covers_every_id_once(odd_docs, no_docs):
         by_seq[r["sequence_id"]].append(r)
     tok = tokenizer(default_tokenizer())
     for d in odd_docs.where("doc_id <> 50").collect():
-        ids = [*next(iter(tok.encode([d["text"]]))).tolist(), 2]
+        ids = [*next(iter(tok.encode(pa.array([d["text"]], pa.string())))).tolist(), 2]
         at = 0
         for r in sorted(by_doc[d["doc_id"]], key=lambda r: r["start"]):
             part = np.array(ids[at : at + r["length"]], "<u4")
