@@ -1,19 +1,22 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with equal shingle sets are one class, so copies count once. Similar classes are put into groups, and a
-group is cut into blocks of at most about ``BLOCK`` classes. For a block, the matrix holds the union of its classes' tokens; a query
-class opens the block only if its overlap with that union reaches t * |query|, which bounds the overlap with every class
-in it. In an opened block the matrix gives the overlap with each class, and the threshold is tested in integers.
+Documents with equal shingle sets are one class, so copies count once. Similar classes are put into groups, and a group
+is cut into blocks of bounded size. The matrix has a row of bits for each class, a bit for each cell of a hashed token space of at least two
+cells a token, and for each block the union of its rows. A query class closes a block when too many of its bits are missing
+from the union: each missing bit is a token that no class in the block has, so fewer than t * |query| tokens can be shared.
+In an opened block each row is held against the query's in the same way: cells that differ number no more than the tokens that
+differ. Only for pairs that pass both bounds are texts brought together, and the threshold is tested on whole sets, in integers.
 
 Which queries meet which groups is decided without loss by segments: a set's tokens are dealt by hash to k segments,
 where k - 1 is the largest symmetric difference that a linked pair of these sizes can have, so linked sets agree in at
 least one whole segment. Sizes fall into classes of ratio t; a set is dealt once for its own class and once for the class
 below, where its smaller partners are. A segment that is empty is only kept where a linked pair may agree in nothing else.
-Segments hold many tokens each, so frequent words, lines and passages alone bring no documents together.
+Segments hold many tokens each, so frequent words, lines and passages alone bring few documents together; those that they do
+bring together are told apart by the bounds.
 
 Two rounds bound the work in large groups of near copies. First every class queries one block of its own group. The
 links found make components; second, only classes that share a segment across different components are compared, each against
-blocks that hold the other component. What is left out could not change any component, so components are exact.
+blocks that hold another component. What is left out could not change any component, so components are exact.
 
 Sets are 64-bit hashes of shingles and classes 128-bit hashes of sets. Empty sets (no words, empty or null text) link with nothing. Rows that
 repeat a doc_id are nodes of their own with that id; null doc_ids are never a component's id unless it has no other.
@@ -35,8 +38,10 @@ from atomweave.llm.common import discard, materialise, maybe_among
 from atomweave.llm.components import components
 from atomweave.llm.shingles import mix, shingle_sets
 
-BLOCK = 512
-QUERIES_PER_UNIT = 512
+#: Classes of a block and queries of a unit: at most so many, and fewer where their rows of bits are long.
+BLOCK, BLOCK_BITS, LEAST = 512, 1 << 24, 8
+#: Parts over which a join deals a key that has many rows.
+SALTS = 16
 #: Segment hashes that one task brings together, about.
 RANGE_SEGMENTS = 500_000
 
@@ -118,16 +123,27 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def level_of(n: int) -> int:
+    """Rows of bits have two to the level cells, at least two for each of n tokens."""
+    return max(6, (2 * n - 1).bit_length())
+
+
+def bits_of(x: np.ndarray) -> bytes:
+    cells = np.zeros(1 << level_of(len(x)), bool)
+    cells[(x & np.uint64(len(cells) - 1)).astype(np.int64)] = True
+    return np.packbits(cells, bitorder="little").tobytes()
+
+
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2) of every row: set size and two hashes of the set."""
+    """(doc_id, n_shingles, s1, s2, bits) of every row: set size, two hashes of the set, its row of the matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(len(x), *set_hashes(x)) for x in shingle_sets(b.column(1), width)]
-            cols = list(zip(*got)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n_shingles", "s1", "s2"])
+            got = [(len(x), *set_hashes(x), bits_of(x) if len(x) else None) for x in shingle_sets(b.column(1), width)]
+            cols = list(zip(*got)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "bits"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bits binary")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -139,11 +155,11 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def shared_segments(docs: DataFrame, t: Threshold, width: int, ranges: int) -> DataFrame:
-    """(sig, doc_id, lead) of every segment that several rows have; lead is the smallest doc_id with it.
+def segment_lists(docs: DataFrame, t: Threshold, width: int, ranges: int) -> DataFrame:
+    """(list, docs): the doc_ids that have a segment in common, for every segment of several; equal lists count once in a range.
 
     Segment hashes go to ranges in sorted blocks, not as rows. A task passes on a set once, however many of
-    its rows have it, so a range gets of a group of copies no more than one for each task.
+    its rows have it, so a range gets of a group of copies no more than one for each flush of a task.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +184,7 @@ def shared_segments(docs: DataFrame, t: Threshold, width: int, ranges: int) -> D
                 out[1].append(_planes(doc[i:j]))
             sigs.clear()
             ids.clear()
+            seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["range", "sigs", "docs"])
 
         held = 0
@@ -192,35 +209,20 @@ def shared_segments(docs: DataFrame, t: Threshold, width: int, ranges: int) -> D
         doc = np.concatenate([_from_planes(x).view(np.int64) for x in table["docs"].to_pylist()])
         o = np.lexsort((doc, sig))
         sig, doc = sig[o], doc[o]
-        same = sig[1:] == sig[:-1]
-        keep = np.zeros(len(sig), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        sig, doc = sig[keep], doc[keep]
-        lead = doc[np.searchsorted(sig, sig)]
-        return pa.table({"sig": pa.array(sig.view(np.int64)), "doc_id": pa.array(doc), "lead": pa.array(lead)})
-
-    return _texts(docs).mapInArrow(cut, "range int, sigs binary, docs binary").groupBy("range").applyInArrow(meet, "sig long, doc_id long, lead long")
-
-
-def _token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(rid, s1, tokens) of the documents named in wanted (rid, s1)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("rid"), F.col("text").cast("string").alias("text"))
-    texts = maybe_among(texts, "rid", wanted.select("rid")).where("maybe").drop("maybe").join(wanted, "rid")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, which, parts, lens = [], [], [], [0]
-            for rid, s1, x in zip(b.column("rid").to_pylist(), b.column("s1").to_pylist(), shingle_sets(b.column("text"), width)):
-                if set_hashes(x)[0] == s1:  # of rows that repeat the id, the one meant
-                    ids.append(rid)
-                    which.append(s1)
-                    parts.append(x)
-                    lens.append(lens[-1] + len(x))
-            flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(which, pa.int64()), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(flat))], ["rid", "s1", "tokens"])
-
-    return texts.select("rid", "s1", "text").mapInArrow(run, "rid long, s1 long, tokens array<long>").dropDuplicates(["rid", "s1"])
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
+        sig, doc = sig[fresh], doc[fresh]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(first, append=len(sig))
+        name = mix(np.add.reduceat(mix(doc.view(np.uint64) + np.uint64(0x9FB21C651E98DF25)), first) + size.astype(np.uint64))
+        first, size, name = first[size > 1], size[size > 1], name[size > 1]
+        name, at = np.unique(name, return_index=True)
+        first, size = first[at], size[at]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        flat = doc[np.arange(upto[-1]) + np.repeat(first - upto[:-1], size)]
+        return pa.table({"list": pa.array(name.view(np.int64)), "docs": pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))})
+
+    return _texts(docs).mapInArrow(cut, "range int, sigs binary, docs binary").groupBy("range").applyInArrow(meet, "list long, docs array<long>")
 
 
 class _Union:
@@ -241,55 +243,127 @@ class _Union:
         return a != b
 
 
+def _fold(rows: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bits over a smaller token space."""
+    while rows.shape[-1] > words:
+        half = rows.shape[-1] // 2
+        rows = rows[..., :half] | rows[..., half:]
+    return rows
+
+
+class Block:
+    """Rows of the matrix and their union."""
+
+    def __init__(self, bits: list[bytes], sizes: np.ndarray, t: Threshold):
+        self.t, self.sizes = t, sizes
+        self.rows = {0: np.array([np.frombuffer(x, np.uint64) for x in bits]).reshape(len(bits), -1)}
+        self.words = self.rows[0].shape[1]
+
+    def folded(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        if words not in self.rows:
+            rows = _fold(self.rows[0], words)
+            self.rows[words] = rows, ~np.bitwise_or.reduce(rows, 0)
+        return self.rows[words]
+
+    def closed(self, q: np.ndarray, n: int) -> bool:
+        """No class of the block can be linked with a query of n tokens: too many lie outside the union."""
+        words = min(self.words, len(q))
+        missing = int(np.bitwise_count(_fold(q, words) & self.folded(words)[1]).sum())
+        return self.t.den * (n - missing) < self.t.num * n
+
+    def near(self, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of an opened block: which classes can be linked with the query, and the least number of tokens that differ."""
+        words = min(self.words, len(q))
+        differ = np.bitwise_count(self.folded(words)[0] ^ _fold(q, words)).sum(1, dtype=np.int64)
+        both = self.sizes + n  # of a + b tokens, d of which differ, (a + b - d) / 2 are shared
+        return np.flatnonzero(self.t.den * (both - differ) >= self.t.num * (both + differ)), differ
+
+
+UNIT = ["gid", "level", "block", "salt"]
+
+
 def open_blocks(units: DataFrame, t: Threshold) -> DataFrame:
-    """Links (a, b) between queries and members of each unit; links that join nothing new within a unit are left out.
+    """(unit, rid, s1, component, member, others): of each unit's queries those with a class that both bounds let pass, and those classes.
 
-    units: (gid, block, salt, member, rid, tokens); a unit has a block's members and some of its queries.
+    units: (unit, rid, s1, n, bits, component, member, query). ``others`` holds a query's classes, nearest first; it is empty
+    for what is member only.
     """
+    kind = pa.list_(pa.int64())
 
     def run(key, table):
-        member = np.array(table["member"].to_pylist(), bool)
-        rid = table["rid"].to_numpy()
-        col = table["tokens"].combine_chunks()
-        off, flat = col.offsets.to_numpy(), col.values.to_numpy().view(np.uint64)
-        sets = [flat[off[i] : off[i + 1]] for i in range(len(rid))]
-        rows = np.flatnonzero(member)
-        out: list[tuple[int, int]] = []
-        union = _Union()
+        rid, s1, n, component = (table[c].to_numpy() for c in ("rid", "s1", "n", "component"))
+        bits = table["bits"].to_pylist()
+        is_member, is_query = (table[c].to_numpy() for c in ("member", "query"))
+        rows = np.flatnonzero(is_member)
+        wanted, others = np.zeros(len(rid), bool), {}
         if len(rows):
-            tokens = np.concatenate([sets[i] for i in rows])
-            owner = np.repeat(np.arange(len(rows)), [len(sets[i]) for i in rows])
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            sizes = np.array([len(sets[i]) for i in rows])
-            matrix, first = np.unique(tokens, return_index=True)  # the group's token union
-            first = np.append(first, len(tokens))
-            for i in np.flatnonzero(~member):
-                q = sets[i]
-                at = np.searchsorted(matrix, q)
-                at[at == len(matrix)] = 0
-                at = at[matrix[at] == q] if len(matrix) else at[:0]
-                if t.den * len(at) < t.num * len(q):  # the bound
+            block = Block([bits[i] for i in rows], n[rows], t)
+            for i in np.flatnonzero(is_query):
+                q = np.frombuffer(bits[i], np.uint64)
+                if block.closed(q, int(n[i])):
                     continue
-                lens = first[at + 1] - first[at]
-                hit = np.repeat(first[at] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-                both = np.bincount(owner[hit], minlength=len(rows))
-                for m in np.flatnonzero(t.linked(both, len(q), sizes)):
-                    other = int(rid[rows[m]])
-                    if other != rid[i] and union.join(int(rid[i]), other):
-                        out.append((int(rid[i]), other))
+                m, differ = block.near(q, int(n[i]))
+                m = m[component[rows[m]] != component[i]]
+                if len(m):
+                    m = m[np.argsort(differ[m], kind="stable")]
+                    wanted[rows[m]] = True
+                    others[i] = rid[rows[m]].tolist()
+        out = np.flatnonzero(wanted | np.isin(np.arange(len(rid)), list(others)))
+        cols = [pa.array([k.as_py()] * len(out), f) for k, f in zip(key, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
+        return pa.table([*cols, pa.array(rid[out]), pa.array(s1[out]), pa.array(component[out]), pa.array(wanted[out]), pa.array([others.get(i, []) for i in out.tolist()], kind)], [*UNIT, "rid", "s1", "component", "member", "others"])
+
+    return units.groupBy(*UNIT).applyInArrow(run, "gid long, level int, block int, salt int, rid long, s1 long, component long, member boolean, others array<long>")
+
+
+def verify(opened: DataFrame, docs: DataFrame, t: Threshold, width: int) -> DataFrame:
+    """Links (a, b) of opened units by whole sets; links that join nothing new within a unit are left out."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rid"), F.col("text").cast("string").alias("text"))
+    texts = maybe_among(texts, "rid", opened.select("rid").distinct()).where("maybe").drop("maybe")
+
+    def run(key, table):
+        members: dict[int, np.ndarray] = {}
+        queries: dict[int, tuple[np.ndarray, list[int]]] = {}
+        text = pa.concat_arrays(table["text"].chunks)
+        of: dict[int, int] = {}
+        for rid, s1, component, member, others, x in zip(*(table[c].to_pylist() for c in ("rid", "s1", "component", "member", "others")), shingle_sets(text, width)):
+            if len(x) and set_hashes(x)[0] == s1:  # of rows that repeat the id, the one meant
+                of[rid] = component
+                if member:
+                    members[rid] = x
+                if others:
+                    queries[rid] = x, others
+        union, out = _Union(), []
+        for rid in sorted(queries):
+            x, others = queries[rid]
+            for other in others:
+                if union.find(of[rid]) == union.find(of[other]):
+                    continue
+                y = members[other]
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                if t.linked(np.count_nonzero(y[at] == x), len(x), len(y)):
+                    union.join(of[rid], of[other])
+                    out.append((rid, other))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return units.groupBy("gid", "block", "salt").applyInArrow(run, "a long, b long")
+    return opened.join(texts, "rid").groupBy(*UNIT).applyInArrow(run, "a long, b long")
+
 
+def per_unit() -> F.Column:
+    """Rows of a block or unit by level."""
+    return F.greatest(F.lit(LEAST), F.least(F.lit(BLOCK), F.expr(f"shiftright({BLOCK_BITS}, level)")))
 
-def _units(queries: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Units from queries and blocks (rid, s1, gid, block): a block's queries are dealt to salts of bounded size."""
-    key = ["gid", "block"]
-    load = queries.groupBy(*key).agg(F.ceil(F.count("*") / QUERIES_PER_UNIT).cast("int").alias("salts"))
-    q = queries.join(load, key).select(*key, F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("member"), "rid", "s1")
-    m = blocks.join(load, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("member"), "rid", "s1")
-    return q.union(m).join(sets, ["rid", "s1"]).drop("s1")
+
+def dealt(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """``rows`` with the number of units that the rows of their key fill. The join is salted: a key may have any share of the rows."""
+    many = rows.groupBy(*key).agg(F.ceil(F.count("*") / F.first(per_unit())).cast("int").alias(name)).where(F.col(name) > 1)
+    many = many.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = rows.withColumn("_salt", F.pmod(F.xxhash64("rid", F.lit(7)), F.lit(SALTS)).cast("int")).join(many, [*key, "_salt"], "left")
+    return out.withColumn(name, F.coalesce(name, F.lit(1))).drop("_salt")
+
+
+def part(seed: int, parts: str) -> F.Column:
+    return F.pmod(F.xxhash64("rid", F.lit(seed)), F.col(parts)).cast("int")
 
 
 def similar_components(docs: DataFrame, threshold: Threshold = Threshold(90), width: int = 3) -> DataFrame:
@@ -299,45 +373,62 @@ def similar_components(docs: DataFrame, threshold: Threshold = Threshold(90), wi
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     per_token = 2.5 * (threshold.den - threshold.num) / threshold.den
     ranges = max(1, math.ceil(total * per_token / RANGE_SEGMENTS))
-    met = materialise(shared_segments(docs, threshold, width, ranges), "met-segments")
+    lists = materialise(segment_lists(docs, threshold, width, ranges), "segment-lists")
+    entries = lists.select("list", F.explode("docs").alias("doc_id")).distinct()
     # by class; a segment that only copies share says nothing
-    named = met.join(rows.select("doc_id", "s1", "s2"), "doc_id").join(classes, ["s1", "s2"]).groupBy("sig", "rid", "s1", "n").agg(F.min("lead").alias("lead"))
-    several = named.groupBy("sig").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).where("x < y").select("sig")
-    shared = materialise(named.join(several, "sig"), "shared-segments")
-    member = shared.groupBy("rid", "s1").agg(F.min("lead").alias("gid"))
-    sizes = member.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = materialise(member.join(sizes, "gid").select("rid", "s1", "gid", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("blocks")).cast("int").alias("block")), "blocks")
-    sets = materialise(_token_sets(docs, blocks.select("rid", "s1"), width), "token-sets")
-
-    first = blocks.select("rid", "s1", "gid", F.lit(0).alias("block"))
-    links = open_blocks(_units(first, blocks.where("block = 0"), sets), threshold)
+    who = entries.select("doc_id").distinct().join(rows.select("doc_id", "s1", "s2"), "doc_id").join(classes, ["s1", "s2"]).select("doc_id", "rid", "s1", "n").distinct()
+    named = entries.join(who, "doc_id").select("list", "rid", "s1", "n").distinct()
+    several = named.groupBy("list").agg(F.min("rid").alias("lead"), F.max("rid").alias("last")).where("lead < last").select("list", "lead")
+    shared = materialise(named.join(several, "list"), "shared-segments")
+    discard(lists)
+
+    member = shared.groupBy("rid", "s1").agg(F.min("lead").alias("gid"), F.first("n").alias("n"))
+    bits = rows.select(F.col("doc_id").alias("rid"), "s1", "bits")
+    member = member.join(bits, ["rid", "s1"]).groupBy("rid", "s1").agg(*(F.first(c).alias(c) for c in ("gid", "n", "bits")))
+    member = materialise(member.withColumn("level", F.round(F.log2(F.octet_length("bits") * 8)).cast("int")), "members")
+    matrix = materialise(dealt(member, ["gid", "level"], "blocks").withColumn("block", part(1, "blocks")), "matrix")
+    discard(member)
+
+    # each class is sent to one unit, those of the first block to all units of the group
+    first = matrix.where("block > 0").select("gid", "level", F.lit(0).alias("block"), F.col("block").alias("salt"), "rid", "s1", "n", "bits", F.lit(False).alias("member"), F.lit(True).alias("query"))
+    first = first.union(matrix.where("block = 0").select("gid", "level", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), "rid", "s1", "n", "bits", F.lit(True).alias("member"), F.lit(True).alias("query")).withColumn("query", F.col("salt") == 0))
+    opened = materialise(open_blocks(first.withColumn("component", F.col("rid")), threshold), "opened")
+    links = verify(opened, docs, threshold, width)
     several = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x <> y").select("doc_id")
     same = rows.join(several, "doc_id").join(classes.select("s1", "s2", "rid"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rid").alias("b"))
     links = materialise(links.union(same), "links")
     found = materialise(components(links), "components")
-
-    placed = shared.select("sig", "rid", "s1", "n").join(found.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-    placed = materialise(placed.join(mixed, "sig").join(blocks, ["rid", "s1"]), "mixed-segments")
-    targets = placed.groupBy("sig", "gid", "block").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"))
+    discard(opened)
+
+    stored, matrix = matrix, matrix.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    place = matrix.select("rid", "s1", "n", "gid", "level", "block", "component")
+    placed = shared.select("list", "rid", "s1").join(place, ["rid", "s1"])
+    mixed = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("list")
+    placed = materialise(placed.join(mixed, "list"), "mixed-segments")
+    block = ["gid", "level", "block"]
+    targets = placed.groupBy("list", *block).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"))
     p, q = threshold.num, threshold.den
     pairs = (
-        placed.select("sig", "rid", "s1", "n", F.col("component").alias("own"))
-        .join(targets, "sig")
+        placed.select("list", "rid", "s1", "n", F.col("component").alias("own"))
+        .join(targets, "list")
         .where(f"(x < y OR own <> x) AND n * {p} <= most * {q} AND least * {p} <= n * {q}")  # the block holds another component
-        .select("rid", "s1", "gid", "block")
+        .select("rid", "s1", *block)
         .distinct()
     )
-    more = open_blocks(_units(pairs, blocks, sets), threshold)
-    links2 = materialise(links.union(more), "links")
+    pairs = materialise(dealt(materialise(pairs, "pairs"), block, "salts"), "dealt-pairs")
+    row = ["rid", "s1", "n", "bits", "component"]
+    queries = pairs.withColumn("salt", part(3, "salts")).join(matrix.select(*row), ["rid", "s1"]).select(*UNIT, *row, F.lit(False).alias("member"), F.lit(True).alias("query"))
+    loads = pairs.groupBy(*block).agg(F.max("salts").alias("salts"))
+    members = matrix.join(loads, block).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*UNIT, *row, F.lit(True).alias("member"), F.lit(False).alias("query"))
+    opened = materialise(open_blocks(queries.union(members), threshold), "opened")
+    links2 = materialise(links.union(verify(opened, docs, threshold, width)), "links")
     final = components(links2).select(F.col("node").alias("rid"), "component")
     known = classes.select("s1", "s2", "rid").join(final, "rid", "left").select("s1", "s2", F.coalesce("component", "rid").alias("component_id"))
     # copies of one class may be a third of all rows: the class table is salted against them
-    salts = 16
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = rows.select("doc_id", "n_shingles", "s1", "s2", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")).join(known, ["s1", "s2", "salt"], "left")
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = rows.select("doc_id", "n_shingles", "s1", "s2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(known, ["s1", "s2", "salt"], "left")
     out = materialise(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "component-ids")
-    discard(rows, met, shared, blocks, sets, links, found, placed, links2)
+    discard(rows, shared, stored, links, found, placed, pairs, opened, links2)
     return out
 
 

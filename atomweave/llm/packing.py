@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from atomweave.llm.common import materialise
 
 #: Words that a worker remembers, about; those of the slice at hand stay.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 700_000
 MARKS = ".,;:!?"
 #: A word of letters with one mark after them at most.
 LETTERS = r"^\p{L}+[.,;:!?]?$"
