@@ -1,19 +1,19 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
-Terms are lower-cased words and word prefixes (4 to 7 letters, which stand for inflected forms). Texts are compared
-by the ``TERMS`` terms that tell the two labels apart best (chi-squared on document frequencies, significant and at least
-``MIN_LIFT`` times as common in one label), among the examples with such a term; a text without any is compared by every
-term of the examples, among all of them. Each of the two ways has its index and calibration. Examples are at most
-``EXAMPLES`` labelled documents of each label (in expectation; drawn by hash), and
-``CALIBRATION`` more of each set the scores; both bounds are parameters. Example ids are cut into blocks; for
-each term and block the index keeps the largest weight, so a block whose bound (sum over the query's terms) can't
-reach the current k-th similarity is never opened. That pruning is exact. Many queries at once are sifted instead: the
-products with common terms by matrix, those with rare ones by postings, in single precision, and whatever comes within
-``MARGIN`` of the k-th is measured again in double precision; the result is the same.
+Terms are the letter runs of the lower-cased text: every term of every example is in the index, and every
+term of a text is looked up. A term weighs (1 + ln tf) * idf * (``FLOOR`` + phi), where phi is the strength of the term's association with
+the label among the examples (square root of chi-squared over their number, 0 to 1). So all terms count, and those that tell the labels apart
+count most; with plain idf, long texts are near each other by whatever rare words they share. Vectors have unit length and the cosine is
+exact. Examples are at most ``EXAMPLES`` labelled documents of each label (in expectation; drawn by hash), a documented bound.
+
+Example numbers are cut into blocks; for each term and block the index keeps the largest weight. A text's bound for a block
+is the sum over its terms. The blocks of the largest bounds are opened first; then only those whose bound
+reaches the k-th similarity so far, so pruning is exact. Sums over blocks are in single precision, and whatever comes within ``MARGIN`` of
+the k-th is measured again in double precision.
 
 The k nearest examples vote with their similarities, weighted for the share of their label that was sampled and
-drawn to the prior by ``PULL``; a logistic curve fitted on the calibration documents turns the vote into
-a probability. The evidence is the nearest examples themselves. Ties go to the smaller example number.
+drawn to the prior by ``PULL``. A logistic curve turns the vote into a probability; it is fitted at every size on the votes that the
+examples get from each other, each without its own. The evidence is the nearest examples themselves. Ties go to the smaller example number.
 
 A text without a term of any example (empty and null ones too) has no neighbour and gets the prior's score. With
 labels of one kind only every score is 1 or 0 after that kind, with none 0. Rows of ``labels`` that
@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -38,44 +37,75 @@ from pyspark.sql import functions as F
 
 from atomweave.llm.language_id import remainder
 
-EXAMPLES = 3000
-CALIBRATION = 1000
+EXAMPLES = 1000
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks that are opened before the k-th similarity is known.
+FIRST = 4
 PULL = 0.5
-TERMS = 1024
-MIN_DOCS = 3
-PREFIXES = (4, 5, 6, 7)
-#: Labelled rows of a label below which none is set aside for calibration.
-FEW = 500
-#: Chi-squared below which a term tells nothing (one in a thousand by chance).
-MIN_CHI = 10.83
-#: Ratio of a term's shares in the two labels, either way, below which it is as good as common.
-MIN_LIFT = 3.0
+FLOOR = 1e-3
 #: A term in one of so many examples or more is common; so many numbers the matrix of common terms has at most.
 COMMON, DENSE = 64, 1 << 24
 #: More than single precision can be wrong by in a cosine.
 MARGIN = 1e-4
-BATCH = 64
 MEMO_WORDS = 600_000
+#: Bytes of text whose words are told apart at once; a longer text is taken alone.
+SLICE = 8 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(word: str) -> list[str]:
-    """Terms of a white-space word of lower-cased text: its letter runs and their prefixes (with a star)."""
-    out = []
-    for w in WORD.findall(word):
-        out.append(w)
-        out.extend(w[:n] + "*" for n in PREFIXES if len(w) >= n)
-    return out
+def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from begin to end (without it), one pair after the other, and each number's pair."""
+    size = end - begin
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (begin - (np.cumsum(size) - size))[of], of
+
+
+class Terms:
+    """Numbers and counts of the terms of texts, by columns; what words consist of is remembered, within bounds."""
+
+    def __init__(self, vocab: dict[str, int] | None = None):
+        #: Without a vocabulary given, terms are numbered as they come.
+        self.fixed, self.vocab = vocab is not None, {} if vocab is None else vocab
+        self.memo: dict[str, tuple[int, ...]] = {}
+
+    def _of(self, word: str) -> tuple[int, ...]:
+        got = self.memo.get(word)
+        if got is None:
+            runs = WORD.findall(word)
+            got = self.memo[word] = tuple(self.vocab[t] for t in runs if t in self.vocab) if self.fixed else tuple(self.vocab.setdefault(t, len(self.vocab)) for t in runs)
+        return got
+
+    def counts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text its distinct terms, ascending, and how often they occur; a null text has none."""
+        texts = texts.fill_null("")
+        upto = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE, "right")))
+            words = pc.ascii_split_whitespace(pc.utf8_lower(texts.slice(i, j - i)))
+            some = words.flatten().dictionary_encode()
+            if len(self.memo) > MEMO_WORDS:
+                self.memo.clear()
+            each = [self._of(w) for w in some.dictionary.to_pylist()]
+            size = np.fromiter(map(len, each), np.int64, len(each))
+            flat = np.fromiter((t for x in each for t in x), np.int64, int(size.sum()))
+            first = np.concatenate([[0], np.cumsum(size)])
+            w = some.indices.to_numpy()
+            at, _ = ranges(first[w], first[w + 1])
+            found = flat[at]
+            edge = np.concatenate([[0], np.cumsum(size[w])])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+            for a, b in zip(edge, edge[1:]):
+                yield np.unique(found[a:b], return_counts=True)
+            i = j
 
 
 @dataclass
 class Index:
-    """Block-max inverted index over unit TF-IDF vectors of examples."""
+    """Block-max inverted index over unit vectors of examples."""
 
     vocab: dict[str, int]
-    idf: np.ndarray
+    factor: np.ndarray  # idf and association of each term
     first: np.ndarray  # where each example's terms begin
     term: np.ndarray
     weight: np.ndarray
@@ -87,23 +117,27 @@ class Index:
     shift: float = 0.0
 
     @classmethod
-    def build(cls, vocab: dict[str, int], counts: list[Counter], ids: list[int], toxic: list[int], vote_weight: list[float], prior: float) -> Index:
-        size = np.array([len(c) for c in counts], np.int64)
-        t = np.fromiter((t for c in counts for t in c), np.int32, int(size.sum()))
-        n = np.fromiter((n for c in counts for n in c.values()), np.int32, int(size.sum()))
-        return cls.of(vocab, size, t, n, ids, toxic, vote_weight, prior)
-
-    @classmethod
-    def of(cls, vocab: dict[str, int], size: np.ndarray, t: np.ndarray, n: np.ndarray, ids: list[int], toxic: list[int], vote_weight: list[float], prior: float) -> Index:
-        """size: distinct terms of each example; t, n: their numbers and how often they occur."""
-        idf = np.log((len(size) + 1) / (np.bincount(t, minlength=len(vocab)) + 1)) + 1
-        w = (1 + np.log(n)) * idf[t]
-        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        w /= np.sqrt(np.bincount(owner, w * w, len(size)))[owner]
-        return cls(vocab, idf, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), t, w, np.array(ids, np.int64), np.array(toxic, float), np.array(vote_weight, float), prior)
-
-    def forget(self) -> None:
-        self.__dict__ = self.__getstate__()
+    def build(cls, vocab: dict[str, int], vectors: list[tuple[np.ndarray, np.ndarray]], ids, toxic, vote_weight, prior: float) -> Index:
+        """vectors: distinct terms and counts of each example. Examples are numbered so that those alike share blocks."""
+        toxic = np.asarray(toxic, float)
+        t, n = (np.concatenate([v[i] for v in vectors]).astype(np.int64) for i in (0, 1))
+        size = np.array([len(v[0]) for v in vectors], np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        df = np.bincount(t, minlength=len(vocab))
+        idf = np.log((len(size) + 1) / (df + 1)) + 1
+        n1 = toxic.sum()
+        n0 = len(size) - n1
+        a = np.bincount(t[toxic[owner] > 0], minlength=len(vocab)).astype(float)
+        apart = a * n0 - (df - a) * n1
+        phi = np.abs(apart) / np.sqrt(np.maximum(n1 * n0 * df * (len(size) - df).clip(1), 1.0))
+        factor = idf * (FLOOR + np.minimum(phi, 1.0))
+        w = (1 + np.log(n)) * factor[t]
+        w /= np.sqrt(np.bincount(owner, w * w, len(size)).clip(1e-300))[owner]
+        start = np.concatenate([[0], np.cumsum(size)])
+        head = np.array([t[a + int(np.argmax(w[a:b]))] if b > a else -1 for a, b in zip(start, start[1:])])
+        order = np.lexsort([np.asarray(ids), head, toxic])
+        at, _ = ranges(start[:-1][order], start[1:][order])
+        return cls(vocab, factor, np.concatenate([[0], np.cumsum(size[order])]), t[at], w[at], np.asarray(ids, np.int64)[order], toxic[order], np.asarray(vote_weight, float)[order], prior)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("postings", "cells", "common")}
@@ -116,96 +150,75 @@ class Index:
         return np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(self.vocab)))]), example, self.weight[order]
 
     @cached_property
-    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A cell is a term's postings in a block: where each term's cells begin; their blocks, first postings, largest weights."""
+    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A cell is a term's postings in a block: where each term's cells begin; their blocks, largest weights."""
         start, example, weight = self.postings
         block = example // BLOCK
         fresh = np.ones(len(block), bool)
         fresh[1:] = block[1:] != block[:-1]
         fresh[start[:-1][start[:-1] < len(block)]] = True
         at = np.flatnonzero(fresh)
-        return np.searchsorted(at, start), block[at], np.append(at, len(block)), np.maximum.reduceat(weight, at) if len(at) else weight
+        return np.searchsorted(at, start), block[at], np.maximum.reduceat(weight, at) if len(at) else weight
+
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.ids) // BLOCK)
 
     @cached_property
-    def common(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each term's row in the matrix of common terms or -1; the matrix."""
+    def common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each term's row in the matrix of common terms or -1; the matrix (term, block, example); its largest weights by block."""
         start, example, weight = self.postings
-        df, n = np.diff(start), len(self.ids)
+        df, n = np.diff(start), self.blocks * BLOCK
         some = np.argsort(-df, kind="stable")[: DENSE // max(1, n)]
-        some = some[df[some] * COMMON >= n]
+        some = some[(df[some] * COMMON >= len(self.ids)) & (df[some] > 0)]
         row, out = np.full(len(df), -1), np.zeros((len(some), n), np.float32)
         row[some] = np.arange(len(some))
         for i, t in enumerate(some):
             out[i, example[start[t] : start[t + 1]]] = weight[start[t] : start[t + 1]]
-        return row, out
-
-    def nearest(self, counts: Counter, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine over 0, exactly: example numbers and cosines."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not counts or not len(self.ids):
-            return none
-        t, w = unit(counts, self.idf)
-        _, example, weight = self.postings
-        cell, block, begin, most = self.cells
-        c, of = ranges(cell[t], cell[t + 1])
-        bounds = np.bincount(block[c], w[of] * most[c], -(-len(self.ids) // BLOCK))
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        found, sims = none
-        at, step = 0, 4
-        while at < len(order):
-            if len(sims) >= k:  # blocks from the first whose bound is too small are never opened
-                order = order[bounds[order] >= sims[k - 1] - 1e-12]
-            some = order[at : at + step]
-            at, step = at + step, step * 8
-            if not len(some):
-                break
-            opened = np.isin(block[c], some)
-            post, which = ranges(begin[c[opened]], begin[c[opened] + 1])
-            score = np.bincount(example[post], w[of[opened]][which] * weight[post], len(self.ids))
-            e = np.flatnonzero(score)
-            found, sims = np.concatenate([found, e]), np.concatenate([sims, score[e]])
-            best = np.lexsort([found, -sims])[:k]
-            found, sims = found[best], sims[best]
-        return found, sims
-
-    def nearest_many(self, many: list[Counter], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
-        """As ``nearest`` for each."""
-        n, out = len(self.ids), [(np.zeros(0, np.int64), np.zeros(0)) for _ in many]
-        some = [i for i, c in enumerate(many) if c]
-        if not n or not some:
-            return out
+        out = out.reshape(len(some), self.blocks, BLOCK)
+        return row, out, out.max(2) if out.size else np.zeros(out.shape[:2], np.float32)
+
+    def unit(self, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Weights of a text's terms, of unit length."""
+        w = (1 + np.log(n)) * self.factor[t]
+        return w / np.sqrt(max(w @ w, 1e-300))
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest cosine over 0 with terms t, ascending, of weights w, exactly: example numbers and cosines."""
+        if not len(t) or not len(self.ids):
+            return np.zeros(0, np.int64), np.zeros(0)
         start, example, weight = self.postings
-        row, matrix = self.common
-        units = [unit(many[i], self.idf) for i in some]
-        t, w = (np.concatenate(x) for x in zip(*units))
-        q = np.repeat(np.arange(len(some)), [len(x) for x, _ in units])
-        dense = np.zeros((len(some), len(matrix)), np.float32)
-        in_matrix = row[t] >= 0
-        dense[q[in_matrix], row[t[in_matrix]]] = w[in_matrix]
-        tr, wr, qr = t[~in_matrix], w[~in_matrix], q[~in_matrix]
-        post, of = ranges(start[tr], start[tr + 1])
-        score = dense @ matrix
-        score += np.bincount(qr[of] * n + example[post], wr[of] * weight[post], len(some) * n).reshape(len(some), n)
-        least = np.partition(score, n - k, 1)[:, n - k] - MARGIN if n > k else np.zeros(len(some))
-        scratch = np.zeros(len(self.vocab))
-        for j, (i, (x, wx)) in enumerate(zip(some, units)):
-            e = np.flatnonzero((score[j] >= least[j]) & (score[j] > 0))
-            scratch[x] = wx
-            p, of = ranges(self.first[e], self.first[e + 1])
-            sims = np.bincount(of, scratch[self.term[p]] * self.weight[p], len(e))
-            scratch[x] = 0
-            best = np.lexsort([e, -sims])[:k]
-            out[i] = e[best], sims[best]
-        return out
-
-    def votes(self, many: list[Counter]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        out = []
-        for i in range(0, len(many), BATCH):
-            for e, s in self.nearest_many(many[i : i + BATCH]):
-                w = s * self.vote_weight[e]
-                out.append((float((w @ self.toxic[e] + PULL * self.prior) / (w.sum() + PULL)), e, s))
-        return out
+        cell, block, most = self.cells
+        row, matrix, heads = self.common
+        dense = row[t] >= 0
+        rows, wd, rare, wr = row[t[dense]], w[dense].astype(np.float32), t[~dense], w[~dense]
+        c, of = ranges(cell[rare], cell[rare + 1])
+        bound = wd @ heads[rows] + np.bincount(block[c], wr[of] * most[c], self.blocks)
+        p, of = ranges(start[rare], start[rare + 1])
+        score = np.bincount(example[p], wr[of] * weight[p], self.blocks * BLOCK).astype(float).reshape(self.blocks, BLOCK)
+        opened = np.zeros(self.blocks, bool)
+        order = np.argsort(-bound, kind="stable")
+        some = order[:FIRST]
+        for _ in range(2):
+            if 2 * len(some) > self.blocks:
+                score[some] += np.tensordot(wd, matrix[rows], 1)[some]
+            elif len(some):
+                score[some] += np.tensordot(wd, matrix[rows[:, None], some], 1)
+            opened[some] = True
+            seen = score[opened].ravel()
+            least = (np.partition(seen, len(seen) - k)[len(seen) - k] if len(seen) >= k else 0.0) - MARGIN
+            rest = order[FIRST:]
+            some = rest[(bound[rest] >= least) & (bound[rest] > 0)]
+        e = np.flatnonzero((opened[:, None] & (score >= least) & (score > 0)).ravel())
+        at, of = ranges(self.first[e], self.first[e + 1])
+        place = np.minimum(np.searchsorted(t, self.term[at]), len(t) - 1)
+        sims = np.bincount(of, np.where(t[place] == self.term[at], w[place], 0.0) * self.weight[at], len(e))
+        best = np.lexsort([e, -sims])[:k]
+        return e[best], sims[best]
+
+    def vote(self, e: np.ndarray, sims: np.ndarray) -> float:
+        w = sims * self.vote_weight[e]
+        return float((w @ self.toxic[e] + PULL * self.prior) / (w.sum() + PULL))
 
     def probability(self, vote: float) -> float:
         v = min(max(vote, 1e-6), 1 - 1e-6)
@@ -225,69 +238,22 @@ class Index:
         self.slope, self.shift = map(float, beta)
 
 
-def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers from begin to end (without it), one pair after the other, and each number's pair."""
-    size = end - begin
-    of = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(of)) + (begin - (np.cumsum(size) - size))[of], of
-
-
-def unit(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers and unit-length weights (1 + ln tf) * idf."""
-    t = np.fromiter(counts.keys(), np.int64, len(counts))
-    w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * idf[t]
-    return t, w / np.sqrt(w @ w)
-
-
-@dataclass
-class Model:
-    """An index of the telling terms, one of all terms for texts without those, and the first's numbers of the second's terms."""
-
-    telling: Index
-    full: Index
-    number: dict[int, int]
+class Scorer:
+    """An index with a bounded memo of words."""
 
-    def told(self, counts: Counter) -> Counter:
-        return Counter({self.number[t]: counts[t] for t in counts.keys() & self.number.keys()})
+    def __init__(self, index: Index):
+        self.index, self.terms = index, Terms(index.vocab)
 
-    def votes(self, many: list[Counter]) -> list[tuple[Index, float, np.ndarray, np.ndarray]]:
-        told = [self.told(c) for c in many]
-        by = (iter(self.full.votes([c for c, x in zip(many, told) if not x])), iter(self.telling.votes([x for x in told if x])))
-        return [((self.full, self.telling)[bool(x)], *next(by[bool(x)])) for x in told]
+    def scores(self, texts: pa.Array) -> Iterator[tuple[float, list[dict]]]:
+        x = self.index
+        for t, n in self.terms.counts(texts):
+            e, s = x.nearest(t, x.unit(t, n))
+            evidence = [{"doc_id": int(x.ids[i]), "similarity": float(c), "toxic": int(x.toxic[i])} for i, c in zip(e[:3], s[:3])]
+            yield x.probability(x.vote(e, s)), evidence
 
 
-class Scorer:
-    """A model with a bounded memo of words."""
-
-    def __init__(self, model: Model):
-        self.model, self.memo = model, {}
-
-    def counts(self, text: str | None) -> Counter:
-        out: list[int] = []
-        memo, vocab = self.memo, self.model.full.vocab
-        for w in (text or "").lower().split():
-            got = memo.get(w)
-            if got is None:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                got = memo[w] = tuple(vocab[t] for t in terms_of(w) if t in vocab)
-            out += got
-        return Counter(out)
-
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
-        out = []
-        for i in range(0, len(texts), BATCH):
-            for x, vote, e, s in self.model.votes([self.counts(t) for t in texts[i : i + BATCH]]):
-                evidence = [{"doc_id": int(x.ids[i]), "similarity": float(c), "toxic": int(x.toxic[i])} for i, c in zip(e[:3], s[:3])]
-                out.append((x.probability(vote), evidence))
-        return out
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, aside: float) -> tuple[DataFrame, dict[int, int]]:
-    """About per_label documents at most of each label, by hash: (doc_id, text, toxic, aside), and all labelled rows by label.
-
-    ``aside`` is the share kept for calibration; none is where a label has under ``FEW`` rows.
-    """
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFrame, dict[int, int]]:
+    """About per_label documents at most of each label, by hash: (doc_id, text, toxic), and all labelled rows by label."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(remainder(F.col("doc_id"), 5) != 0)
     sizes = {int(r["toxic"] > 0): r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
@@ -295,101 +261,63 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, aside: f
     taken = F.lit(False)
     for k, n in sizes.items():
         taken = taken | (((F.col("toxic") > 0) == bool(k)) & (F.pmod(F.xxhash64("doc_id"), F.lit(top)) < int(top * min(1.0, per_label / n))))
-    aside = aside if len(sizes) == 2 and min(sizes.values()) >= FEW else 0.0
-    apart = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(top)) < int(top * aside)
-    some = known.where(taken).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), apart.alias("aside"))
+    some = known.where(taken).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(some), "doc_id"), sizes  # per_label rows of each label
 
 
-def telling(words: list[str], term: np.ndarray, label: np.ndarray, n1: int, n0: int, most: int) -> np.ndarray:
-    """Numbers of the terms that tell n1 toxic from n0 other examples best; term and label: of each example's distinct terms."""
-    a, b = (np.bincount(term[(label > 0) == x], minlength=len(words)).astype(float) for x in (True, False))
-    expected = a * n0 - b * n1
-    chi = (n1 + n0) / (n1 * n0) * expected * expected / ((a + b) * np.maximum(n1 + n0 - a - b, 1.0))
-    lift = (a + 0.5) / n1 / ((b + 0.5) / n0)
-    some = np.flatnonzero((a + b >= MIN_DOCS) & (chi >= MIN_CHI) & ((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT)))
-    return np.array(sorted(some, key=lambda i: (-chi[i], words[i]))[:most], np.int64)
-
-
-def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibration: int = CALIBRATION, terms: int = TERMS) -> Model | float:
-    """A model with its calibrations, or a constant score where there are no two labels to learn from."""
-    rows, every = labelled_sample(docs, labels, examples + calibration, calibration / (examples + calibration))
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index | float:
+    """A calibrated index, or a constant score where there are no two labels to learn from."""
+    rows, every = labelled_sample(docs, labels, examples)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = [Counter(t for w in (text or "").lower().split() for t in terms_of(w)) for text in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("toxic"), b.column("aside"), b.column("h"), pa.array([list(x.keys()) for x in c], pa.list_(pa.string())), pa.array([list(x.values()) for x in c], pa.list_(pa.int32()))],
-                ["doc_id", "toxic", "aside", "h", "t", "n"],
-            )
-
-    got = rows.select("doc_id", "text", "toxic", "aside", F.xxhash64("text").alias("h")).mapInArrow(count, "doc_id long, toxic int, aside boolean, h long, t array<string>, n array<int>").toArrow()
-    ids, label, apart, h = (got[c].to_numpy() for c in ("doc_id", "toxic", "aside", "h"))
-    order = np.lexsort([ids, label])
-    sizes = {int(k): int(m) for k, m in zip(*np.unique(label[~apart], return_counts=True))}
+            terms = Terms()
+            c = list(terms.counts(b.column("text")))
+            names = list(terms.vocab)
+            t = pa.array([[names[i] for i in x] for x, _ in c], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), t, pa.array([n.tolist() for _, n in c], pa.list_(pa.int32()))], ["doc_id", "toxic", "t", "n"])
+
+    got = rows.select("doc_id", "text", "toxic").mapInArrow(count, "doc_id long, toxic int, t array<string>, n array<int>").toArrow().sort_by([("toxic", "ascending"), ("doc_id", "ascending")])
+    return fit(got["doc_id"].to_numpy(), got["toxic"].to_numpy(), (x.as_py() for x in got["t"]), (x.as_py() for x in got["n"]), every)
+
+
+def fit(ids: np.ndarray, label: np.ndarray, terms: Iterator[list[str]], counts: Iterator[list[int]], every: dict[int, int]) -> Index | float:
+    """As ``learn``, from examples and the number of all labelled rows of each label."""
+    sizes = {int(k): int(m) for k, m in zip(*np.unique(label, return_counts=True))}
     if len(sizes) < 2:
         return float(set(sizes) == {1})
-    size = pc.list_value_length(got["t"]).to_numpy().astype(np.int64)
-    first = np.concatenate([[0], np.cumsum(size)])
-    names = pa.chunked_array([c.flatten() for c in got["t"].chunks]).dictionary_encode().unify_dictionaries()
-    t, n = np.concatenate([c.indices.to_numpy() for c in names.chunks]), np.concatenate([c.flatten().to_numpy() for c in got["n"].chunks])
-    names = names.chunk(0).dictionary
-    del got  # the strings are most of it, and the driver is small
-    pa.default_memory_pool().release_unused()
-    known = order[~apart[order] & (size[order] > 0)]
-    if not len(known):
-        return sizes[1] / (sizes[1] + sizes[0])
-    at, owner = ranges(first[known], first[known + 1])
-    number = np.full(len(names), -1, np.int32)  # terms of examples only
-    used = np.unique(t[at])
-    number[used] = np.arange(len(used))
-    words = names.take(pa.array(used)).to_pylist()
-    once = np.zeros(len(known), bool)  # copies of a text count once in a label's document frequencies
-    once[np.unique(np.stack([h[known], label[known]]), axis=1, return_index=True)[1]] = True
+    prior = every[1] / (every[1] + every[0])
     share = {k: every[k] / m for k, m in sizes.items()}  # labelled rows that an example stands for
+    vocab: dict[str, int] = {}
+    some, vectors, seen = [], [], set()
+    for i, (names, n) in enumerate(zip(terms, counts)):
+        t, n = np.array([vocab.setdefault(x, len(vocab)) for x in names], np.int64), np.array(n, np.int64)
+        o = np.argsort(t)
+        key = (label[i], t[o].tobytes(), n[o].tobytes())
+        if len(t) and key not in seen:  # copies of a text with its label are one example
+            seen.add(key)
+            some.append(i)
+            vectors.append((t[o], n[o]))
+    if not some:
+        return prior
     scale = max(share.values())
-    all1, all0 = every[1], every[0]
-    def indexed(vocab: list[str], number: np.ndarray) -> Index:
-        """Of the examples with terms of the vocabulary, those alike in a label once."""
-        seen, some, at, size = set(), [], [], []
-        for i in known:
-            have = (first[i] + np.flatnonzero(number[t[first[i] : first[i + 1]]] >= 0)).astype(np.int32 if first[-1] < 1 << 31 else np.int64)
-            have = have[np.argsort(number[t[have]])]
-            key = (label[i], number[t[have]].tobytes(), n[have].tobytes())
-            if len(have) and key not in seen:
-                seen.add(key)
-                some.append(i)
-                at.append(have)
-                size.append(len(have))
-        at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        return Index.of({w: i for i, w in enumerate(vocab)}, np.array(size, np.int64), number[t[at]], n[at], ids[np.array(some, np.int64)], label[np.array(some, np.int64)], [share[k] / scale for k in label[np.array(some, np.int64)]], all1 / (all1 + all0))
-
-    tell = telling(words, number[t[at]][once[owner]], label[known][owner][once[owner]], sizes[1], sizes[0], terms)
-    del at, owner
-    place = np.full(len(number), -1, np.int32)
-    place[used[tell]] = np.arange(len(tell))
-    model = Model(indexed([words[i] for i in tell], place), indexed(words, number), {int(i): j for j, i in enumerate(tell)})
-    rest = np.flatnonzero(apart)
-    votes, index = [], []
-    for some in np.array_split(rest, -(-len(rest) // BATCH)) if len(rest) else []:
-        counts = [Counter({int(number[x]): int(y) for x, y in zip(t[first[i] : first[i + 1]], n[first[i] : first[i + 1]]) if number[x] >= 0}) for i in some]
-        for x, vote, _, _ in model.votes(counts):
-            votes.append(vote)
-            index.append(x is model.telling)
-    for x, mine in ((model.telling, np.array(index, bool)), (model.full, ~np.array(index, bool))):
-        if mine.any():
-            x.forget()
-            x.calibrate(np.array(votes)[mine], label[rest[mine]].astype(float), np.array([share[k] for k in label[rest[mine]]]))
-    return model
-
-
-def _shared(docs: DataFrame, index: Model | float) -> tuple[Broadcast | None, float | None]:
+    index = Index.build(vocab, vectors, ids[some], label[some], [share[int(k)] / scale for k in label[some]], prior)
+    votes = []
+    for i, (a, b) in enumerate(zip(index.first, index.first[1:])):
+        e, s = index.nearest(index.term[a:b], index.weight[a:b], NEIGHBOURS + 1)
+        others = e != i
+        votes.append(index.vote(e[others][:NEIGHBOURS], s[others][:NEIGHBOURS]))
+    index.calibrate(np.array(votes), index.toxic, index.vote_weight)
+    return index
+
+
+def _shared(docs: DataFrame, index: Index | float) -> tuple[Broadcast | None, float | None]:
     """An index as a broadcast, which a Python worker reads once for all its tasks; or a constant."""
     return (None, index) if isinstance(index, float) else (docs.sparkSession.sparkContext.broadcast(index), None)
 
 
-def score(docs: DataFrame, index: Model | float) -> DataFrame:
+def score(docs: DataFrame, index: Index | float) -> DataFrame:
     """(doc_id, score, evidence) of every row, from its text alone."""
     shared, index = _shared(docs, index)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
@@ -397,8 +325,7 @@ def score(docs: DataFrame, index: Model | float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(shared.value) if shared else None
         for b in batches:
-            texts = b.column(1).to_pylist()
-            got = s.scores(texts) if s else [(index, [])] * len(texts)
+            got = list(s.scores(b.column(1))) if s else [(index, [])] * len(b)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], kind)], ["doc_id", "score", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -419,8 +346,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(shared.value) if shared else None
         for b in batches:
-            texts = b.column(at).to_pylist()
-            scores = [x for x, _ in s.scores(texts)] if s else [index] * len(texts)
+            scores = [x for x, _ in s.scores(b.column(at))] if s else [index] * len(b)
             yield b.filter(pa.array([x < threshold for x in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

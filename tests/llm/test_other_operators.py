@@ -9,10 +9,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from atomweave.llm import nn_descent, toxicity, warc
+from atomweave.llm import nn_descent, toxicity, url_filter, warc
 from atomweave.llm.chat import rotate
 from atomweave.llm.common import fresh_path
 from atomweave.llm.nn_descent import nearest
@@ -101,61 +102,79 @@ def test_rotation_by_hand(spark):
     assert rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_block_max_index_is_exact():
-    r = random.Random(0)
-    counts = [Counter(r.choices(range(40), k=r.randint(1, 12))) for _ in range(500)]
-    x = toxicity.Index.build({str(i): i for i in range(40)}, counts, list(range(500)), [i % 2 for i in range(500)], [1.0] * 500, 0.5)
-    dense = np.zeros((500, 40))
-    for i, c in enumerate(counts):
-        t, w = toxicity.unit(c, x.idf)
-        dense[i, t] = w
-    for _ in range(100):
-        q = Counter(r.choices(range(40), k=r.randint(1, 6)))
-        t, w = toxicity.unit(q, x.idf)
+def _index(r, examples, terms, most, draw):
+    vectors = []
+    for _ in range(examples):
+        c = Counter(draw() for _ in range(r.randint(1, most)))
+        t = sorted(c)
+        vectors.append((np.array(t), np.array([c[i] for i in t])))
+    return toxicity.Index.build({str(i): i for i in range(terms)}, vectors, list(range(examples)), [int(i % 5 == 0) for i in range(examples)], [1.0] * examples, 0.2)
+
+
+@pytest.mark.parametrize("terms, most", [(40, 12), (400, 60)])
+def test_block_max_index_is_exact(terms, most):
+    r = random.Random(terms)
+    draw = lambda: min(int(r.expovariate(8 / terms)), terms - 1)
+    x = _index(r, 700, terms, most, draw)
+    assert x.blocks > 2 * toxicity.FIRST and 0 < len(x.common[1]) <= terms
+    dense = np.zeros((700, terms))
+    dense[np.repeat(np.arange(700), np.diff(x.first)), x.term] = x.weight
+    assert np.allclose((dense**2).sum(1), 1)
+    for _ in range(150):
+        c = Counter(draw() for _ in range(r.randint(0, 20)))
+        t = np.array(sorted(c), np.int64)
+        w = x.unit(t, np.array([c[i] for i in t])) if len(t) else np.zeros(0)
         s = dense[:, t] @ w
-        e, got = x.nearest(q, 7)
-        want = [i for i in np.lexsort((np.arange(500), -np.round(s, 12))) if s[i] > 1e-15][:7]
-        assert np.allclose(got, s[want])
+        e, got = x.nearest(t, w, 7)
+        want = [i for i in np.lexsort((np.arange(700), -s)) if s[i] > 1e-15][:7]
+        assert np.allclose(got, s[want]) and len(set(e.tolist())) == len(e)
+        assert np.allclose(s[e], got)
 
 
-def test_many_at_once_as_one_by_one():
-    r = random.Random(1)
-    counts = [Counter(min(int(r.expovariate(0.02)), 399) for _ in range(r.randint(1, 60))) for _ in range(700)]
-    x = toxicity.Index.build({str(i): i for i in range(400)}, counts, list(range(700)), [i % 2 for i in range(700)], [1.0] * 700, 0.5)
-    asks = [Counter(min(int(r.expovariate(0.02)), 399) for _ in range(r.randint(0, 40))) for _ in range(90)]
-    assert 0 < len(x.common[1]) < 400
-    for q, (e, s) in zip(asks, x.nearest_many(asks)):
-        want, sims = x.nearest(q)
-        assert np.allclose(s, sims) and (len(set(np.round(sims, 9))) < len(sims) or e.tolist() == want.tolist())
+def test_terms_by_columns_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE", 40)
+    monkeypatch.setattr(toxicity, "MEMO_WORDS", 5)
+    texts = ["Calm tree-house calm", None, "", " 12 ", "ÉTÉ été_x a1b", "z " * 50]
+    terms = toxicity.Terms()
+    got = list(terms.counts(pa.array(texts)))
+    names = list(terms.vocab)
+    assert [{names[i]: int(k) for i, k in zip(t, n)} for t, n in got] == [{"calm": 2, "tree": 1, "house": 1}, {}, {}, {}, {"été": 2, "x": 1, "a": 1, "b": 1}, {"z": 50}]
+    assert [t.tolist() for t, _ in toxicity.Terms({"calm": 0}).counts(pa.array(texts[:2]))] == [[0], []]
 
 
 def test_toxicity_keeps_every_term_of_every_example(spark):
     rows = [(i, f"calm tree w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" + (" vile scum" if i % 4 == 0 else ""), "en", "s", 1) for i in range(100)] + [(500, "onlyhere", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(100)] + [(500, 1, 1)], "doc_id long, quality int, toxic int")
-    model = toxicity.learn(docs, labels)
-    index = model.full
+    index = toxicity.learn(docs, labels)
     taken = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
     assert any(r[0] == 500 for r in taken)
-    assert set(index.vocab) == {t for r in taken for w in r[1].split() for t in toxicity.terms_of(w)}
+    assert set(index.vocab) == {t for r in taken for t in r[1].split()}
     assert set(index.ids.tolist()) == {r[0] for r in taken}
-    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    got = {r["doc_id"]: r for r in toxicity.score(docs, index).collect()}
     assert got[500]["evidence"][0]["doc_id"] == 500 and abs(got[500]["evidence"][0]["similarity"] - 1) < 1e-9
 
 
 def test_toxicity_learns_and_takes_odd_rows(spark, odd_docs, no_docs):
     r = random.Random(5)
     text = lambda bad: " ".join(r.choice(["calm", "tree", "river", "stone"]) for _ in range(20)) + (" vile scum" if bad else "")
-    rows = [(i, text(i % 4 == 0), "en", "s", 1) for i in range(400)] + [(900, None, "en", "s", 1), (901, "", "en", "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)] + [(5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    got = {x["doc_id"]: x for x in toxicity.classify(docs, labels).collect()}
+    rows = [(i, text(i % 4 == 0), "en", "s", 1) for i in range(400)] + [(900, None, "en", "s", 1), (901, "", "en", "s", 1), (902, "word " * 30_000 + "scum", "en", "s", 1), (7, "calm", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("toxic", F.lit("x")).withColumn("score", F.lit(9))
+    # conflicting and repeated rows of a label: toxic if any is
+    marks = [(i, 1, int(i % 4 == 0)) for i in range(400)] + [(8, 1, 0), (8, 1, 0), (5, 1, None), (None, 1, 1), (77_777, 1, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {}
+    for x in toxicity.classify(docs, labels).collect():
+        got.setdefault(x["doc_id"], x)
     assert all(got[i]["predicted"] == int(i % 4 == 0) for i in range(400))
     assert got[900]["score"] == got[901]["score"] < 0.5 and got[0]["evidence"][0]["toxic"] == 1
     assert got[7]["held_out"] == (zlib.crc32(b"7") % 5 == 0)
-    assert {x["doc_id"] for x in toxicity.keep_clean(docs, labels).collect()} == {i for i in got if not (i < 400 and i % 4 == 0)}
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns
+    assert {x["doc_id"] for x in kept.collect()} == {i for i in got if not got[i]["predicted"]} >= {900, 901, 7}
     assert {x["score"] for x in toxicity.classify(odd_docs, labels.limit(0)).collect()} == {0.0}
-    assert toxicity.classify(no_docs, labels).count() == 0
+    assert {x["score"] for x in toxicity.classify(docs, labels.where("toxic = 1")).collect()} == {1.0}
+    assert toxicity.classify(no_docs, labels).count() == 0 and toxicity.keep_clean(no_docs, labels).count() == 0
 
 
 def test_url_rules_and_trees(spark):
@@ -179,6 +198,25 @@ def test_url_rules_and_trees(spark):
     assert {r["verdict"] for r in judge(df.where("url LIKE 'no%'")).collect()} == {"allow"}
 
 
+def test_tree_expression_equals_the_trained_model(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    r = random.Random(3)
+    rows = [(float(r.random() > 0.5), i, r.random(), float(r.randint(0, 9)), r.gauss(0, 1)) for i in range(400)]
+    rows = [(float(a + c / 9 > 1.1 or abs(b) > 1.5), i, a, c, b) for _, i, a, c, b in rows]
+    df = spark.createDataFrame(rows, "label double, h long, a double, c double, b double").repartition(1).sortWithinPartitions("h").cache()
+    names = ["a", "c", "b"]
+    sql = url_filter.train(df, names)
+    flat = VectorAssembler(inputCols=names, outputCol="features").transform(df)
+    model = GBTClassifier(maxIter=url_filter.TREES, maxDepth=url_filter.DEPTH, stepSize=url_filter.STEP, maxBins=32, seed=7).fit(flat.select("features", "label"))
+    both = model.transform(flat).select("label", F.expr(sql).alias("s"), vector_to_array("rawPrediction")[1].alias("raw")).collect()
+    assert sum((x["s"] > 0) == (x["label"] > 0) for x in both) >= 390
+    assert sum((x["s"] > 0) == (x["raw"] > 0) for x in both) >= 396  # rows lie in other partitions, so splits may differ by a bin
+    assert url_filter.train(df.where("label = 1"), names) == "1.0D" and url_filter.train(df.limit(0), names) == "-1.0D"
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
@@ -194,3 +232,18 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {i for i in range(200) if i % 4}
+
+
+def test_pipeline_takes_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id long, score double"
+    marks = spark.createDataFrame([(1, 1, 0), (2, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    long = "plain words of a text " * 8_000
+    rows = [(None, "a text without an id of its own", "en", None, 1, 5, 0.5), (1, long, "en", "s", 1, 5, 0.5), (2, long + "end", "en", "s", 1, 5, None), (2, long + "end", "en", "s", 1, 5, None), (3, None, None, None, None, None, None), (4, "", "en", "s", 0, 1, 1.0)]
+    for name, some in (("odd", rows), ("empty", [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).write.parquet(f"{d}/documents.parquet")
+        (marks if some else marks.limit(0)).write.parquet(f"{d}/labels.parquet")
+        got = corpus_pipeline.run(spark, d)
+        assert {r["doc_id"] for r in got.collect()} == ({None, 1} if some else set())
