@@ -362,6 +362,16 @@ def dealt(rows: DataFrame, key: list[str], name: str) -> DataFrame:
     return out.withColumn(name, F.coalesce(name, F.lit(1))).drop("_salt")
 
 
+def salted(entries: DataFrame) -> DataFrame:
+    """Entries (list, width, rid ...) with a salt, other than 0 only in lists that are wider than a block."""
+    return entries.withColumn("salt", F.when(F.col("width") > BLOCK, F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(SALTS))).otherwise(0).cast("int"))
+
+
+def for_salts(lists: DataFrame) -> DataFrame:
+    """Rows (list, width ...) once for each salt of their list."""
+    return lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("width") > BLOCK, SALTS - 1).otherwise(0))))
+
+
 def part(seed: int, parts: str) -> F.Column:
     return F.pmod(F.xxhash64("rid", F.lit(seed)), F.col(parts)).cast("int")
 
@@ -374,12 +384,13 @@ def similar_components(docs: DataFrame, threshold: Threshold = Threshold(90), wi
     per_token = 2.5 * (threshold.den - threshold.num) / threshold.den
     ranges = max(1, math.ceil(total * per_token / RANGE_SEGMENTS))
     lists = materialise(segment_lists(docs, threshold, width, ranges), "segment-lists")
-    entries = lists.select("list", F.explode("docs").alias("doc_id")).distinct()
+    entries = lists.select("list", F.size("docs").alias("width"), F.explode("docs").alias("doc_id")).distinct()
     # by class; a segment that only copies share says nothing
     who = entries.select("doc_id").distinct().join(rows.select("doc_id", "s1", "s2"), "doc_id").join(classes, ["s1", "s2"]).select("doc_id", "rid", "s1", "n").distinct()
-    named = entries.join(who, "doc_id").select("list", "rid", "s1", "n").distinct()
-    several = named.groupBy("list").agg(F.min("rid").alias("lead"), F.max("rid").alias("last")).where("lead < last").select("list", "lead")
-    shared = materialise(named.join(several, "list"), "shared-segments")
+    named = entries.join(who, "doc_id").select("list", "width", "rid", "s1", "n").distinct()
+    several = named.groupBy("list", "width").agg(F.min("rid").alias("lead"), F.max("rid").alias("last")).where("lead < last").select("list", "width", "lead")
+    key = ["list", "width", "salt"]
+    shared = materialise(salted(named).join(for_salts(several), key).drop("salt"), "shared-segments")
     discard(lists)
 
     member = shared.groupBy("rid", "s1").agg(F.min("lead").alias("gid"), F.first("n").alias("n"))
@@ -402,15 +413,15 @@ def similar_components(docs: DataFrame, threshold: Threshold = Threshold(90), wi
 
     stored, matrix = matrix, matrix.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     place = matrix.select("rid", "s1", "n", "gid", "level", "block", "component")
-    placed = shared.select("list", "rid", "s1").join(place, ["rid", "s1"])
-    mixed = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("list")
-    placed = materialise(placed.join(mixed, "list"), "mixed-segments")
+    placed = salted(shared.select("list", "width", "rid", "s1").join(place, ["rid", "s1"]))
+    mixed = placed.groupBy("list", "width").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("list", "width")
+    placed = materialise(placed.join(for_salts(mixed), key), "mixed-segments")
     block = ["gid", "level", "block"]
-    targets = placed.groupBy("list", *block).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"))
+    targets = placed.groupBy("list", "width", *block).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"))
     p, q = threshold.num, threshold.den
     pairs = (
-        placed.select("list", "rid", "s1", "n", F.col("component").alias("own"))
-        .join(targets, "list")
+        placed.select(*key, "rid", "s1", "n", F.col("component").alias("own"))
+        .join(for_salts(targets), key)
         .where(f"(x < y OR own <> x) AND n * {p} <= most * {q} AND least * {p} <= n * {q}")  # the block holds another component
         .select("rid", "s1", *block)
         .distinct()
