@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"  # the model's white-space mark
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 PAIR_MEMO = 400_000
 #: Words longer than this are encoded without being remembered.
 MEMO_LENGTH = 64
@@ -72,9 +72,9 @@ class Encoder:
         self.decimal = {p: str(i) for p, i in self.ids.items()}
         self.piece_surface = {p: self.surface[i] for p, i in self.ids.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, str] = {}
-        self.older: dict[str, str] = {}
-        self.odd: dict[str, str] = {}  # words that don't decode to themselves
+        #: Of words with their marks: decimal ids, how many, and what these ids decode to.
+        self.memo: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def _merge(self, text: str) -> list[str]:
         """Plain repeated merging of a short text: best score first, leftmost among equals."""
@@ -173,19 +173,19 @@ class Encoder:
         """The text of ids; the dummy space before it goes."""
         return self._surface(ids).removeprefix(" ")
 
-    def word(self, w: str) -> str:
-        """Decimal ids of a word with its mark; remembered, the least used half of the memo goes when it is full."""
+    def word(self, w: str) -> tuple[str, int, str]:
+        """Decimal ids of a word with its mark, their number, and the text that they decode to.
+
+        Remembered; the words not used of late go when the memo is full. No character's bytes are in two words, so words decode one by one.
+        """
         got = self.older.get(w)
         if got is None:
             pieces = self.pieces(w)
             try:
-                got = " ".join([self.decimal[p] for p in pieces])
-                back = "".join([self.piece_surface[p] for p in pieces])
+                got = " ".join([self.decimal[p] for p in pieces]), len(pieces), "".join([self.piece_surface[p] for p in pieces])
             except KeyError:  # characters without a piece
                 ids = self.encode_marked(w)
-                got, back = " ".join(map(str, ids)), self._surface(ids)
-            if back != w.replace(MARK, " "):
-                self.odd[w] = back
+                got = " ".join(map(str, ids)), len(ids), self._surface(ids)
         if len(w) <= MEMO_LENGTH:
             if len(self.memo) >= MEMO_WORDS:
                 self.older, self.memo = self.memo, {}
@@ -193,7 +193,7 @@ class Encoder:
         return got
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the decimal ids and of the decoded text."""
+        """Number of ids, SHA-256 of the decimal ids and of the text that they decode to."""
         end = str(self.eos)
         if not text:
             return 1, hashlib.sha256(end.encode()).hexdigest(), hashlib.sha256(b"").hexdigest()
@@ -202,12 +202,9 @@ class Encoder:
             got = list(map(self.memo.__getitem__, words))
         except KeyError:
             got = [self.memo.get(w) or self.word(w) for w in words]
-        ids = " ".join([*got, end])
-        if self.odd:
-            back = "".join([self.odd.get(w) or w.replace(MARK, " ") for w in words])
-        else:
-            back = "".join(words).replace(MARK, " ")  # what the ids of each of these words give back
-        return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.removeprefix(" ").encode()).hexdigest()
+        ids, sizes, back = zip(*got)
+        ids_sha = hashlib.sha256(" ".join([*ids, end]).encode()).hexdigest()
+        return sum(sizes) + 1, ids_sha, hashlib.sha256("".join(back).removeprefix(" ").encode()).hexdigest()
 
 
 _ENCODERS: dict[str, Encoder] = {}
