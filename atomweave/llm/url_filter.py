@@ -16,9 +16,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atomweave.llm.common import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Expected size of the training sample at most.
 TRAIN_ROWS = 100_000
+#: Partitions of the training sample.
+TRAIN_PARTS = 8
 SUFFIX_BUCKETS = 4096
 #: Weight of the overall rate in a suffix's rate, in rows.
 PRIOR_ROWS = 20.0
@@ -121,6 +125,7 @@ def train(labelled: DataFrame, names: list[str], train_rows: int = TRAIN_ROWS) -
 
     share = min(1.0, train_rows / sum(counts.values()))
     sample = labelled if share == 1.0 else labelled.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = materialise(sample.select("label", *names).repartition(TRAIN_PARTS), "url-sample")  # boosting reads it again and again
     data = VectorAssembler(inputCols=names, outputCol="features").transform(sample).select("features", "label")
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=32, seed=7).fit(data)
     trees = [_tree_sql(t._call_java("rootNode"), names) for t in model.trees]
