@@ -15,14 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder in the warehouse, which a cluster shares too; with a local master a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="atomweave-")
+        if spark.sparkContext.master.split("[")[0] == "local":
+            base = tempfile.mkdtemp(prefix="atomweave-")
+        else:
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/atomweave-work"
         spark.sparkContext.setCheckpointDir(base)
-    return base if "://" in base else f"file://{base}"
+    return base if ":/" in base else f"file://{base}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -252,3 +252,73 @@ def test_bitmap_never_misses_a_key(spark):
     got = maybe_among(rows, "id", spark.range(0, 2000, 50).withColumnRenamed("id", "k")).where("maybe").select("id").toPandas()["id"]
     assert set(range(0, 2000, 50)) <= set(got) and len(got) < 60
     assert maybe_among(rows, "id", spark.range(0).withColumnRenamed("id", "k")).where("maybe").count() == 0
+
+
+def slow_grams(text):
+    """1- to 3-grams of letters by words padded with a space; None without letters."""
+    out, any_letter = defaultdict(int), False
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    for w in words:
+        any_letter = True
+        p = f" {w} "
+        for i in range(len(p)):
+            if p[i] != " ":
+                out[p[i]] += 1
+            if i + 1 < len(p):
+                out[p[i : i + 2]] += 1
+            if i + 2 < len(p):
+                out[p[i : i + 3]] += 1
+    return out if any_letter else None
+
+
+def code(gram):
+    n = 0
+    for c in gram:
+        n = n << 21 | ord(c)
+    return n
+
+
+def slow_top(counts, k):
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:k]
+
+
+def test_languages_equal_a_brute_force_of_the_out_of_place_distance(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    total = defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None:
+            for g, n in (slow_grams(r["text"]) or {}).items():
+                total[r["lang"]][g] += n
+    k = 300
+    profiles = {lang: {g: i for i, g in enumerate(slow_top(c, k))} for lang, c in sorted(total.items())}
+    want = {}
+    for r in rows:
+        counts = slow_grams(r["text"] or "")
+        if counts is None:
+            want[r["doc_id"]] = ("und", 0.0)
+            continue
+        top = slow_top(counts, k)
+        far = {lang: sum(abs(p[g] - i) if g in p else k for i, g in enumerate(top)) for lang, p in profiles.items()}
+        best = min(far, key=far.get)
+        want[r["doc_id"]] = (best, 1 - far[best] / (k * len(top)))
+    got = {r["doc_id"]: r for r in identify(docs).collect()}
+    assert set(got) == set(want)
+    for d, (lang, score) in want.items():
+        assert got[d]["lang_pred"] == lang and abs(got[d]["score"] - score) < 1e-12 and got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2)
+
+
+def test_likeness_on_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in fp.fingerprints(docs).collect()}
+    same = 0
+    for (d, t), (_, s) in zip(rows, rows[1:] + rows[:1]):
+        k = len(t) // 2
+        e = t[: len(t) - k] + s[:k]
+        own, edited, after = fp.Fingerprint(t), fp.Fingerprint(e), fp.Fingerprint(s)
+        r = got[d]
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), hashlib.sha256(e.encode()).hexdigest(), str(own), str(edited))
+        assert abs(r["near_edited"] - own.likeness(edited)) < 1e-12 and abs(r["near_next"] - own.likeness(after)) < 1e-12
+        same += r["near_edited"] > r["near_next"]
+    assert same > 0.9 * len(rows)
