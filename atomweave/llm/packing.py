@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from atomweave.llm.common import materialise
 
 #: Words that a worker remembers, about; those of the slice at hand stay.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 250_000
 MARKS = ".,;:!?"
 #: A word of letters with one mark after them at most.
 LETTERS = r"^\p{L}+[.,;:!?]?$"
 #: Bytes of text whose words are told apart at once; a longer text is taken alone.
-SLICE = 16 << 20
+SLICE = 4 << 20
 #: Pieces that one task packs; more pieces make more shards.
 SHARD_PIECES = 20_000
 

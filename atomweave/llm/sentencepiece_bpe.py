@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"  # the model's white-space mark
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 PAIR_MEMO = 400_000
 #: Words longer than this are encoded without being remembered.
 MEMO_LENGTH = 64

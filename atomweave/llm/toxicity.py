@@ -48,9 +48,9 @@ FLOOR = 1e-3
 COMMON, DENSE = 64, 1 << 24
 #: More than single precision can be wrong by in a cosine.
 MARGIN = 1e-4
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000
 #: Bytes of text whose words are told apart at once; a longer text is taken alone.
-SLICE = 8 << 20
+SLICE = 4 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
 
