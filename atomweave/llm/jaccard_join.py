@@ -7,12 +7,13 @@ from the union: each missing bit is a token that no class in the block has, so f
 In an opened block each row is held against the query's in the same way: cells that differ number no more than the tokens that
 differ. Only for pairs that pass both bounds are texts brought together, and the threshold is tested on whole sets, in integers.
 
-Which queries meet which groups is decided without loss by segments: a set's tokens are dealt by hash to k segments,
-where k - 1 is the largest symmetric difference that a linked pair of these sizes can have, so linked sets agree in at
-least one whole segment. Sizes fall into classes of ratio t; a set is dealt once for its own class and once for the class
-below, where its smaller partners are. A segment that is empty is only kept where a linked pair may agree in nothing else.
-Segments hold many tokens each, so frequent words, lines and passages alone bring few documents together; those that they do
-bring together are told apart by the bounds.
+Which queries meet which groups is decided without loss by segments: a set's tokens are dealt by hash to d + r segments,
+where d is the largest symmetric difference that a linked pair of these sizes can have and r grows with it, so linked sets agree in r
+whole segments or more. Sizes fall into classes of ratio t; a set is dealt once for its own class and once for the class
+below, where its smaller partners are. Empty segments are only kept where a linked pair may agree in nothing else, and lower what
+is asked of a set otherwise. A class that has fewer segments in common with all others together than linked ones must have leaves at once, and
+a query meets a block only if as many of its segments are in the block's union. So frequent words, lines and passages alone bring few
+documents together.
 
 Two rounds bound the work in large groups of near copies. First every class queries one block of its own group. The
 links found make components; second, only classes that share a segment across different components are compared, each against
@@ -74,43 +75,55 @@ class Threshold:
         return max((n + b) - 2 * -(-self.num * (n + b) // (self.num + self.den)) for b in range(max(n, most - 6), most + 1))
 
 
+#: One more segment must be alike for as many tokens that may differ.
+SPARE = 8
 SEGMENT_SEED = np.uint64(0x5851F42D4C957F2D)
-_LEVELS: dict[tuple[Threshold, int], int] = {}
+_LEVELS: dict[tuple[Threshold, int], tuple[int, int]] = {}
 
 
-def _segments_of(t: Threshold, c: int) -> int:
-    """Segments for pairs whose smaller set is of class c."""
+def _segments_of(t: Threshold, c: int) -> tuple[int, int]:
+    """For pairs whose smaller set is of class c: how many segments, and how many of them are alike at least."""
     if (t, c) not in _LEVELS:
         low, top = t.top(c - 1) + 1 if c else 1, t.top(c)
         sizes = range(max(low, top - 64), top + 1)  # the bound grows with n but for rounding
-        _LEVELS[t, c] = max((t.differences(n) for n in sizes), default=0) + 1
+        most = max((t.differences(n) for n in sizes), default=0)
+        _LEVELS[t, c] = most + 1 + most // SPARE, 1 + most // SPARE
     return _LEVELS[t, c]
 
 
+def _levels(n: int, t: Threshold) -> list[int]:
+    """A set's own class and the class below, if a partner may be there."""
+    c = t.size_class(n)
+    return [x for x in ((c, c - 1) if c else (c,)) if t.top(x) >= 1 and not (x < c and n > t.top(x) * t.den // t.num)]
+
+
+def _dealt_tokens(tokens: np.ndarray, k: int) -> np.ndarray:
+    return (mix(tokens ^ SEGMENT_SEED) % np.uint64(k)).astype(np.int64)
+
+
+def needs_of(tokens: np.ndarray, t: Threshold) -> tuple[int, int, int]:
+    """A set's class, and how many segments it has in common with a linked set at least, at its class and below (0: none is there)."""
+    levels, c = _levels(len(tokens), t), t.size_class(len(tokens))
+    out = {}
+    for level in levels:
+        k, alike = _segments_of(t, level)
+        out[level] = max(1, alike - (k - len(np.unique(_dealt_tokens(tokens, k)))))
+    return c, out.get(c, 0), out.get(c - 1, 0)
+
+
 def segment_signatures(tokens: np.ndarray, t: Threshold) -> np.ndarray:
-    """Hashes (level, segment, tokens in it) of a set, for its class and the class below."""
-    n = len(tokens)
-    if not n:
-        return np.zeros(0, np.uint64)
-    c, out = t.size_class(n), []
-    spread = mix(tokens ^ SEGMENT_SEED)
-    for level in (c, c - 1) if c else (c,):
-        if t.top(level) < 1 or (level < c and n > t.top(level) * t.den // t.num):
-            continue
-        k = _segments_of(t, level)
-        seg = (spread % np.uint64(k)).astype(np.int64)
+    """Hashes (level, segment, tokens in it) of a set, for its class and the class below; the low byte is the level's."""
+    out = [np.zeros(0, np.uint64)]
+    for level in _levels(len(tokens), t) if len(tokens) else ():
+        k, alike = _segments_of(t, level)
+        seg = _dealt_tokens(tokens, k)
         total = np.zeros(k, np.uint64)
         np.add.at(total, seg, mix(tokens + np.uint64(0x632BE59BD9B4E019)))
         empty = np.bincount(seg, minlength=k) == 0
-        # identical segments number k - difference at least; only if a set has as many empty ones can all be empty
-        worst = t.differences(n) if level == c else t.differences(max(1, min(t.top(level), n)))
-        if np.count_nonzero(empty) < k - worst:
-            keep = ~empty
-        else:
-            keep = np.ones(k, bool)
+        keep = ~empty if np.count_nonzero(empty) < alike else np.ones(k, bool)  # else all that are alike can be empty
         tag = np.arange(k, dtype=np.uint64) + np.uint64(level << 40)
-        out.append(mix(mix(tag) ^ total)[keep])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        out.append((mix(mix(tag) ^ total)[keep] & ~np.uint64(0xFF)) | np.uint64(level & 0xFF))
+    return np.concatenate(out)
 
 
 def set_hashes(x: np.ndarray) -> tuple[int, int]:
@@ -134,16 +147,19 @@ def bits_of(x: np.ndarray) -> bytes:
     return np.packbits(cells, bitorder="little").tobytes()
 
 
-def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, bits) of every row: set size, two hashes of the set, its row of the matrix."""
+SETS = ["doc_id", "n_shingles", "s1", "s2", "size_class", "need", "need_below", "bits"]
+
+
+def sets_of(docs: DataFrame, t: Threshold, width: int) -> DataFrame:
+    """(doc_id, n_shingles, s1, s2, size_class, need, need_below, bits) of every row: set size, two hashes of the set, see ``needs_of``, its row of the matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(len(x), *set_hashes(x), bits_of(x) if len(x) else None) for x in shingle_sets(b.column(1), width)]
-            cols = list(zip(*got)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "bits"])
+            got = [(len(x), *set_hashes(x), *(needs_of(x, t) if len(x) else (0, 0, 0)), bits_of(x) if len(x) else None) for x in shingle_sets(b.column(1), width)]
+            cols = list(zip(*got)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], SETS)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bits binary")
+    return _texts(docs).mapInArrow(run, ", ".join(f"{c} long" for c in SETS[:-1]) + ", bits binary")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -156,7 +172,7 @@ def _from_planes(raw: bytes) -> np.ndarray:
 
 
 def segment_lists(docs: DataFrame, t: Threshold, width: int, ranges: int) -> DataFrame:
-    """(list, docs): the doc_ids that have a segment in common, for every segment of several; equal lists count once in a range.
+    """(list, low, times, docs): the doc_ids that have ``times`` segments in common; low is the low byte of the segments' level.
 
     Segment hashes go to ranges in sorted blocks, not as rows. A task passes on a set once, however many of
     its rows have it, so a range gets of a group of copies no more than one for each flush of a task.
@@ -214,15 +230,17 @@ def segment_lists(docs: DataFrame, t: Threshold, width: int, ranges: int) -> Dat
         sig, doc = sig[fresh], doc[fresh]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(first, append=len(sig))
-        name = mix(np.add.reduceat(mix(doc.view(np.uint64) + np.uint64(0x9FB21C651E98DF25)), first) + size.astype(np.uint64))
+        low = sig[first] & np.uint64(0xFF)
+        name = mix(mix(np.add.reduceat(mix(doc.view(np.uint64) + np.uint64(0x9FB21C651E98DF25)), first) + size.astype(np.uint64)) + low)
         first, size, name = first[size > 1], size[size > 1], name[size > 1]
-        name, at = np.unique(name, return_index=True)
+        name, at, times = np.unique(name, return_index=True, return_counts=True)
         first, size = first[at], size[at]
         upto = np.concatenate([[0], np.cumsum(size)])
         flat = doc[np.arange(upto[-1]) + np.repeat(first - upto[:-1], size)]
-        return pa.table({"list": pa.array(name.view(np.int64)), "docs": pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))})
+        low = (sig[first] & np.uint64(0xFF)).astype(np.int64)
+        return pa.table({"list": pa.array(name.view(np.int64)), "low": pa.array(low), "times": pa.array(times.astype(np.int64)), "docs": pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))})
 
-    return _texts(docs).mapInArrow(cut, "range int, sigs binary, docs binary").groupBy("range").applyInArrow(meet, "list long, docs array<long>")
+    return _texts(docs).mapInArrow(cut, "range int, sigs binary, docs binary").groupBy("range").applyInArrow(meet, "list long, low long, times long, docs array<long>")
 
 
 class _Union:
@@ -378,20 +396,29 @@ def part(seed: int, parts: str) -> F.Column:
 
 def similar_components(docs: DataFrame, threshold: Threshold = Threshold(90), width: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links."""
-    rows = materialise(sets_of(docs, width), "sets")
-    classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n")).where("rid IS NOT NULL")
+    rows = materialise(sets_of(docs, threshold, width), "sets")
+    needs = ["size_class", "need", "need_below"]
+    classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in needs)).where("rid IS NOT NULL")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     per_token = 2.5 * (threshold.den - threshold.num) / threshold.den
     ranges = max(1, math.ceil(total * per_token / RANGE_SEGMENTS))
     lists = materialise(segment_lists(docs, threshold, width, ranges), "segment-lists")
-    entries = lists.select("list", F.size("docs").alias("width"), F.explode("docs").alias("doc_id")).distinct()
+    # equal lists of all ranges are one
+    lists = lists.groupBy("list", "low").agg(F.sum("times").alias("times"), F.first("docs").alias("docs"))
+    entries = lists.select("list", "low", "times", F.size("docs").alias("width"), F.explode("docs").alias("doc_id"))
     # by class; a segment that only copies share says nothing
-    who = entries.select("doc_id").distinct().join(rows.select("doc_id", "s1", "s2"), "doc_id").join(classes, ["s1", "s2"]).select("doc_id", "rid", "s1", "n").distinct()
-    named = entries.join(who, "doc_id").select("list", "width", "rid", "s1", "n").distinct()
-    several = named.groupBy("list", "width").agg(F.min("rid").alias("lead"), F.max("rid").alias("last")).where("lead < last").select("list", "width", "lead")
+    who = entries.select("doc_id").distinct().join(rows.select("doc_id", "s1", "s2"), "doc_id").join(classes, ["s1", "s2"]).select("doc_id", "rid", "s1", "n", *needs).distinct()
+    need = F.when(F.col("low") == F.col("size_class") % 256, F.col("need")).otherwise(F.col("need_below")).alias("need")
+    named = entries.join(who, "doc_id").select("list", "low", "times", "width", "rid", "s1", "n", need).distinct()
     key = ["list", "width", "salt"]
-    shared = materialise(salted(named).join(for_salts(several), key).drop("salt"), "shared-segments")
-    discard(lists)
+    entries = materialise(named, "named-segments")
+    for _ in range(2):  # what can't be linked with anything leaves, and then what only met that
+        several = entries.groupBy("list", "width").agg(F.min("rid").alias("lead"), F.max("rid").alias("last")).where("lead < last").select("list", "width")
+        met = salted(entries).join(for_salts(several), key).drop("salt")
+        enough = met.groupBy("rid", "s1", "low").agg(F.sum("times").alias("all"), F.first("need").alias("least")).where("all >= least").select("rid", "s1", "low")
+        entries = materialise(met.join(enough, ["rid", "s1", "low"]), "met-segments")
+    several = entries.groupBy("list", "width").agg(F.min("rid").alias("lead"), F.max("rid").alias("last")).where("lead < last").select("list", "width", "lead")
+    shared = materialise(salted(entries).join(for_salts(several), key).drop("salt"), "shared-segments")
 
     member = shared.groupBy("rid", "s1").agg(F.min("lead").alias("gid"), F.first("n").alias("n"))
     bits = rows.select(F.col("doc_id").alias("rid"), "s1", "bits")
@@ -413,16 +440,19 @@ def similar_components(docs: DataFrame, threshold: Threshold = Threshold(90), wi
 
     stored, matrix = matrix, matrix.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     place = matrix.select("rid", "s1", "n", "gid", "level", "block", "component")
-    placed = salted(shared.select("list", "width", "rid", "s1").join(place, ["rid", "s1"]))
+    placed = salted(shared.select("list", "low", "times", "width", "rid", "s1", "need").join(place, ["rid", "s1"]))
     mixed = placed.groupBy("list", "width").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("list", "width")
     placed = materialise(placed.join(for_salts(mixed), key), "mixed-segments")
     block = ["gid", "level", "block"]
     targets = placed.groupBy("list", "width", *block).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"))
     p, q = threshold.num, threshold.den
     pairs = (
-        placed.select(*key, "rid", "s1", "n", F.col("component").alias("own"))
+        placed.select(*key, "low", "times", "need", "rid", "s1", "n", F.col("component").alias("own"))
         .join(for_salts(targets), key)
         .where(f"(x < y OR own <> x) AND n * {p} <= most * {q} AND least * {p} <= n * {q}")  # the block holds another component
+        .groupBy("rid", "s1", *block, "low")
+        .agg(F.sum("times").alias("alike"), F.first("need").alias("least"))
+        .where("alike >= least")
         .select("rid", "s1", *block)
         .distinct()
     )

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from atomweave.llm import fingerprint as fp
-from atomweave.llm.jaccard_join import Threshold, one_of_each, segment_signatures, similar_components
+from atomweave.llm.jaccard_join import Threshold, needs_of, one_of_each, segment_signatures, similar_components
 from atomweave.llm.language_id import identify, keep_identified
 from atomweave.llm.packing import Limits, default_tokenizer, pack_documents, pack_shard, tokenizer
 from atomweave.llm.sentencepiece_bpe import default_model, encode_digests, encode_documents, encoder
@@ -68,7 +68,11 @@ def test_linked_sets_share_a_segment(n, less, more, num, seed):
     both = len(np.intersect1d(x, y))
     if 100 * both >= num * (len(x) + len(y) - both):
         t = Threshold(num)
-        assert np.intersect1d(segment_signatures(x, t), segment_signatures(y, t)).size
+        alike = np.intersect1d(segment_signatures(x, t), segment_signatures(y, t))
+        assert alike.size
+        level = min(t.size_class(len(x)), t.size_class(len(y)))
+        for c, need, below in (needs_of(x, t), needs_of(y, t)):
+            assert 1 <= (need if c == level else below) <= np.count_nonzero((alike & np.uint64(0xFF)) == level)
 
 
 @settings(max_examples=200, deadline=None)
