@@ -81,6 +81,24 @@ def hilbert2(x: Column, y: Column, bits: int = 16) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda s: s["d"])
 
 
+def hilbert2_decode(code: Column, bits: int = 16) -> tuple[Column, Column]:
+    """The cell of a position, from the lowest bits up; the inverse of ``hilbert2``."""
+
+    def step(s: Column, i: Column) -> Column:
+        k = F.pow(F.lit(2), i).cast("long")
+        q = F.floor(code / (k * k)).cast("long")
+        rx = F.floor(q / 2).cast("long").bitwiseAND(F.lit(1).cast("long"))
+        ry = q.bitwiseXOR(rx).bitwiseAND(F.lit(1).cast("long"))
+        top = k - 1
+        fx, fy = F.when(rx == 1, top - s["x"]).otherwise(s["x"]), F.when(rx == 1, top - s["y"]).otherwise(s["y"])
+        nx, ny = F.when(ry == 0, fy).otherwise(s["x"]), F.when(ry == 0, fx).otherwise(s["y"])
+        return F.struct((nx + k * rx).alias("x"), (ny + k * ry).alias("y"))
+
+    zero = F.lit(0).cast("long")
+    cell = F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.struct(zero.alias("x"), zero.alias("y")), step)
+    return cell["x"], cell["y"]
+
+
 def segment_distance(px: Column, py: Column, ax: float, ay: float, bx: float, by: float) -> Column:
     """Distance of a point from a line segment."""
     dx, dy = bx - ax, by - ay

@@ -35,8 +35,13 @@ def both(name: str, sql: str) -> None:
 both("agg_mean_variance", "SELECT label, i, count(*) AS n, round(avg(x), 8) AS mean, round(coalesce(var_samp(x), 0), 8) AS variance, round(coalesce(stddev_samp(x), 0), 8) AS sd FROM ELEMENTS e GROUP BY label, i")
 both("agg_streaming_softmax", "SELECT label, i, round(m + ln(sum(exp(x - m))), 8) AS log_sum_exp, round(CAST(1 AS DOUBLE) / count(*), 8) AS avg_probability FROM (SELECT label, i, x, max(x) OVER (PARTITION BY label, i) AS m FROM ELEMENTS e) t GROUP BY label, i, m")
 both("agg_centroid", "SELECT label, i, round(avg(x), 8) AS c FROM ELEMENTS e GROUP BY label, i")
-both("agg_covariance", "SELECT a.label, a.i, b.i AS j, round(covar_samp(a.x, b.x), 8) AS cov FROM ELEMENTS a JOIN ELEMENTS b ON a.label = b.label AND a.vec_id = b.vec_id AND a.i <= b.i WHERE a.i < 6 AND b.i < 6 GROUP BY a.label, a.i, b.i")
-both("agg_rank_isolation", "SELECT label, vec_id, round(1 - avg(CAST(r AS DOUBLE)) / max(n), 6) AS score FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label, i ORDER BY x, vec_id) - 1 AS r, count(*) OVER (PARTITION BY label, i) AS n FROM ELEMENTS e WHERE i IN (0, 7, 21, 42)) t GROUP BY label, vec_id")
+# products are made row by row and summed where they are: no join of components
+R.sql(
+    "agg_covariance",
+    "SELECT label, i, j, round(covar_samp(x, y), 8) AS cov FROM (SELECT label, i, j, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM embeddings LATERAL VIEW posexplode(embedding) p AS i, x LATERAL VIEW posexplode(embedding) q AS j, y) e WHERE i <= j GROUP BY label, i, j",
+    f"SELECT a.label, a.i, b.i AS j, round(covar_samp(a.x, b.x), 8) AS cov FROM {ELEMENTS_D} a JOIN {ELEMENTS_D} b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.label, a.i, b.i",
+)
+both("agg_rank_isolation", "SELECT label, vec_id, round(1 - avg(CAST(r AS DOUBLE)) / max(n), 6) AS score FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label, i ORDER BY x, vec_id) - 1 AS r, count(*) OVER (PARTITION BY label, i) AS n FROM ELEMENTS e WHERE i IN (3, 9, 14, 20, 27, 33, 38, 45, 51, 60)) t GROUP BY label, vec_id")
 both(
     "agg_user_journey",
     """WITH s AS (SELECT user_id, ts, event_id, event_type, value, lag(ts) OVER w AS t0, lag(event_type) OVER w AS before_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
@@ -52,9 +57,13 @@ both(
     n >= 30 AND p = max(p) OVER () AS winner FROM w""",
 )
 ORACLES["agg_ab_test"] = ORACLES["agg_ab_test"].replace("1.9208D", "1.9208::DOUBLE").replace("1.96D", "1.96::DOUBLE").replace("0.9604D", "0.9604::DOUBLE").replace("3.8416D", "3.8416::DOUBLE")
-_CHURN = """WITH u AS (SELECT user_id, count(*) AS n, IDLE AS idle FROM events GROUP BY user_id), a AS (SELECT *, avg(n) OVER () AS m FROM u),
-    r AS (SELECT user_id, CAST(0.4 AS DOUBLE) * (1 - n / m) + CAST(0.4 AS DOUBLE) * least(CAST(1 AS DOUBLE), idle / CAST(30 AS DOUBLE)) AS risk FROM a)
-    SELECT user_id, round(risk, 6) AS risk, CASE WHEN risk >= 0.7 THEN 'high' WHEN risk >= 0.4 THEN 'medium' ELSE 'low' END AS bucket FROM r"""
+# 0.4 lack of engagement, 0.4 idleness, 0.2 distance from what engaged users do: mean cosine to them is the dot product with their mean unit vector
+_CHURN = """WITH u AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS n, IDLE AS idle, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS DOUBLE) AS a, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS DOUBLE) AS b,
+      CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS DOUBLE) AS c FROM events GROUP BY user_id),
+    m AS (SELECT avg(n) AS mean FROM u), v AS (SELECT *, coalesce(nullif(sqrt(a * a + b * b + c * c), 0), 1) AS len FROM u),
+    e AS (SELECT avg(a / len) AS a, avg(b / len) AS b, avg(c / len) AS c FROM v CROSS JOIN m WHERE n > mean),
+    r AS (SELECT user_id, CAST(0.4 AS DOUBLE) * (1 - n / mean) + CAST(0.4 AS DOUBLE) * least(CAST(1 AS DOUBLE), idle / CAST(30 AS DOUBLE)) + CAST(0.2 AS DOUBLE) * (1 - (v.a * e.a + v.b * e.b + v.c * e.c) / len) AS risk FROM v CROSS JOIN m CROSS JOIN e)
+    SELECT user_id, round(risk, 6) AS risk, CASE WHEN risk > 0.7 THEN 'high' WHEN risk > 0.4 THEN 'medium' ELSE 'low' END AS bucket FROM r"""
 R.sql("agg_churn", _CHURN.replace("IDLE", "datediff(DATE '2024-01-31', CAST(max(ts) AS DATE))"), _CHURN.replace("IDLE", "date_diff('day', CAST(max(ts) AS DATE), DATE '2024-01-31')"))
 both("agg_graph_path_summary", "SELECT label, count(*) AS nodes, count(DISTINCT vec_id) AS unique_nodes, round(max(x1) - min(x1), 6) AS width, round((max(x1) - min(x1)) * (max(x2) - min(x2)), 6) AS area FROM (SELECT label, vec_id, max(CASE WHEN i = 0 THEN x END) AS x1, max(CASE WHEN i = 1 THEN x END) AS x2 FROM ELEMENTS e WHERE i < 2 GROUP BY label, vec_id) t GROUP BY label")
 both("agg_path_diameter", "SELECT label, round(max(DIST), 6) AS diameter FROM (SELECT x.label, x.v AS a, y.v AS b FROM (SELECT label, vec_id, VEC AS v FROM embeddings) x JOIN (SELECT label, vec_id, VEC AS v FROM embeddings) y ON x.label = y.label AND x.vec_id < y.vec_id) p GROUP BY label")
@@ -67,7 +76,11 @@ both("agg_chain_coherence", "SELECT label, round(avg(c), 6) AS coherence, CAST(s
 both("agg_reflexion", "SELECT label, vec_id, round(sqrt(DIST), 6) AS divergence, round(COS, 6) AS alignment FROM (SELECT label, vec_id, VEC AS a, lag(VEC) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings) s WHERE b IS NOT NULL")
 both("agg_collaborative_filter", "WITH c AS (SELECT o_custkey AS u, count(DISTINCT l_partkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey) SELECT l_partkey AS item, CAST(sum(n) AS BIGINT) AS score FROM (SELECT DISTINCT o_custkey AS u, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) p JOIN c ON c.u = p.u GROUP BY l_partkey ORDER BY score DESC, item LIMIT 20")
 both("agg_content_profile", "SELECT label, i, round(sum(x * w) / sum(abs(w)), 8) AS profile, round(var_pop(x), 8) AS diversity FROM (SELECT label, i, x, CAST(vec_id % 5 - 2 AS DOUBLE) AS w FROM ELEMENTS e) t GROUP BY label, i HAVING sum(abs(w)) > 0")
-both("agg_tool_chain", "SELECT event_type AS tool, count(*) AS calls, round(avg(value), 6) AS mean_ms, round(max(value), 6) AS most_ms, avg(value) > 2 * avg(avg(value)) OVER () AS bottleneck FROM events GROUP BY event_type")
+# a tool's calls: in is props.k, out is value, an error is a failure; of the slow ones the five slowest are bottlenecks
+_TOOLS = """WITH t AS (SELECT event_type AS tool, count(*) AS calls, avg(CASE WHEN value > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS ok, avg(value) AS ms, max(value) AS most, avg(abs(value - KEY)) AS moved FROM events GROUP BY event_type),
+    m AS (SELECT avg(ms) AS mean FROM t)
+    SELECT tool, calls, round(ok, 6) AS success, round(ms, 6) AS mean_ms, round(most, 6) AS most_ms, round(moved, 6) AS transformation, ms > 2 * mean AND row_number() OVER (ORDER BY ms DESC, tool) <= 5 AS bottleneck FROM t CROSS JOIN m"""
+R.sql("agg_tool_chain", _TOOLS.replace("KEY", "CAST(get_json_object(props, '$.k') AS DOUBLE)"), _TOOLS.replace("KEY", "json_extract_string(props, '$.k')::DOUBLE"))
 both("agg_sequence_patterns", "SELECT label, count(*) AS motifs FROM (SELECT x.label, x.r, y.r AS r2, avg(COS) AS c FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, VEC AS a FROM embeddings) x JOIN (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, VEC AS b FROM embeddings) y ON x.label = y.label AND y.r >= x.r + 3 GROUP BY x.label, x.r, y.r) m WHERE c > 0.25 GROUP BY label")
 both("agg_ar_forecast", "SELECT label, i, round(sum(x * exp(-CAST(r AS DOUBLE))) / sum(exp(-CAST(r AS DOUBLE))), 8) AS forecast FROM (SELECT label, i, x, row_number() OVER (PARTITION BY label, i ORDER BY vec_id DESC) AS r FROM ELEMENTS e) t WHERE r <= 3 GROUP BY label, i")
 R.sql(
@@ -82,16 +95,16 @@ R.sql(
 )
 R.sql(
     "agg_rle_decode",
-    "SELECT user_id, event_type, k FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id < 500 GROUP BY user_id, event_type) r LATERAL VIEW explode(sequence(CAST(1 AS BIGINT), n)) e AS k",
-    "SELECT user_id, event_type, unnest(range(1, n + 1)) AS k FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id < 500 GROUP BY user_id, event_type) r",
+    "SELECT user_id, event_type, k FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) r LATERAL VIEW explode(sequence(CAST(1 AS BIGINT), n)) e AS k",
+    "SELECT user_id, event_type, unnest(range(1, n + 1)) AS k FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) r",
 )
 R.sql(
     "agg_tree_of_thought",
-    """WITH RECURSIVE s AS (SELECT vec_id AS step, (vec_id - 1) DIV 2 AS parent, 0.9D - (vec_id % 5) * 0.1D AS conf FROM embeddings WHERE vec_id < 63),
-    t(step, score, depth) AS (SELECT step, conf AS score, 0 AS depth FROM s WHERE step = 0 UNION ALL SELECT s.step, t.score * s.conf, t.depth + 1 FROM t JOIN s ON s.parent = t.step AND s.step > 0 WHERE t.depth < 10)
+    """WITH RECURSIVE s AS (SELECT vec_id AS step, (vec_id - 1) DIV 2 AS parent, 0.9D - (vec_id % 5) * 0.1D AS conf FROM embeddings),
+    t(step, score, depth) AS (SELECT step, conf AS score, 0 AS depth FROM s WHERE step = 0 UNION ALL SELECT s.step, t.score * s.conf, t.depth + 1 FROM t JOIN s ON s.parent = t.step AND s.step > 0 WHERE t.depth < 60)
     SELECT step, round(score, 8) AS score, depth FROM t""",
-    """WITH RECURSIVE s AS (SELECT vec_id AS step, (vec_id - 1) // 2 AS parent, 0.9::DOUBLE - (vec_id % 5) * 0.1::DOUBLE AS conf FROM embeddings WHERE vec_id < 63),
-    t(step, score, depth) AS (SELECT step, conf, 0 FROM s WHERE step = 0 UNION ALL SELECT s.step, t.score * s.conf, t.depth + 1 FROM t JOIN s ON s.parent = t.step AND s.step > 0 WHERE t.depth < 10)
+    """WITH RECURSIVE s AS (SELECT vec_id AS step, (vec_id - 1) // 2 AS parent, 0.9::DOUBLE - (vec_id % 5) * 0.1::DOUBLE AS conf FROM embeddings),
+    t(step, score, depth) AS (SELECT step, conf, 0 FROM s WHERE step = 0 UNION ALL SELECT s.step, t.score * s.conf, t.depth + 1 FROM t JOIN s ON s.parent = t.step AND s.step > 0 WHERE t.depth < 60)
     SELECT step, round(score, 8) AS score, depth FROM t""",
 )
-both("agg_research_novelty", "SELECT label, vec_id, round(1 - max(COS), 6) AS novelty FROM (SELECT x.label, x.vec_id, x.a, y.b FROM (SELECT label, vec_id, VEC AS a FROM embeddings WHERE vec_id < 200) x JOIN (SELECT label, vec_id, VEC AS b FROM embeddings WHERE vec_id < 200) y ON x.label = y.label AND y.vec_id < x.vec_id) p GROUP BY label, vec_id")
+both("agg_research_novelty", "SELECT label, vec_id, round(1 - max(COS), 6) AS novelty FROM (SELECT x.label, x.vec_id, x.a, y.b FROM (SELECT label, vec_id, VEC AS a FROM embeddings) x JOIN (SELECT label, vec_id, VEC AS b FROM embeddings) y ON x.label = y.label AND y.vec_id < x.vec_id) p GROUP BY label, vec_id")

@@ -15,7 +15,7 @@ R.sql(
     SELECT tenant, lines, CAST(subtotal AS DOUBLE) AS subtotal, CAST(rate AS DOUBLE) AS rate, round(CAST(subtotal AS DOUBLE) * (1 - CAST(rate AS DOUBLE)) * 1.08, 2) AS total FROM d""",
 )
 R.sql("usage_report_summary", f"SELECT usage_type, count(*) AS n, round(sum(qty), 2) AS qty, round(CAST(sum(cost) AS DOUBLE), 2) AS cost FROM {_LEDGER} x GROUP BY usage_type")
-R.sql("usage_report_detailed", f"SELECT tenant, usage_type, CAST(billed_at AS DATE) AS day, round(sum(qty), 2) AS qty FROM {_LEDGER} x WHERE tenant <= 20 GROUP BY tenant, usage_type, CAST(billed_at AS DATE)")
+R.sql("usage_report_detailed", f"SELECT tenant, usage_type, CAST(billed_at AS DATE) AS day, round(sum(qty), 2) AS qty FROM {_LEDGER} x GROUP BY tenant, usage_type, CAST(billed_at AS DATE)")
 R.sql(
     "usage_report_forecast",
     """WITH d AS (SELECT CAST(ts AS DATE) AS day, sum(value) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' AND ts < TIMESTAMP '2024-01-27 00:00:00' GROUP BY CAST(ts AS DATE))
@@ -70,8 +70,10 @@ R.sql("job_last_state", "SELECT user_id, max_by(event_type, struct(ts, event_id)
 R.sql(
     "complexity_and_sla",
     """WITH c AS (SELECT doc_id, least(10, 1 + CASE WHEN n_chars > 8000 THEN 4 WHEN n_chars > 4000 THEN 3 WHEN n_chars > 2000 THEN 2 WHEN n_chars > 1000 THEN 1 ELSE 0 END
-      + CASE WHEN lang <> 'en' THEN 2 ELSE 0 END) AS complexity FROM documents)
-    SELECT doc_id, CAST(complexity AS INT) AS complexity, CASE WHEN complexity <= 2 THEN 'realtime' WHEN complexity <= 5 THEN 'expedited' ELSE 'standard' END AS sla FROM c""",
+      + CASE WHEN lang <> 'en' THEN 2 ELSE 0 END) AS complexity, source FROM documents)
+    SELECT doc_id, CAST(complexity AS INT) AS complexity, CASE WHEN p = 'critical' OR p = 'high' AND complexity <= 3 THEN 'realtime' WHEN p = 'high' OR p = 'medium' AND complexity <= 5 THEN 'expedited' ELSE 'standard' END AS sla,
+      CAST(CASE WHEN doc_id % 2 = 0 THEN complexity * 5 ELSE 40 + complexity * 4 END AS INT) AS response_ms
+    FROM (SELECT *, CASE source WHEN 'src0' THEN 'critical' WHEN 'src1' THEN 'high' WHEN 'src2' THEN 'medium' ELSE 'low' END AS p FROM c) q""",
 )
 R.sql("select_models_weighted", "SELECT s_suppkey, round(s_acctbal / sum(s_acctbal) OVER (), 8) AS weight FROM supplier WHERE s_acctbal > 0 AND s_nationkey IN (1, 2, 3)")
 R.sql("model_capabilities", "SELECT event_id, CAST(coalesce(get_json_object(props, '$.k'), '0') AS BIGINT) AS k, coalesce(get_json_object(props, '$.missing'), 'none') AS m FROM events", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '0')::BIGINT AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS m FROM events")

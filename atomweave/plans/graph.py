@@ -41,13 +41,8 @@ R.sql(
       SELECT 'n3' AS node, 0 AS depth UNION ALL SELECT e.dst, d.depth + 1 FROM d JOIN e ON e.src = d.node WHERE d.depth < 100)
     SELECT node, depth, count(*) OVER () AS total FROM d WHERE depth > 0""",
 )
-R.sql(
-    "session_paths",
-    """WITH RECURSIVE s(conv_id, turn, depth) AS (
-      SELECT conv_id, turn, 0 AS depth FROM conversations WHERE turn = 0 UNION ALL
-      SELECT c.conv_id, c.turn, s.depth + 1 FROM s JOIN conversations c ON c.conv_id = s.conv_id AND c.turn = s.turn + 1 WHERE s.depth < 20)
-    SELECT conv_id, max(depth) AS length FROM s GROUP BY conv_id""",
-)
+# turns 0, 1, 2 ... without a gap: a turn belongs to the path while it equals the number of turns before it
+R.sql("session_paths", "SELECT conv_id, max(turn) AS length FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM (SELECT DISTINCT conv_id, turn FROM conversations) d) s WHERE turn = n GROUP BY conv_id")
 R.sql(
     "link_provenance_idempotent",
     """WITH old AS (SELECT DISTINCT conv_id AS a, turn AS b FROM conversations WHERE turn < 3), fresh AS (SELECT DISTINCT conv_id AS a, turn AS b FROM conversations WHERE turn BETWEEN 2 AND 4)
@@ -55,12 +50,12 @@ R.sql(
 )
 R.sql(
     "export_provenance_json",
-    "SELECT conv_id, to_json(sort_array(collect_list(struct(turn, role)))) AS doc FROM conversations WHERE conv_id < 20 GROUP BY conv_id",
-    """SELECT conv_id, '[' || string_agg('{"turn":' || turn || ',"role":"' || role || '"}', ',' ORDER BY turn, role) || ']' AS doc FROM conversations WHERE conv_id < 20 GROUP BY conv_id""",
+    "SELECT conv_id, to_json(sort_array(collect_list(struct(turn, role)))) AS doc FROM conversations GROUP BY conv_id",
+    """SELECT conv_id, '[' || string_agg('{"turn":' || turn || ',"role":"' || role || '"}', ',' ORDER BY turn, role) || ']' AS doc FROM conversations GROUP BY conv_id""",
 )
 R.sql(
     "export_graphml",
-    f"SELECT concat('<edge source=\"', src, '\" target=\"', dst, '\"/>') AS line FROM ({_EDGES}) e WHERE src LIKE 'r%'",
+    f"SELECT concat('<edge source=\"', src, '\" target=\"', dst, '\"/>') AS line FROM ({_EDGES}) e",
 )
 R.sql(
     "influencing_weighted",
@@ -79,18 +74,15 @@ def _graph(spark, sf_dir) -> DataFrame:
     return one.union(n.select("a", ((3 * F.col("a") + 2) % 25).alias("b"), (2.0 + F.col("a") % 5).alias("w")))
 
 
-def shortest_paths(edges: DataFrame, start: int, rounds: int = 50) -> DataFrame:
-    """(node, cost) from one node by rounds of relaxation: a join and a minimum each, until nothing changes."""
-    best = edges.sparkSession.range(1).select(F.lit(start).cast("int").alias("node"), F.lit(0.0).alias("cost"))
-    total = None
+def shortest_paths(edges: DataFrame, start: int, rounds: int = 1000) -> DataFrame:
+    """(node, cost) from one node. A round relaxes the edges of the nodes whose cost changed, until none does."""
+    best = edges.sparkSession.range(1).select(F.lit(start).cast("int").alias("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")).checkpoint()
     for _ in range(rounds):
-        step = best.join(edges, best.node == edges.a).select(F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
-        best = best.union(step).groupBy("node").agg(F.min("cost").alias("cost")).checkpoint()
-        now = best.agg(F.count("*"), F.sum("cost")).first()
-        if now == total:
-            break
-        total = now
-    return best
+        step = best.where("fresh").join(edges, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("found"))
+        best = best.drop("fresh").join(step, "node", "full").select("node", F.least("cost", "found").alias("cost"), F.coalesce(F.col("found") < F.col("cost"), F.col("cost").isNull()).alias("fresh")).checkpoint()
+        if not best.where("fresh").limit(1).count():
+            return best.select("node", "cost")
+    raise RuntimeError(f"costs didn't settle in {rounds} rounds")
 
 
 @R.add(
@@ -104,30 +96,88 @@ def shortest_path(spark, sf_dir):
 
 
 def _checkpoints(spark) -> None:
+    """The shared folder of the session; where none is set, one in the warehouse."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
 
 
-def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = _RANK_ROUNDS) -> DataFrame:
-    """(node, rank) after fixed rounds; the mass of nodes without out-edges is lost."""
+def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank): rounds until the sum of changes is under the tolerance; the mass of nodes without out-edges is lost."""
     out = edges.groupBy("a").agg(F.count("*").alias("out"))
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().checkpoint()
     n = nodes.count()
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
     for _ in range(rounds):
         given = rank.join(out, rank.node == out.a).select("a", (F.col("rank") / F.col("out")).alias("r")).join(edges, "a").groupBy(F.col("b").alias("node")).agg(F.sum("r").alias("r"))
-        rank = nodes.join(given, "node", "left").select("node", ((1 - damping) / n + damping * F.coalesce("r", F.lit(0.0))).alias("rank")).checkpoint()
+        new = rank.join(given, "node", "left").select("node", F.col("rank").alias("old"), ((1 - damping) / n + damping * F.coalesce("r", F.lit(0.0))).alias("rank")).checkpoint()
+        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
+        rank = new.drop("old")
+        if moved < tolerance:
+            break
     return rank
 
 
-@R.add("page_rank")
+# the oracle goes through all rounds and takes the first that moves less than the tolerance
+@R.add(
+    "page_rank",
+    f"""WITH RECURSIVE g AS MATERIALIZED ({_GRAPH}), o AS MATERIALIZED (SELECT a, count(*) AS n FROM g GROUP BY a),
+    x AS MATERIALIZED (SELECT g.a, g.b, 1.0::DOUBLE / o.n AS share FROM g JOIN o ON o.a = g.a UNION ALL SELECT n_nationkey, n_nationkey, 0.0::DOUBLE FROM nation),
+    r(node, rank, i) AS (SELECT n_nationkey, 0.04::DOUBLE, 0 FROM nation UNION ALL SELECT x.b, 0.006::DOUBLE + 0.85::DOUBLE * sum(r.rank * x.share), r.i + 1 FROM r JOIN x ON x.a = r.node WHERE r.i < 100 GROUP BY x.b, r.i),
+    d AS (SELECT p.i + 1 AS i, sum(abs(q.rank - p.rank)) AS moved FROM r p JOIN r q ON q.node = p.node AND q.i = p.i + 1 GROUP BY p.i)
+    SELECT node, round(rank, 8) AS rank FROM r WHERE i = (SELECT coalesce(min(i), 100) FROM d WHERE moved < 0.000001)""",
+)
 def page_rank_query(spark, sf_dir):
     _checkpoints(spark)
     return page_rank(_graph(spark, sf_dir)).select("node", F.round("rank", 8).alias("rank"))
 
 
-# the oracle unrolls the rounds
-_r = "r0 AS (SELECT n_nationkey AS node, 0.04::DOUBLE AS rank FROM nation)"
-for _i in range(_RANK_ROUNDS):
-    _r += f""", r{_i + 1} AS (SELECT n.n_nationkey AS node, 0.006::DOUBLE + 0.85::DOUBLE * coalesce((SELECT sum(x.rank / o.n) FROM g JOIN r{_i} x ON x.node = g.a JOIN o ON o.a = g.a WHERE g.b = n.n_nationkey), 0) AS rank FROM nation n)"""
-ORACLES["page_rank"] = f"WITH g AS MATERIALIZED ({_GRAPH}), o AS (SELECT a, count(*) AS n FROM g GROUP BY a), {_r} SELECT node, round(rank, 8) AS rank FROM r{_RANK_ROUNDS}"
+def _reached(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(a, b): b can be reached from a, a itself among them; grows along the newest pairs only."""
+    all_pairs = edges.select("a").union(edges.select("b")).distinct().select("a", F.col("a").alias("b")).checkpoint()
+    front = all_pairs
+    step = edges.select(F.col("a").alias("b"), F.col("b").alias("c")).distinct()
+    for _ in range(rounds):
+        front = front.join(step, "b").select("a", F.col("c").alias("b")).distinct().join(all_pairs, ["a", "b"], "left_anti").checkpoint()
+        if not front.limit(1).count():
+            return all_pairs
+        all_pairs = all_pairs.union(front).checkpoint()
+    raise RuntimeError(f"reachability didn't settle in {rounds} rounds")
+
+
+@R.add(
+    "strong_components",
+    f"""WITH RECURSIVE g AS MATERIALIZED ({_GRAPH}), t(a, b) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT t.a, g.b FROM t JOIN g ON g.a = t.b)
+       SELECT x.a AS node, min(x.b) AS component FROM t x JOIN t y ON y.a = x.b AND y.b = x.a GROUP BY x.a""",
+)
+def strong_components(spark, sf_dir):
+    """Nodes that reach each other, named by the smallest; for the condensed graphs of bounded size that reachability suits."""
+    _checkpoints(spark)
+    t = _reached(_graph(spark, sf_dir))
+    back = t.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return t.join(back, ["a", "b"]).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
+# a path to node 7: cost so far plus a lower bound that never overestimates prunes what can't lie on the best path
+@R.add(
+    "optimal_path",
+    f"""WITH RECURSIVE g AS MATERIALIZED ({_GRAPH}), p(node, cost, path) AS (SELECT 0, 0.0::DOUBLE, '0' UNION ALL
+         SELECT g.b, p.cost + g.w, p.path || '>' || g.b FROM p JOIN g ON g.a = p.node WHERE p.node <> 7 AND NOT list_contains(string_split(p.path, '>'), g.b::VARCHAR) AND p.cost + g.w <= 60)
+       SELECT path, cost FROM p WHERE node = 7 ORDER BY cost, path LIMIT 1""",
+)
+def optimal_path(spark, sf_dir):
+    """A*: paths grow from the front whose cost plus bound is at most the best goal cost; the bound is one cheapest edge, none at the goal."""
+    _checkpoints(spark)
+    g, goal = _graph(spark, sf_dir), 7
+    cheapest = g.agg(F.min("w")).first()[0]
+    front = spark.range(1).select(F.lit(0).cast("int").alias("node"), F.lit(0.0).alias("cost"), F.lit("0").alias("path")).checkpoint()
+    best = front.limit(0)
+    closed = front.select("node", "cost")
+    while front.limit(1).count():
+        grown = front.join(g, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat_ws(">", "path", F.col("b").cast("string")).alias("path"))
+        grown = grown.groupBy("node").agg(F.min(F.struct("cost", "path")).alias("x")).select("node", "x.cost", "x.path")
+        grown = grown.join(closed.select("node", F.col("cost").alias("old")), "node", "left").where("old IS NULL OR cost < old").drop("old").checkpoint()
+        best = best.union(grown.where(F.col("node") == goal)).orderBy("cost", "path").limit(1).checkpoint()
+        most = best.agg(F.min("cost")).first()[0]
+        closed = closed.union(grown.select("node", "cost")).groupBy("node").agg(F.min("cost").alias("cost")).checkpoint()
+        front = grown.where((F.col("node") != goal) & (F.col("cost") + cheapest <= (float("inf") if most is None else most)))
+    return best.select("path", "cost")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from atomweave.plans import aggregates, analytics, graph, grouped, relational, search, sources, spatial, streams, temporal, texts, vectors
+from atomweave.plans import aggregates, analytics, concepts, graph, grouped, relational, search, sources, spatial, streams, temporal, texts, vectors
 
-MODULES = (search, relational, analytics, vectors, graph, texts, aggregates, spatial, temporal, streams, grouped, sources)
+MODULES = (search, relational, analytics, vectors, graph, texts, aggregates, spatial, temporal, streams, grouped, sources, concepts)
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -35,7 +35,7 @@ R.sql("union_all", "SELECT 'c' AS kind, count(*) AS n FROM customer UNION ALL SE
 R.sql("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier")
 R.sql("intersect_except", "SELECT c_nationkey AS k, 'both' AS kind FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) x UNION ALL SELECT n_nationkey, 'none' FROM (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier) y")
 R.sql("top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
-R.sql("paging_with_total", "SELECT p_partkey, p_name, count(*) OVER () AS total FROM part ORDER BY p_partkey LIMIT 20 OFFSET 40")
+R.sql("paging_with_total", "SELECT p_partkey, p_name, total FROM part CROSS JOIN (SELECT count(*) AS total FROM part) t ORDER BY p_partkey LIMIT 20 OFFSET 40")
 R.sql(
     "top_k_per_group",
     """SELECT c_nationkey, c_custkey, rn FROM (SELECT c_nationkey, c_custkey,
@@ -61,8 +61,14 @@ R.sql(
        round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS step FROM events""",
 )
 R.sql("window_running_listagg", "SELECT conv_id, turn, array_join(collect_list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '>') AS roles FROM conversations", "SELECT conv_id, turn, string_agg(role, '>') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS roles FROM conversations")
-R.sql("lateral_split_explode", "SELECT doc_id, CAST(pos AS BIGINT) AS pos, word FROM documents LATERAL VIEW posexplode(split(substring(text, 1, 60), ' ')) t AS pos, word", "SELECT doc_id, pos - 1 AS pos, words[pos] AS word FROM (SELECT doc_id, string_split(substring(text, 1, 60), ' ') AS words FROM documents) t, range(1, 80) r(pos) WHERE pos <= len(words)")
-R.sql("range_join_buckets", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL '30' MINUTE")
+R.sql("lateral_split_explode", "SELECT doc_id, CAST(pos AS BIGINT) AS pos, word FROM documents LATERAL VIEW posexplode(split(text, ' ')) t AS pos, word", "SELECT doc_id, unnest(range(len(ws)))::BIGINT AS pos, unnest(ws) AS word FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents) t")
+# half-hour buckets make the range an equi-join: an event meets its own bucket and the next
+_HALF = "CAST(floor(unix_seconds(CAST(ts AS TIMESTAMP)) / 1800) AS BIGINT)"
+R.sql(
+    "range_join_buckets",
+    f"SELECT a.event_id AS a, b.event_id AS b FROM (SELECT user_id, event_id, ts, explode(array({_HALF}, {_HALF} + 1)) AS slot FROM events) a JOIN (SELECT user_id, event_id, ts, {_HALF} AS slot FROM events) b ON a.user_id = b.user_id AND a.slot = b.slot WHERE a.event_id < b.event_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL '30' MINUTE",
+    "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL '30' MINUTE",
+)
 
 
 @R.add("random_order_seeded", None)
@@ -71,14 +77,17 @@ def random_order_seeded(spark, sf_dir):
     return table(spark, sf_dir, "supplier").orderBy(F.xxhash64("s_suppkey", F.lit(7)), "s_suppkey").select("s_suppkey").limit(10)
 
 
+# |v - c|^2 = |v|^2 - 2 v.c + |c|^2 over all components; one centroid a label, so the centroids are few and broadcast
 R.sql(
     "nearest_centroid",
-    """WITH c AS (SELECT label, avg(embedding[0]) AS x, avg(embedding[1]) AS y FROM embeddings GROUP BY label)
-       SELECT vec_id, min_by(c.label, (embedding[0] - x) * (embedding[0] - x) + (embedding[1] - y) * (embedding[1] - y)) AS cell
-       FROM embeddings CROSS JOIN c GROUP BY vec_id""",
-    """WITH c AS (SELECT label, avg(embedding[1]::DOUBLE) AS x, avg(embedding[2]::DOUBLE) AS y FROM embeddings GROUP BY label)
-       SELECT vec_id, arg_min(c.label, (embedding[1] - x) * (embedding[1] - x) + (embedding[2] - y) * (embedding[2] - y)) AS cell
-       FROM embeddings CROSS JOIN c GROUP BY vec_id""",
+    """WITH e AS (SELECT vec_id, label, i, CAST(x AS DOUBLE) AS x FROM embeddings LATERAL VIEW posexplode(embedding) p AS i, x),
+       c AS (SELECT label AS cell, i, avg(x) AS c FROM e GROUP BY label, i),
+       d AS (SELECT vec_id, cell, sum((x - c) * (x - c)) AS d FROM e JOIN c ON c.i = e.i GROUP BY vec_id, cell)
+       SELECT vec_id, min_by(cell, struct(round(d, 9), cell)) AS cell, round(min(d), 6) AS d FROM d GROUP BY vec_id""",
+    """WITH e AS (SELECT vec_id, label, unnest(range(len(embedding)))::INT AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+       c AS (SELECT label AS cell, i, avg(x) AS c FROM e GROUP BY label, i),
+       d AS (SELECT vec_id, cell, sum((x - c) * (x - c)) AS d FROM e JOIN c ON c.i = e.i GROUP BY vec_id, cell)
+       SELECT vec_id, arg_min(cell, row(round(d, 9), cell)) AS cell, round(min(d), 6) AS d FROM d GROUP BY vec_id""",
 )
 R.sql(
     "pivot_counts",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atomweave.plans.base import Registry, table
+from atomweave.sources import formats as X
 from atomweave.sources import ingest as I
 
 R = Registry()
@@ -45,3 +46,108 @@ def atoms_merged(spark, sf_dir):
 
 R.sql("text_line_atoms", "SELECT line, count(*) AS n FROM documents LATERAL VIEW explode(split(text, '\\n')) t AS line GROUP BY line HAVING count(*) > 2", "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) t GROUP BY line HAVING count(*) > 2")
 R.sql("character_atoms", "SELECT ch, count(*) AS n FROM documents LATERAL VIEW explode(split(text, '')) t AS ch WHERE ch <> '' GROUP BY ch", "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) t WHERE ch <> '' GROUP BY ch")
+
+
+def _model_files(spark, sf_dir):
+    """A model file for each label: the label's embeddings as one tensor each."""
+    import numpy as np
+    import pandas as pd
+
+    def write(key, pdf):
+        pdf = pdf.sort_values("vec_id")
+        tensors = {f"v{i}": np.asarray(v, np.float32) for i, v in zip(pdf["vec_id"], pdf["embedding"])}
+        return pd.DataFrame({"path": [f"label{key[0]}"], "content": [X.write_gguf({"general.name": f"label{key[0]}", "n": len(pdf)}, tensors)]})
+
+    return table(spark, sf_dir, "embeddings").groupBy("label").applyInPandas(write, "path string, content binary")
+
+
+@R.add("model_file_catalogue", "SELECT 'label' || label AS path, 'v' || vec_id AS tensor, 'F32' AS kind, len(embedding)::BIGINT AS n FROM embeddings")
+def model_file_catalogue(spark, sf_dir):
+    return X.gguf_catalogue(_model_files(spark, sf_dir)).select("path", "tensor", "kind", F.element_at("shape", 1).alias("n"))
+
+
+@R.add("model_weight_stream", "SELECT 'v' || vec_id AS tensor, i AS position, round(embedding[i + 1]::DOUBLE, 6) AS weight FROM embeddings, range(0, 64) r(i)")
+def model_weight_stream(spark, sf_dir):
+    chunks = X.tensor_values(_model_files(spark, sf_dir), chunk=10)
+    return chunks.select("tensor", "start", F.posexplode("values").alias("i", "x")).select("tensor", (F.col("start") + F.col("i")).alias("position"), F.round("x", 6).alias("weight"))
+
+
+def _images(spark, sf_dir):
+    """A picture of 8 x 8 pixels for each embedding: red by the component, green by the place, blue by the label."""
+    import numpy as np
+    import pandas as pd
+
+    def paint(frames):
+        for f in frames:
+            out = []
+            for i, v, label in zip(f["vec_id"], f["embedding"], f["label"]):
+                red = np.floor((np.asarray(v, np.float64) + 1) * 127)
+                out.append((f"p{i}", X.write_bmp(np.stack([red, np.arange(64) * 3, np.full(64, label * 10)], 1).reshape(8, 8, 3))))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").mapInPandas(paint, "path string, content binary")
+
+
+_PIXELS = "(SELECT 'p' || vec_id AS path, (i % 8)::INT AS x, (i // 8)::INT AS y, floor((embedding[i + 1]::DOUBLE + 1) * 127)::INT AS r, (i * 3)::INT AS g, (label * 10)::INT AS b FROM embeddings, range(0, 64) t(i))"
+
+
+@R.add("image_pixel_atoms", f"SELECT r, g, b, count(*) AS reference_count FROM {_PIXELS} p GROUP BY r, g, b")
+def image_pixel_atoms(spark, sf_dir):
+    return X.image_pixels(_images(spark, sf_dir)).groupBy("r", "g", "b").agg(F.count("*").alias("reference_count"))
+
+
+@R.add("image_patches", f"SELECT path, x // 4 AS px, y // 4 AS py, round(avg(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b), 6) AS luminance FROM {_PIXELS} p GROUP BY path, x // 4, y // 4")
+def image_patches(spark, sf_dir):
+    lum = 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")
+    patch = lambda c: F.floor(F.col(c) / 4).cast("int")
+    return X.image_pixels(_images(spark, sf_dir)).groupBy("path", patch("x").alias("px"), patch("y").alias("py")).agg(F.round(F.avg(lum), 6).alias("luminance"))
+
+
+@R.add("image_average_colour", f"SELECT path, printf('#%02X%02X%02X', floor(avg(r))::INT, floor(avg(g))::INT, floor(avg(b))::INT) AS colour FROM {_PIXELS} p GROUP BY path")
+def image_average_colour(spark, sf_dir):
+    whole = [F.floor(F.avg(c)).cast("int") for c in "rgb"]
+    return X.image_pixels(_images(spark, sf_dir)).groupBy("path").agg(F.format_string("#%02X%02X%02X", *whole).alias("colour"))
+
+
+@R.add("float_codec", "SELECT vec_id, len(embedding)::INT * 4 AS bytes, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")
+def float_codec(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", X.floats_to_binary("embedding").alias("b"))
+    back = e.select("vec_id", F.length("b").alias("bytes"), X.binary_to_floats("b").alias("v"))
+    return back.select("vec_id", "bytes", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
+
+
+@R.add(
+    "code_members",
+    "SELECT 'p' || p_partkey AS path, 'import' AS kind, 'lib' || p_size AS name FROM part UNION ALL SELECT 'p' || p_partkey, 'member', 'f' || p_partkey FROM part UNION ALL SELECT 'p' || p_partkey, 'comment', p_type FROM part",
+)
+def code_members(spark, sf_dir):
+    text = F.format_string("import lib%s\ndef f%s(x):\n    # %s\n    return x\n", "p_size", "p_partkey", "p_type")
+    return X.code_members(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), text.alias("text")))
+
+
+@R.add("archive_entries", "SELECT s_nationkey, count(*) AS entries, sum(length(s_name))::BIGINT AS bytes FROM supplier GROUP BY s_nationkey")
+def archive_entries(spark, sf_dir):
+    """Suppliers of a nation as a zip within a gzip file, unpacked again."""
+    import gzip
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def pack(key, pdf):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for i, name in zip(pdf["s_suppkey"], pdf["s_name"]):
+                z.writestr(f"{i}.txt", name)
+        return pd.DataFrame({"path": [str(key[0])], "content": [gzip.compress(out.getvalue())]})
+
+    files = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_name").groupBy("s_nationkey").applyInPandas(pack, "path string, content binary")
+    return X.read_archives(files).groupBy(F.col("path").cast("int").alias("s_nationkey")).agg(F.count("*").alias("entries"), F.sum(F.length("content")).alias("bytes"))
+
+
+@R.add("file_types", "SELECT CASE vec_id % 3 WHEN 0 THEN 'image/bmp' WHEN 1 THEN 'application/x-gguf' ELSE 'text/plain' END AS kind, count(*) AS n FROM embeddings GROUP BY 1")
+def file_types(spark, sf_dir):
+    i = F.col("vec_id") % 3
+    head = F.when(i == 0, "BM0000").when(i == 1, "GGUF00").otherwise("hello")
+    e = table(spark, sf_dir, "embeddings").select(X.sniff(F.encode(head, "utf-8"), F.lit("a.txt")).alias("kind"))
+    return e.groupBy("kind").agg(F.count("*").alias("n"))

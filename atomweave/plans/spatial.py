@@ -51,6 +51,36 @@ def hilbert_order(spark, sf_dir):
     return q.select("vec_id", S.hilbert2(F.col("qx"), F.col("qy"), 12).alias("h"))
 
 
+@R.add("hilbert_round_trip", f"SELECT vec_id, qx, qy, 1::BIGINT AS cells_at_code FROM (SELECT vec_id, {_Q} FROM {XYZ} p) q")
+def hilbert_round_trip(spark, sf_dir):
+    """Cells coded and decoded again: the oracle has what went in; no two cells share a code."""
+    q = points(spark, sf_dir).select("vec_id", *(S.quantise(F.col(c), -1.0, 1.0, 12).alias(f"q{c}") for c in "xy"))
+    coded = q.select("vec_id", S.hilbert2(F.col("qx"), F.col("qy"), 12).alias("h"), "qx", "qy")
+    per = coded.groupBy("h").agg(F.countDistinct("qx", "qy").alias("cells_at_code"))
+    x, y = S.hilbert2_decode(F.col("h"), 12)
+    return coded.join(per, "h").select("vec_id", x.alias("qx"), y.alias("qy"), "cells_at_code")
+
+
+@R.add("hilbert_neighbours", "SELECT 4095::BIGINT AS steps, 4095::BIGINT AS unit_steps")
+def hilbert_neighbours(spark, sf_dir):
+    """Each of the 4,096 positions of a 64 x 64 curve lies beside the one before it."""
+    x, y = S.hilbert2_decode(F.col("id"), 6)
+    p = spark.range(4096).select("id", x.alias("x"), y.alias("y"))
+    n = p.select((F.col("id") - 1).alias("id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    near = F.abs(F.col("x") - F.col("x2")) + F.abs(F.col("y") - F.col("y2")) == 1
+    return p.join(n, "id").agg(F.count("*").alias("steps"), F.sum(near.cast("long")).alias("unit_steps"))
+
+
+@R.add("hilbert_range_start", "SELECT label, count(*) AS n, true AS starts_first FROM embeddings GROUP BY label")
+def hilbert_range_start(spark, sf_dir):
+    """The code where a label's bounding box begins is the least code of its points' cells, taken over the box's rows."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    h = S.hilbert2(S.quantise(F.col("x"), -1.0, 1.0, 12), S.quantise(F.col("y"), -1.0, 1.0, 12), 12)
+    coded = e.withColumn("h", h)
+    start = coded.groupBy("label").agg(F.min("h").alias("start"), F.count("*").alias("n"))
+    return coded.join(F.broadcast(start), "label").groupBy("label").agg(F.first("n").alias("n"), F.min((F.col("h") >= F.col("start")).cast("int")).cast("boolean").alias("starts_first"))
+
+
 @R.add("spatial_knn", f"SELECT vec_id, round(sqrt((x - 0.1) ** 2 + y ** 2 + (z + 0.1) ** 2), 6) AS d FROM {XYZ} p ORDER BY d, vec_id LIMIT 12")
 def spatial_knn(spark, sf_dir):
     x, y, z = xyz()

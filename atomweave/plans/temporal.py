@@ -23,11 +23,12 @@ R.sql(
     """WITH old AS (SELECT c_custkey AS k, round(c_acctbal, 2) AS v FROM customer WHERE c_custkey % 3 <> 0), fresh AS (SELECT c_custkey AS k, round(c_acctbal + 1, 2) AS v FROM customer WHERE c_custkey % 2 = 0)
     SELECT coalesce(old.k, fresh.k) AS k, coalesce(fresh.v, old.v) AS v, CASE WHEN old.k IS NULL THEN 'insert' WHEN fresh.k IS NULL THEN 'keep' ELSE 'update' END AS action FROM old FULL OUTER JOIN fresh ON old.k = fresh.k""",
 )
-R.sql("bind_latest_order", "SELECT e.user_id, e.event_id, max(p.ts) AS last_purchase FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts WHERE e.event_id < 2000 GROUP BY e.user_id, e.event_id")
+# as-of join of every event with its user's latest purchase: a running maximum instead of a join
+R.sql("bind_latest_order", "SELECT user_id, event_id, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events")
 # population sigma over the last 100 values, the current one among them, from the eleventh on
 R.sql(
     "telemetry_three_sigma",
-    """SELECT user_id, event_id, abs(value - m) > 2 * sd AS alarm FROM (SELECT user_id, event_id, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd, count(*) OVER w AS n FROM events
+    """SELECT user_id, event_id, abs(value - m) > 3 * sd AS alarm FROM (SELECT user_id, event_id, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd, count(*) OVER w AS n FROM events
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) t WHERE n > 10""",
 )
 R.sql(

@@ -49,29 +49,33 @@ def _both(name: str, sql: str) -> None:
     R.sql(name, sql.replace("TOK", _TOK_S), sql.replace("TOK", _TOK_D))
 
 
-_both("tokenize_vocabulary", "SELECT t.doc_id, t.pos, v.id FROM TOK t JOIN (SELECT w, CAST(dense_rank() OVER (ORDER BY w) AS BIGINT) AS id FROM (SELECT w FROM TOK q GROUP BY w HAVING count(*) >= 200) c) v ON v.w = t.w")
-_both("term_frequencies", "SELECT w, count(*) AS cf, count(DISTINCT doc_id) AS df FROM TOK t GROUP BY w HAVING count(*) >= 5")
-_both(
-    "tfidf_vectors",
-    """WITH t AS (SELECT doc_id, w, count(*) AS tf FROM TOK q GROUP BY doc_id, w), c AS (SELECT w, sum(tf) AS cf FROM t GROUP BY w HAVING sum(tf) >= 20),
-    v AS (SELECT count(*) AS v FROM c), s AS (SELECT t.doc_id, t.w, t.tf * (ln((v + 1) / CAST(cf + 1 AS DOUBLE)) + 1) AS x FROM t JOIN c ON c.w = t.w CROSS JOIN v),
-    n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY doc_id)
-    SELECT s.doc_id, s.w, round(x / norm, 6) AS weight FROM s JOIN n ON n.doc_id = s.doc_id WHERE norm > 0 AND abs(x / norm) > 0.2""",
-)
+# ids are hashes of the words: no task ranks a vocabulary, and a word has its id wherever it is met
+_ID_S, _ID_D = "CAST(conv(substring(md5(w), 1, 12), 16, 10) AS BIGINT)", "('0x' || substring(md5(w), 1, 12))::BIGINT"
+R.sql("tokenize_vocabulary", f"SELECT doc_id, pos, {_ID_S} AS id FROM {_TOK_S} t", f"SELECT doc_id, pos, {_ID_D} AS id FROM {_TOK_D} t")
+_both("term_frequencies", "SELECT w, sum(tf) AS cf, count(*) AS df FROM (SELECT doc_id, w, count(*) AS tf FROM TOK t GROUP BY doc_id, w) c GROUP BY w")
+ORACLES["term_frequencies"] = ORACLES["term_frequencies"].replace("sum(tf) AS cf", "sum(tf)::BIGINT AS cf")
+# words of five documents or more are the vocabulary; they weigh tf * idf, others a quarter of tf; all go to one of 768 dimensions
+_TFIDF = """WITH t AS (SELECT doc_id, w, ID AS id, count(*) AS tf FROM TOK q GROUP BY doc_id, w), c AS (SELECT w, sum(tf) AS cf FROM t GROUP BY w HAVING count(*) >= 5),
+    v AS (SELECT count(*) AS v FROM c), s AS (SELECT t.doc_id, t.id % 768 AS dim, sum(CASE WHEN cf IS NULL THEN CAST(0.25 AS DOUBLE) * tf ELSE tf * (ln((v + 1) / CAST(cf + 1 AS DOUBLE)) + 1) END) AS x
+      FROM t LEFT JOIN c ON c.w = t.w CROSS JOIN v GROUP BY t.doc_id, t.id % 768)
+    SELECT doc_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM s WHERE x <> 0"""
+R.sql("tfidf_vectors", _TFIDF.replace("TOK", _TOK_S).replace("ID AS", f"{_ID_S} AS"), _TFIDF.replace("TOK", _TOK_D).replace("ID AS", f"{_ID_D} AS"))
+_GRAMS = {n: "concat_ws(' ', w, " + ", ".join(f"lead(w, {i}) OVER o" for i in range(1, n)) + f") AS gram, lead(w, {n - 1}) OVER o AS last" for n in (5, 4, 3, 2)}
 _both(
     "ngram_promotion",
-    """SELECT gram, count(*) AS n FROM (SELECT concat_ws(' ', w, lead(w) OVER o, lead(w, 2) OVER o) AS gram, lead(w, 2) OVER o AS last FROM TOK t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) g
-    WHERE last IS NOT NULL GROUP BY gram HAVING count(*) >= 10""",
+    " UNION ALL ".join(
+        f"SELECT {n} AS size, gram, count(*) AS n FROM (SELECT {g} FROM TOK t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) g WHERE last IS NOT NULL GROUP BY gram HAVING count(*) >= 10" for n, g in _GRAMS.items()
+    ),
 )
 R.sql(
     "atomize_text",
-    f"SELECT sha2(w, 256) AS content_hash, w AS value, count(*) AS reference_count, min(doc_id) AS first_parent FROM {_TOK_S} t GROUP BY w HAVING count(*) > 50",
-    f"SELECT sha256(w) AS content_hash, w AS value, count(*) AS reference_count, min(doc_id) AS first_parent FROM {_TOK_D} t GROUP BY w HAVING count(*) > 50",
+    f"SELECT sha2(w, 256) AS content_hash, w AS value, sum(n) AS reference_count, min(doc_id) AS first_parent FROM (SELECT doc_id, w, count(*) AS n FROM {_TOK_S} t GROUP BY doc_id, w) c GROUP BY w",
+    f"SELECT sha256(w) AS content_hash, w AS value, count(*) AS reference_count, min(doc_id) AS first_parent FROM {_TOK_D} t GROUP BY w",
 )
 R.sql(
     "text_compositions",
-    "SELECT sha2(text, 256) AS parent, pos AS seq, sha2(ch, 256) AS component FROM documents LATERAL VIEW posexplode(split(substring(text, 1, 12), '')) p AS pos, ch WHERE ch <> ''",
-    "SELECT sha256(text) AS parent, pos::INT - 1 AS seq, sha256(substring(text, pos, 1)) AS component FROM documents, range(1, 13) r(pos) WHERE pos <= length(text)",
+    "SELECT sha2(text, 256) AS parent, pos AS seq, sha2(word, 256) AS component FROM documents LATERAL VIEW posexplode(split(text, ' ')) p AS pos, word",
+    "SELECT sha256(text) AS parent, unnest(range(len(ws)))::INT AS seq, sha256(unnest(ws)) AS component FROM (SELECT text, string_split(text, ' ') AS ws FROM documents) t",
 )
 R.sql(
     "reconstruct_text",

@@ -143,6 +143,185 @@ def dequantise(raw: bytes, kind: str) -> np.ndarray:
     return (q * scale + np.ascontiguousarray(b[:, 4:8]).view("<f4")).ravel()
 
 
+GGUF_KINDS = {0: "F32", 1: "F16", 8: "Q8_0"}
+
+
+def write_gguf(metadata: dict[str, str | int], tensors: dict[str, np.ndarray]) -> bytes:
+    """A little-endian version 3 file with F32 tensors: header, metadata, tensor table, data aligned to 32 bytes."""
+    text = lambda s: struct.pack("<Q", len(s.encode())) + s.encode()
+    out = b"GGUF" + struct.pack("<IQQ", 3, len(tensors), len(metadata))
+    for k, v in metadata.items():
+        out += text(k) + (struct.pack("<I", 8) + text(v) if isinstance(v, str) else struct.pack("<Iq", 11, v))
+    at = 0
+    for name, x in tensors.items():
+        out += text(name) + struct.pack("<I", x.ndim) + struct.pack(f"<{x.ndim}Q", *reversed(x.shape)) + struct.pack("<IQ", 0, at)
+        at += -(-4 * x.size // 32) * 32
+    out += bytes(-len(out) % 32)
+    for x in tensors.values():
+        raw = x.astype("<f4").tobytes()
+        out += raw + bytes(-len(raw) % 32)
+    return out
+
+
+#: The sizes of metadata values by type number; 8 is text, 9 an array.
+GGUF_SIZES = {0: "B", 1: "b", 2: "H", 3: "h", 4: "I", 5: "i", 6: "f", 7: "?", 10: "Q", 11: "q", 12: "d"}
+
+
+def parse_gguf(raw: bytes) -> tuple[dict, list[tuple[str, str, list[int], int]]]:
+    """Metadata, and (tensor, kind, shape, offset of its data in the file). ValueError if the bytes aren't such a file."""
+    at = 0
+
+    def take(fmt: str):
+        nonlocal at
+        got = struct.unpack_from("<" + fmt, raw, at)
+        at += struct.calcsize("<" + fmt)
+        return got[0] if len(got) == 1 else list(got)
+
+    def text() -> str:
+        nonlocal at
+        n = take("Q")
+        if n > len(raw) - at:
+            raise ValueError("a text ends beyond the file")
+        at += n
+        return raw[at - n : at].decode("utf-8", "replace")
+
+    def value(kind: int):
+        if kind == 8:
+            return text()
+        if kind == 9:
+            inner, n = take("I"), take("Q")
+            return [value(inner) for _ in range(n)]
+        return take(GGUF_SIZES[kind])
+
+    try:
+        if raw[:4] != b"GGUF":
+            raise ValueError("no such file")
+        at = 4
+        take("I")
+        n_tensors, n_values = take("QQ")
+        metadata = {}
+        for _ in range(n_values):
+            name = text()
+            metadata[name] = value(take("I"))
+        found = []
+        for _ in range(n_tensors):
+            name, dims = text(), take("I")
+            shape = [take("Q") for _ in range(dims)][::-1]
+            kind, offset = take("I"), take("Q")
+            found.append((name, GGUF_KINDS.get(kind, str(kind)), shape, offset))
+    except (struct.error, KeyError, RecursionError, MemoryError) as e:
+        raise ValueError(f"not readable: {e}") from e
+    step = int(metadata.get("general.alignment", 32))
+    base = -(-at // step) * step
+    return metadata, [(name, kind, shape, base + offset) for name, kind, shape, offset in found]
+
+
+def gguf_catalogue(files: DataFrame) -> DataFrame:
+    """(path, tensor, kind, shape, begin) of every tensor; unreadable files give none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for p, raw in zip(f["path"], f["content"]):
+                try:
+                    rows += [(p, *x) for x in parse_gguf(bytes(raw))[1]]
+                except ValueError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "tensor", "kind", "shape", "begin"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, tensor string, kind string, shape array<long>, begin long")
+
+
+def tensor_values(files: DataFrame, chunk: int = 1024) -> DataFrame:
+    """(path, tensor, start, values): the F32 and F16 tensors of such files in chunks of bounded size."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p, raw in zip(f["path"], f["content"]):
+                raw, rows = bytes(raw), []
+                try:
+                    found = parse_gguf(raw)[1]
+                except ValueError:
+                    continue
+                for name, kind, shape, begin in found:
+                    size = {"F32": 4, "F16": 2}.get(kind)
+                    n = int(np.prod(shape)) if size else 0
+                    for s in range(0, n, chunk):
+                        part = raw[begin + size * s : begin + size * min(n, s + chunk)]
+                        rows.append((p, name, s, dequantise(part, kind).tolist()))
+                yield pd.DataFrame(rows, columns=["path", "tensor", "start", "values"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, tensor string, start long, values array<double>")
+
+
+def write_bmp(pixels: np.ndarray) -> bytes:
+    """An uncompressed 24-bit file of (height, width, 3) red, green, blue bytes."""
+    h, w, _ = pixels.shape
+    rows = b"".join(r[:, ::-1].tobytes() + bytes(-3 * w % 4) for r in pixels[::-1].astype(np.uint8))
+    return b"BM" + struct.pack("<IHHI", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(rows), 2835, 2835, 0, 0) + rows
+
+
+def parse_bmp(raw: bytes) -> np.ndarray:
+    """(height, width, 3) red, green, blue bytes of an uncompressed 24- or 32-bit file; ValueError otherwise."""
+    try:
+        begin = struct.unpack_from("<I", raw, 10)[0]
+        w, h, _, bits, packed = struct.unpack_from("<iiHHI", raw, 18)
+        if raw[:2] != b"BM" or bits not in (24, 32) or packed not in (0, 3):
+            raise ValueError("no such image")
+        line = -(-w * bits // 32) * 4
+        x = np.frombuffer(raw, np.uint8, line * abs(h), begin).reshape(abs(h), line)[:, : w * bits // 8].reshape(abs(h), w, bits // 8)
+    except struct.error as e:
+        raise ValueError(f"not readable: {e}") from e
+    return (x[::-1] if h > 0 else x)[:, :, 2::-1]
+
+
+def image_pixels(files: DataFrame) -> DataFrame:
+    """(path, x, y, r, g, b) of every pixel of bitmap files."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p, raw in zip(f["path"], f["content"]):
+                try:
+                    x = parse_bmp(bytes(raw))
+                except ValueError:
+                    continue
+                h, w, _ = x.shape
+                yy, xx = np.divmod(np.arange(h * w), w)
+                c = x.reshape(-1, 3).astype(int)
+                yield pd.DataFrame({"path": p, "x": xx, "y": yy, "r": c[:, 0], "g": c[:, 1], "b": c[:, 2]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, x int, y int, r int, g int, b int")
+
+
+def code_members(files: DataFrame) -> DataFrame:
+    """(path, kind, name) of imports, members and comments of source texts (path, text), by regular expressions in the JVM."""
+    found = [
+        ("import", r"(?m)^\s*(?:import|from|using)\s+([A-Za-z_][A-Za-z0-9_.]*)"),
+        ("member", r"(?m)^\s*(?:def|class|function|struct)\s+([A-Za-z_][A-Za-z0-9_]*)"),
+        ("comment", r"(?m)(?:#|//)\s*(.*)$"),
+    ]
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("text", F.lit(e), 1).alias("names")) for k, e in found])
+    return files.select("path", F.explode(kinds).alias("k")).select("path", "k.kind", F.explode("k.names").alias("name"))
+
+
+def floats_to_binary(column: str) -> Column:
+    """Little-endian 32-bit floats of an array."""
+
+    @F.pandas_udf("binary")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return run(column)
+
+
+def binary_to_floats(column: str) -> Column:
+    @F.pandas_udf("array<float>")
+    def run(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: None if x is None else np.frombuffer(bytes(x)[: len(x) // 4 * 4], "<f4").tolist())
+
+    return run(column)
+
+
 def dequantise_column(blobs: DataFrame, kind: str) -> DataFrame:
     """(id, values) of blobs (id, data)."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-KEEP, LEAST, SIGMAS = 100, 10, 2.0
+KEEP, LEAST, SIGMAS = 100, 10, 3.0
 
 
 def read(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
