@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from atomweave.plans.base import Registry, table
+from atomweave.plans.base import Registry
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -71,12 +69,8 @@ R.sql(
 )
 
 
-@R.add("random_order_seeded", None)
-def random_order_seeded(spark, sf_dir):
-    """Ten suppliers in an order drawn by a seed: a hash of key and seed, the same on every run."""
-    return table(spark, sf_dir, "supplier").orderBy(F.xxhash64("s_suppkey", F.lit(7)), "s_suppkey").select("s_suppkey").limit(10)
-
-
+# an order drawn by a seed: a hash of key and seed, the same on every run
+R.sql("random_order_seeded", "SELECT s_suppkey FROM supplier ORDER BY md5(concat(CAST(s_suppkey AS STRING), '-7')), s_suppkey LIMIT 10")
 # |v - c|^2 = |v|^2 - 2 v.c + |c|^2 over all components; one centroid a label, so the centroids are few and broadcast
 R.sql(
     "nearest_centroid",
