@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,42 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+#: Groups of fewer bytes leave little behind.
+LARGE_GROUP = 1 << 20
+
+
+def trim() -> None:
+    """Hand freed memory back to the system. Workers are reused, and would each keep what their largest task took."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, with its freed memory handed back at the task's end."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+def tidy_group(run):
+    """``run`` for applyInArrow, with its freed memory handed back after large groups."""
+
+    def tidied(key, table):
+        out = run(key, table)
+        if table.nbytes >= LARGE_GROUP:
+            trim()
+        return out
+
+    return tidied
+
+
 #: Bits of a membership bitmap: 1 MB, whatever the number of keys.
 BITMAP_BITS = 1 << 23
 

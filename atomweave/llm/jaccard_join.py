@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from atomweave.llm.common import discard, materialise, maybe_among
+from atomweave.llm.common import discard, materialise, maybe_among, tidy, tidy_group
 from atomweave.llm.components import components
 from atomweave.llm.shingles import mix, shingle_sets
 
@@ -43,8 +43,8 @@ from atomweave.llm.shingles import mix, shingle_sets
 BLOCK, BLOCK_BITS, LEAST = 512, 1 << 24, 8
 #: Parts over which a join deals a key that has many rows.
 SALTS = 16
-#: Segment hashes that one task brings together, about.
-RANGE_SEGMENTS = 500_000
+#: Segment hashes that one task brings together, about; those that a task gathers before it sorts and passes them on.
+RANGE_SEGMENTS, HELD_SEGMENTS = 500_000, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -159,7 +159,7 @@ def sets_of(docs: DataFrame, t: Threshold, width: int) -> DataFrame:
             cols = list(zip(*got)) or [()] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], SETS)
 
-    return _texts(docs).mapInArrow(run, ", ".join(f"{c} long" for c in SETS[:-1]) + ", bits binary")
+    return _texts(docs).mapInArrow(tidy(run), ", ".join(f"{c} long" for c in SETS[:-1]) + ", bits binary")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -214,7 +214,7 @@ def segment_lists(docs: DataFrame, t: Threshold, width: int, ranges: int) -> Dat
                 sigs.append(sig)
                 ids.append(np.full(len(sig), doc_id, np.int64))
                 held += len(sig)
-                if held >= 1 << 21:
+                if held >= HELD_SEGMENTS:
                     yield blocks()
                     held = 0
         if held:
@@ -240,7 +240,7 @@ def segment_lists(docs: DataFrame, t: Threshold, width: int, ranges: int) -> Dat
         low = (sig[first] & np.uint64(0xFF)).astype(np.int64)
         return pa.table({"list": pa.array(name.view(np.int64)), "low": pa.array(low), "times": pa.array(times.astype(np.int64)), "docs": pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))})
 
-    return _texts(docs).mapInArrow(cut, "range int, sigs binary, docs binary").groupBy("range").applyInArrow(meet, "list long, low long, times long, docs array<long>")
+    return _texts(docs).mapInArrow(tidy(cut), "range int, sigs binary, docs binary").groupBy("range").applyInArrow(tidy_group(meet), "list long, low long, times long, docs array<long>")
 
 
 class _Union:
@@ -330,7 +330,7 @@ def open_blocks(units: DataFrame, t: Threshold) -> DataFrame:
         cols = [pa.array([k.as_py()] * len(out), f) for k, f in zip(key, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
         return pa.table([*cols, pa.array(rid[out]), pa.array(s1[out]), pa.array(component[out]), pa.array(wanted[out]), pa.array([others.get(i, []) for i in out.tolist()], kind)], [*UNIT, "rid", "s1", "component", "member", "others"])
 
-    return units.groupBy(*UNIT).applyInArrow(run, "gid long, level int, block int, salt int, rid long, s1 long, component long, member boolean, others array<long>")
+    return units.groupBy(*UNIT).applyInArrow(tidy_group(run), "gid long, level int, block int, salt int, rid long, s1 long, component long, member boolean, others array<long>")
 
 
 def verify(opened: DataFrame, docs: DataFrame, t: Threshold, width: int) -> DataFrame:
@@ -364,7 +364,7 @@ def verify(opened: DataFrame, docs: DataFrame, t: Threshold, width: int) -> Data
                     out.append((rid, other))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return opened.join(texts, "rid").groupBy(*UNIT).applyInArrow(run, "a long, b long")
+    return opened.join(texts, "rid").groupBy(*UNIT).applyInArrow(tidy_group(run), "a long, b long")
 
 
 def per_unit() -> F.Column:

@@ -23,11 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atomweave.llm.common import tidy
+
 UND = "und"
 PROFILE_GRAMS = 300
 PROFILE_DOCS = 500
 MAX_LANGUAGES = 1024
 SPACE = 32
+#: Texts that are Python strings at once.
+ROWS = 256
 
 _LETTER: list[np.ndarray] = []
 
@@ -90,6 +94,10 @@ class Profiles:
         best = int(np.argmin(d))
         return self.langs[best], float(1.0 - d[best] / (self.k * len(top)))
 
+    def predictions(self, texts: pa.Array) -> Iterator[tuple[str, float]]:
+        for i in range(0, len(texts), ROWS):
+            yield from map(self.predict, texts.slice(i, ROWS).to_pylist())
+
 
 def learn(labelled: DataFrame, profile_docs: int = PROFILE_DOCS, k: int = PROFILE_GRAMS) -> Profiles:
     """Profiles from rows (doc_id, text, lang); rows with null lang or text don't count."""
@@ -115,7 +123,7 @@ def learn(labelled: DataFrame, profile_docs: int = PROFILE_DOCS, k: int = PROFIL
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranked: dict[str, list[int]] = {}
     for r in counts.withColumn("r", rank).where(F.col("r") <= k).orderBy("lang", "r").collect():
@@ -128,10 +136,10 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [profiles.predict(t) for t in b.column(1).to_pylist()]
+            got = list(profiles.predictions(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def remainder(doc_id: Column, m: int) -> Column:
@@ -161,7 +169,7 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [profiles.predict(t) for t in b.column(at).to_pylist()]
+            got = list(profiles.predictions(b.column(at)))
             yield b.filter(pa.array([lang != UND and s >= min_score for lang, s in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atomweave.llm.common import materialise
+from atomweave.llm.common import materialise, tidy
 
 #: Words that a worker remembers, about; those of the slice at hand stay.
 MEMO_WORDS = 250_000
@@ -34,7 +34,7 @@ MARKS = ".,;:!?"
 #: A word of letters with one mark after them at most.
 LETTERS = r"^\p{L}+[.,;:!?]?$"
 #: Bytes of text whose words are told apart at once; a longer text is taken alone.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Pieces that one task packs; more pieces make more shards.
 SHARD_PIECES = 20_000
 
@@ -192,7 +192,7 @@ def cut(docs: DataFrame, tokenizer_file: str, end_id: int = 2, capacity: int = 4
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "loss_tokens", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), PIECES)
 
 
 def pack_shard(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ _RANDOM = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64)[_
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64)]
 #: Bytes of text hashed at once; a longer text is taken alone.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -35,6 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atomweave.llm.common import tidy
 from atomweave.llm.language_id import remainder
 
 EXAMPLES = 1000
@@ -50,7 +51,7 @@ COMMON, DENSE = 64, 1 << 24
 MARGIN = 1e-4
 MEMO_WORDS = 200_000
 #: Bytes of text whose words are told apart at once; a longer text is taken alone.
-SLICE = 4 << 20
+SLICE = 2 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -329,7 +330,7 @@ def score(docs: DataFrame, index: Index | float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], kind)], ["doc_id", "score", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, similarity: double, toxic: int>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double, evidence array<struct<doc_id: long, similarity: double, toxic: int>>")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -349,4 +350,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
             scores = [x for x, _ in s.scores(b.column(at))] if s else [index] * len(b)
             yield b.filter(pa.array([x < threshold for x in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
