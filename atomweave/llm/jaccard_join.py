@@ -17,7 +17,8 @@ documents together.
 
 Two rounds bound the work in large groups of near copies. First every class queries one block of its own group. The
 links found make components; second, only classes that share a segment across different components are compared, each against
-blocks that hold another component. What is left out could not change any component, so components are exact.
+blocks that hold a larger component (by number of classes, then id): of two components the smaller asks, the same way round in all segments, so
+members of a large group of near copies don't all ask for the few that aren't in it. What is left out could not change any component, so components are exact.
 
 Sets are 64-bit hashes of shingles and classes 128-bit hashes of sets. Empty sets (no words, empty or null text) link with nothing. Rows that
 repeat a doc_id are nodes of their own with that id; null doc_ids are never a component's id unless it has no other.
@@ -390,6 +391,14 @@ def for_salts(lists: DataFrame) -> DataFrame:
     return lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("width") > BLOCK, SALTS - 1).otherwise(0))))
 
 
+def with_sizes(rows: DataFrame) -> DataFrame:
+    """``rows`` (rid, component ...) with their component's number of rows as ``size``. Salted: a component may have any share of the rows."""
+    many = rows.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    many = many.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = rows.withColumn("_salt", F.pmod(F.xxhash64("rid", F.lit(11)), F.lit(SALTS)).cast("int")).join(many, ["component", "_salt"], "left")
+    return out.withColumn("size", F.coalesce("size", F.lit(1))).drop("_salt")
+
+
 def part(seed: int, parts: str) -> F.Column:
     return F.pmod(F.xxhash64("rid", F.lit(seed)), F.col(parts)).cast("int")
 
@@ -439,17 +448,18 @@ def similar_components(docs: DataFrame, threshold: Threshold = Threshold(90), wi
     discard(opened)
 
     stored, matrix = matrix, matrix.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    place = matrix.select("rid", "s1", "n", "gid", "level", "block", "component")
+    place = with_sizes(matrix.select("rid", "s1", "n", "gid", "level", "block", "component"))
     placed = salted(shared.select("list", "low", "times", "width", "rid", "s1", "need").join(place, ["rid", "s1"]))
     mixed = placed.groupBy("list", "width").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("list", "width")
     placed = materialise(placed.join(for_salts(mixed), key), "mixed-segments")
     block = ["gid", "level", "block"]
-    targets = placed.groupBy("list", "width", *block).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"))
+    order = F.struct("size", "component")
+    targets = placed.groupBy("list", "width", *block).agg(F.max(order).alias("top"), F.min("n").alias("least"), F.max("n").alias("most"))
     p, q = threshold.num, threshold.den
     pairs = (
-        placed.select(*key, "low", "times", "need", "rid", "s1", "n", F.col("component").alias("own"))
+        placed.select(*key, "low", "times", "need", "rid", "s1", "n", order.alias("own"))
         .join(for_salts(targets), key)
-        .where(f"(x < y OR own <> x) AND n * {p} <= most * {q} AND least * {p} <= n * {q}")  # the block holds another component
+        .where(f"own < top AND n * {p} <= most * {q} AND least * {p} <= n * {q}")  # the block holds a larger component
         .groupBy("rid", "s1", *block, "low")
         .agg(F.sum("times").alias("alike"), F.first("need").alias("least"))
         .where("alike >= least")

@@ -179,6 +179,10 @@ class Index:
         out = out.reshape(len(some), self.blocks, BLOCK)
         return row, out, out.max(2) if out.size else np.zeros(out.shape[:2], np.float32)
 
+    def forget(self) -> None:
+        """Drop what can be derived again."""
+        self.__dict__ = self.__getstate__()
+
     def unit(self, t: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Weights of a text's terms, of unit length."""
         w = (1 + np.log(n)) * self.factor[t]
@@ -328,6 +332,8 @@ def score(docs: DataFrame, index: Index | float) -> DataFrame:
         for b in batches:
             got = list(s.scores(b.column(1))) if s else [(index, [])] * len(b)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], kind)], ["doc_id", "score", "evidence"])
+        if s:
+            s.index.forget()  # the worker keeps the index itself
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(tidy(run), "doc_id long, score double, evidence array<struct<doc_id: long, similarity: double, toxic: int>>")
@@ -349,5 +355,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
         for b in batches:
             scores = [x for x, _ in s.scores(b.column(at))] if s else [index] * len(b)
             yield b.filter(pa.array([x < threshold for x in scores], pa.bool_()))
+        if s:
+            s.index.forget()  # the worker keeps the index itself
 
     return docs.mapInArrow(tidy(run), docs.schema)
