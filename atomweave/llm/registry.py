@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from atomweave.llm import queries_chat, queries_fingerprint, queries_jaccard, queries_language, queries_neighbours, queries_packing, queries_sentencepiece, queries_toxicity, queries_url, queries_warc
+from atomweave.llm import (
+    queries_chat,
+    queries_fingerprint,
+    queries_jaccard,
+    queries_language,
+    queries_merge,
+    queries_neighbours,
+    queries_packing,
+    queries_sentencepiece,
+    queries_toxicity,
+    queries_url,
+    queries_warc,
+)
 
-MODULES = (queries_warc, queries_language, queries_fingerprint, queries_jaccard, queries_neighbours, queries_chat, queries_packing, queries_toxicity, queries_url, queries_sentencepiece)
+MODULES = (queries_warc, queries_language, queries_fingerprint, queries_jaccard, queries_neighbours, queries_chat, queries_packing, queries_toxicity, queries_url, queries_sentencepiece, queries_merge)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
