@@ -11,12 +11,13 @@ from atomweave.llm import (
     queries_neighbours,
     queries_packing,
     queries_sentencepiece,
+    queries_spelling,
     queries_toxicity,
     queries_url,
     queries_warc,
 )
 
-MODULES = (queries_warc, queries_language, queries_fingerprint, queries_jaccard, queries_neighbours, queries_chat, queries_packing, queries_toxicity, queries_url, queries_sentencepiece, queries_merge)
+MODULES = (queries_warc, queries_language, queries_fingerprint, queries_jaccard, queries_neighbours, queries_chat, queries_packing, queries_toxicity, queries_url, queries_sentencepiece, queries_merge, queries_spelling)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
