@@ -10,6 +10,7 @@ from atomweave.llm import (
     queries_merge,
     queries_neighbours,
     queries_packing,
+    queries_secrets,
     queries_sentencepiece,
     queries_spelling,
     queries_toxicity,
@@ -17,7 +18,7 @@ from atomweave.llm import (
     queries_warc,
 )
 
-MODULES = (queries_warc, queries_language, queries_fingerprint, queries_jaccard, queries_neighbours, queries_chat, queries_packing, queries_toxicity, queries_url, queries_sentencepiece, queries_merge, queries_spelling)
+MODULES = (queries_warc, queries_language, queries_fingerprint, queries_jaccard, queries_neighbours, queries_chat, queries_packing, queries_toxicity, queries_url, queries_sentencepiece, queries_merge, queries_secrets, queries_spelling)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
