@@ -46,6 +46,8 @@ BLOCK, BLOCK_BITS, LEAST = 512, 1 << 24, 8
 SALTS = 16
 #: Segment hashes that one task brings together, about; those that a task gathers before it sorts and passes them on.
 RANGE_SEGMENTS, HELD_SEGMENTS = 500_000, 1 << 20
+#: Documents of a list in one row.
+CHUNK = 4096
 
 
 @dataclass(frozen=True)
@@ -173,7 +175,7 @@ def _from_planes(raw: bytes) -> np.ndarray:
 
 
 def segment_lists(docs: DataFrame, t: Threshold, width: int, ranges: int) -> DataFrame:
-    """(list, low, times, docs): the doc_ids that have ``times`` segments in common; low is the low byte of the segments' level.
+    """(list, low, times, width, chunk, docs): the ``width`` doc_ids that have ``times`` segments in common, in chunks; low is the low byte of the segments' level.
 
     Segment hashes go to ranges in sorted blocks, not as rows. A task passes on a set once, however many of
     its rows have it, so a range gets of a group of copies no more than one for each flush of a task.
@@ -236,12 +238,19 @@ def segment_lists(docs: DataFrame, t: Threshold, width: int, ranges: int) -> Dat
         first, size, name = first[size > 1], size[size > 1], name[size > 1]
         name, at, times = np.unique(name, return_index=True, return_counts=True)
         first, size = first[at], size[at]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        flat = doc[np.arange(upto[-1]) + np.repeat(first - upto[:-1], size)]
         low = (sig[first] & np.uint64(0xFF)).astype(np.int64)
-        return pa.table({"list": pa.array(name.view(np.int64)), "low": pa.array(low), "times": pa.array(times.astype(np.int64)), "docs": pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))})
+        # a list is cut into chunks, so no cell grows with a group of copies
+        chunks = -(-size // CHUNK)
+        row = np.repeat(np.arange(len(size)), chunks)
+        chunk = np.arange(len(row)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        begin = first[row] + chunk * CHUNK
+        held = np.minimum(size[row] - chunk * CHUNK, CHUNK)
+        upto = np.concatenate([[0], np.cumsum(held)])
+        flat = doc[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], held)]
+        values = {"list": name.view(np.int64)[row], "low": low[row], "times": times.astype(np.int64)[row], "width": size[row], "chunk": chunk}
+        return pa.table({**{k: pa.array(v.astype(np.int64)) for k, v in values.items()}, "docs": pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))})
 
-    return _texts(docs).mapInArrow(tidy(cut), "range int, sigs binary, docs binary").groupBy("range").applyInArrow(tidy_group(meet), "list long, low long, times long, docs array<long>")
+    return _texts(docs).mapInArrow(tidy(cut), "range int, sigs binary, docs binary").groupBy("range").applyInArrow(tidy_group(meet), "list long, low long, times long, width long, chunk long, docs array<long>")
 
 
 class _Union:
@@ -413,8 +422,8 @@ def similar_components(docs: DataFrame, threshold: Threshold = Threshold(90), wi
     ranges = max(1, math.ceil(total * per_token / RANGE_SEGMENTS))
     lists = materialise(segment_lists(docs, threshold, width, ranges), "segment-lists")
     # equal lists of all ranges are one
-    lists = lists.groupBy("list", "low").agg(F.sum("times").alias("times"), F.first("docs").alias("docs"))
-    entries = lists.select("list", "low", "times", F.size("docs").alias("width"), F.explode("docs").alias("doc_id"))
+    lists = lists.groupBy("list", "low", "width", "chunk").agg(F.sum("times").alias("times"), F.first("docs").alias("docs"))
+    entries = lists.select("list", "low", "times", "width", F.explode("docs").alias("doc_id"))
     # by class; a segment that only copies share says nothing
     who = entries.select("doc_id").distinct().join(rows.select("doc_id", "s1", "s2"), "doc_id").join(classes, ["s1", "s2"]).select("doc_id", "rid", "s1", "n", *needs).distinct()
     need = F.when(F.col("low") == F.col("size_class") % 256, F.col("need")).otherwise(F.col("need_below")).alias("need")
@@ -452,20 +461,26 @@ def similar_components(docs: DataFrame, threshold: Threshold = Threshold(90), wi
     placed = salted(shared.select("list", "low", "times", "width", "rid", "s1", "need").join(place, ["rid", "s1"]))
     mixed = placed.groupBy("list", "width").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("list", "width")
     placed = materialise(placed.join(for_salts(mixed), key), "mixed-segments")
-    block = ["gid", "level", "block"]
+    group, block = ["gid", "level"], ["gid", "level", "block"]
     order = F.struct("size", "component")
-    targets = placed.groupBy("list", "width", *block).agg(F.max(order).alias("top"), F.min("n").alias("least"), F.max("n").alias("most"))
+    bounds = F.max(order).alias("top"), F.min("n").alias("least_n"), F.max("n").alias("most_n")
     p, q = threshold.num, threshold.den
-    pairs = (
+    larger = f"own < top AND n * {p} <= most_n * {q} AND least_n * {p} <= n * {q}"  # it holds a larger component, and sizes that can be linked
+    # a class meets a group once a segment; only if enough of its segments are anywhere in the group, it meets the group's blocks
+    targets = placed.groupBy("list", "width", *group).agg(*bounds)
+    met = (
         placed.select(*key, "low", "times", "need", "rid", "s1", "n", order.alias("own"))
         .join(for_salts(targets), key)
-        .where(f"own < top AND n * {p} <= most * {q} AND least * {p} <= n * {q}")  # the block holds a larger component
-        .groupBy("rid", "s1", *block, "low")
-        .agg(F.sum("times").alias("alike"), F.first("need").alias("least"))
+        .where(larger)
+        .groupBy("rid", "s1", *group, "low")
+        .agg(F.sum("times").alias("alike"), F.first("need").alias("least"), F.first("n").alias("n"), F.first("own").alias("own"))
         .where("alike >= least")
-        .select("rid", "s1", *block)
-        .distinct()
+        .groupBy("rid", "s1", *group)
+        .agg(F.first("n").alias("n"), F.first("own").alias("own"))
     )
+    met = materialise(met.withColumn("salt", F.pmod(F.xxhash64("rid", F.lit(13)), F.lit(SALTS)).cast("int")), "met-groups")
+    blocks = place.groupBy(*block).agg(*bounds).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = met.join(blocks, [*group, "salt"]).where(larger).select("rid", "s1", *block)
     pairs = materialise(dealt(materialise(pairs, "pairs"), block, "salts"), "dealt-pairs")
     row = ["rid", "s1", "n", "bits", "component"]
     queries = pairs.withColumn("salt", part(3, "salts")).join(matrix.select(*row), ["rid", "s1"]).select(*UNIT, *row, F.lit(False).alias("member"), F.lit(True).alias("query"))
@@ -479,7 +494,7 @@ def similar_components(docs: DataFrame, threshold: Threshold = Threshold(90), wi
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = rows.select("doc_id", "n_shingles", "s1", "s2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(known, ["s1", "s2", "salt"], "left")
     out = materialise(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "component-ids")
-    discard(rows, shared, stored, links, found, placed, pairs, opened, links2)
+    discard(rows, shared, stored, links, found, placed, met, pairs, opened, links2)
     return out
 
 
