@@ -99,6 +99,65 @@ def hilbert2_decode(code: Column, bits: int = 16) -> tuple[Column, Column]:
     return cell["x"], cell["y"]
 
 
+def once(value: Column, f) -> Column:
+    """f(value), with ``value`` computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _turned(s: Column, axes: str, k: Column) -> Column:
+    """For each axis, what lies below bit k reflected in x if the axis has the bit, else exchanged with x."""
+
+    def along(axis: str):
+        def turn(s: Column) -> Column:
+            on = s[axis].bitwiseAND(k) > 0
+            differ = s["x"].bitwiseXOR(s[axis]).bitwiseAND(k - 1)
+            new = {a: s[a] for a in "xyz"} | {axis: F.when(on, s[axis]).otherwise(s[axis].bitwiseXOR(differ))}
+            new["x"] = F.when(on, s["x"].bitwiseXOR(k - 1)).otherwise(s["x"].bitwiseXOR(differ))
+            return F.struct(*(c.alias(a) for a, c in new.items()))
+
+        return turn
+
+    for axis in axes:
+        s = once(s, along(axis))
+    return s
+
+
+def hilbert3(x: Column, y: Column, z: Column, bits: int = 16) -> Column:
+    """Position of a cell on the three-dimensional Hilbert curve, at most 21 bits an axis.
+
+    From the highest bit down, what lies below a set bit of an axis is reflected in x, below one not set exchanged with x; then the
+    axes are Gray-coded and their bits interleaved, x first.
+    """
+    zero = F.lit(0).cast("long")
+
+    def step(s: Column, i: Column) -> Column:
+        k = F.pow(F.lit(2), i).cast("long")
+        return _turned(s, "xyz", k)
+
+    start = F.struct(*(c.cast("long").alias(a) for a, c in zip("xyz", (x, y, z))))
+
+    def gray(s: Column) -> Column:
+        b = s["x"].bitwiseXOR(s["y"])
+        c = b.bitwiseXOR(s["z"])
+        flip = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, bits - 1))), zero, lambda t, i: F.when(c.bitwiseAND(F.pow(F.lit(2), i).cast("long")) > 0, t.bitwiseXOR(F.pow(F.lit(2), i).cast("long") - 1)).otherwise(t))
+        return F.struct(s["x"].alias("x"), b.alias("y"), c.alias("z"), flip.alias("flip"))
+
+    turned = F.aggregate(F.sequence(F.lit(bits - 1), F.lit(1), F.lit(-1)), start, step, gray) if bits > 1 else gray(start)
+    return once(turned, lambda s: morton3(s["z"].bitwiseXOR(s["flip"]), s["y"].bitwiseXOR(s["flip"]), s["x"].bitwiseXOR(s["flip"])))
+
+
+def hilbert3_decode(code: Column, bits: int = 16) -> Column:
+    """The cell of a position, a struct of x, y, z; the inverse of ``hilbert3``."""
+    z, y, x = morton3_decode(code)
+    start = F.struct(x.bitwiseXOR(F.shiftright(z, 1)).alias("x"), y.bitwiseXOR(x).alias("y"), z.bitwiseXOR(y).alias("z"))
+
+    def step(s: Column, i: Column) -> Column:
+        k = F.pow(F.lit(2), i).cast("long")
+        return _turned(s, "zyx", k)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(bits - 1)), start, step) if bits > 1 else start
+
+
 def segment_distance(px: Column, py: Column, ax: float, ay: float, bx: float, by: float) -> Column:
     """Distance of a point from a line segment."""
     dx, dy = bx - ax, by - ay

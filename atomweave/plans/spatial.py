@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from atomweave.functions import spatial as S
 from atomweave.functions import vector as V
+from atomweave.operators.curve_index import nearest, within, write_index
+from atomweave.operators.work import fresh_path
 from atomweave.plans.base import Registry, table
 
 R = Registry()
@@ -45,12 +47,38 @@ def morton_codes(spark, sf_dir):
     return coded.select("vec_id", "m2", "m3", x.alias("qx"), y.alias("qy"), z.alias("qz"))
 
 
-@R.add("hilbert_order")
+# the fold as a recursion from the highest bit down
+_H2 = f"""h(vec_id, i, x, y, d) AS (SELECT vec_id, 11, qx, qy, 0::BIGINT FROM (SELECT vec_id, {_Q} FROM {XYZ} p) q UNION ALL
+    SELECT vec_id, i - 1, CASE WHEN ry = 0 THEN if(rx = 1, 4095 - y, y) ELSE x END, CASE WHEN ry = 0 THEN if(rx = 1, 4095 - x, x) ELSE y END, d + (1::BIGINT << (2 * i)) * xor(3 * rx, ry)
+    FROM (SELECT *, (x >> i) & 1 AS rx, (y >> i) & 1 AS ry FROM h WHERE i >= 0) s)"""
+
+
+@R.add("hilbert_order", f"WITH RECURSIVE {_H2} SELECT vec_id, d AS h FROM h WHERE i = -1")
 def hilbert_order(spark, sf_dir):
     q = points(spark, sf_dir).select("vec_id", *(S.quantise(F.col(c), -1.0, 1.0, 12).alias(f"q{c}") for c in "xy"))
     return q.select("vec_id", S.hilbert2(F.col("qx"), F.col("qy"), 12).alias("h"))
 
 
+def _h3(cells: str, key: str) -> str:
+    """A recursion that turns axes bit by bit, then Gray codes and interleaves; ``cells`` has (key, qx, qy, qz) of 12 bits."""
+    turn = lambda a: f"if((({a} >> i) & 1) = 1, xor(x, (1::BIGINT << i) - 1), xor(x, xor(x, {a}) & ((1::BIGINT << i) - 1)))"
+    other = lambda a: f"if((({a} >> i) & 1) = 1, {a}, xor({a}, xor(x, {a}) & ((1::BIGINT << i) - 1)))"
+    bits = " + ".join(f"(((xor(x, flip) >> {b}) & 1) << {3 * b + 2}) + (((xor(b, flip) >> {b}) & 1) << {3 * b + 1}) + (((xor(c, flip) >> {b}) & 1) << {3 * b})" for b in range(12))
+    return f"""t({key}, i, x, y, z) AS (SELECT {key}, 11, qx::BIGINT, qy::BIGINT, qz::BIGINT FROM ({cells}) q UNION ALL
+    SELECT {key}, i - 1, {turn("z")}, y, {other("z")} FROM (SELECT {key}, i, {turn("y")} AS x, {other("y")} AS y, z FROM (SELECT {key}, i, {turn("x")} AS x, y, z FROM t WHERE i >= 1) u) v),
+    g AS (SELECT {key}, x, xor(x, y) AS b, xor(xor(x, y), z) AS c FROM t WHERE i = 0),
+    f AS (SELECT *, list_reduce([if(((c >> k) & 1) = 1, (1::BIGINT << k) - 1, 0::BIGINT) FOR k IN range(1, 12)], lambda p, q: xor(p, q)) AS flip FROM g),
+    h3 AS (SELECT {key}, ({bits})::BIGINT AS h FROM f)"""
+
+
+@R.add("hilbert3_codes", f"WITH RECURSIVE {_h3(f'SELECT vec_id, {_Q} FROM {XYZ} p', 'vec_id')} SELECT h3.vec_id, h, qx, qy, qz FROM h3 JOIN (SELECT vec_id, {_Q} FROM {XYZ} p) q ON q.vec_id = h3.vec_id")
+def hilbert3_codes(spark, sf_dir):
+    """Codes of all three axes, and the cells that they decode to."""
+    q = points(spark, sf_dir).select("vec_id", *(S.quantise(F.col(c), -1.0, 1.0, 12).alias(c) for c in "xyz"))
+    coded = q.select("vec_id", S.hilbert3(*xyz(), 12).alias("h")).withColumn("cell", S.hilbert3_decode(F.col("h"), 12))
+    return coded.select("vec_id", "h", *(F.col(f"cell.{c}").alias(f"q{c}") for c in "xyz"))
+
+
 @R.add("hilbert_round_trip", f"SELECT vec_id, qx, qy, 1::BIGINT AS cells_at_code FROM (SELECT vec_id, {_Q} FROM {XYZ} p) q")
 def hilbert_round_trip(spark, sf_dir):
     """Cells coded and decoded again: the oracle has what went in; no two cells share a code."""
@@ -61,31 +89,40 @@ def hilbert_round_trip(spark, sf_dir):
     return coded.join(per, "h").select("vec_id", x.alias("qx"), y.alias("qy"), "cells_at_code")
 
 
-@R.add("hilbert_neighbours", "SELECT 4095::BIGINT AS steps, 4095::BIGINT AS unit_steps")
+@R.add("hilbert_neighbours", "SELECT count(*) AS steps, count(*) AS unit_steps FROM embeddings")
 def hilbert_neighbours(spark, sf_dir):
-    """Each of the 4,096 positions of a 64 x 64 curve lies beside the one before it."""
-    x, y = S.hilbert2_decode(F.col("id"), 6)
-    p = spark.range(4096).select("id", x.alias("x"), y.alias("y"))
-    n = p.select((F.col("id") - 1).alias("id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    near = F.abs(F.col("x") - F.col("x2")) + F.abs(F.col("y") - F.col("y2")) == 1
-    return p.join(n, "id").agg(F.count("*").alias("steps"), F.sum(near.cast("long")).alias("unit_steps"))
+    """The curve goes on from each vector's cell to one beside it."""
+    q = points(spark, sf_dir).select(*(S.quantise(F.col(c), -1.0, 1.0, 12).alias(c) for c in "xyz"))
+    coded = q.select(S.hilbert3(*xyz(), 12).alias("h"))
+    p = coded.select(S.hilbert3_decode(F.col("h"), 12).alias("a"), S.hilbert3_decode(F.when(F.col("h") < (1 << 36) - 1, F.col("h") + 1).otherwise(F.col("h") - 1), 12).alias("b"))
+    near = sum((F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz"), F.lit(0)) == 1
+    return p.agg(F.count("*").alias("steps"), F.sum(near.cast("long")).alias("unit_steps"))
+
 
+_CORNERS = f"SELECT label, {_Q} FROM (SELECT label, min(embedding[1]::DOUBLE) AS x, min(embedding[2]::DOUBLE) AS y, min(embedding[3]::DOUBLE) AS z FROM embeddings GROUP BY label) p"
 
-@R.add("hilbert_range_start", "SELECT label, count(*) AS n, true AS starts_first FROM embeddings GROUP BY label")
+
+@R.add("hilbert_range_start", f"WITH RECURSIVE {_h3(_CORNERS, 'label')} SELECT label, h AS start FROM h3")
 def hilbert_range_start(spark, sf_dir):
-    """The code where a label's bounding box begins is the least code of its points' cells, taken over the box's rows."""
-    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    h = S.hilbert2(S.quantise(F.col("x"), -1.0, 1.0, 12), S.quantise(F.col("y"), -1.0, 1.0, 12), 12)
-    coded = e.withColumn("h", h)
-    start = coded.groupBy("label").agg(F.min("h").alias("start"), F.count("*").alias("n"))
-    return coded.join(F.broadcast(start), "label").groupBy("label").agg(F.first("n").alias("n"), F.min((F.col("h") >= F.col("start")).cast("int")).cast("boolean").alias("starts_first"))
+    """The code of the lower corner of each label's bounding box."""
+    e = table(spark, sf_dir, "embeddings")
+    corner = e.groupBy("label").agg(*(F.min(F.col("embedding")[i].cast("double")).alias(c) for i, c in enumerate("xyz")))
+    return corner.select("label", S.hilbert3(*(S.quantise(F.col(c), -1.0, 1.0, 12) for c in "xyz"), 12).alias("start"))
+
+
+def _index(spark, sf_dir):
+    return write_index(points(spark, sf_dir), fresh_path(spark, "curve-index"))
 
 
 @R.add("spatial_knn", f"SELECT vec_id, round(sqrt((x - 0.1) ** 2 + y ** 2 + (z + 0.1) ** 2), 6) AS d FROM {XYZ} p ORDER BY d, vec_id LIMIT 12")
 def spatial_knn(spark, sf_dir):
-    x, y, z = xyz()
-    d = F.round(F.sqrt(F.pow(x - 0.1, 2) + F.pow(y, 2) + F.pow(z + 0.1, 2)), 6)
-    return points(spark, sf_dir).select("vec_id", d.alias("d")).orderBy("d", "vec_id").limit(12)
+    return nearest(_index(spark, sf_dir), spark, (0.1, 0.0, -0.1), 12, "vec_id").select("vec_id", "d")
+
+
+@R.add("curve_box_scan", f"SELECT vec_id FROM {XYZ} p WHERE x BETWEEN -0.05 AND 0.15 AND y BETWEEN -0.1 AND 0.1 AND z BETWEEN 0.0 AND 0.2")
+def curve_box_scan(spark, sf_dir):
+    """Vectors in a box, by intervals of the curve."""
+    return within(_index(spark, sf_dir), spark, (-0.05, -0.1, 0.0), (0.15, 0.1, 0.2)).select("vec_id")
 
 
 @R.add("spatial_region", f"SELECT vec_id, (x ** 2 + y ** 2 <= 0.01) AS within_circle, (x BETWEEN -0.1 AND 0.1 AND y BETWEEN 0 AND 0.2) AS within_box, round(CASE WHEN x < 0 THEN sqrt(x ** 2 + y ** 2) WHEN x > 0.2 THEN sqrt((x - 0.2) ** 2 + y ** 2) ELSE abs(y) END, 6) AS to_segment, printf('POINT (%.6f %.6f %.6f)', x, y, z) AS wkt FROM {XYZ} p")
