@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from atomweave.operators.work import fresh_path
 from atomweave.plans.base import Registry, table
 from atomweave.sources import formats as X
 from atomweave.sources import ingest as I
+from atomweave.sources import quantised as Q
+from atomweave.sources.tensors import register
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -48,28 +51,87 @@ R.sql("text_line_atoms", "SELECT line, count(*) AS n FROM documents LATERAL VIEW
 R.sql("character_atoms", "SELECT ch, count(*) AS n FROM documents LATERAL VIEW explode(split(text, '')) t AS ch WHERE ch <> '' GROUP BY ch", "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) t WHERE ch <> '' GROUP BY ch")
 
 
-def _model_files(spark, sf_dir):
-    """A model file for each label: the label's embeddings as one tensor each."""
-    import numpy as np
-    import pandas as pd
+#: Vectors of a model file at most.
+FILE_VECTORS = 2048
 
-    def write(key, pdf):
-        pdf = pdf.sort_values("vec_id")
-        tensors = {f"v{i}": np.asarray(v, np.float32) for i, v in zip(pdf["vec_id"], pdf["embedding"])}
-        return pd.DataFrame({"path": [f"label{key[0]}"], "content": [X.write_gguf({"general.name": f"label{key[0]}", "n": len(pdf)}, tensors)]})
 
-    return table(spark, sf_dir, "embeddings").groupBy("label").applyInPandas(write, "path string, content binary")
+def _model_files(spark, sf_dir, pack=None):
+    """The folder of model files, a tensor a vector: a task writes files of bounded size for each label that it meets.
+
+    ``pack`` makes a tensor of a vector; else it is written as F32. A task that is run again writes the same names.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyarrow import fs as pafs
+    from pyspark import TaskContext
+
+    folder = fresh_path(spark, "models")
+
+    def write(batches):
+        system, inner = pafs.FileSystem.from_uri(folder)
+        system.create_dir(inner)
+        task, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            ids, labels = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            vectors = b.column(1).to_pylist()
+            for label in np.unique(labels).tolist():
+                rows = np.flatnonzero(labels == label)
+                for at in range(0, len(rows), FILE_VECTORS):
+                    part = {f"v{ids[i]}": np.asarray(vectors[i], np.float32) for i in rows[at : at + FILE_VECTORS]}
+                    tensors = part if pack is None else {f"{k}.{kind}": x for k, v in part.items() for kind, x in pack(v).items()}
+                    with system.open_output_stream(f"{inner}/label{label}-{task}-{n}.gguf") as f:
+                        f.write(X.write_gguf({"general.name": f"label{label}", "n": len(part)}, tensors))
+                    n += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<float>"), "label")
+    e.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    register(spark)
+    return folder
 
 
 @R.add("model_file_catalogue", "SELECT 'label' || label AS path, 'v' || vec_id AS tensor, 'F32' AS kind, len(embedding)::BIGINT AS n FROM embeddings")
 def model_file_catalogue(spark, sf_dir):
-    return X.gguf_catalogue(_model_files(spark, sf_dir)).select("path", "tensor", "kind", F.element_at("shape", 1).alias("n"))
+    """From headers alone."""
+    t = spark.read.format("tensors").option("values", "false").load(_model_files(spark, sf_dir))
+    return t.select(F.regexp_extract("path", r"(label\d+)-[^/]*$", 1).alias("path"), "tensor", "kind", F.element_at("shape", 1).alias("n"))
 
 
 @R.add("model_weight_stream", "SELECT 'v' || vec_id AS tensor, i AS position, round(embedding[i + 1]::DOUBLE, 6) AS weight FROM embeddings, range(0, 64) r(i)")
 def model_weight_stream(spark, sf_dir):
-    chunks = X.tensor_values(_model_files(spark, sf_dir), chunk=10)
-    return chunks.select("tensor", "start", F.posexplode("values").alias("i", "x")).select("tensor", (F.col("start") + F.col("i")).alias("position"), F.round("x", 6).alias("weight"))
+    chunks = spark.read.format("tensors").option("chunk", 10).load(_model_files(spark, sf_dir))
+    return chunks.select("tensor", "start", F.posexplode("values").alias("i", "x")).select("tensor", (F.col("start") + F.col("i")).alias("position"), F.round(F.col("x").cast("double"), 6).alias("weight"))
+
+
+#: Steps and least values that 16-bit floats hold exactly.
+STEPS = {"Q8_0": (2.0**-7, None), "Q4_0": (2.0**-4, None), "Q4_1": (2.0**-3, -1.0), "Q5_0": (2.0**-5, None), "Q5_1": (2.0**-4, -1.0), "Q4_K": (2.0**-3, -1.0), "Q5_K": (2.0**-5, None), "Q6_K": (2.0**-6, None)}
+
+
+def _pack(v):
+    """A vector in each kind; where a block is longer, the vector is repeated."""
+    import numpy as np
+
+    out = {}
+    for kind, (step, least) in STEPS.items():
+        k = Q.KINDS[kind]
+        x = np.tile(v, -(-k.values // len(v))) if k.values > len(v) else v
+        n = len(x) // k.values
+        out[kind] = kind, len(x), Q.quantise(x[: n * k.values], kind, np.full(n, step), None if least is None else np.full(n, least))
+    return out
+
+
+_STEP_ROWS = ", ".join(f"('{k}', {s}::DOUBLE, {'NULL' if m is None else m}::DOUBLE, {1 << (Q.KINDS[k].bits - 1)}, {max(64, Q.KINDS[k].values)})" for k, (s, m) in STEPS.items())
+
+
+@R.add(
+    "dequantised_weights",
+    f"""SELECT 'v' || vec_id AS tensor, kind, i AS position, round(CASE WHEN least IS NULL THEN step * least(greatest(floor(x / step + 0.5), -half), half - 1) ELSE least + step * least(greatest(floor((x - least) / step + 0.5), 0), 2 * half - 1) END, 6) AS weight
+    FROM (SELECT vec_id, kind, i, step, least, half, embedding[i % 64 + 1]::DOUBLE AS x FROM embeddings, (VALUES {_STEP_ROWS}) k(kind, step, least, half, n), range(0, 128) r(i) WHERE i < n) t""",
+)
+def dequantised_weights(spark, sf_dir):
+    """Every vector in every block-quantised kind, written to model files and read back."""
+    chunks = spark.read.format("tensors").load(_model_files(spark, sf_dir, _pack))
+    return chunks.select(F.split_part("tensor", F.lit("."), F.lit(1)).alias("tensor"), "kind", "start", F.posexplode("values").alias("i", "x")).select("tensor", "kind", (F.col("start") + F.col("i")).alias("position"), F.round(F.col("x").cast("double"), 6).alias("weight"))
 
 
 def _images(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""File formats read with ``binaryFile`` and Arrow functions: sniffing, archives, wave frames, tensor files, dequantisers.
+"""File formats read with ``binaryFile`` and Arrow functions: sniffing, archives, wave frames, images, model files written.
 
 A file that can't be parsed gives no row of content; its path stays in the sniffing table.
 """
@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import gzip
 import io
-import json
 import struct
 import tarfile
 import wave
@@ -19,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atomweave.sources.tensors import GGUF_KINDS
+
 #: Magic numbers as hexadecimal prefixes.
 MAGIC = (
     ("89504e47", "image/png"),
@@ -106,152 +107,24 @@ def wave_frames(files: DataFrame, frame_ms: int = 25) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, channel int, frame int, rms double, peak double")
 
 
-def safetensors_catalogue(files: DataFrame) -> DataFrame:
-    """(path, tensor, dtype, shape, begin, end) from the JSON header of each file."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for p, raw in zip(f["path"], f["content"]):
-                raw = bytes(raw)
-                try:
-                    head = json.loads(raw[8 : 8 + struct.unpack("<Q", raw[:8])[0]])
-                    rows += [(p, k, v["dtype"], v["shape"], *v["data_offsets"]) for k, v in head.items() if k != "__metadata__"]
-                except (ValueError, KeyError, struct.error, TypeError):
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "tensor", "dtype", "shape", "begin", "end"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, tensor string, dtype string, shape array<long>, begin long, end long")
-
-
-def dequantise(raw: bytes, kind: str) -> np.ndarray:
-    """Float values of a little-endian buffer. Q8_0: blocks of a float scale and 32 signed bytes;
-    Q4_0: blocks of a float scale and 16 bytes whose low and high nibbles follow each other, less 8; Q4_1: scale, least value, nibbles."""
-    if kind == "F32":
-        return np.frombuffer(raw, "<f4").astype(float)
-    if kind == "F16":
-        return np.frombuffer(raw, "<f2").astype(float)
-    size = {"Q8_0": 36, "Q4_0": 20, "Q4_1": 24}[kind]
-    b = np.frombuffer(raw[: len(raw) // size * size], np.uint8).reshape(-1, size)
-    scale = np.ascontiguousarray(b[:, :4]).view("<f4").astype(float)
-    if kind == "Q8_0":
-        return (np.ascontiguousarray(b[:, 4:]).view(np.int8) * scale).ravel()
-    body = b[:, 8:] if kind == "Q4_1" else b[:, 4:]
-    q = np.stack([body & 15, body >> 4], 2).reshape(len(b), -1).astype(float)
-    if kind == "Q4_0":
-        return ((q - 8) * scale).ravel()
-    return (q * scale + np.ascontiguousarray(b[:, 4:8]).view("<f4")).ravel()
-
-
-GGUF_KINDS = {0: "F32", 1: "F16", 8: "Q8_0"}
+def write_gguf(metadata: dict[str, str | int], tensors: dict[str, np.ndarray | tuple[str, int, bytes]]) -> bytes:
+    """A little-endian version 3 file: header, metadata, tensor table, data aligned to 32 bytes.
 
-
-def write_gguf(metadata: dict[str, str | int], tensors: dict[str, np.ndarray]) -> bytes:
-    """A little-endian version 3 file with F32 tensors: header, metadata, tensor table, data aligned to 32 bytes."""
+    A tensor is an array, written as F32, or (kind, number of values, bytes).
+    """
     text = lambda s: struct.pack("<Q", len(s.encode())) + s.encode()
-    out = b"GGUF" + struct.pack("<IQQ", 3, len(tensors), len(metadata))
+    number = {name: i for i, name in GGUF_KINDS.items()}
+    out = [b"GGUF" + struct.pack("<IQQ", 3, len(tensors), len(metadata))]
     for k, v in metadata.items():
-        out += text(k) + (struct.pack("<I", 8) + text(v) if isinstance(v, str) else struct.pack("<Iq", 11, v))
-    at = 0
+        out.append(text(k) + (struct.pack("<I", 8) + text(v) if isinstance(v, str) else struct.pack("<Iq", 11, v)))
+    at, data = 0, []
     for name, x in tensors.items():
-        out += text(name) + struct.pack("<I", x.ndim) + struct.pack(f"<{x.ndim}Q", *reversed(x.shape)) + struct.pack("<IQ", 0, at)
-        at += -(-4 * x.size // 32) * 32
-    out += bytes(-len(out) % 32)
-    for x in tensors.values():
-        raw = x.astype("<f4").tobytes()
-        out += raw + bytes(-len(raw) % 32)
-    return out
-
-
-#: The sizes of metadata values by type number; 8 is text, 9 an array.
-GGUF_SIZES = {0: "B", 1: "b", 2: "H", 3: "h", 4: "I", 5: "i", 6: "f", 7: "?", 10: "Q", 11: "q", 12: "d"}
-
-
-def parse_gguf(raw: bytes) -> tuple[dict, list[tuple[str, str, list[int], int]]]:
-    """Metadata, and (tensor, kind, shape, offset of its data in the file). ValueError if the bytes aren't such a file."""
-    at = 0
-
-    def take(fmt: str):
-        nonlocal at
-        got = struct.unpack_from("<" + fmt, raw, at)
-        at += struct.calcsize("<" + fmt)
-        return got[0] if len(got) == 1 else list(got)
-
-    def text() -> str:
-        nonlocal at
-        n = take("Q")
-        if n > len(raw) - at:
-            raise ValueError("a text ends beyond the file")
-        at += n
-        return raw[at - n : at].decode("utf-8", "replace")
-
-    def value(kind: int):
-        if kind == 8:
-            return text()
-        if kind == 9:
-            inner, n = take("I"), take("Q")
-            return [value(inner) for _ in range(n)]
-        return take(GGUF_SIZES[kind])
-
-    try:
-        if raw[:4] != b"GGUF":
-            raise ValueError("no such file")
-        at = 4
-        take("I")
-        n_tensors, n_values = take("QQ")
-        metadata = {}
-        for _ in range(n_values):
-            name = text()
-            metadata[name] = value(take("I"))
-        found = []
-        for _ in range(n_tensors):
-            name, dims = text(), take("I")
-            shape = [take("Q") for _ in range(dims)][::-1]
-            kind, offset = take("I"), take("Q")
-            found.append((name, GGUF_KINDS.get(kind, str(kind)), shape, offset))
-    except (struct.error, KeyError, RecursionError, MemoryError) as e:
-        raise ValueError(f"not readable: {e}") from e
-    step = int(metadata.get("general.alignment", 32))
-    base = -(-at // step) * step
-    return metadata, [(name, kind, shape, base + offset) for name, kind, shape, offset in found]
-
-
-def gguf_catalogue(files: DataFrame) -> DataFrame:
-    """(path, tensor, kind, shape, begin) of every tensor; unreadable files give none."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for p, raw in zip(f["path"], f["content"]):
-                try:
-                    rows += [(p, *x) for x in parse_gguf(bytes(raw))[1]]
-                except ValueError:
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "tensor", "kind", "shape", "begin"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, tensor string, kind string, shape array<long>, begin long")
-
-
-def tensor_values(files: DataFrame, chunk: int = 1024) -> DataFrame:
-    """(path, tensor, start, values): the F32 and F16 tensors of such files in chunks of bounded size."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for p, raw in zip(f["path"], f["content"]):
-                raw, rows = bytes(raw), []
-                try:
-                    found = parse_gguf(raw)[1]
-                except ValueError:
-                    continue
-                for name, kind, shape, begin in found:
-                    size = {"F32": 4, "F16": 2}.get(kind)
-                    n = int(np.prod(shape)) if size else 0
-                    for s in range(0, n, chunk):
-                        part = raw[begin + size * s : begin + size * min(n, s + chunk)]
-                        rows.append((p, name, s, dequantise(part, kind).tolist()))
-                yield pd.DataFrame(rows, columns=["path", "tensor", "start", "values"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, tensor string, start long, values array<double>")
+        kind, shape, raw = (x[0], (x[1],), x[2]) if isinstance(x, tuple) else ("F32", x.shape, x.astype("<f4").tobytes())
+        out.append(text(name) + struct.pack("<I", len(shape)) + struct.pack(f"<{len(shape)}Q", *reversed(shape)) + struct.pack("<IQ", number[kind], at))
+        data.append(raw + bytes(-len(raw) % 32))
+        at += len(data[-1])
+    head = b"".join(out)
+    return head + bytes(-len(head) % 32) + b"".join(data)
 
 
 def write_bmp(pixels: np.ndarray) -> bytes:
@@ -320,13 +193,3 @@ def binary_to_floats(column: str) -> Column:
         return b.map(lambda x: None if x is None else np.frombuffer(bytes(x)[: len(x) // 4 * 4], "<f4").tolist())
 
     return run(column)
-
-
-def dequantise_column(blobs: DataFrame, kind: str) -> DataFrame:
-    """(id, values) of blobs (id, data)."""
-
-    @F.pandas_udf("array<double>")
-    def run(data: pd.Series) -> pd.Series:
-        return data.map(lambda x: dequantise(bytes(x), kind).tolist())
-
-    return blobs.select("id", run("data").alias("values"))

@@ -1,7 +1,5 @@
 import gzip
 import io
-import json
-import struct
 import wave
 import zipfile
 
@@ -27,26 +25,11 @@ def test_sniffing_and_archives(spark, tmp_path):
     assert got == {(".bin", "x.txt"): b"hello", (".bin", "in.zip/deep.txt"): b"d", ("b.gz", "content"): b"text"}
 
 
-def test_wave_and_tensors(spark, tmp_path):
+def test_wave_frames(spark, tmp_path):
     with wave.open(str(tmp_path / "a.wav"), "wb") as w:
         w.setnchannels(1)
         w.setsampwidth(2)
         w.setframerate(1000)
         w.writeframes(np.full(60, 16384, "<i2").tobytes())
-    head = json.dumps({"w": {"dtype": "F32", "shape": [2], "data_offsets": [0, 8]}}).encode()
-    (tmp_path / "m.safetensors").write_bytes(struct.pack("<Q", len(head)) + head + bytes(8))
-    files = X.read_files(spark, str(tmp_path))
-    frames = X.wave_frames(files).collect()
+    frames = X.wave_frames(X.read_files(spark, str(tmp_path))).collect()
     assert len(frames) == 3 and all(abs(r["rms"] - 0.5) < 1e-9 and r["peak"] == 0.5 for r in frames)
-    (t,) = X.safetensors_catalogue(files.where("path LIKE '%safetensors'")).collect()
-    assert (t["tensor"], t["shape"], t["end"]) == ("w", [2], 8)
-
-
-def test_dequantisers(spark):
-    q8 = struct.pack("<f", 0.5) + np.arange(-16, 16, dtype=np.int8).tobytes()
-    assert X.dequantise(q8, "Q8_0")[:2].tolist() == [-8.0, -7.5]
-    q4 = struct.pack("<f", 2.0) + bytes([0x98] * 16)
-    assert X.dequantise(q4, "Q4_0")[:2].tolist() == [0.0, 2.0]
-    assert X.dequantise(struct.pack("<ff", 1.0, 3.0) + bytes([0x10] * 16), "Q4_1")[:2].tolist() == [3.0, 4.0]
-    df = spark.createDataFrame([(1, bytearray(struct.pack("<2f", 1, 2)))], "id int, data binary")
-    assert X.dequantise_column(df, "F32").first()["values"] == [1.0, 2.0]
