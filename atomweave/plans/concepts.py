@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import re
 
-from atomweave.plans.base import Registry
+from pyspark.sql import functions as F
+
+from atomweave.operators.kd_join import density_clusters, nearest_join, outlier_factors
+from atomweave.plans.base import Registry, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -49,19 +52,64 @@ R.sql("bind_concepts", re.sub(r"DOT\[([^;\]]+);([^\]]+)\]", lambda m: DOT_S.form
 ORACLES["bind_concepts"] = re.sub(
     r"DOT\[([^;\]]+);([^\]]+)\]", lambda m: DOT_D.format(a=m[1], b=m[2]), _BIND.replace("ARRAYC", "list(c ORDER BY i)").replace("CENTRES", _CENTRES_D).replace("VEC", VEC_D)
 )
-# the ten nearest within 0.3 of each atom, found among the cells around its own; clusters are ranked by size, then nearness
-_NEAR = """WITH p AS (SELECT vec_id, x, y, z, CAST(floor(x / 0.3) AS BIGINT) AS cx, CAST(floor(y / 0.3) AS BIGINT) AS cy, CAST(floor(z / 0.3) AS BIGINT) AS cz FROM XYZ q),
-    o AS (SELECT a.i AS dx, b.i AS dy, c.i AS dz FROM (SELECT -1 AS i UNION ALL SELECT 0 UNION ALL SELECT 1) a CROSS JOIN (SELECT -1 AS i UNION ALL SELECT 0 UNION ALL SELECT 1) b CROSS JOIN (SELECT -1 AS i UNION ALL SELECT 0 UNION ALL SELECT 1) c),
-    w AS (SELECT vec_id, x, y, z, cx + dx AS cx, cy + dy AS cy, cz + dz AS cz FROM p CROSS JOIN o),
-    d AS (SELECT w.vec_id, p.vec_id AS other, sqrt((w.x - p.x) * (w.x - p.x) + (w.y - p.y) * (w.y - p.y) + (w.z - p.z) * (w.z - p.z)) AS d FROM w JOIN p ON p.cx = w.cx AND p.cy = w.cy AND p.cz = w.cz WHERE p.vec_id <> w.vec_id),
-    k AS (SELECT vec_id, other, d, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), other) AS r FROM d WHERE d <= 0.3)"""
-both("knn_join_per_row", _NEAR + " SELECT vec_id, other, CAST(r AS BIGINT) AS r, round(d, 6) AS d FROM k WHERE r <= 10")
-both(
+# the ten nearest within 0.3 of each atom, by cells of a kd-tree; clusters are ranked by size, then nearness
+_NEAR = """WITH p AS (SELECT vec_id, x, y, z FROM XYZ q),
+    d AS (SELECT a.vec_id, b.vec_id AS other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id),
+    k AS (SELECT vec_id, other, d, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), other) AS r FROM d WHERE d <= 0.3)""".replace("XYZ", XYZ_D)
+
+
+def _ten_nearest(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("xyz"))
+    return nearest_join(e, "vec_id", "xyz", 10, 0.3).withColumnRenamed("id", "vec_id")
+
+
+@R.add("knn_join_per_row", _NEAR + " SELECT vec_id, other, CAST(r AS BIGINT) AS r, round(d, 6) AS d FROM k WHERE r <= 10")
+def knn_join_per_row(spark, sf_dir):
+    return _ten_nearest(spark, sf_dir).select("vec_id", "other", F.col("rank").alias("r"), F.round("d", 6).alias("d"))
+
+
+@R.add(
     "cluster_concepts",
     _NEAR
     + """, n AS (SELECT vec_id, count(*) AS neighbours, round(avg(d), 6) AS mean_d FROM k WHERE r <= 10 GROUP BY vec_id HAVING count(*) >= 3)
     SELECT neighbours, mean_d, count(*) AS atoms, min(vec_id) AS representative, round(1 - mean_d / 0.3, 6) AS density FROM n GROUP BY neighbours, mean_d HAVING 1 - mean_d / 0.3 >= 0.3""",
 )
+def cluster_concepts(spark, sf_dir):
+    n = _ten_nearest(spark, sf_dir).groupBy("vec_id").agg(F.count("*").alias("neighbours"), F.round(F.avg("d"), 6).alias("mean_d")).where("neighbours >= 3")
+    c = n.where("1 - mean_d / 0.3 >= 0.3").groupBy("neighbours", "mean_d").agg(F.count("*").alias("atoms"), F.min("vec_id").alias("representative"))
+    return c.withColumn("density", F.round(1 - F.col("mean_d") / 0.3, 6))
+
+
+_PAIRS = "d AS MATERIALIZED (SELECT a.vec_id, b.vec_id AS other, sqrt(greatest(list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) FOR i IN range(1, len(a.v) + 1)]), 0)) AS d FROM VEC a JOIN VEC b ON a.vec_id <> b.vec_id)".replace("VEC", VEC_D)
+
+
+@R.add(
+    "local_outlier_factors",
+    f"""WITH {_PAIRS}, k AS MATERIALIZED (SELECT vec_id, other, round(d, 9) AS d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), other) AS r FROM d) t WHERE r <= 5),
+    f AS (SELECT vec_id, max(d) AS far FROM k GROUP BY 1), l AS MATERIALIZED (SELECT k.vec_id, 1 / (avg(greatest(f.far, k.d)) + 1e-10) AS density FROM k JOIN f ON f.vec_id = k.other GROUP BY 1)
+    SELECT k.vec_id, round(avg(o.density) / min(l.density), 6) AS lof FROM k JOIN l ON l.vec_id = k.vec_id JOIN l o ON o.vec_id = k.other GROUP BY 1""",
+)
+def local_outlier_factors(spark, sf_dir):
+    """Over all components, five neighbours, the whole table."""
+    return outlier_factors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select(F.col("id").alias("vec_id"), F.round("lof", 6).alias("lof"))
+
+
+EPS, LEAST = 1.15, 4
+
+
+@R.add(
+    "density_clusters",
+    f"""WITH RECURSIVE {_PAIRS}, n AS MATERIALIZED (SELECT vec_id, other FROM d WHERE d <= {EPS}), c AS MATERIALIZED (SELECT vec_id FROM n GROUP BY 1 HAVING count(*) + 1 >= {LEAST}),
+    e AS MATERIALIZED (SELECT n.vec_id AS a, n.other AS b FROM n JOIN c ON c.vec_id = n.vec_id JOIN c o ON o.vec_id = n.other),
+    r(vec_id, reach) AS (SELECT vec_id, vec_id FROM c UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.reach),
+    k AS MATERIALIZED (SELECT vec_id, min(reach) AS cluster FROM r GROUP BY 1), b AS (SELECT n.vec_id, min(k.cluster) AS cluster FROM n JOIN k ON k.vec_id = n.other GROUP BY 1)
+    SELECT v.vec_id, coalesce(k.cluster, b.cluster) AS cluster, k.vec_id IS NOT NULL AS core FROM embeddings v LEFT JOIN k ON k.vec_id = v.vec_id LEFT JOIN b ON b.vec_id = v.vec_id""",
+)
+def density_clusters_query(spark, sf_dir):
+    """Over all components, the whole table."""
+    return density_clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", EPS, LEAST).withColumnRenamed("id", "vec_id")
+
+
 # a domain reaches half way to the nearest other centroid, 0.5 where there is none
 both(
     "concept_domains",
