@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,16 +33,21 @@ def three_sigma(events: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
             for event_id, value in f.sort_values(["ts", "event_id"])[["event_id", "value"]].itertuples(index=False):
                 held = [*held, value][-KEEP:]
                 if len(held) > LEAST:
-                    s = pd.Series(held)
-                    out.append((key[0], event_id, bool(abs(value - s.mean()) > sigmas * s.std(ddof=0))))
+                    s = np.array(held)
+                    out.append((key[0], event_id, bool(abs(value - s.mean()) > sigmas * s.std())))
             yield pd.DataFrame(out, columns=["user_id", "event_id", "alarm"]).astype({"user_id": "int64", "event_id": "int64", "alarm": "bool"})
         state.update((held,))
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, alarm boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over what its source has now into a memory table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def sliding(events: DataFrame, late: str = "1 hour", width: str = "6 hours", step: str = "1 hour") -> DataFrame:
+    """Counts of every window of ``width`` that begins at a multiple of ``step``; a window comes out once the watermark has passed it."""
+    e = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    return e.groupBy(F.window("at", width, step).alias("w")).agg(F.count("*").alias("n"))
+
+
+def sessions(events: DataFrame, late: str = "1 hour", gap: str = "12 hours") -> DataFrame:
+    """Sessions of a user: they end where no event follows within ``gap``; one comes out once the watermark has passed its end."""
+    e = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    return e.groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.min("at").alias("begins"), F.max("at").alias("ends"))
