@@ -1,17 +1,20 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
 Terms are the letter runs of the lower-cased text: every term of every example is in the index, and every
-term of a text is looked up. A term weighs (1 + ln tf) * idf * (``FLOOR`` + phi), where phi is the strength of the term's association with
-the label among the examples (square root of chi-squared over their number, 0 to 1). So all terms count, and those that tell the labels apart
-count most; with plain idf, long texts are near each other by whatever rare words they share. Vectors have unit length and the cosine is
+term of a text is looked up. A term weighs (1 + ln tf) * idf; vectors have unit length and the cosine is
 exact. Examples are at most ``EXAMPLES`` labelled documents of each label (in expectation; drawn by hash), a documented bound.
 
-Example numbers are cut into blocks; for each term and block the index keeps the largest weight. A text's bound for a block
+Examples are numbered so that similar ones lie in one block: halves of their projections, along the widest direction. For each term and block
+the index keeps the largest weight. A text's bound for a block
 is the sum over its terms. The blocks of the largest bounds are opened first; then only those whose bound
-reaches the k-th similarity so far, so pruning is exact. Sums over blocks are in single precision, and whatever comes within ``MARGIN`` of
+reaches the k-th similarity so far, and postings are read of opened blocks alone, so pruning is exact. Sums over blocks are in single precision, and whatever comes within ``MARGIN`` of
 the k-th is measured again in double precision.
 
-The k nearest examples vote with their similarities, weighted for the share of their label that was sampled and
+Of the ``NEIGHBOURS`` nearest, those ``VOTERS`` vote that are the nearest by the same cosine with each term's weight multiplied by ``FLOOR`` + phi, where phi is the strength of the term's association
+with the label among the examples (square root of chi-squared over their number, 0 to 1); by that cosine they are weighted. So which examples are near is a matter of the texts
+alone, and the label's terms only decide which of them speak, and how loud.
+
+Votes are weighted for the share of their label that was sampled and
 drawn to the prior by ``PULL``. A logistic curve turns the vote into a probability; it is fitted at every size on the votes that the
 examples get from each other, each without its own. The evidence is the nearest examples themselves. Ties go to the smaller example number.
 
@@ -39,17 +42,17 @@ from atomweave.llm.common import tidy
 from atomweave.llm.language_id import remainder
 
 EXAMPLES = 1000
-NEIGHBOURS = 15
-BLOCK = 64
-#: Blocks that are opened before the k-th similarity is known.
-FIRST = 4
+NEIGHBOURS, VOTERS = 100, 15
+BLOCK = 8
+#: Blocks that are opened before the bounds are held against the k-th similarity: at first, then ever more.
+ROUNDS = (16, 40, 72, 120)
 PULL = 0.5
 FLOOR = 1e-3
 #: A term in one of so many examples or more is common; so many numbers the matrix of common terms has at most.
-COMMON, DENSE = 64, 1 << 24
+COMMON, DENSE = 64, 1 << 23
 #: More than single precision can be wrong by in a cosine.
 MARGIN = 1e-4
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: Bytes of text whose words are told apart at once; a longer text is taken alone.
 SLICE = 2 << 20
 WORD = re.compile(r"[^\W\d_]+")
@@ -101,21 +104,46 @@ class Terms:
             i = j
 
 
+def _alike(t: np.ndarray, w: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Order of examples such that similar ones follow each other: their projections are halved along the widest direction down to blocks."""
+    signs = np.random.default_rng(7).standard_normal((int(t.max()) + 1 if len(t) else 1, 48)).astype(np.float32)
+    x = np.zeros((len(ids), 48), np.float32)
+    for a in range(0, len(t), 1 << 18):
+        part = slice(a, a + (1 << 18))
+        np.add.at(x, owner[part], w[part, None].astype(np.float32) * signs[t[part]])
+    todo, out = [np.lexsort([ids])], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= BLOCK:
+            out.append(at)
+            continue
+        c = x[at] - x[at].mean(0)
+        axis = np.linalg.eigh(c.T @ c)[1][:, -1]
+        at = at[np.argsort(c @ axis, kind="stable")]
+        half = -(-len(at) // BLOCK) // 2 * BLOCK  # whole blocks
+        todo += [at[half:], at[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 @dataclass
 class Index:
     """Block-max inverted index over unit vectors of examples."""
 
     vocab: dict[str, int]
-    factor: np.ndarray  # idf and association of each term
+    factor: np.ndarray  # idf of each term
+    strength: np.ndarray  # FLOOR and association with the label of each term
     first: np.ndarray  # where each example's terms begin
     term: np.ndarray
     weight: np.ndarray
+    told: np.ndarray  # weights with strength, of unit length
     ids: np.ndarray
     toxic: np.ndarray
     vote_weight: np.ndarray
     prior: float
     slope: float = 1.0
     shift: float = 0.0
+    opened: int = 0  # blocks, of so many asked for
+    asked: int = 0
 
     @classmethod
     def build(cls, vocab: dict[str, int], vectors: list[tuple[np.ndarray, np.ndarray]], ids, toxic, vote_weight, prior: float) -> Index:
@@ -131,14 +159,14 @@ class Index:
         a = np.bincount(t[toxic[owner] > 0], minlength=len(vocab)).astype(float)
         apart = a * n0 - (df - a) * n1
         phi = np.abs(apart) / np.sqrt(np.maximum(n1 * n0 * df * (len(size) - df).clip(1), 1.0))
-        factor = idf * (FLOOR + np.minimum(phi, 1.0))
-        w = (1 + np.log(n)) * factor[t]
-        w /= np.sqrt(np.bincount(owner, w * w, len(size)).clip(1e-300))[owner]
+        strength = FLOOR + np.minimum(phi, 1.0)
+        unit = lambda w: w / np.sqrt(np.bincount(owner, w * w, len(size)).clip(1e-300))[owner]
+        w = unit((1 + np.log(n)) * idf[t])
+        told = unit(w * strength[t])
         start = np.concatenate([[0], np.cumsum(size)])
-        head = np.array([t[a + int(np.argmax(w[a:b]))] if b > a else -1 for a, b in zip(start, start[1:])])
-        order = np.lexsort([np.asarray(ids), head, toxic])
+        order = _alike(t, w, owner, np.asarray(ids))
         at, _ = ranges(start[:-1][order], start[1:][order])
-        return cls(vocab, factor, np.concatenate([[0], np.cumsum(size[order])]), t[at], w[at], np.asarray(ids, np.int64)[order], toxic[order], np.asarray(vote_weight, float)[order], prior)
+        return cls(vocab, idf, strength, np.concatenate([[0], np.cumsum(size[order])]), t[at], w[at], told[at], np.asarray(ids, np.int64)[order], toxic[order], np.asarray(vote_weight, float)[order], prior)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("postings", "cells", "common")}
@@ -151,15 +179,15 @@ class Index:
         return np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(self.vocab)))]), example, self.weight[order]
 
     @cached_property
-    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A cell is a term's postings in a block: where each term's cells begin; their blocks, largest weights."""
+    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A cell is a term's postings in a block: where each term's cells begin; their blocks, largest weights, and where their postings begin."""
         start, example, weight = self.postings
         block = example // BLOCK
         fresh = np.ones(len(block), bool)
         fresh[1:] = block[1:] != block[:-1]
         fresh[start[:-1][start[:-1] < len(block)]] = True
         at = np.flatnonzero(fresh)
-        return np.searchsorted(at, start), block[at], np.maximum.reduceat(weight, at) if len(at) else weight
+        return np.searchsorted(at, start), block[at], np.maximum.reduceat(weight, at) if len(at) else weight, np.concatenate([at, [len(block)]])
 
     @property
     def blocks(self) -> int:
@@ -192,33 +220,54 @@ class Index:
         """The k examples of the largest cosine over 0 with terms t, ascending, of weights w, exactly: example numbers and cosines."""
         if not len(t) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
-        start, example, weight = self.postings
-        cell, block, most = self.cells
+        _, example, weight = self.postings
+        cell, block, most, begin = self.cells
         row, matrix, heads = self.common
         dense = row[t] >= 0
         rows, wd, rare, wr = row[t[dense]], w[dense].astype(np.float32), t[~dense], w[~dense]
         c, of = ranges(cell[rare], cell[rare + 1])
         bound = wd @ heads[rows] + np.bincount(block[c], wr[of] * most[c], self.blocks)
-        p, of = ranges(start[rare], start[rare + 1])
-        score = np.bincount(example[p], wr[of] * weight[p], self.blocks * BLOCK).astype(float).reshape(self.blocks, BLOCK)
-        opened = np.zeros(self.blocks, bool)
         order = np.argsort(-bound, kind="stable")
-        some = order[:FIRST]
-        for _ in range(2):
-            if 2 * len(some) > self.blocks:
-                score[some] += np.tensordot(wd, matrix[rows], 1)[some]
-            elif len(some):
-                score[some] += np.tensordot(wd, matrix[rows[:, None], some], 1)
-            opened[some] = True
-            seen = score[opened].ravel()
+        place = np.empty(self.blocks, np.int64)
+        place[order] = np.arange(self.blocks)
+        where = place[block[c]]
+        by = np.argsort(where, kind="stable")
+        c, of, where = c[by], of[by], where[by]
+        score = np.zeros((self.blocks, BLOCK), np.float32)
+        done, least = 0, -MARGIN
+        for upto in (*ROUNDS, self.blocks):
+            upto = min(upto, int(np.searchsorted(-bound[order], -max(least, 1e-12), "right")))
+            if upto <= done:
+                break
+            some = order[done:upto]
+            i, j = np.searchsorted(where, [done, upto])
+            p, q = ranges(begin[c[i:j]], begin[c[i:j] + 1])
+            flat = np.bincount(example[p], wr[of[i:j]][q] * weight[p], self.blocks * BLOCK)
+            score[some] = flat.reshape(self.blocks, BLOCK)[some]
+            if len(rows):
+                score[some] += np.tensordot(wd, matrix[:, some][rows] if 2 * len(some) > self.blocks else matrix[rows[:, None], some], 1)
+            done = upto
+            seen = score[order[:done]].ravel()
             least = (np.partition(seen, len(seen) - k)[len(seen) - k] if len(seen) >= k else 0.0) - MARGIN
-            rest = order[FIRST:]
-            some = rest[(bound[rest] >= least) & (bound[rest] > 0)]
-        e = np.flatnonzero((opened[:, None] & (score >= least) & (score > 0)).ravel())
+        self.opened, self.asked = self.opened + done, self.asked + self.blocks
+        e = np.flatnonzero(((score >= least) & (score > 0)).ravel())
+        sims = self.cosines(e, t, w, self.weight)
+        best = np.lexsort([e, -sims])[:k]
+        return e[best], sims[best]
+
+    def cosines(self, e: np.ndarray, t: np.ndarray, w: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Of examples e with terms t, ascending, of weights w."""
         at, of = ranges(self.first[e], self.first[e + 1])
         place = np.minimum(np.searchsorted(t, self.term[at]), len(t) - 1)
-        sims = np.bincount(of, np.where(t[place] == self.term[at], w[place], 0.0) * self.weight[at], len(e))
-        best = np.lexsort([e, -sims])[:k]
+        return np.bincount(of, np.where(t[place] == self.term[at], w[place], 0.0) * weights[at], len(e))
+
+    def voters(self, e: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the nearest examples those that vote, and their weights: cosines with strength."""
+        if not len(e):
+            return e, np.zeros(0)
+        told = w * self.strength[t]
+        sims = self.cosines(e, t, told / np.sqrt(max(told @ told, 1e-300)), self.told)
+        best = np.lexsort([e, -sims])[:VOTERS]
         return e[best], sims[best]
 
     def vote(self, e: np.ndarray, sims: np.ndarray) -> float:
@@ -252,9 +301,10 @@ class Scorer:
     def scores(self, texts: pa.Array) -> Iterator[tuple[float, list[dict]]]:
         x = self.index
         for t, n in self.terms.counts(texts):
-            e, s = x.nearest(t, x.unit(t, n))
+            w = x.unit(t, n)
+            e, s = x.nearest(t, w)
             evidence = [{"doc_id": int(x.ids[i]), "similarity": float(c), "toxic": int(x.toxic[i])} for i, c in zip(e[:3], s[:3])]
-            yield x.probability(x.vote(e, s)), evidence
+            yield x.probability(x.vote(*x.voters(e, t, w))), evidence
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFrame, dict[int, int]]:
@@ -310,9 +360,9 @@ def fit(ids: np.ndarray, label: np.ndarray, terms: Iterator[list[str]], counts:
     index = Index.build(vocab, vectors, ids[some], label[some], [share[int(k)] / scale for k in label[some]], prior)
     votes = []
     for i, (a, b) in enumerate(zip(index.first, index.first[1:])):
-        e, s = index.nearest(index.term[a:b], index.weight[a:b], NEIGHBOURS + 1)
-        others = e != i
-        votes.append(index.vote(e[others][:NEIGHBOURS], s[others][:NEIGHBOURS]))
+        t, w = index.term[a:b], index.weight[a:b]
+        e, _ = index.nearest(t, w, NEIGHBOURS + 1)
+        votes.append(index.vote(*index.voters(e[e != i][:NEIGHBOURS], t, w)))
     index.calibrate(np.array(votes), index.toxic, index.vote_weight)
     return index
 

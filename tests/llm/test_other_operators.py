@@ -116,7 +116,7 @@ def test_block_max_index_is_exact(terms, most):
     r = random.Random(terms)
     draw = lambda: min(int(r.expovariate(8 / terms)), terms - 1)
     x = _index(r, 700, terms, most, draw)
-    assert x.blocks > 2 * toxicity.FIRST and 0 < len(x.common[1]) <= terms
+    assert x.blocks > 2 * toxicity.ROUNDS[0] and 0 < len(x.common[1]) <= terms
     dense = np.zeros((700, terms))
     dense[np.repeat(np.arange(700), np.diff(x.first)), x.term] = x.weight
     assert np.allclose((dense**2).sum(1), 1)
@@ -129,6 +129,34 @@ def test_block_max_index_is_exact(terms, most):
         want = [i for i in np.lexsort((np.arange(700), -s)) if s[i] > 1e-15][:7]
         assert np.allclose(got, s[want]) and len(set(e.tolist())) == len(e)
         assert np.allclose(s[e], got)
+    assert 0 < x.opened < x.asked
+
+
+def test_neighbours_are_those_of_plain_tf_idf():
+    """Which examples are near doesn't depend on labels; the vote does, by the strength of terms."""
+    r = random.Random(3)
+    draw = lambda: min(int(r.expovariate(0.05)), 199)
+    vectors = []
+    for _ in range(300):
+        c = Counter(draw() for _ in range(r.randint(5, 40)))
+        vectors.append((np.array(sorted(c)), np.array([c[i] for i in sorted(c)])))
+    build = lambda toxic: toxicity.Index.build({str(i): i for i in range(200)}, vectors, list(range(300)), toxic, [1.0] * 300, 0.2)
+    x, y = build([int(i % 3 == 0) for i in range(300)]), build([int(3 in v[0]) for v in vectors])
+    df = np.bincount(np.concatenate([t for t, _ in vectors]), minlength=200)
+    idf = np.log(301 / (df + 1)) + 1
+    dense = np.zeros((300, 200))
+    for i, (t, n) in enumerate(vectors):
+        dense[i, t] = (1 + np.log(n)) * idf[t]
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    for i, (t, n) in enumerate(vectors[:80]):
+        want = dense @ dense[i]
+        best = sorted(want, reverse=True)[:20]
+        for index in (x, y):
+            e, s = index.nearest(t, index.unit(t, n), 20)
+            assert np.allclose(s, best) and np.allclose(want[index.ids[e]], s)
+            v, told = index.voters(e, t, index.unit(t, n))
+            assert set(v.tolist()) <= set(e.tolist()) and len(v) == toxicity.VOTERS and (np.diff(told) <= 1e-12).all()
+    assert y.strength.argmax() == 3
 
 
 def test_terms_by_columns_as_one_by_one(monkeypatch):
