@@ -6,9 +6,12 @@ A concept is an embedding label; atoms are embeddings with the document or the e
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
+from atomweave.functions import segments as SG
+from atomweave.operators.generate import generate
 from atomweave.operators.kd_join import density_clusters, nearest_join, outlier_factors
 from atomweave.plans.base import Registry, table
 
@@ -258,3 +261,37 @@ R.sql(
         CASE WHEN (lo + hi) * (lo + hi) / 4 < k THEN (lo + hi) / 2 ELSE lo END, CASE WHEN (lo + hi) * (lo + hi) / 4 < k THEN hi ELSE (lo + hi) / 2 END FROM r WHERE i < 20)
     SELECT s_suppkey, round(ay, 8) AS adams_bashforth, round(my, 8) AS momentum, round(lo, 8) AS bisection FROM r WHERE i = 20""",
 )
+
+
+@R.add("segment_enumeration", """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS ordinal, CASE role WHEN 'user' THEN 'Input' WHEN 'assistant' THEN 'Output' ELSE 'Unknown' END AS kind, strlen(coalesce(text, '')) AS bytes FROM conversations""")
+def segment_enumeration(spark, sf_dir):
+    """Dialogues as segmented streams in parts of sixteen turn numbers, enumerated by the table function."""
+    c = table(spark, sf_dir, "conversations").withColumn("part", F.floor(F.col("turn") / 16))
+    kind = F.when(F.col("role") == "user", "input").when(F.col("role") == "assistant", "OUTPUT").otherwise(F.col("role"))
+    made = SG.segment(kind, F.lit(None), F.col("text"))
+    parts = c.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", made.alias("s")))).alias("x"))
+    stream = SG.create(F.col("conv_id"), F.lit("2024-01-01"))
+    parts = parts.select("conv_id", "part", stream.withField("segments", F.col("x.s")).alias("stream"))
+    SG.register(spark)
+    name = f"streams_{uuid.uuid4().hex}"
+    parts.createOrReplaceTempView(name)
+    return spark.sql(f"SELECT CAST(stream_id AS BIGINT) AS conv_id, ordinal, kind, CAST(length(payload) AS BIGINT) AS bytes FROM enumerate_segments(TABLE({name}) PARTITION BY conv_id ORDER BY part)")
+
+
+def _views(v: str):
+    """The two halves of a vector, a model each."""
+    return F.explode(F.array(*(F.struct(F.lit(m).alias("model_id"), F.slice(v, 32 * m + 1, 32).alias("v")) for m in (0, 1)))).alias("m")
+
+
+@R.add("generate_sequences")
+def generate_sequences(spark, sf_dir):
+    """A prompt for each concept, its mean vector; two models; tokens are the documents' first words."""
+    e = table(spark, sf_dir, "embeddings")
+    token = F.regexp_extract("text", r"^\s*(\S+)", 1)
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), token.alias("token"))
+    atoms = e.join(words, "vec_id").select(F.col("vec_id").alias("atom_id"), "token", _views("embedding")).select("atom_id", "token", "m.*")
+    means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
+    prompts = means.select(F.col("label").cast("long").alias("prompt_id"), _views("v")).select("prompt_id", "m.*")
+    out = generate(prompts, atoms, {0: 0.6, 1: 0.4}, steps=4)
+    return out.withColumns({c: F.round(c, 6) for c in ("score", "distance")})

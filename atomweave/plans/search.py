@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from atomweave.functions import vector as V
 from atomweave.operators import search as S
+from atomweave.operators import fulltext as T
+from atomweave.operators.work import fresh_path
 from atomweave.plans.base import Registry, table
 
 R = Registry()
@@ -57,16 +59,37 @@ def hybrid_search(spark, sf_dir):
     return S.hybrid(e, q, 100, 10)
 
 
+_ASKED = "license of the software"
+# ranks of all documents by the words asked for
+_RANKED = f"""t AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
+    z AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t), w AS (SELECT doc_id, unnest(t) AS term, len(t) AS length FROM t),
+    p AS (SELECT doc_id, term, length, count(*) AS tf FROM w WHERE term IN ({", ".join(f"'{x}'" for x in _ASKED.split())}) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+    s AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS s FROM p JOIN f USING (term), z GROUP BY 1),
+    k AS (SELECT doc_id, 1000 * s / (s + 5) AS rank FROM s)"""
+
+
+def _ranks(spark, sf_dir):
+    index = T.write_index(table(spark, sf_dir, "documents"), fresh_path(spark, "text-index"))
+    return T.search(spark, index, _ASKED)
+
+
+@R.add("ranked_text_search", f"WITH {_RANKED} SELECT doc_id, round(rank, 6) AS rank FROM k ORDER BY round(rank, 6) DESC, doc_id LIMIT 50")
+def ranked_text_search(spark, sf_dir):
+    return _ranks(spark, sf_dir).withColumn("rank", F.round("rank", 6)).orderBy(F.desc("rank"), "doc_id").limit(50)
+
+
 @R.add(
     "fusion_search",
-    f"""SELECT e.vec_id, round({COS} * 0.5 + (CASE WHEN d.text LIKE '%the%' THEN 1.0 ELSE 0.0 END)::DOUBLE * 0.3 + (CASE WHEN e.embedding[1] > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE * 0.2, 6) AS score
-        FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, {Q0} ORDER BY score DESC, e.vec_id LIMIT 10""",
+    f"""WITH {_RANKED} SELECT e.vec_id, round({COS} * 0.5 + coalesce(k.rank, 0) / 1000 * 0.3 + (CASE WHEN e.embedding[1] > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE * 0.2, 6) AS score
+        FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN k ON k.doc_id = d.doc_id, {Q0} ORDER BY score DESC, e.vec_id LIMIT 10""",
 )
 def fusion_search(spark, sf_dir):
+    """Vector, ranked text and region."""
     e, q = _load(spark, sf_dir)
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    keyword = F.when(F.col("text").contains("the"), 1.0).otherwise(0.0)
-    return S.fusion(e.join(d, "vec_id"), q, keyword, F.col("embedding")[0] > 0, 10)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+    ranks = _ranks(spark, sf_dir).withColumnRenamed("doc_id", "vec_id")
+    rows = e.join(d, "vec_id").join(ranks, "vec_id", "left")
+    return S.fusion(rows, q, F.coalesce("rank", F.lit(0.0)) / 1000, F.col("embedding")[0] > 0, 10)
 
 
 @R.add(

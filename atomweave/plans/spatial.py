@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from atomweave.functions import spatial as S
 from atomweave.functions import vector as V
 from atomweave.operators.curve_index import nearest, within, write_index
+from atomweave.operators.curve_quality import STRIDES, locality, preservation
+from atomweave.operators.paths import PATH, find_path
 from atomweave.operators.work import fresh_path
 from atomweave.plans.base import Registry, table
 
@@ -157,3 +159,67 @@ def project_to_3d(spark, sf_dir):
 
 R.sql("geometry_rms", "SELECT user_id, round(sqrt(sum(value * value) / count(*)), 6) AS rms FROM events GROUP BY user_id")
 R.sql("context_centroid", "SELECT label, round(avg(embedding[0]), 6) AS x, round(avg(embedding[1]), 6) AS y, count(*) AS n FROM embeddings GROUP BY label", "SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS x, round(avg(embedding[2]::DOUBLE), 6) AS y, count(*) AS n FROM embeddings GROUP BY label")
+
+
+def _coded(spark, sf_dir):
+    q = points(spark, sf_dir)
+    cell = [S.quantise(F.col(c), -1.0, 1.0, 12) for c in "xyz"]
+    return q.select("vec_id", F.array("x", "y", "z").alias("xyz"), S.hilbert3(*cell, 12).alias("hilbert"), S.morton3(*cell).alias("morton"))
+
+
+_CODED = f"""{_h3(f'SELECT vec_id, {_Q} FROM {XYZ} p', 'vec_id')}, b AS MATERIALIZED (SELECT p.vec_id, x, y, z, h AS hilbert, m AS morton FROM {XYZ} p JOIN h3 USING (vec_id) JOIN (SELECT vec_id, ({_BITS})::BIGINT AS m FROM (SELECT vec_id, {_Q} FROM {XYZ} p) q) n USING (vec_id)),
+    c AS MATERIALIZED (SELECT vec_id, x, y, z, curve, code, row_number() OVER (PARTITION BY curve ORDER BY code, vec_id) AS r FROM (SELECT vec_id, x, y, z, 'hilbert' AS curve, hilbert AS code FROM b UNION ALL SELECT vec_id, x, y, z, 'morton', morton FROM b) u)"""
+
+
+@R.add(
+    "curve_locality",
+    f"""WITH RECURSIVE {_CODED}, p AS (SELECT a.curve, s AS stride, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d, (b.code - a.code)::DOUBLE AS span FROM c a, (SELECT unnest({[*STRIDES]}) AS s) t, c b WHERE b.curve = a.curve AND b.r = a.r + s)
+    SELECT curve, stride::INT AS stride, count(*) AS pairs, round(avg(d), 6) AS mean_distance, NULL::DOUBLE AS correlation FROM p GROUP BY 1, 2
+    UNION ALL SELECT curve, NULL, count(*), round(avg(d), 6), round(corr(d, span), 6) FROM p GROUP BY 1""",
+)
+def curve_locality(spark, sf_dir):
+    """How distances in space follow those along both curves."""
+    coded, out = _coded(spark, sf_dir), None
+    for curve in ("hilbert", "morton"):
+        one = locality(coded, "vec_id", curve, "xyz").select(F.lit(curve).alias("curve"), "stride", "pairs", F.round("mean_distance", 6).alias("mean_distance"), F.round("correlation", 6).alias("correlation"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@R.add(
+    "curve_preservation",
+    f"""WITH RECURSIVE {_CODED}, d AS (SELECT a.vec_id, b.vec_id AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 9), b.vec_id) AS k FROM b a JOIN b ON a.vec_id <> b.vec_id)
+    SELECT a.curve, a.vec_id, count(*) FILTER (abs(a.r - b.r) <= 5) AS kept FROM d JOIN c a ON a.vec_id = d.vec_id JOIN c b ON b.vec_id = d.other AND b.curve = a.curve WHERE k <= 5 GROUP BY 1, 2""",
+)
+def curve_preservation(spark, sf_dir):
+    """How many of each vector's five nearest are within five ranks along both curves."""
+    coded, out = _coded(spark, sf_dir), None
+    for curve in ("hilbert", "morton"):
+        one = preservation(coded, "vec_id", curve, "xyz").select(F.lit(curve).alias("curve"), F.col("id").alias("vec_id"), "kept")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_START, _REGION, _STEP = 0, 0.08, 0.15
+
+
+@R.add(
+    "spatial_path",
+    f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {XYZ} p), g AS (SELECT avg(embedding[1]::DOUBLE) + 0.2 AS x, avg(embedding[2]::DOUBLE) - 0.2 AS y, avg(embedding[3]::DOUBLE) + 0.1 AS z FROM embeddings WHERE label = 3),
+    n AS MATERIALIZED (SELECT vec_id, sqrt((p.x - g.x) ** 2 + (p.y - g.y) ** 2 + (p.z - g.z) ** 2) AS h FROM p, g),
+    e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM p a JOIN p b ON a.vec_id <> b.vec_id JOIN n ON n.vec_id = a.vec_id
+        WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= {_STEP} AND n.h > {_REGION}),
+    r(node, g, path, i) AS (SELECT {_START}::BIGINT, 0.0::DOUBLE, [{_START}::BIGINT], 0 UNION ALL SELECT e.b, min(r.g + e.w), arg_min(list_append(r.path, e.b), r.g + e.w), r.i + 1 FROM r JOIN e ON e.a = r.node WHERE r.i < 12 GROUP BY e.b, r.i),
+    o AS (SELECT node, min(g) AS g, arg_min(path, g) AS path FROM r GROUP BY 1),
+    t AS (SELECT path AS route FROM o JOIN n ON n.vec_id = o.node WHERE h <= {_REGION} ORDER BY o.g + h, h, node LIMIT 1)
+    SELECT (i - 1)::BIGINT AS step, route[i] AS atom_id, round(o.g, 6) AS cost, round(n.h, 6) AS to_centre FROM (SELECT route, unnest(range(1, len(route) + 1)) AS i FROM t) k JOIN o ON o.node = route[i] JOIN n ON n.vec_id = route[i]""",
+)
+def spatial_path(spark, sf_dir):
+    """A* from a vector to the region of a concept, by steps of bounded length."""
+    e = table(spark, sf_dir, "embeddings").where("label = 3")
+    c = e.agg(*(F.avg(F.col("embedding")[i].cast("double")).alias(n) for i, n in enumerate("xyz"))).first()
+    rows = points(spark, sf_dir).select("vec_id", F.array("x", "y", "z").alias("xyz"))
+    if c["x"] is None:
+        return spark.createDataFrame([], PATH)
+    found = find_path(rows, "vec_id", "xyz", _START, [c["x"] + 0.2, c["y"] - 0.2, c["z"] + 0.1], _REGION, _STEP)
+    return found.select("step", "atom_id", F.round("cost", 6).alias("cost"), F.round("to_centre", 6).alias("to_centre"))
