@@ -1,7 +1,8 @@
 """Whole-group vector algorithms: one numpy function per group of bounded size, run by ``applyInPandas``.
 
-``per_group`` refuses groups over ``MOST`` rows instead of letting one task swallow them; larger groups are to be
-split by the caller. Rows are ordered by an explicit column. Null vectors and vectors of another length than the
+``per_group`` refuses groups over ``MOST`` rows instead of letting one task swallow them, and over ``MOST_SQUARE`` where an algorithm holds a number for each pair
+of rows; larger groups are to be split by the caller. Covariances, components, outlier factors and density clusters of groups of any size
+are in ``moments`` and ``kd_join``; the functions here are their plain forms. Rows are ordered by an explicit column. Null vectors and vectors of another length than the
 group's first are skipped; an empty group gives no row.
 """
 
@@ -15,15 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST = 100_000
+MOST, MOST_SQUARE = 100_000, 4096
 
 
 def per_group(rows: DataFrame, group: str, order: str, vector: str, f: Callable[[np.ndarray, np.ndarray], list | dict]) -> DataFrame:
     """(group, result: JSON of f(vectors, order values))."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST:
-            raise ValueError(f"a group has {len(pdf)} rows; split it ({MOST} at most)")
+        most = MOST_SQUARE if f in SQUARE else MOST
+        if len(pdf) > most:
+            raise ValueError(f"a group has {len(pdf)} rows; split it ({most} at most)")
         pdf = pdf.dropna(subset=["v"]).sort_values("o", kind="stable")
         if not len(pdf):
             return pd.DataFrame({"g": pdf["g"], "result": pd.Series([], dtype=str)})
@@ -245,3 +247,5 @@ def matrix_factorization(v: np.ndarray, _=None, k: int = 4, rounds: int = 100, r
 
 
 ALGORITHMS = {f.__name__: f for f in (geometric_median, convex_hull, online_kmeans, local_outlier_factor, dbscan, mahalanobis, principal_components, tsne, random_projection, attention, autoencoder, explained_variance, self_consistency, diverse, dtw, change_points, matrix_factorization)}
+#: These hold a number for each pair of rows.
+SQUARE = (local_outlier_factor, dbscan, tsne, attention, dtw)

@@ -287,9 +287,9 @@ def nearest_join(rows: DataFrame, key: str, vector: str, k: int, radius: float =
     return out.select("id", "measured", F.posexplode(near).alias("rank", "x")).select("id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("x.other").alias("other"), F.col("x.d").alias("d"), "measured")
 
 
-def outlier_factors(rows: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
-    """(id, lof): local outlier factors over the k nearest neighbours, whole table; null where there are fewer rows than k + 1."""
-    near = written(nearest_join(rows, key, vector, k).drop("measured"), "neighbours")
+def outlier_factors(rows: DataFrame, key: str, vector: str, k: int = 5, radius: float = float("inf")) -> DataFrame:
+    """(id, lof): local outlier factors over the k nearest neighbours, whole table; null where there are fewer rows than k + 1 within ``radius``."""
+    near = written(nearest_join(rows, key, vector, k, radius).drop("measured"), "neighbours")
     far = near.groupBy("id").agg(F.max(F.when(F.col("rank") == k, F.col("d"))).alias("far"))
     density = near.join(far.select(F.col("id").alias("other"), "far"), "other").groupBy("id").agg((1 / (F.avg(F.greatest("far", "d")) + 1e-10)).alias("density"), F.count("far").alias("m"))
     density = written(density.withColumn("density", F.when(F.col("m") == k, F.col("density"))).drop("m"), "densities")
@@ -390,3 +390,43 @@ def density_clusters(rows: DataFrame, key: str, vector: str, radius: float, leas
     clusters = known.withColumn("core", F.lit(True)).unionByName(edge.withColumn("core", F.lit(False)))
     clusters = points.select("pid", "n").join(clusters, "pid", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > MANY, SALTS - 1).otherwise(0)))).drop("n")
     return members.join(clusters, ["pid", "salt"]).select("id", "cluster", F.coalesce("core", F.lit(False)).alias("core"))
+
+
+#: Groups lie so far apart, in an axis of their own, that none meets another.
+APART = 1e4
+
+
+def in_group(group: str, vector: str) -> F.Column:
+    """A vector with its group's number as an axis: the joins of this module then stay within groups whose vectors are shorter than half of ``APART``."""
+    return F.concat(F.array(F.col(group).cast("double") * APART), F.col(vector).cast("array<double>"))
+
+
+def radius_pairs(rows: DataFrame, key: str, vector: str, radius: float) -> DataFrame:
+    """(a, b, d): all pairs of rows within ``radius``, a < b; rows that repeat an id are no pair."""
+    points, members = points_of(rows, key, vector, 1)
+    placed, cells, low, high = _celled(points)
+    sent = written(_sent(placed.withColumn("reach", F.lit(float(radius))), cells, low, high, "n"), "sent").withColumn("none", F.lit(0)).drop("n")
+
+    def _pairs(search, x, pid):
+        out = [(pid[j], search.pid[at], np.sqrt(((search.x[at] - x[j]) ** 2).sum(1))) for j, at in search.within(x, pid, radius)]
+        size = [len(p) for _, p, _ in out]
+        cat = lambda i, kind: np.concatenate([o[i] for o in out]).astype(kind) if out else np.zeros(0, kind)
+        p, q, d = np.repeat(np.array([o[0] for o in out], np.int64), size), cat(1, np.int64), cat(2, float)
+        keep = p <= q  # each pair of points comes from both sides
+        return pa.table({"p": pa.array(p[keep]), "q": pa.array(q[keep]), "d": pa.array(d[keep])})
+
+    def own_cell(key, table):
+        search = _search(table)
+        return _pairs(search, search.x, search.pid)
+
+    def other_cell(key, table):
+        own = table["own"].to_numpy(zero_copy_only=False)
+        return _pairs(_search(table, own), _matrix(table["v"])[~own], table["pid"].to_numpy()[~own])
+
+    kind = "p long, q long, d double"
+    pairs = placed.groupBy("cell").applyInArrow(own_cell, kind)
+    pairs = pairs.unionByName(_units(sent, placed.withColumn("none", F.lit(0)), "none").groupBy("cell", "unit").applyInArrow(other_cell, kind))
+    m = members.select("id", "pid").distinct()
+    both = pairs.join(m.select(F.col("id").alias("x"), F.col("pid").alias("p")), "p").join(m.select(F.col("id").alias("y"), F.col("pid").alias("q")), "q")
+    both = both.where("x <> y AND (p <> q OR x < y)")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atomweave.functions import vector as V
+from atomweave.operators.kd_join import in_group, radius_pairs
 
 
 def literal(vector: Sequence[float]) -> Column:
@@ -64,7 +65,10 @@ def activation(frame: DataFrame, query: Sequence[float], threshold: float, n: in
 
 
 def duplicates(frame: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one label, smaller id first, at or over a cosine: an equi-join on the label."""
-    a = frame.select("label", F.col("vec_id").alias("a"), V.normalize(F.col("embedding")).alias("va"))
-    b = frame.select("label", F.col("vec_id").alias("b"), V.normalize(F.col("embedding")).alias("vb"))
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(V.dot(F.col("va"), F.col("vb")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    """Pairs of one label, smaller id first, at or over a cosine: on unit vectors that is a radius, so only cells near enough are measured.
+
+    Vectors without a length, or with broken components, take no part.
+    """
+    unit = frame.where(V.norm(F.col("embedding")) > 0).select("vec_id", "label", V.normalize(F.col("embedding")).alias("unit"))
+    pairs = radius_pairs(unit.select("vec_id", in_group("label", "unit").alias("v")), "vec_id", "v", (2 - 2 * (threshold - 1e-6)) ** 0.5)
+    return pairs.select("a", "b", F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("similarity")).where(F.col("similarity") >= threshold)
