@@ -42,17 +42,17 @@ from atomweave.llm.common import tidy
 from atomweave.llm.language_id import remainder
 
 EXAMPLES = 1000
-NEIGHBOURS, VOTERS = 100, 15
-BLOCK = 8
+NEIGHBOURS, VOTERS, EVIDENCE = 100, 15, 3
+BLOCK = 16
 #: Blocks that are opened before the bounds are held against the k-th similarity: at first, then ever more.
-ROUNDS = (16, 40, 72, 120)
+ROUNDS = (10, 30)
 PULL = 0.5
 FLOOR = 1e-3
 #: A term in one of so many examples or more is common; so many numbers the matrix of common terms has at most.
-COMMON, DENSE = 64, 1 << 23
+COMMON, DENSE = 64, 1 << 22
 #: More than single precision can be wrong by in a cosine.
 MARGIN = 1e-4
-MEMO_WORDS = 100_000
+MEMO_WORDS = 200_000
 #: Bytes of text whose words are told apart at once; a longer text is taken alone.
 SLICE = 2 << 20
 WORD = re.compile(r"[^\W\d_]+")
@@ -135,7 +135,7 @@ class Index:
     first: np.ndarray  # where each example's terms begin
     term: np.ndarray
     weight: np.ndarray
-    told: np.ndarray  # weights with strength, of unit length
+    told: np.ndarray  # weights with strength, of unit length, times strength once more: for a text's plain weights
     ids: np.ndarray
     toxic: np.ndarray
     vote_weight: np.ndarray
@@ -166,22 +166,22 @@ class Index:
         start = np.concatenate([[0], np.cumsum(size)])
         order = _alike(t, w, owner, np.asarray(ids))
         at, _ = ranges(start[:-1][order], start[1:][order])
-        return cls(vocab, idf, strength, np.concatenate([[0], np.cumsum(size[order])]), t[at], w[at], told[at], np.asarray(ids, np.int64)[order], toxic[order], np.asarray(vote_weight, float)[order], prior)
+        return cls(vocab, idf, strength, np.concatenate([[0], np.cumsum(size[order])]), t[at], w[at], (told * strength[t])[at], np.asarray(ids, np.int64)[order], toxic[order], np.asarray(vote_weight, float)[order], prior)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("postings", "cells", "common")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("postings", "cells", "common", "asked_for")}
 
     @cached_property
-    def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each term's postings begin; their examples, ascending, and weights."""
+    def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each term's postings begin; their examples, ascending, weights and weights with strength."""
         order = np.argsort(self.term, kind="stable")
         example = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.first))[order]
-        return np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(self.vocab)))]), example, self.weight[order]
+        return np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(self.vocab)))]), example, self.weight[order], self.told[order]
 
     @cached_property
     def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A cell is a term's postings in a block: where each term's cells begin; their blocks, largest weights, and where their postings begin."""
-        start, example, weight = self.postings
+        start, example, weight, _ = self.postings
         block = example // BLOCK
         fresh = np.ones(len(block), bool)
         fresh[1:] = block[1:] != block[:-1]
@@ -194,18 +194,24 @@ class Index:
         return -(-len(self.ids) // BLOCK)
 
     @cached_property
-    def common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each term's row in the matrix of common terms or -1; the matrix (term, block, example); its largest weights by block."""
-        start, example, weight = self.postings
+    def common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each term's row in the matrix of common terms or -1; the matrix (term, block, example); its largest weights by block; one (term, example) of weights with strength."""
+        start, example, weight, told = self.postings
         df, n = np.diff(start), self.blocks * BLOCK
         some = np.argsort(-df, kind="stable")[: DENSE // max(1, n)]
         some = some[(df[some] * COMMON >= len(self.ids)) & (df[some] > 0)]
-        row, out = np.full(len(df), -1), np.zeros((len(some), n), np.float32)
+        row, out, strong = np.full(len(df), -1), np.zeros((len(some), n), np.float32), np.zeros((len(some), n), np.float32)
         row[some] = np.arange(len(some))
         for i, t in enumerate(some):
-            out[i, example[start[t] : start[t + 1]]] = weight[start[t] : start[t + 1]]
+            part = slice(start[t], start[t + 1])
+            out[i, example[part]], strong[i, example[part]] = weight[part], told[part]
         out = out.reshape(len(some), self.blocks, BLOCK)
-        return row, out, out.max(2) if out.size else np.zeros(out.shape[:2], np.float32)
+        return row, out, out.max(2) if out.size else np.zeros(out.shape[:2], np.float32), strong
+
+    @cached_property
+    def asked_for(self) -> np.ndarray:
+        """A weight for each term, 0 between queries."""
+        return np.zeros(len(self.vocab) + 1)
 
     def forget(self) -> None:
         """Drop what can be derived again."""
@@ -216,13 +222,48 @@ class Index:
         w = (1 + np.log(n)) * self.factor[t]
         return w / np.sqrt(max(w @ w, 1e-300))
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine over 0 with terms t, ascending, of weights w, exactly: example numbers and cosines."""
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k examples of the largest cosine over 0 with terms t, ascending, of weights w, exactly: example numbers, cosines, and cosines with strength."""
+        if not len(t) or not len(self.ids):
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        e, _, _ = self._opened(t, w, k)
+        sims, told = self.cosines(e, t, w)
+        best = np.lexsort([e, -sims])[:k]
+        return e[best], sims[best], told[best]
+
+    def judged(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the NEIGHBOURS nearest the EVIDENCE first, their cosines, and those that vote and their cosines with strength.
+
+        Single precision tells apart what is further than MARGIN from a bound; the rest is measured in double.
+        """
+        none = np.zeros(0, np.int64), np.zeros(0)
         if not len(t) or not len(self.ids):
-            return np.zeros(0, np.int64), np.zeros(0)
-        _, example, weight = self.postings
+            return *none, *none
+        e, about, strong = self._opened(t, w, NEIGHBOURS + (without >= 0))
+        about, strong, e = about[e != without], strong[e != without], e[e != without]
+        if not len(e):
+            return *none, *none
+        if len(e) > NEIGHBOURS:
+            last = np.partition(about, len(about) - NEIGHBOURS)[len(about) - NEIGHBOURS]
+            sure, open_ = about > last + MARGIN, np.abs(about - last) <= MARGIN
+            by = np.flatnonzero(open_)
+            by = by[np.lexsort([e[by], -self.cosines(e[by], t, w)[0]])][: NEIGHBOURS - np.count_nonzero(sure)]
+            keep = np.concatenate([np.flatnonzero(sure), by])
+            e, about, strong = e[keep], about[keep], strong[keep]
+        out = []
+        for est, n, which in ((about, EVIDENCE, 0), (strong, VOTERS, 1)):
+            m = min(n, len(e))
+            some = e[est >= np.partition(est, len(est) - m)[len(est) - m] - MARGIN]
+            exact = self.cosines(some, t, w)[which]
+            best = np.lexsort([some, -exact])[:m]
+            out += [some[best], exact[best]]
+        return tuple(out)
+
+    def _opened(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Examples that may be among the k nearest, all of these among them; in single precision their cosines, and cosines with strength."""
+        _, example, weight, told = self.postings
         cell, block, most, begin = self.cells
-        row, matrix, heads = self.common
+        row, matrix, heads, strong = self.common
         dense = row[t] >= 0
         rows, wd, rare, wr = row[t[dense]], w[dense].astype(np.float32), t[~dense], w[~dense]
         c, of = ranges(cell[rare], cell[rare + 1])
@@ -234,6 +275,7 @@ class Index:
         by = np.argsort(where, kind="stable")
         c, of, where = c[by], of[by], where[by]
         score = np.zeros((self.blocks, BLOCK), np.float32)
+        extra = np.zeros(self.blocks * BLOCK)
         done, least = 0, -MARGIN
         for upto in (*ROUNDS, self.blocks):
             upto = min(upto, int(np.searchsorted(-bound[order], -max(least, 1e-12), "right")))
@@ -242,33 +284,28 @@ class Index:
             some = order[done:upto]
             i, j = np.searchsorted(where, [done, upto])
             p, q = ranges(begin[c[i:j]], begin[c[i:j] + 1])
-            flat = np.bincount(example[p], wr[of[i:j]][q] * weight[p], self.blocks * BLOCK)
-            score[some] = flat.reshape(self.blocks, BLOCK)[some]
+            mine, at = wr[of[i:j]][q], example[p]
+            score[some] = np.bincount(at, mine * weight[p], self.blocks * BLOCK).reshape(self.blocks, BLOCK)[some]
+            extra += np.bincount(at, mine * told[p], self.blocks * BLOCK)
             if len(rows):
-                score[some] += np.tensordot(wd, matrix[:, some][rows] if 2 * len(some) > self.blocks else matrix[rows[:, None], some], 1)
+                score[some] += (wd @ matrix[rows].reshape(len(rows), -1)).reshape(-1, BLOCK)[some] if 4 * len(some) > self.blocks else np.tensordot(wd, matrix[rows[:, None], some], 1)
             done = upto
             seen = score[order[:done]].ravel()
             least = (np.partition(seen, len(seen) - k)[len(seen) - k] if len(seen) >= k else 0.0) - MARGIN
         self.opened, self.asked = self.opened + done, self.asked + self.blocks
-        e = np.flatnonzero(((score >= least) & (score > 0)).ravel())
-        sims = self.cosines(e, t, w, self.weight)
-        best = np.lexsort([e, -sims])[:k]
-        return e[best], sims[best]
+        flat = score.ravel()
+        e = np.flatnonzero((flat >= least) & (flat > 0))
+        own = w * self.strength[t]
+        return e, flat[e], (extra[e] + (wd @ strong[rows[:, None], e] if len(rows) else 0.0)) / np.sqrt(max(own @ own, 1e-300))
 
-    def cosines(self, e: np.ndarray, t: np.ndarray, w: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Of examples e with terms t, ascending, of weights w."""
+    def cosines(self, e: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of examples e with terms t of weights w, plain and with strength."""
         at, of = ranges(self.first[e], self.first[e + 1])
-        place = np.minimum(np.searchsorted(t, self.term[at]), len(t) - 1)
-        return np.bincount(of, np.where(t[place] == self.term[at], w[place], 0.0) * weights[at], len(e))
-
-    def voters(self, e: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the nearest examples those that vote, and their weights: cosines with strength."""
-        if not len(e):
-            return e, np.zeros(0)
+        self.asked_for[t] = w
+        mine = self.asked_for[self.term[at]]
+        self.asked_for[t] = 0.0
         told = w * self.strength[t]
-        sims = self.cosines(e, t, told / np.sqrt(max(told @ told, 1e-300)), self.told)
-        best = np.lexsort([e, -sims])[:VOTERS]
-        return e[best], sims[best]
+        return np.bincount(of, mine * self.weight[at], len(e)), np.bincount(of, mine * self.told[at], len(e)) / np.sqrt(max(told @ told, 1e-300))
 
     def vote(self, e: np.ndarray, sims: np.ndarray) -> float:
         w = sims * self.vote_weight[e]
@@ -301,10 +338,9 @@ class Scorer:
     def scores(self, texts: pa.Array) -> Iterator[tuple[float, list[dict]]]:
         x = self.index
         for t, n in self.terms.counts(texts):
-            w = x.unit(t, n)
-            e, s = x.nearest(t, w)
-            evidence = [{"doc_id": int(x.ids[i]), "similarity": float(c), "toxic": int(x.toxic[i])} for i, c in zip(e[:3], s[:3])]
-            yield x.probability(x.vote(*x.voters(e, t, w))), evidence
+            e, s, voters, told = x.judged(t, x.unit(t, n))
+            evidence = [{"doc_id": int(x.ids[i]), "similarity": float(c), "toxic": int(x.toxic[i])} for i, c in zip(e, s)]
+            yield x.probability(x.vote(voters, told)), evidence
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFrame, dict[int, int]]:
@@ -360,9 +396,7 @@ def fit(ids: np.ndarray, label: np.ndarray, terms: Iterator[list[str]], counts:
     index = Index.build(vocab, vectors, ids[some], label[some], [share[int(k)] / scale for k in label[some]], prior)
     votes = []
     for i, (a, b) in enumerate(zip(index.first, index.first[1:])):
-        t, w = index.term[a:b], index.weight[a:b]
-        e, _ = index.nearest(t, w, NEIGHBOURS + 1)
-        votes.append(index.vote(*index.voters(e[e != i][:NEIGHBOURS], t, w)))
+        votes.append(index.vote(*index.judged(index.term[a:b], index.weight[a:b], i)[2:]))
     index.calibrate(np.array(votes), index.toxic, index.vote_weight)
     return index
 

@@ -125,7 +125,7 @@ def test_block_max_index_is_exact(terms, most):
         t = np.array(sorted(c), np.int64)
         w = x.unit(t, np.array([c[i] for i in t])) if len(t) else np.zeros(0)
         s = dense[:, t] @ w
-        e, got = x.nearest(t, w, 7)
+        e, got, _ = x.nearest(t, w, 7)
         want = [i for i in np.lexsort((np.arange(700), -s)) if s[i] > 1e-15][:7]
         assert np.allclose(got, s[want]) and len(set(e.tolist())) == len(e)
         assert np.allclose(s[e], got)
@@ -152,10 +152,17 @@ def test_neighbours_are_those_of_plain_tf_idf():
         want = dense @ dense[i]
         best = sorted(want, reverse=True)[:20]
         for index in (x, y):
-            e, s = index.nearest(t, index.unit(t, n), 20)
+            e, s, strong = index.nearest(t, index.unit(t, n), 20)
             assert np.allclose(s, best) and np.allclose(want[index.ids[e]], s)
-            v, told = index.voters(e, t, index.unit(t, n))
-            assert set(v.tolist()) <= set(e.tolist()) and len(v) == toxicity.VOTERS and (np.diff(told) <= 1e-12).all()
+            near, _, _ = index.nearest(t, index.unit(t, n))
+            mine = (index.strength * dense / np.linalg.norm(index.strength * dense, axis=1)[:, None]) @ (index.strength * dense[i] / np.linalg.norm(index.strength * dense[i]))
+            first, s3, v, told = index.judged(t, index.unit(t, n))
+            assert np.allclose(s3, best[:3]) and np.allclose(told, sorted(mine[index.ids[near]], reverse=True)[: toxicity.VOTERS]) and np.allclose(mine[index.ids[v]], told)
+            assert v.tolist() == near[np.lexsort([near, -index.cosines(near, t, index.unit(t, n))[1]])][: toxicity.VOTERS].tolist()
+            weighed = dense * index.strength
+            weighed /= np.linalg.norm(weighed, axis=1)[:, None]
+            assert np.allclose(strong, (weighed @ weighed[i])[index.ids[e]])
+            assert len(v) == toxicity.VOTERS and (np.diff(told) <= 1e-12).all()
     assert y.strength.argmax() == 3
 
 
