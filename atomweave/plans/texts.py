@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from atomweave.plans.base import Registry
+from atomweave.operators.vocabulary import vocabulary, with_ids
+from atomweave.plans.base import Registry, run_sql
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -49,9 +50,27 @@ def _both(name: str, sql: str) -> None:
     R.sql(name, sql.replace("TOK", _TOK_S), sql.replace("TOK", _TOK_D))
 
 
-# ids are hashes of the words: no task ranks a vocabulary, and a word has its id wherever it is met
+_VOCABULARY = f"v AS MATERIALIZED (SELECT w, count(*) AS frequency, row_number() OVER (ORDER BY count(*) DESC, w) AS id FROM {_TOK_D} t GROUP BY w HAVING count(*) >= 2)"
+
+
+def _words(spark, sf_dir):
+    return run_sql(spark, sf_dir, f"SELECT doc_id, pos, w FROM {_TOK_S} t")
+
+
+@R.add("tokenize_vocabulary", f"WITH {_VOCABULARY} SELECT t.doc_id, t.pos, coalesce(v.id, 0) AS id FROM {_TOK_D} t LEFT JOIN v ON v.w = t.w")
+def tokenize_vocabulary(spark, sf_dir):
+    """Every word's id in the vocabulary of words that occur twice or more."""
+    words = _words(spark, sf_dir)
+    return with_ids(words, vocabulary(words)).select("doc_id", "pos", "id")
+
+
+@R.add("vocabulary_table", f"WITH {_VOCABULARY} SELECT w, id, frequency FROM v")
+def vocabulary_table(spark, sf_dir):
+    return vocabulary(_words(spark, sf_dir))
+
+
+# hashing needs no vocabulary: a word has its number wherever it is met
 _ID_S, _ID_D = "CAST(conv(substring(md5(w), 1, 12), 16, 10) AS BIGINT)", "('0x' || substring(md5(w), 1, 12))::BIGINT"
-R.sql("tokenize_vocabulary", f"SELECT doc_id, pos, {_ID_S} AS id FROM {_TOK_S} t", f"SELECT doc_id, pos, {_ID_D} AS id FROM {_TOK_D} t")
 _both("term_frequencies", "SELECT w, sum(tf) AS cf, count(*) AS df FROM (SELECT doc_id, w, count(*) AS tf FROM TOK t GROUP BY doc_id, w) c GROUP BY w")
 ORACLES["term_frequencies"] = ORACLES["term_frequencies"].replace("sum(tf) AS cf", "sum(tf)::BIGINT AS cf")
 # words of five documents or more are the vocabulary; they weigh tf * idf, others a quarter of tf; all go to one of 768 dimensions
