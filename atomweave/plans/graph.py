@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atomweave.plans.base import Registry, table
+from atomweave.operators.lineage import walk
+from atomweave.plans.base import Registry, run_sql, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -15,32 +16,60 @@ _EDGES = """SELECT concat('r', r_regionkey) AS src, concat('n', n_nationkey) AS
   UNION ALL SELECT concat('n', c_nationkey), concat('c', c_custkey) FROM customer
   UNION ALL SELECT concat('c', o_custkey), concat('o', o_orderkey) FROM orders"""
 
-R.sql(
+def _edges(spark, sf_dir) -> DataFrame:
+    return run_sql(spark, sf_dir, _EDGES)
+
+
+def _joined(separator: str) -> F.Column:
+    return F.array_join("path", separator).alias("path")
+
+
+@R.add(
     "lineage_downstream",
     f"""WITH RECURSIVE e AS ({_EDGES}), d(node, depth, path) AS (
       SELECT 'r1' AS node, 0 AS depth, 'r1' AS path UNION ALL
-      SELECT e.dst, d.depth + 1, concat(d.path, '>', e.dst) FROM d JOIN e ON e.src = d.node WHERE d.depth < 2)
+      SELECT e.dst, d.depth + 1, concat(d.path, '>', e.dst) FROM d JOIN e ON e.src = d.node)
     SELECT node, depth, path FROM d""",
 )
-R.sql(
+def lineage_downstream(spark, sf_dir):
+    """To the end."""
+    return walk(_edges(spark, sf_dir), "r1").select("node", "depth", _joined(">"))
+
+
+@R.add(
     "lineage_upstream",
     f"""WITH RECURSIVE e AS ({_EDGES}), u(node, depth, path) AS (
       SELECT 'o1' AS node, 0 AS depth, 'o1' AS path UNION ALL
       SELECT e.src, u.depth + 1, concat(u.path, '<', e.src) FROM u JOIN e ON e.dst = u.node WHERE u.depth < 5)
     SELECT node, depth, path FROM u""",
 )
-R.sql(
+def lineage_upstream(spark, sf_dir):
+    return walk(_edges(spark, sf_dir), "o1", 5, upstream=True).select("node", "depth", _joined("<"))
+
+
+@R.add(
     "lineage_both",
     f"""WITH RECURSIVE e AS ({_EDGES}), d(node, depth) AS (SELECT 'c7' AS node, 0 AS depth UNION ALL SELECT e.dst, d.depth + 1 FROM d JOIN e ON e.src = d.node WHERE d.depth < 10),
     u(node, depth) AS (SELECT 'c7' AS node, 0 AS depth UNION ALL SELECT e.src, u.depth + 1 FROM u JOIN e ON e.dst = u.node WHERE u.depth < 10)
     SELECT node, depth, 'down' AS direction FROM d UNION ALL SELECT node, -depth, 'up' FROM u WHERE depth > 0""",
 )
-R.sql(
+def lineage_both(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    down = walk(e, "c7", 10).select("node", "depth", F.lit("down").alias("direction"))
+    return down.unionByName(walk(e, "c7", 10, upstream=True).where("depth > 0").select("node", (-F.col("depth")).alias("depth"), F.lit("up").alias("direction")))
+
+
+@R.add(
     "impact_analysis",
     f"""WITH RECURSIVE e AS ({_EDGES}), d(node, depth) AS (
       SELECT 'n3' AS node, 0 AS depth UNION ALL SELECT e.dst, d.depth + 1 FROM d JOIN e ON e.src = d.node WHERE d.depth < 100)
     SELECT node, depth, count(*) OVER () AS total FROM d WHERE depth > 0""",
 )
+def impact_analysis(spark, sf_dir):
+    hit = walk(_edges(spark, sf_dir), "n3", 100).where("depth > 0").select("node", "depth")
+    return hit.withColumn("total", F.lit(hit.count()).cast("long"))
+
+
 # turns 0, 1, 2 ... without a gap: a turn belongs to the path while it equals the number of turns before it
 R.sql("session_paths", "SELECT conv_id, max(turn) AS length FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM (SELECT DISTINCT conv_id, turn FROM conversations) d) s WHERE turn = n GROUP BY conv_id")
 R.sql(

@@ -139,8 +139,9 @@ def performance_vector(spark, sf_dir):
     )
 
 
+# primes among the keys of parts
 R.sql(
     "find_primes",
-    "SELECT n FROM (SELECT id AS n FROM range(2, 500)) c WHERE NOT EXISTS (SELECT 1 FROM (SELECT id AS d FROM range(2, 23)) f WHERE d < n AND n % d = 0)",
-    "SELECT n FROM range(2, 500) c(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 23) f(d) WHERE d < n AND n % d = 0)",
+    "SELECT p_partkey AS n FROM part WHERE p_partkey > 1 AND NOT exists(sequence(2, CAST(greatest(2, floor(sqrt(p_partkey))) AS INT)), d -> d < p_partkey AND p_partkey % d = 0)",
+    "SELECT p_partkey AS n FROM part WHERE p_partkey > 1 AND len(list_filter(range(2, greatest(2, floor(sqrt(p_partkey)))::BIGINT + 1), lambda d: d < p_partkey AND p_partkey % d = 0)) = 0",
 )
