@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import re
 
-from atomweave.plans.base import Registry
+from pyspark.sql import functions as F
+
+from atomweave.operators import pairs as P
+from atomweave.plans.base import Registry, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -108,3 +111,24 @@ R.sql(
     SELECT step, round(score, 8) AS score, depth FROM t""",
 )
 both("agg_research_novelty", "SELECT label, vec_id, round(1 - max(COS), 6) AS novelty FROM (SELECT x.label, x.vec_id, x.a, y.b FROM (SELECT label, vec_id, VEC AS a FROM embeddings) x JOIN (SELECT label, vec_id, VEC AS b FROM embeddings) y ON x.label = y.label AND y.vec_id < x.vec_id) p GROUP BY label, vec_id")
+
+
+# all pairs of a label, by blocks of vectors; their statements stay as oracles
+def _embeddings(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding"
+
+
+def agg_research_novelty(spark, sf_dir):
+    best = P.greatest_cosine_before(*_embeddings(spark, sf_dir))
+    return best.select(F.col("g").alias("label"), F.col("id").alias("vec_id"), F.round(1 - F.col("cosine"), 6).alias("novelty"))
+
+
+def agg_sequence_patterns(spark, sf_dir):
+    return P.count_alike(*_embeddings(spark, sf_dir), 0.25, 3).select(F.col("g").alias("label"), F.col("pairs").alias("motifs"))
+
+
+def agg_path_diameter(spark, sf_dir):
+    return P.diameters(*_embeddings(spark, sf_dir)).select(F.col("g").alias("label"), F.round("diameter", 6).alias("diameter"))
+
+
+QUERIES |= {f.__name__: f for f in (agg_research_novelty, agg_sequence_patterns, agg_path_diameter)}
