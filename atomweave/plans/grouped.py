@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atomweave.operators import moments as M
+from atomweave.operators import pairs as P
 from atomweave.operators.grouped import ALGORITHMS, per_group
 from atomweave.operators.kd_join import APART, density_clusters, in_group, outlier_factors
 from atomweave.plans.base import Registry, table
@@ -13,7 +14,7 @@ from atomweave.plans.base import Registry, table
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 
-_BY_MOMENTS_OR_NEIGHBOURS = ("local_outlier_factor", "dbscan", "mahalanobis", "principal_components", "random_projection", "autoencoder", "explained_variance")
+_BY_MOMENTS_OR_NEIGHBOURS = ("local_outlier_factor", "dbscan", "mahalanobis", "principal_components", "random_projection", "autoencoder", "explained_variance", "attention")
 for _name, _f in ALGORITHMS.items():
     if _name not in _BY_MOMENTS_OR_NEIGHBOURS:
         R.add(f"group_{_name}")(lambda spark, sf_dir, f=_f: per_group(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", f))
@@ -83,6 +84,11 @@ def group_autoencoder(spark, sf_dir):
     return M.linear_codes(*_embeddings(spark, sf_dir)).select(F.col("g").alias("label"), F.col("id").alias("vec_id"), _rounded("code").alias("code"), F.round("error", 6).alias("error"))
 
 
+@R.add("group_attention")
+def group_attention(spark, sf_dir):
+    return P.attention(*_embeddings(spark, sf_dir))
+
+
 @R.add("group_random_projection")
 def group_random_projection(spark, sf_dir):
     return M.random_projection(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select(F.col("id").alias("vec_id"), _rounded("projected").alias("projected"))
