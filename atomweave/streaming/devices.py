@@ -6,16 +6,21 @@ than ``sigmas`` deviations from the mean of more than ``least`` values, itself a
 a row of its own. Null and non-finite values count as errors and are in no history. Of one slot and device at most ``queue`` rows
 wait; further ones are rejected, and a row says how many. A device that is silent for ``idle`` is forgotten.
 
+A device's waiting rows are one list and it has one timer, so calls to the state grow with devices and batches, not with rows.
+
 Rows behind the watermark on arrival are left out by the engine, which counts them in its progress. Rows of slots that the watermark hasn't passed stay in state:
 a stream that is started again on its checkpoint goes on with them. Null devices are one device.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -31,35 +36,45 @@ class DeviceProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slot long", "rows array<struct<us: long, event_id: long, metric: string, value: double>>")
-        self.history = handle.getMapState("history", "metric string", "held array<double>")
-        self.status = handle.getValueState("status", "us long, processed long, errors long, idle_timer long")
+        self.waiting = handle.getListState("waiting", "rows binary")  # Arrow streams, one a batch
+        self.history = handle.getListState("history", "metric string, held array<double>")
+        # timer is the one that is set: the end of the first slot that waits, else when the device is forgotten
+        self.status = handle.getValueState("status", "us long, processed long, errors long, idle long, waiting long, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
+        out, new = [], []
         for f in rows:
-            us = f["us"].to_numpy()
-            slots = us // SECOND
-            values = list(zip(us.tolist(), f["event_id"].tolist(), f["metric"].tolist(), [None if v != v else v for v in f["value"].tolist()]))
-            for slot in np.unique(slots).tolist():
-                new = [values[i] for i in np.flatnonzero(slots == slot)]
-                held = [tuple(r) for r in self.waiting.getValue((slot,))[0]] if self.waiting.containsKey((slot,)) else []
-                if not held:
-                    self.handle.registerTimer((slot + 1) * 1000)
-                room = max(0, self.queue - len(held))
-                if len(new) > room:
-                    out.append(self._row(key, "rejected", slot * SECOND, n=len(new) - room))
-                self.waiting.updateValue((slot,), ([*held, *new[:room]],))
-        yield self._frame(out)
+            new += zip(f["us"].tolist(), f["event_id"].tolist(), f["metric"].tolist(), [None if v != v else v for v in f["value"].tolist()])
+        last, processed, errors, idle, waiting, timer = self._status()
+        if waiting + len(new) > self.queue:  # only then can a slot be full
+            held = Counter(us // SECOND for us, *_ in self._waiting()) if waiting else Counter()
+            kept, rejected = [], Counter()
+            for r in new:
+                slot = r[0] // SECOND
+                if held[slot] < self.queue:
+                    held[slot] += 1
+                    kept.append(r)
+                else:
+                    rejected[slot] += 1
+            new = kept
+            out = [self._row(key, "rejected", slot * SECOND, n=n) for slot, n in sorted(rejected.items())]
+        if new:
+            self.waiting.appendValue((self._packed(new),))
+            due = (min(r[0] for r in new) // SECOND + 1) * 1000
+            timer = self._set(timer, min(due, timer) if waiting else due)
+            self.status.update((last, processed, errors, idle, waiting + len(new), timer))
+        if out:
+            yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark, out = timerValues.getCurrentWatermarkInMs(), []
-        last, processed, errors, idle = self.status.get() if self.status.exists() else (0, 0, 0, 0)
-        history: dict[str, list[float]] = {}
-        due = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * 1000 <= mark)
-        for slot in due:
-            rows = sorted((tuple(r) for r in self.waiting.getValue((slot,))[0]), key=lambda r: (r[0], r[1]))
-            self.waiting.removeKey((slot,))
+        last, processed, errors, idle, waiting, _ = self._status()
+        held = sorted(self._waiting(), key=lambda r: (r[0], r[1])) if waiting else []
+        due = [r for r in held if (r[0] // SECOND + 1) * 1000 <= mark]
+        held = held[len(due) :]
+        history = {name: [*past] for name, past in self.history.get()} if due and processed else {}
+        for _slot, slot_rows in groupby(due, lambda r: r[0] // SECOND):
+            rows = list(slot_rows)
             for at in range(0, len(rows), self.batch):
                 part = rows[at : at + self.batch]
                 for us, event_id, metric, value in part:
@@ -69,31 +84,55 @@ class DeviceProcessor(StatefulProcessor):
                     if value is None or not np.isfinite(value):
                         errors += 1
                         continue
-                    name = metric or ""
-                    if name not in history:
-                        history[name] = [*self.history.getValue((name,))[0]] if self.history.containsKey((name,)) else []
-                    held = history[name]
-                    held.append(value)
-                    del held[: -self.keep]
-                    if len(held) > self.least:
-                        x = np.array(held)
+                    past = history.setdefault(metric or "", [])
+                    past.append(value)
+                    del past[: -self.keep]
+                    if len(past) > self.least:
+                        x = np.array(past)
                         mean, deviation = x.mean(), x.std()
                         if abs(value - mean) > self.sigmas * deviation:
                             out.append(self._row(key, "anomaly", us, event_id, metric, value, mean, deviation))
                 out.append(self._row(key, "batch", part[0][0], n=len(part), processed=processed, errors=errors))
-        for name, held in history.items():
-            self.history.updateValue((name,), (held,))
+        if history:
+            self.history.put([*history.items()])
         if due:
-            if idle:
-                self.handle.deleteTimer(idle)
             idle = last // 1000 + self.idle
-            self.handle.registerTimer(idle)
-            self.status.update((last, processed, errors, idle))
-        elif idle and idle <= mark and not any(True for _ in self.waiting.keys()):
+            self.waiting.put([(self._packed(held),)]) if held else self.waiting.clear()
+        elif idle and idle <= mark and not held:
             out.append(self._row(key, "idle", last, processed=processed, errors=errors))
             self.status.clear()
             self.history.clear()
-        yield self._frame(out)
+            yield self._frame(out)
+            return
+        timer = (held[0][0] // SECOND + 1) * 1000 if held else idle
+        self.handle.registerTimer(timer)  # the one before has expired
+        self.status.update((last, processed, errors, idle, len(held), timer))
+        if out:
+            yield self._frame(out)
+
+    @staticmethod
+    def _packed(rows: list[tuple]) -> bytes:
+        columns = [pa.array(x, kind, from_pandas=True) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.float64()))]
+        batch, to = pa.RecordBatch.from_arrays(columns, ["us", "event_id", "metric", "value"]), pa.BufferOutputStream()
+        with pa.ipc.new_stream(to, batch.schema) as w:
+            w.write_batch(batch)
+        return to.getvalue().to_pybytes()
+
+    def _waiting(self) -> list[tuple]:
+        out: list[tuple] = []
+        for (packed,) in self.waiting.get():
+            out += zip(*(c.to_pylist() for c in pa.ipc.open_stream(packed).read_all().columns))
+        return out
+
+    def _status(self) -> tuple:
+        return tuple(self.status.get()) if self.status.exists() else (0, 0, 0, 0, 0, 0)
+
+    def _set(self, old: int, new: int) -> int:
+        if old != new:
+            if old:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(new)
+        return new
 
     def close(self) -> None:
         pass
