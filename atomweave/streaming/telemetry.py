@@ -13,8 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 KEEP, LEAST, SIGMAS = 100, 10, 3.0
 
 
-def read(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read(spark: SparkSession, path: str, schema, files_per_trigger: int | None = 1) -> DataFrame:
+    """A stream of files; None takes all that there are in one trigger."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(path)
 
 
 def tumbling(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
@@ -24,21 +26,29 @@ def tumbling(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> D
 
 
 def three_sigma(events: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
-    """(user_id, event_id, alarm) with a buffer of the last KEEP values per user, the current one among them."""
+    """(user_id, event_id, alarm) with a buffer of the last KEEP values per user, the current one among them.
+
+    A micro-batch's rows of a user are put in the order of (ts, event_id), however many frames they come in; micro-batches are taken as they arrive, so
+    whoever needs the order of time over many files reads them in one trigger. Null values count as rows but not in moments, and have no alarm.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
-        for f in frames:
-            out = []
-            for event_id, value in f.sort_values(["ts", "event_id"])[["event_id", "value"]].itertuples(index=False):
-                held = [*held, value][-KEEP:]
-                if len(held) > LEAST:
-                    s = np.array(held)
-                    out.append((key[0], event_id, bool(abs(value - s.mean()) > sigmas * s.std())))
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "alarm"]).astype({"user_id": "int64", "event_id": "int64", "alarm": "bool"})
+        rows = pd.concat(frames).sort_values(["ts", "event_id"])
+        ids, alarms = [], []
+        for event_id, value, null in zip(rows["event_id"].tolist(), rows["value"].tolist(), rows["null"].tolist()):
+            held.append(None if null else value)
+            del held[:-KEEP]
+            if len(held) > LEAST:
+                s = np.array([x for x in held if x is not None])
+                ids.append(event_id)
+                alarms.append(None if null else bool(abs(value - s.mean()) > sigmas * s.std()))
         state.update((held,))
+        if ids:
+            yield pd.DataFrame({"user_id": pd.array([None if key[0] is None or key[0] != key[0] else int(key[0])] * len(ids), "Int64"), "event_id": pd.array(ids, "Int64"), "alarm": pd.array(alarms, "boolean")})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, alarm boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    e = events.select("user_id", "ts", "event_id", "value", F.col("value").isNull().alias("null"))
+    return e.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, alarm boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def sliding(events: DataFrame, late: str = "1 hour", width: str = "6 hours", step: str = "1 hour") -> DataFrame:

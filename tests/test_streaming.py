@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from atomweave.operators.work import fresh_path
+from atomweave.plans import streams
 from atomweave.streaming import telemetry as T
-from atomweave.streaming.devices import process
+from atomweave.streaming.devices import DeviceProcessor, process
 from atomweave.streaming.sinks import KeyedTable, drain, sink
 
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double"
@@ -147,3 +148,94 @@ def test_stream_into_a_table_and_its_feed(spark, edges):
             replayed[k] = x["new"]["seq"], x["new"]["weight"]
     assert replayed == {k: v for k, v in want.items() if v}
     assert seen.where(F.col("op") == "delete").count() > 0
+
+
+def test_three_sigma_over_files_and_frames_out_of_order(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, BEGIN + dt.timedelta(hours=i), i % 3, "cpu", r.gauss(0, 1) if r.random() > 0.05 else r.choice([30.0, None])) for i in range(400)]
+    r.shuffle(rows)
+    folder = f"{tmp_path}/events.parquet"
+    for part in (rows[:200], rows[200:]):
+        source(spark, folder, part)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)  # a user's rows come in several frames
+    try:
+        got = {r["event_id"]: r["alarm"] for r in streams.QUERIES["stream_three_sigma"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, held = {}, {}
+    for e, _, user, _, v in sorted(rows):
+        h = held.setdefault(user, [])
+        h.append(v)
+        del h[:-100]
+        if len(h) > 10:
+            s = np.array([x for x in h if x is not None])
+            want[e] = None if v is None else bool(abs(v - s.mean()) > 3 * s.std())
+    assert got == want and True in want.values() and None in want.values()
+
+
+class Counted:
+    """Stands for a device's state and counts the calls."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, set()
+
+    def getListState(self, name, *_):
+        return Cell(self, name)
+
+    getMapState = getValueState = getListState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class Cell:
+    def __init__(self, state, name):
+        self.state, self.name = state, name
+
+    def __getattr__(self, what):
+        held = self.state.held
+
+        def call(*a):
+            self.state.calls += 1
+            if what == "get":
+                return held.get(self.name, [])
+            if what in ("update", "put"):
+                held[self.name] = a[0]
+            elif what in ("appendValue", "appendList"):
+                held.setdefault(self.name, []).extend([a[0]] if what == "appendValue" else a[0])
+            elif what == "clear":
+                held.pop(self.name, None)
+            else:
+                return self.name in held
+
+        return call
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_calls_to_a_device_state_do_not_grow_with_its_rows():
+    import pandas as pd
+
+    calls = []
+    for n in (50, 500):
+        state = Counted()
+        p = DeviceProcessor(frozenset(["error"]), 100, 10_000, 100, 10, 3.0, 3600)
+        p.init(state)
+        f = pd.DataFrame({"us": [i * 2_000_000 for i in range(n)], "event_id": range(n), "metric": ["error"] * n, "value": [float(i % 7) for i in range(n)]})
+        assert [*p.handleInputRows((1,), iter([f]), None)] == [] and state.timers == {1000}
+        out = pd.concat(p.handleExpiredTimer((1,), At(2000 * (n - 1)), None))  # all but the last
+        assert (out["kind"] == "critical").sum() == n - 1 and out["processed"].max() == n - 1
+        assert 2000 * (n - 1) + 1000 in state.timers
+        calls.append(state.calls)
+    assert calls[0] == calls[1]
