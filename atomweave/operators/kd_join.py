@@ -116,9 +116,9 @@ class Search:
             out += ((q[:, None, i : i + 16] - self.x[at][None, :, i : i + 16]) ** 2).sum(2)
         return out
 
-    def nearest(self, q: np.ndarray, qid: np.ndarray, reach: np.ndarray, k: int) -> list[list[tuple[float, int, int, int]]]:
-        """For each query its k nearest points (distance, first id, pid, rows), itself left out, within its reach; reach shrinks as rows are counted."""
-        best: list[list[tuple[float, int, int, int]]] = [[] for _ in qid]
+    def nearest(self, q: np.ndarray, qid: np.ndarray, reach: np.ndarray, k: int) -> list[list[tuple[float, int, int, int, float]]]:
+        """For each query its k nearest points (rounded distance, first id, pid, rows, distance), itself left out, within its reach; reach shrinks as rows are counted."""
+        best: list[list[tuple[float, int, int, int, float]]] = [[] for _ in qid]
         for rows in _blocks(q) if len(q) else []:
             low, high = q[rows].min(0), q[rows].max(0)
             gaps = _gap(low, high, self.low, self.high) if self.blocks else np.zeros(0)
@@ -136,7 +136,7 @@ class Search:
                         hit = hit[d[i, hit] <= np.partition(d[i, hit], k - 1)[k - 1] + SLACK]
                     if len(hit):
                         mine, to = at[hit], np.round(d[i, hit], 9)
-                        best[j] = sorted([*best[j], *zip(to.tolist(), self.first[mine].tolist(), self.pid[mine].tolist(), self.n[mine].tolist())])[:k]
+                        best[j] = sorted([*best[j], *zip(to.tolist(), self.first[mine].tolist(), self.pid[mine].tolist(), self.n[mine].tolist(), d[i, hit].tolist())])[:k]
                         seen = np.cumsum([x[3] for x in best[j]])
                         if seen[-1] >= k:
                             reach[j] = min(reach[j], best[j][int(np.searchsorted(seen, k))][0])
@@ -234,7 +234,7 @@ def _units(queries: DataFrame, members: DataFrame, extra: str) -> DataFrame:
     return dealt.withColumn("n", F.lit(0).cast("long")).withColumn("first", F.lit(0).cast("long")).select(*cols, F.lit(False).alias("own")).unionByName(copied.withColumn("reach", F.lit(0.0)).select(*cols, F.lit(True).alias("own")))
 
 
-_FOUND = "pid long, near array<struct<d: double, first: long, other: long>>, reach double, measured long"
+_FOUND = "pid long, near array<struct<d: double, first: long, other: long, raw: double>>, reach double, measured long"
 
 
 def _search(table, rows=slice(None)) -> Search:
@@ -242,9 +242,9 @@ def _search(table, rows=slice(None)) -> Search:
 
 
 def nearest_join(rows: DataFrame, key: str, vector: str, k: int, radius: float = float("inf")) -> DataFrame:
-    """(id, rank, other, d, measured): each row's k nearest other rows within ``radius`` by Euclidean distance, then id.
+    """(id, rank, other, d, raw, measured): each row's k nearest other rows within ``radius`` by Euclidean distance, then id.
 
-    d is rounded to nine digits; measured is how many points the row's point was measured against, the same in all its rows.
+    d is rounded to nine digits, which ranks; raw is not rounded. measured is how many points the row's point was measured against, the same in all its rows.
     """
     points, members = points_of(rows, key, vector, k + 1)
     placed, cells, low, high = _celled(points)
@@ -256,10 +256,10 @@ def nearest_join(rows: DataFrame, key: str, vector: str, k: int, radius: float =
         return _table(search.pid, near, reach, search.measured)
 
     def _table(pid, near, reach, measured):
-        kind = pa.list_(pa.struct([("d", pa.float64()), ("first", pa.int64()), ("other", pa.int64())]))
+        kind = pa.list_(pa.struct([("d", pa.float64()), ("first", pa.int64()), ("other", pa.int64()), ("raw", pa.float64())]))
         share = np.full(len(pid), measured // max(1, len(pid)), np.int64)
         share[: measured - int(share.sum())] += 1
-        return pa.table({"pid": pa.array(pid), "near": pa.array([[{"d": d, "first": f, "other": p} for d, f, p, _ in x] for x in near], kind), "reach": pa.array(reach), "measured": pa.array(share)})
+        return pa.table({"pid": pa.array(pid), "near": pa.array([[{"d": d, "first": f, "other": p, "raw": raw} for d, f, p, _, raw in x] for x in near], kind), "reach": pa.array(reach), "measured": pa.array(share)})
 
     first = written(placed.groupBy("cell").applyInArrow(own_cell, _FOUND), "near-in-cell")
     queries = placed.join(first.select("pid", "reach"), "pid")
@@ -276,20 +276,20 @@ def nearest_join(rows: DataFrame, key: str, vector: str, k: int, radius: float =
     measured = found.groupBy("pid").agg(F.sum("measured").alias("measured"))
     best = found.select("pid", F.explode("near").alias("x")).select("pid", "x.*")
     rank = F.row_number().over(Window.partitionBy("pid").orderBy("d", "first", "other"))
-    best = best.withColumn("r", rank).where(F.col("r") <= k).select("pid", "d", "other").unionByName(points.select("pid", F.lit(0.0).alias("d"), F.col("pid").alias("other")))
+    best = best.withColumn("r", rank).where(F.col("r") <= k).select("pid", "d", "raw", "other").unionByName(points.select("pid", F.lit(0.0).alias("d"), F.lit(0.0).alias("raw"), F.col("pid").alias("other")))
     # each point's nearest rows: one more than asked for, as a row itself may be among them
-    ids = best.join(points.select(F.col("pid").alias("other"), "ids"), "other").select("pid", "d", F.explode("ids").alias("other"))
+    ids = best.join(points.select(F.col("pid").alias("other"), "ids"), "other").select("pid", "d", "raw", F.explode("ids").alias("other"))
     rank = F.row_number().over(Window.partitionBy("pid").orderBy("d", "other"))
-    lists = ids.withColumn("r", rank).where((F.col("r") <= k + 1) & (F.col("d") <= radius)).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("d", "other"))).alias("near"))
+    lists = ids.withColumn("r", rank).where((F.col("r") <= k + 1) & (F.col("raw") <= radius)).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("d", "other", "raw"))).alias("near"))
     lists = lists.join(points.select("pid", "n"), "pid").join(measured, "pid").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > MANY, SALTS - 1).otherwise(0)))).drop("n")
     out = members.select("id", "pid", "salt").distinct().join(lists, ["pid", "salt"])
     near = F.slice(F.filter("near", lambda x: x["other"] != F.col("id")), 1, k)
-    return out.select("id", "measured", F.posexplode(near).alias("rank", "x")).select("id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("x.other").alias("other"), F.col("x.d").alias("d"), "measured")
+    return out.select("id", "measured", F.posexplode(near).alias("rank", "x")).select("id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("x.other").alias("other"), F.col("x.d").alias("d"), F.col("x.raw").alias("raw"), "measured")
 
 
 def outlier_factors(rows: DataFrame, key: str, vector: str, k: int = 5, radius: float = float("inf")) -> DataFrame:
     """(id, lof): local outlier factors over the k nearest neighbours, whole table; null where there are fewer rows than k + 1 within ``radius``."""
-    near = written(nearest_join(rows, key, vector, k, radius).drop("measured"), "neighbours")
+    near = written(nearest_join(rows, key, vector, k, radius).drop("measured", "raw"), "neighbours")
     far = near.groupBy("id").agg(F.max(F.when(F.col("rank") == k, F.col("d"))).alias("far"))
     density = near.join(far.select(F.col("id").alias("other"), "far"), "other").groupBy("id").agg((1 / (F.avg(F.greatest("far", "d")) + 1e-10)).alias("density"), F.count("far").alias("m"))
     density = written(density.withColumn("density", F.when(F.col("m") == k, F.col("density"))).drop("m"), "densities")

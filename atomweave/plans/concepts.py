@@ -68,7 +68,7 @@ def _ten_nearest(spark, sf_dir):
 
 @R.add("knn_join_per_row", _NEAR + " SELECT vec_id, other, CAST(r AS BIGINT) AS r, round(d, 6) AS d FROM k WHERE r <= 10")
 def knn_join_per_row(spark, sf_dir):
-    return _ten_nearest(spark, sf_dir).select("vec_id", "other", F.col("rank").alias("r"), F.round("d", 6).alias("d"))
+    return _ten_nearest(spark, sf_dir).select("vec_id", "other", F.col("rank").alias("r"), F.round("raw", 6).alias("d"))
 
 
 @R.add(
@@ -78,7 +78,7 @@ def knn_join_per_row(spark, sf_dir):
     SELECT neighbours, mean_d, count(*) AS atoms, min(vec_id) AS representative, round(1 - mean_d / 0.3, 6) AS density FROM n GROUP BY neighbours, mean_d HAVING 1 - mean_d / 0.3 >= 0.3""",
 )
 def cluster_concepts(spark, sf_dir):
-    n = _ten_nearest(spark, sf_dir).groupBy("vec_id").agg(F.count("*").alias("neighbours"), F.round(F.avg("d"), 6).alias("mean_d")).where("neighbours >= 3")
+    n = _ten_nearest(spark, sf_dir).groupBy("vec_id").agg(F.count("*").alias("neighbours"), F.round(F.avg("raw"), 6).alias("mean_d")).where("neighbours >= 3")
     c = n.where("1 - mean_d / 0.3 >= 0.3").groupBy("neighbours", "mean_d").agg(F.count("*").alias("atoms"), F.min("vec_id").alias("representative"))
     return c.withColumn("density", F.round(1 - F.col("mean_d") / 0.3, 6))
 

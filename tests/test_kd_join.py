@@ -101,3 +101,9 @@ def test_tree_cuts_evenly():
     size = np.bincount(Tree(x[:2048], 64).locate(x))
     assert len(size) == 64 and size.max() < 250
     assert Tree(np.ones((50, 3)), 8).leaves == 1
+
+
+def test_distances_are_also_given_unrounded(spark):
+    x = [(0, [0.0, 0.0]), (1, [0.07935049999999, 0.0])]  # nine digits would round up to 0.0793505, six then to 0.079351
+    got = nearest_join(spark.createDataFrame(x, "vec_id long, v array<double>"), "vec_id", "v", 1).collect()
+    assert [(r["id"], r["other"], r["d"], r["raw"]) for r in got] and {r["raw"] for r in got} == {0.07935049999999} and {r["d"] for r in got} == {0.0793505}
