@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atomweave.operators.components import components
@@ -30,6 +30,8 @@ LEAVES, CELL, SAMPLE = 1024, 512, 32
 BLOCK, UNIT = 128, 8192
 #: Rows of one point above which its list is copied to several salts.
 MANY, SALTS = 1000, 16
+#: Points of a block where all pairs are measured, blocks where there are fewer, rows that are multiplied at once; queries drawn to tell.
+WIDE, BLOCKS, STRIP, DRAWN = 16384, 16, 256, 500
 #: What rounding of distances to nine digits may hide.
 SLACK = 1e-9
 
@@ -234,9 +236,173 @@ def _units(queries: DataFrame, members: DataFrame, extra: str) -> DataFrame:
     return dealt.withColumn("n", F.lit(0).cast("long")).withColumn("first", F.lit(0).cast("long")).select(*cols, F.lit(False).alias("own")).unionByName(copied.withColumn("reach", F.lit(0.0)).select(*cols, F.lit(True).alias("own")))
 
 
+def _blocks_for_all(points: DataFrame, cells: np.ndarray, low: np.ndarray, high: np.ndarray, reach: Column) -> int:
+    """How many blocks to deal points to, if sending each query to all cells within its reach costs more than that; else 0."""
+    n = points.count()
+    blocks = max(-(-n // WIDE), min(BLOCKS, -(-n // 1024)))
+    if len(cells) <= 2 * blocks:
+        return 0
+    drawn = points.where(F.pmod(F.xxhash64("pid", F.lit(29)), F.lit(max(1, n // DRAWN))) == 0).withColumn("reach", reach)
+    asked = max(1, drawn.count())
+    return blocks if _sent(drawn, cells, low, high, "n").count() > 2 * blocks * asked else 0
+
+
+def _block_units(points: DataFrame, blocks: int, apart: bool) -> DataFrame:
+    """Points of each pair of blocks (a, b), a before b; ``own`` are those of a. Unless ``apart``, also each block with itself, as a."""
+    r = points.withColumn("block", F.pmod(F.xxhash64("pid", F.lit(31)), F.lit(blocks)).cast("int"))
+    first = r.withColumnRenamed("block", "a").withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.lit(blocks)) if apart else F.sequence("a", F.lit(blocks - 1)))).where(F.col("b") < blocks)
+    second = r.withColumnRenamed("block", "b").where("b > 0").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    return first.withColumn("own", F.lit(True)).unionByName(second.withColumn("own", F.lit(False))).groupBy("a", "b")
+
+
+def _sides(table) -> tuple:
+    """(vectors, rows of the table) of the unit's blocks; the second is the first where a block meets itself."""
+    own, x = table["own"].to_numpy(zero_copy_only=False), _matrix(table["v"])
+    i, j = np.flatnonzero(own), np.flatnonzero(~own)
+    j = i if table["a"][0] == table["b"][0] else j
+    return x[i], x[j], i, j
+
+
+def _near_strips(x: np.ndarray, y: np.ndarray, radius: float) -> Iterator[tuple[slice, np.ndarray]]:
+    """Strips of y with which points of x are within the radius."""
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    slack = 4 * x.shape[1] * np.finfo(float).eps * (xx.max(initial=0) + yy.max(initial=0))
+    for i in range(0, len(y) if len(x) else 0, STRIP):
+        part = slice(i, i + STRIP)
+        d = yy[part, None] + xx[None] - 2 * (y[part] @ x.T)
+        near = d <= radius * radius
+        p, q = np.nonzero(np.abs(d - radius * radius) <= slack)
+        for k in range(0, len(p), 1 << 16):
+            r, c = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+            near[r, c] = np.sqrt(((y[part][r] - x[c]) ** 2).sum(1)) <= radius
+        yield part, near
+
+
+def _join_parts(parent: np.ndarray, u: np.ndarray, w: np.ndarray) -> None:
+    """Join the parts of linked items; parents are roots before and after, the least of their part."""
+    while True:
+        a, b = parent[u], parent[w]
+        apart = a != b
+        if not apart.any():
+            return
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+
+
+def _links_in_blocks(placed: DataFrame, blocks: int, radius: float, least: int) -> DataFrame:
+    """(pid, part, core) as cells give them: each core point with the least of its part; parts with parts of other blocks; points that aren't core with parts near them."""
+
+    def count(key, table):
+        x, y, i, j = _sides(table)
+        n, pid = table["n"].to_numpy(), table["pid"].to_numpy()
+        of_x, of_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        for part, near in _near_strips(x, y, radius):
+            weight = near.astype(float)  # sums of whole numbers are exact
+            of_y[part] = weight @ n[i].astype(float)
+            of_x += (n[j][part].astype(float) @ weight).astype(np.int64)
+        if i is j:
+            return pa.table({"pid": pid[i], "near": of_y})
+        return pa.table({"pid": np.concatenate([pid[i], pid[j]]), "near": np.concatenate([of_x, of_y])})
+
+    counts = _block_units(placed.select("pid", "v", "n"), blocks, False).applyInArrow(count, "pid long, near long")
+    core = counts.groupBy("pid").agg(F.sum("near").alias("near")).where(F.col("near") >= least).select("pid", F.lit(1).alias("core"))
+    cored = written(placed.select("pid", "v").join(core, "pid", "left").withColumn("core", F.coalesce("core", F.lit(0))), "core-blocks")
+
+    def result(pid, part, core):
+        return pa.table({"pid": pa.array(pid, pa.int64()), "part": pa.array(part, pa.int64()), "core": pa.array(core, pa.int64())})
+
+    def parts(key, table):
+        x, pid, core = _matrix(table["v"]), table["pid"].to_numpy(), table["core"].to_numpy() > 0
+        order = np.argsort(pid)
+        x, pid, core = x[order], pid[order], core[order]
+        c, loose, parent = np.flatnonzero(core), [], np.arange(len(pid))
+        for part, near in _near_strips(x[c], x, radius):
+            p, q = np.nonzero(near)
+            u, w = p + part.start, c[q]
+            both = core[u]
+            _join_parts(parent, u[both], w[both])
+            loose.append(np.unique(np.stack([u[~both], parent[w[~both]]], 1), axis=0))
+        pairs = np.concatenate(loose) if loose else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.stack([pairs[:, 0], parent[pairs[:, 1]]], 1), axis=0)
+        return result([*pid[c], *pid[pairs[:, 0]]], [*pid[parent[c]], *pid[pairs[:, 1]]], [1] * len(c) + [0] * len(pairs))
+
+    block = F.pmod(F.xxhash64("pid", F.lit(31)), F.lit(blocks))
+    own = written(cored.groupBy(block).applyInArrow(parts, "pid long, part long, core long"), "parts")
+    named = cored.join(own.where("core = 1").select("pid", "part"), "pid", "left").withColumn("part", F.coalesce("part", F.lit(-1)))
+
+    def across(key, table):
+        x, y, i, j = _sides(table)
+        pid, part_of = table["pid"].to_numpy(), table["part"].to_numpy()
+        pi, pj, si, sj, found = part_of[i], part_of[j], pid[i], pid[j], {0: [], 1: []}
+        for part, near in _near_strips(x, y, radius):
+            p, q = np.nonzero(near & ((pj[part, None] >= 0) | (pi[None] >= 0)))
+            p = p + part.start
+            a, b = pj[p], pi[q]
+            for core, left, right in ((1, a, b), (0, np.where(a < 0, sj[p], si[q]), np.where(a < 0, b, a))):
+                of = (a >= 0) & (b >= 0) if core else (a < 0) | (b < 0)
+                found[core].append(np.unique(np.stack([left[of], right[of]], 1), axis=0))
+        got = {k: np.unique(np.concatenate(v), axis=0) if v else np.zeros((0, 2), np.int64) for k, v in found.items()}
+        return result(np.concatenate([got[1][:, 0], got[0][:, 0]]), np.concatenate([got[1][:, 1], got[0][:, 1]]), [1] * len(got[1]) + [0] * len(got[0]))
+
+    return written(own.unionByName(_block_units(named, blocks, True).applyInArrow(across, "pid long, part long, core long")), "links")
+
+
 _FOUND = "pid long, near array<struct<d: double, first: long, other: long, raw: double>>, reach double, measured long"
 
 
+def _nearest_in_blocks(points: DataFrame, blocks: int, k: int) -> DataFrame:
+    """Points (pid, v, n, first, reach) with the k nearest within their reach in each pair of blocks, as cells give them."""
+
+    def found(y, x, pid_y, pid_x, first, reach) -> list:
+        xx, yy, out = (x * x).sum(1), (y * y).sum(1), []
+        slack = 4 * x.shape[1] * np.finfo(float).eps * (xx.max(initial=0) + yy.max(initial=0))
+        bound = lambda d: (d + 2 * SLACK) ** 2 + 2 * slack
+        for i in range(0, len(y) if len(x) else 0, STRIP):
+            part = slice(i, i + STRIP)
+            d = yy[part, None] + xx[None] - 2 * (y[part] @ x.T)
+            if pid_y is pid_x:
+                d[np.arange(d.shape[0]), np.arange(i, i + d.shape[0])] = np.inf
+            most = bound(reach[part])
+            many = np.flatnonzero((d <= most[:, None]).sum(1) > k)
+            if len(many):
+                most[many] = np.minimum(most[many], bound(np.sqrt(np.maximum(np.partition(d[many], k - 1, axis=1)[:, k - 1], 0))))
+            p, q = np.nonzero(d <= most[:, None])
+            exact = np.concatenate([np.zeros(0), *(np.sqrt(((y[part][p[c : c + 65536]] - x[q[c : c + 65536]]) ** 2).sum(1)) for c in range(0, len(p), 65536))])
+            to = np.round(exact, 9)
+            order = np.lexsort((pid_x[q], first[q], to, p))
+            p, q, exact, to = p[order], q[order], exact[order], to[order]
+            place = np.arange(len(p)) - np.searchsorted(p, p)
+            keep = (place < k) & (exact <= reach[part][p] + SLACK)
+            out.append((pid_y[part][p[keep]], to[keep], first[q[keep]], pid_x[q[keep]], exact[keep]))
+        return out
+
+    def unit(key, table):
+        x, y, i, j = _sides(table)
+        pid, first, reach = (table[c].to_numpy() for c in ("pid", "first", "reach"))
+        a = pid[i]
+        b = a if i is j else pid[j]
+        got = found(y, x, b, a, first[i], reach[j])
+        asked = [(b, len(x))]
+        if i is not j:
+            got += found(x, y, a, b, first[j], reach[i])
+            asked.append((a, len(y)))
+        of, d, first, other, raw = (np.concatenate([g[c] for g in got]) if got else np.zeros(0) for c in range(5))
+        order = np.argsort(of, kind="stable")  # nearest first, as they are
+        of, near = of[order].astype(np.int64), pa.StructArray.from_arrays([pa.array(c[order].astype(t)) for c, t in ((d, float), (first, np.int64), (other, np.int64), (raw, float))], ["d", "first", "other", "raw"])
+        ids, starts = np.unique(of, return_index=True)
+        measured = {}
+        for who, m in asked:
+            measured |= dict.fromkeys(who.tolist(), m)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(of)).astype(np.int32)), near)
+        rest = np.setdiff1d(np.array([*measured], np.int64), ids)
+        near = pa.concat_arrays([lists, pa.array([[]] * len(rest), lists.type)])
+        ids = np.concatenate([ids, rest])
+        return pa.table({"pid": pa.array(ids, pa.int64()), "near": near, "reach": pa.array(np.zeros(len(ids))), "measured": pa.array([measured[x] for x in ids.tolist()], pa.int64())})
+
+    return _block_units(points.select("pid", "v", "n", "first", "reach"), blocks, False).applyInArrow(unit, _FOUND)
+
+
 def _search(table, rows=slice(None)) -> Search:
     return Search(_matrix(table["v"])[rows], *(table[c].to_numpy()[rows] for c in ("pid", "n", "first")))
 
@@ -263,7 +429,7 @@ def nearest_join(rows: DataFrame, key: str, vector: str, k: int, radius: float =
 
     first = written(placed.groupBy("cell").applyInArrow(own_cell, _FOUND), "near-in-cell")
     queries = placed.join(first.select("pid", "reach"), "pid")
-    sent = written(_sent(queries, cells, low, high, "n").drop("n"), "sent")
+    blocks = _blocks_for_all(queries, cells, low, high, F.col("reach"))
 
     def other_cell(key, table):
         own = table["own"].to_numpy(zero_copy_only=False)
@@ -271,7 +437,11 @@ def nearest_join(rows: DataFrame, key: str, vector: str, k: int, radius: float =
         reach = table["reach"].to_numpy()[~own].copy()
         return _table(pid, search.nearest(x, pid, reach, k), reach, search.measured)
 
-    second = _units(sent.withColumn("none", F.lit(0)), placed.withColumn("none", F.lit(0)), "none").groupBy("cell", "unit").applyInArrow(other_cell, _FOUND)
+    if blocks:  # the own cell's lists are found again
+        first, second = first.limit(0), _nearest_in_blocks(queries, blocks, k)
+    else:
+        sent = written(_sent(queries, cells, low, high, "n").drop("n"), "sent")
+        second = _units(sent.withColumn("none", F.lit(0)), placed.withColumn("none", F.lit(0)), "none").groupBy("cell", "unit").applyInArrow(other_cell, _FOUND)
     found = written(first.unionByName(second), "near")
     measured = found.groupBy("pid").agg(F.sum("measured").alias("measured"))
     best = found.select("pid", F.explode("near").alias("x")).select("pid", "x.*")
@@ -297,15 +467,8 @@ def outlier_factors(rows: DataFrame, key: str, vector: str, k: int = 5, radius:
     return density.join(around, "id").select("id", (F.col("theirs") / F.col("density")).alias("lof"))
 
 
-def density_clusters(rows: DataFrame, key: str, vector: str, radius: float, least: int) -> DataFrame:
-    """(id, cluster, core): DBSCAN over the whole table. cluster is the smallest id of the core rows of its cluster, null for noise.
-
-    A row is core if ``least`` rows, itself among them, are within ``radius``. A row that isn't core belongs to the least of the clusters of core rows
-    within the radius. Pairs aren't listed: a cell joins its own core points and names one point of each such part to those near it
-    in other cells, and connected components join the parts.
-    """
-    points, members = points_of(rows, key, vector, 1)
-    placed, cells, low, high = _celled(points)
+def _links_in_cells(placed: DataFrame, cells: np.ndarray, low: np.ndarray, high: np.ndarray, radius: float, least: int) -> DataFrame:
+    """(pid, part, core): each core point with the least of its part of the cell, and with parts near it in others; points that aren't core with parts near them, core 0."""
     sent = written(_sent(placed.withColumn("reach", F.lit(float(radius))), cells, low, high, "n"), "sent").withColumn("none", F.lit(0))
     placed0 = placed.withColumn("none", F.lit(0))
 
@@ -379,7 +542,20 @@ def density_clusters(rows: DataFrame, key: str, vector: str, radius: float, leas
     asking = flagged.join(F.broadcast(loads), "cell").withColumn("unit", F.pmod(F.xxhash64("pid", F.lit(17)), F.col("units")).cast("int")).withColumn("n", F.lit(0).cast("long")).withColumn("first", F.lit(0).cast("long")).withColumn("part", F.lit(-1).cast("long"))
     asked = named.join(F.broadcast(loads), "cell").withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("units") - 1)))
     units = asking.select(*cols, F.lit(False).alias("own")).unionByName(asked.select(*cols, F.lit(True).alias("own")))
-    links = written(own.unionByName(units.groupBy("cell", "unit").applyInArrow(across, "pid long, part long, core long")), "links")
+    return written(own.unionByName(units.groupBy("cell", "unit").applyInArrow(across, "pid long, part long, core long")), "links")
+
+
+def density_clusters(rows: DataFrame, key: str, vector: str, radius: float, least: int) -> DataFrame:
+    """(id, cluster, core): DBSCAN over the whole table. cluster is the smallest id of the core rows of its cluster, null for noise.
+
+    A row is core if ``least`` rows, itself among them, are within ``radius``. A row that isn't core belongs to the least of the clusters of core rows
+    within the radius. Pairs aren't listed: a cell joins its own core points and names one point of each such part to those near it
+    in other cells, and connected components join the parts.
+    """
+    points, members = points_of(rows, key, vector, 1)
+    placed, cells, low, high = _celled(points)
+    blocks = _blocks_for_all(placed, cells, low, high, F.lit(float(radius)))
+    links = _links_in_blocks(placed, blocks, radius, least) if blocks else _links_in_cells(placed, cells, low, high, radius, least)
     found = components(links.where("core = 1 AND pid <> part").select(F.col("pid").alias("a"), F.col("part").alias("b")))
     # a component's name is the smallest row id of its core points
     of = links.where("core = 1").select("pid").distinct().join(found.withColumnRenamed("node", "pid"), "pid", "left").withColumn("component", F.coalesce("component", "pid"))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from atomweave.operators import kd_join
 from atomweave.operators.components import components
@@ -107,3 +108,29 @@ def test_distances_are_also_given_unrounded(spark):
     x = [(0, [0.0, 0.0]), (1, [0.07935049999999, 0.0])]  # nine digits would round up to 0.0793505, six then to 0.079351
     got = nearest_join(spark.createDataFrame(x, "vec_id long, v array<double>"), "vec_id", "v", 1).collect()
     assert [(r["id"], r["other"], r["d"], r["raw"]) for r in got] and {r["raw"] for r in got} == {0.07935049999999} and {r["d"] for r in got} == {0.0793505}
+
+
+@pytest.mark.parametrize("blocks", [4])
+def test_blocks_give_what_cells_give(spark, monkeypatch, blocks):
+    r = np.random.default_rng(8)
+    v = np.concatenate([r.standard_normal((150, 12)), r.standard_normal((60, 12)) * 0.2 + 3, np.ones((9, 12)), np.arange(24, dtype=float).reshape(2, 12) * 100])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>").repartition(3)
+    near = lambda: sorted(tuple(x) for x in nearest_join(df, "vec_id", "v", 5, 4.5).drop("measured").select("id", "rank", "other", "d", F.round("raw", 10)).collect())
+    clusters = lambda: {x["id"]: (x["cluster"], x["core"]) for x in density_clusters(df, "vec_id", "v", 2.9, 4).collect()}
+    monkeypatch.setattr(kd_join, "CELL", 16)
+    monkeypatch.setattr(kd_join, "_blocks_for_all", lambda *_: 0)
+    want = near(), clusters()
+    monkeypatch.setattr(kd_join, "_blocks_for_all", lambda *_: blocks)
+    assert (near(), clusters()) == want and len({c for c, _ in want[1].values()}) > 2
+
+
+def test_many_independent_components_are_measured_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(kd_join, "CELL", 16)
+    monkeypatch.setattr(kd_join, "BLOCKS", 4)
+    used, blocks_for = [], kd_join._blocks_for_all
+    monkeypatch.setattr(kd_join, "_blocks_for_all", lambda *a: used.append(blocks_for(*a)) or used[-1])
+    x = np.random.default_rng(9).standard_normal((300, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    assert density_clusters(df, "vec_id", "v", 6.0, 4).count() == 300 and used == [1]
+    flat = df.select("vec_id", F.slice("v", 1, 2).alias("v"))
+    assert density_clusters(flat, "vec_id", "v", 0.01, 4).count() == 300 and used == [1, 0]
