@@ -14,7 +14,7 @@ from atomweave.plans.base import Registry, table
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 
-_BY_MOMENTS_OR_NEIGHBOURS = ("local_outlier_factor", "dbscan", "mahalanobis", "principal_components", "random_projection", "autoencoder", "explained_variance", "attention")
+_BY_MOMENTS_OR_NEIGHBOURS = ("local_outlier_factor", "dbscan", "mahalanobis", "principal_components", "random_projection", "autoencoder", "explained_variance", "attention", "dtw")
 for _name, _f in ALGORITHMS.items():
     if _name not in _BY_MOMENTS_OR_NEIGHBOURS:
         R.add(f"group_{_name}")(lambda spark, sf_dir, f=_f: per_group(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", f))
@@ -89,6 +89,11 @@ def group_attention(spark, sf_dir):
     return P.attention(*_embeddings(spark, sf_dir))
 
 
+@R.add("group_dtw")
+def group_dtw(spark, sf_dir):
+    return P.warping_distance(*_embeddings(spark, sf_dir))
+
+
 @R.add("group_random_projection")
 def group_random_projection(spark, sf_dir):
     return M.random_projection(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select(F.col("id").alias("vec_id"), _rounded("projected").alias("projected"))

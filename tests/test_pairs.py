@@ -69,3 +69,12 @@ def test_groups_over_the_bound_of_whole_groups(spark, tmp_path):
     got = json.loads(grouped.QUERIES["group_attention"](spark, str(tmp_path)).collect()[0]["result"])
     assert np.allclose(got, G.attention(v), atol=2e-6)
     assert aggregates.QUERIES["agg_path_diameter"](spark, str(tmp_path)).collect()[0]["diameter"] > 0
+
+
+def test_warping_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(P, "TILE", 5)
+    r = np.random.default_rng(5)
+    sizes = {1: 27, 2: 1, 3: 2, 4: 11}
+    rows = [(g, i, r.standard_normal(4).tolist()) for g, n in sizes.items() for i in range(n)]
+    got = {x["label"]: json.loads(x["result"]) for x in P.warping_distance(spark.createDataFrame(rows, ROWS.replace("float", "double")), "label", "vec_id", "embedding").collect()}
+    assert got == {g: G.dtw(np.array([v for h, _, v in rows if h == g])) for g in sizes}
