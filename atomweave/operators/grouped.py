@@ -1,7 +1,7 @@
 """Whole-group vector algorithms: one numpy function per group of bounded size, run by ``applyInPandas``.
 
 ``per_group`` refuses groups over ``MOST`` rows instead of letting one task swallow them, and over ``MOST_SQUARE`` where an algorithm holds a number for each pair
-of rows; larger groups are to be split by the caller. Covariances, components, outlier factors and density clusters of groups of any size
+of rows; larger groups are to be split by the caller. ``tsne`` takes groups of any size, as it goes through the pairs in strips; one group is one task's. Covariances, components, outlier factors and density clusters of groups of any size
 are in ``moments`` and ``kd_join``; the functions here are their plain forms. Rows are ordered by an explicit column. Null vectors and vectors of another length than the
 group's first are skipped; an empty group gives no row.
 """
@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST, MOST_SQUARE = 100_000, 4096
+#: Numbers of a strip of ``tsne``, and likenesses that it keeps (half a gigabyte).
+STRIP, KEPT = 1 << 17, 1 << 26
 
 
 def per_group(rows: DataFrame, group: str, order: str, vector: str, f: Callable[[np.ndarray, np.ndarray], list | dict]) -> DataFrame:
     """(group, result: JSON of f(vectors, order values))."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        most = MOST_SQUARE if f in SQUARE else MOST
+        most = MOST_SQUARE if f in SQUARE else MOST if f not in ANY_SIZE else len(pdf)
         if len(pdf) > most:
             raise ValueError(f"a group has {len(pdf)} rows; split it ({most} at most)")
         pdf = pdf.dropna(subset=["v"]).sort_values("o", kind="stable")
@@ -33,7 +35,10 @@ def per_group(rows: DataFrame, group: str, order: str, vector: str, f: Callable[
         return pd.DataFrame({"g": [pdf["g"].iloc[0]], "result": [json.dumps(f(np.stack(pdf["v"].to_numpy()).astype(float), pdf["o"].to_numpy()))]})
 
     kind = dict(rows.dtypes)[group]
-    out = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v")).groupBy("g").applyInPandas(run, f"g {kind}, result string")
+    out = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v"))
+    if f in ANY_SIZE:  # much work on few bytes: groups are not to be put together in one task
+        out = out.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g")
+    out = out.groupBy("g").applyInPandas(run, f"g {kind}, result string")
     return out.withColumnRenamed("g", group)
 
 
@@ -128,32 +133,73 @@ def principal_components(v: np.ndarray, _=None, n: int = 3) -> dict:
     return {"components": _r(vt), "variance": _r(var), "ratio": _r(var / var.sum() if var.sum() else var)}
 
 
-def tsne(v: np.ndarray, _=None, dims: int = 2, seed: int = 42) -> list:
+def _strips(n: int) -> list[slice]:
+    """Rows of the upper triangle that are taken at once."""
+    step = max(1, STRIP // max(1, n))
+    return [slice(i, min(i + step, n)) for i in range(0, n, step)]
+
+
+def _bandwidths(v: np.ndarray, target: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the factor of its squared distances at which their entropy is the target, the least distance and the sum, by bisection."""
+    n, vv = len(v), (v * v).sum(1)
+    factor, least, total = np.ones(n), np.zeros(n), np.ones(n)
+    for s in _strips(n):
+        d = np.maximum(vv[s, None] + vv[None] - 2 * (v[s] @ v.T), 0)
+        own = np.arange(len(d)), np.arange(s.start, s.stop)
+        d[own] = np.inf
+        least[s] = d.min(1)
+        d -= least[s, None]
+        left, lo, hi, b = np.arange(len(d)), np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
+        for _k in range(50):
+            e = np.exp(-d * b[left, None])
+            z = e.sum(1)
+            d[own[0][: len(left)], own[1]] = 0  # no infinity times nothing
+            h = np.log(z) + b[left] * (e * d).sum(1) / z
+            d[own[0][: len(left)], own[1]] = np.inf
+            factor[s.start + left], total[s.start + left] = b[left], z
+            go = np.abs(h - target) >= 1e-5
+            left, d, own, more = left[go], d[go], (own[0], own[1][go]), h[go] > target
+            if not len(left):
+                break
+            lo[left], hi[left] = np.where(more, b[left], lo[left]), np.where(more, hi[left], b[left])
+            b[left] = np.where(np.isinf(hi[left]), b[left] * 2, (lo[left] + hi[left]) / 2)
+    return factor, least, total
+
+
+def tsne(v: np.ndarray, _=None, dims: int = 2, seed: int = 42, rounds: int | None = None) -> list:
+    """All pairs, a strip of the upper triangle at a time: memory is linear in the rows, but for up to ``KEPT`` likenesses, which with more rows are found anew in each round."""
     n = len(v)
     if n < 4:
         return _r(v[:, :dims])
-    perplexity, rounds = min(30.0, n / 3), min(1000, 10 * n)
-    d = ((v[:, None] - v[None]) ** 2).sum(2)
-    p = np.zeros((n, n))
-    for i in range(n):
-        lo, hi, b = 0.0, np.inf, 1.0
-        for _k in range(50):
-            e = np.exp(-(d[i] - np.min(np.delete(d[i], i))) * b)
-            e[i] = 0
-            q = e / e.sum()
-            h = -(q[q > 0] * np.log(q[q > 0])).sum()
-            if abs(h - np.log(perplexity)) < 1e-5:
-                break
-            lo, hi = (b, hi) if h > np.log(perplexity) else (lo, b)
-            b = b * 2 if hi == np.inf else (lo + hi) / 2
-        p[i] = q
-    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+    perplexity, rounds = min(30.0, n / 3), rounds or min(1000, 10 * n)
+    factor, least, total = _bandwidths(v, np.log(perplexity))
+    vv, strips = (v * v).sum(1), _strips(n)
+
+    def likeness(s: slice) -> np.ndarray:
+        t = slice(s.start, n)
+        d = np.maximum(vv[s, None] + vv[None, t] - 2 * (v[s] @ v[t].T), 0)
+        p = np.exp(-(d - least[s, None]) * factor[s, None]) / total[s, None] + np.exp(-(d - least[None, t]) * factor[None, t]) / total[None, t]
+        return np.maximum(p / (2 * n), 1e-12)
+
+    kept = [likeness(s) for s in strips] if n * (n + 1) // 2 <= KEPT else None
     y, step = np.random.default_rng(seed).standard_normal((n, dims)) * 1e-4, np.zeros((n, dims))
+    one = np.ones((n, 1))
     for t in range(rounds):
-        w = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))
-        np.fill_diagonal(w, 0)
-        g = (p * (4 if t < 100 else 1) - w / w.sum()) * w
-        step = 0.8 * step - 20 * 4 * (g.sum(1)[:, None] * y - g @ y)
+        near, far, z = np.zeros((n, dims + 1)), np.zeros((n, dims + 1)), 0.0  # sums of weights times (y, 1)
+        yy, with_one = (y * y).sum(1)[:, None], np.hstack([y, one])
+        left, right = np.hstack([-2 * y, yy + 1, one]), np.hstack([y, one, yy]).T.copy()
+        for k, s in enumerate(strips):
+            p, m = kept[k] if kept else likeness(s), s.stop - s.start
+            w = left[s] @ right[:, s.start :]
+            np.maximum(w, 1, out=w)
+            np.reciprocal(w, out=w)
+            w[:, :m] = np.triu(w[:, :m], 1)  # each pair once
+            z += 2 * w.sum()
+            for out, x in ((near, p * w), (far, np.multiply(w, w, out=w))):
+                out[s] += x @ with_one[s.start :]
+                out[s.start :] += x.T @ with_one[s]
+        pull = near * (4 if t < 100 else 1) - far / z
+        step = 0.8 * step - 20 * 4 * (pull[:, dims:] * y - pull[:, :dims])
         y = y + step
         y = y - y.mean(0)
     return _r(y)
@@ -248,4 +294,6 @@ def matrix_factorization(v: np.ndarray, _=None, k: int = 4, rounds: int = 100, r
 
 ALGORITHMS = {f.__name__: f for f in (geometric_median, convex_hull, online_kmeans, local_outlier_factor, dbscan, mahalanobis, principal_components, tsne, random_projection, attention, autoencoder, explained_variance, self_consistency, diverse, dtw, change_points, matrix_factorization)}
 #: These hold a number for each pair of rows.
-SQUARE = (local_outlier_factor, dbscan, tsne, attention, dtw)
+SQUARE = (local_outlier_factor, dbscan, attention, dtw)
+#: Memory is linear in the rows.
+ANY_SIZE = (tsne,)

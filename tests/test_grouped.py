@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 
 from atomweave.operators import grouped as G
@@ -40,3 +42,47 @@ def test_groups_skip_odd_rows(spark):
     df = spark.createDataFrame([(1, 1, [1.0, 2.0]), (1, 2, None), (1, 3, [1.0]), (2, 1, None)], "label int, vec_id int, embedding array<double>")
     got = G.per_group(df, "label", "vec_id", "embedding", lambda v, o: o.tolist()).collect()
     assert [(r["label"], r["result"]) for r in got] == [(1, "[1]")]
+
+
+def plain_tsne(v, rounds, dims=2, seed=42):
+    n = len(v)
+    goal = np.log(min(30.0, n / 3))
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    p = np.zeros((n, n))
+    for i in range(n):
+        lo, hi, b = 0.0, np.inf, 1.0
+        for _ in range(50):
+            e = np.exp(-(d[i] - np.min(np.delete(d[i], i))) * b)
+            e[i] = 0
+            q = e / e.sum()
+            h = -(q[q > 0] * np.log(q[q > 0])).sum()
+            if abs(h - goal) < 1e-5:
+                break
+            lo, hi = (b, hi) if h > goal else (lo, b)
+            b = b * 2 if hi == np.inf else (lo + hi) / 2
+        p[i] = q
+    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+    y, step = np.random.default_rng(seed).standard_normal((n, dims)) * 1e-4, np.zeros((n, dims))
+    for t in range(rounds):
+        w = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))
+        np.fill_diagonal(w, 0)
+        g = (p * (4 if t < 100 else 1) - w / w.sum()) * w
+        step = 0.8 * step - 20 * 4 * (g.sum(1)[:, None] * y - g @ y)
+        y = y + step
+        y = y - y.mean(0)
+    return y
+
+
+def test_tsne_by_strips_takes_groups_of_any_size(spark, monkeypatch):
+    v = np.random.default_rng(3).standard_normal((45, 5))  # few rounds: with more, rounding turns the picture
+    want = plain_tsne(v, 20)
+    whole = G.tsne(v)
+    for strip, kept in ((1 << 17, 1 << 26), (200, 1 << 26), (200, 0)):
+        monkeypatch.setattr(G, "STRIP", strip)
+        monkeypatch.setattr(G, "KEPT", kept)
+        assert np.allclose(G.tsne(v, rounds=20), want, atol=1e-5)
+    monkeypatch.setattr(G, "MOST", 10)
+    monkeypatch.setattr(G, "MOST_SQUARE", 10)
+    df = spark.createDataFrame([(1, i, x.tolist()) for i, x in enumerate(v)], "label int, vec_id int, embedding array<double>")
+    (got,) = G.per_group(df, "label", "vec_id", "embedding", G.tsne).collect()
+    assert len(json.loads(got["result"])) == len(whole) == 45
