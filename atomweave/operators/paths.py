@@ -1,8 +1,9 @@
 """A* over spatial neighbours: from an atom to the first atom of a concept's region, over steps of at most a radius.
 
 The bound is the distance to the region's centre, which never falls by more than a step costs; so atoms leave the open set by falling bound plus cost, and the goal is the atom in
-the region for which cost plus bound is least, then bound. A round takes all open atoms at once that can still matter, finds their neighbours through kd-cells,
-and keeps the cheapest way to each; open and closed atoms are one written table. It ends when no open atom is below the best goal. Equal vectors are one
+the region for which cost plus bound is least, then bound. A round takes the open atoms that can still matter, those of the least bounds if they are more than about ``FRONT``
+(twice as many in each further round), finds their neighbours through kd-cells, and keeps the cheapest way to each, with the atom it comes from; open and closed atoms are one written
+table. It ends when no open atom is below the best goal, so which of them a round takes doesn't change the result. Equal vectors are one
 atom, that of the smallest id. ``max_steps`` is how many atoms may be taken from the open set one by one before the goal; with more there is no path.
 """
 
@@ -15,65 +16,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomweave.operators.kd_join import _celled, _matrix, _search, _sent, points_of
+from atomweave.operators.kd_join import SLACK, Search, _blocks, _celled, _gap, _matrix, _sent, points_of
 from atomweave.operators.work import written
 
+#: Open atoms that the first round takes.
+FRONT = 4096
 PATH = "step long, atom_id long, cost double, to_centre double"
 
 
+def _upto(f, most: float):
+    return lambda key, table: f(most, table)
+
+
 def find_path(rows: DataFrame, key: str, vector: str, start: int, centre: list[float], region: float, radius: float, max_steps: int = 10_000) -> DataFrame:
     """(step, atom_id, cost, to_centre) from start to goal, steps from 0; no row without a path."""
     spark = rows.sparkSession
     points, _ = points_of(rows, key, vector, 1)
     placed, cells, low, high = _celled(points)
     far = F.sqrt(F.aggregate(F.zip_with("v", F.array(*map(F.lit, map(float, centre))), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    nodes = written(placed.select("pid", "first", "v", "cell", far.alias("h")).withColumn("inside", F.col("h") <= region), "nodes")
+    nodes = written(placed.select("pid", "first", "v", "cell", far.alias("h")), "nodes")
     begin = rows.where(F.col(key) == start).select(F.col(vector).cast("array<double>").alias("v")).limit(1).collect()
     own = nodes.where(F.col("v") == F.array(*map(F.lit, begin[0]["v"]))) if begin and begin[0]["v"] else nodes.limit(0)
-    state = written(own.select("pid", F.lit(0.0).alias("g"), F.array("pid").alias("path"), F.lit(True).alias("fresh")), "open")
+    kind = "pid long, v array<double>, cell int, h double, g double, parent long"
+    state = written(own.select("pid", "v", "cell", "h", F.lit(0.0).alias("g"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("fresh")), "open")
 
-    def near(key, table):
+    def near(most, table):
+        """The cheapest way to each of the cell's points; equal ways are by the smallest parent."""
         own = table["own"].to_numpy(zero_copy_only=False)
-        search, x, pid = _search(table, own), _matrix(table["v"])[~own], table["pid"].to_numpy()[~own]
-        to, frm, d = [], [], []
-        for j, at in search.within(x, pid, radius):
-            at = at[search.pid[at] != pid[j]]
-            to.append(search.pid[at])
-            frm.append(np.full(len(at), pid[j]))
-            d.append(np.sqrt(((search.x[at] - x[j]) ** 2).sum(1)))
-        cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        return pa.table({"pid": pa.array(cat(to, np.int64)), "parent": pa.array(cat(frm, np.int64)), "d": pa.array(cat(d, float))})
-
-    best = float("inf")
+        asked, points = table.filter(pa.array(~own)), table.filter(pa.array(own))
+        pid, q, g0 = asked["pid"].to_numpy(), _matrix(asked["v"]), asked["g"].to_numpy()
+        x, own_pid, h = _matrix(points["v"]), points["pid"].to_numpy(), points["h"].to_numpy()
+        search = Search(x, own_pid, own_pid, own_pid)
+        g, parent = np.full(len(x), np.inf), np.full(len(x), -1)
+        for part in _blocks(q) if len(q) else []:
+            part = part[np.argsort(pid[part])]
+            gaps = _gap(q[part].min(0), q[part].max(0), search.low, search.high) if search.blocks else np.zeros(0)
+            for b in np.flatnonzero(gaps <= radius):
+                at = search.blocks[b]
+                d = search._distances(q[part], at)
+                way = np.where((d <= radius) & (pid[part][:, None] != own_pid[at][None]), g0[part][:, None] + d, np.inf)
+                i = way.argmin(0)
+                way = way[i, np.arange(len(at))]
+                better = (way < g[at]) | ((way == g[at]) & (way < np.inf) & (pid[part][i] < parent[at]))
+                g[at[better]], parent[at[better]] = way[better], pid[part][i][better]
+        found = np.flatnonzero((g < np.inf) & (g + h <= most + SLACK))  # others can't be on the path
+        return points.take(pa.array(found)).select(["pid", "v", "cell", "h"]).append_column("g", pa.array(g[found])).append_column("parent", pa.array(parent[found], pa.int64()))
+
+    inside, bound, most = F.col("h") <= region, F.col("g") + F.col("h"), FRONT
     while True:
-        known = state.join(nodes.select("pid", "h", "inside"), "pid")
-        top = known.where("inside").agg(F.min(F.col("g") + F.col("h"))).first()[0]
-        best = float("inf") if top is None else top
-        front = known.where(F.col("fresh") & ~F.col("inside") & (F.col("g") + F.col("h") <= best)).select("pid", "g", "path")
-        front = written(front, "front")
-        if front.isEmpty():
+        best = state.where(inside).agg(F.min(bound)).first()[0]
+        best = float("inf") if best is None else best
+        waiting = state.where(F.col("fresh") & ~inside & (bound <= best))
+        n = waiting.count()
+        if not n:
             break
-        asking = front.select("pid").join(nodes.select("pid", "v", "cell"), "pid").withColumn("reach", F.lit(float(radius))).withColumn("none", F.lit(0))
-        sent = asking.select("pid", "v", "cell").unionByName(_sent(asking, cells, low, high, "none").select("pid", "v", "cell"))
+        cut = best if n <= most else waiting.select(bound.alias("f")).approxQuantile("f", [most / n], 0.001)[0]
+        most *= 2
+        front = written(waiting.where(bound <= cut).select("pid", "v", "cell", "g"), "front")
+        asking = front.withColumn("reach", F.lit(float(radius)))
+        sent = front.select("pid", "v", "cell", "g").unionByName(_sent(asking, cells, low, high, "g").select("pid", "v", "cell", "g"))
         met = sent.select("cell").distinct()
-        units = sent.select("cell", "pid", "v", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("first"), F.lit(False).alias("own"))
-        units = units.unionByName(placed.join(F.broadcast(met), "cell", "left_semi").select("cell", "pid", "v", "n", "first", F.lit(True).alias("own")))  # cells are few
-        steps = units.groupBy("cell").applyInArrow(near, "pid long, parent long, d double").join(front.withColumnRenamed("pid", "parent"), "parent")
-        ways = steps.select("pid", F.struct((F.col("g") + F.col("d")).alias("g"), F.concat("path", F.array("pid")).alias("path")).alias("way")).groupBy("pid").agg(F.min("way").alias("way"))
-        merged = state.join(ways, "pid", "full")
-        better = F.col("way").isNotNull() & (F.col("g").isNull() | (F.col("way.g") < F.col("g")))
-        state = written(merged.select("pid", F.when(better, F.col("way.g")).otherwise(F.col("g")).alias("g"), F.when(better, F.col("way.path")).otherwise(F.col("path")).alias("path"), better.alias("fresh")), "open")
-    known = state.join(nodes.select("pid", "h", "inside"), "pid")
-    goal = known.where("inside").orderBy(F.col("g") + F.col("h"), "h", "pid").limit(1).collect()
+        units = sent.withColumn("h", F.lit(0.0)).withColumn("own", F.lit(False))
+        units = units.unionByName(nodes.join(F.broadcast(met), "cell", "left_semi").select("pid", "v", "cell", "h", F.lit(0.0).alias("g"), F.lit(True).alias("own")))  # cells are few
+        # a point lies in one cell, which all that reach it are sent to: its cheapest way is known there, and pairs never travel
+        ways = units.groupBy("cell").applyInArrow(_upto(near, best), kind)
+        merged = state.select("pid", F.struct("v", "cell", "h", "g", "parent").alias("old"), "fresh").join(ways.select("pid", F.struct("v", "cell", "h", "g", "parent").alias("way")), "pid", "full")
+        better = F.col("way").isNotNull() & (F.col("old").isNull() | (F.col("way.g") < F.col("old.g")))
+        left = F.coalesce(F.col("fresh") & (F.col("old.g") + F.col("old.h") > cut), F.lit(False))
+        state = written(merged.select("pid", F.when(better, F.col("way")).otherwise(F.col("old")).alias("x"), (better | left).alias("fresh")).select("pid", "x.*", "fresh"), "open")
+    goal = state.where(inside).orderBy(bound, "h", "pid").limit(1).collect()
     if not goal:
         return spark.createDataFrame([], PATH)
-    g = goal[0]
-    f, top = F.col("g") + F.col("h"), g["g"] + g["h"]
-    if known.where((f < top) | ((f == top) & (F.col("h") < g["h"]))).count() > max_steps:
+    at = goal[0]
+    top = at["g"] + at["h"]
+    if state.where((bound < top) | ((bound == top) & (F.col("h") < at["h"]))).count() > max_steps:
         return spark.createDataFrame([], PATH)
-    path = spark.createDataFrame([(g["path"],)], "path array<long>").select(F.posexplode("path").alias("step", "pid"))
-    out = path.join(nodes.select("pid", "first", "h"), "pid").join(state.select("pid", "g"), "pid")
-    return out.select(F.col("step").cast("long").alias("step"), F.col("first").alias("atom_id"), F.col("g").alias("cost"), F.col("h").alias("to_centre"))
+    # bounds don't fall along a path: those up to the goal's are max_steps and a few
+    known = {r["pid"]: r for r in state.where(bound <= top + SLACK).select("pid", "g", "h", "parent").collect()}
+    path = [at["pid"]]
+    while known[path[-1]]["parent"] is not None:
+        path.append(known[path[-1]]["parent"])
+    path = [(i, p, known[p]["g"], known[p]["h"]) for i, p in enumerate(path[::-1])]
+    out = spark.createDataFrame(path, "step long, pid long, cost double, to_centre double").join(nodes.select("pid", "first"), "pid")
+    return out.select("step", F.col("first").alias("atom_id"), "cost", "to_centre")
 
 
 class PathCache:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atomweave.functions import segments as SG
-from atomweave.operators import fulltext
+from atomweave.operators import fulltext, paths
 from atomweave.operators.curve_quality import locality, preservation, ranked
 from atomweave.operators.generate import STOP, generate
 from atomweave.operators.paths import PathCache, find_path
@@ -127,6 +127,15 @@ def test_paths_equal_plain_search(spark, case):
     assert find_path(rows, "id", "v", 12345, centre, region, radius).count() == 0
 
 
+def test_rounds_of_few_atoms_find_the_same_path(spark, monkeypatch):
+    monkeypatch.setattr(paths, "FRONT", 3)
+    points = {i: v for i, v in enumerate(np.random.default_rng(0).random((150, 3)).tolist())}
+    rows = spark.createDataFrame([*points.items()], "id long, v array<double>")
+    want = plain_path(points, 0, [0.9, 0.9, 0.9], 0.2, 0.3, 10_000)
+    got = find_path(rows, "id", "v", 0, [0.9, 0.9, 0.9], 0.2, 0.3).orderBy("step").collect()
+    assert want and [x["atom_id"] for x in got] == want[0] and abs(got[-1]["cost"] - want[1]) < 1e-9
+
+
 def test_path_cache_expires(spark):
     cache, now = PathCache(spark, fresh_path(spark, "paths"), minutes=10), dt.datetime(2024, 5, 1, 12)
     assert cache.get(1, "c", now) is None
