@@ -93,7 +93,8 @@ R.sql(
 )
 R.sql(
     "text_compositions",
-    "SELECT sha2(text, 256) AS parent, pos AS seq, sha2(word, 256) AS component FROM documents LATERAL VIEW posexplode(split(text, ' ')) p AS pos, word",
+    # a text is hashed once, before its words are rows
+    "SELECT parent, pos AS seq, sha2(word, 256) AS component FROM (SELECT sha2(text, 256) AS parent, split(text, ' ') AS ws FROM documents) t LATERAL VIEW posexplode(ws) p AS pos, word",
     "SELECT sha256(text) AS parent, unnest(range(len(ws)))::INT AS seq, sha256(unnest(ws)) AS component FROM (SELECT text, string_split(text, ' ') AS ws FROM documents) t",
 )
 R.sql(

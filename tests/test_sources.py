@@ -33,3 +33,10 @@ def test_wave_frames(spark, tmp_path):
         w.writeframes(np.full(60, 16384, "<i2").tobytes())
     frames = X.wave_frames(X.read_files(spark, str(tmp_path))).collect()
     assert len(frames) == 3 and all(abs(r["rms"] - 0.5) < 1e-9 and r["peak"] == 0.5 for r in frames)
+
+
+def test_a_text_is_hashed_before_its_words_are_rows(spark):
+    from atomweave.plans import registry
+
+    plan = registry.QUERIES["text_compositions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("sha2(cast(text") and plan.count("sha2(cast(text") == 1
