@@ -58,7 +58,7 @@ FILE_VECTORS = 2048
 def _model_files(spark, sf_dir, pack=None):
     """The folder of model files, a tensor a vector: a task writes files of bounded size for each label that it meets.
 
-    ``pack`` makes a tensor of a vector; else it is written as F32. A task that is run again writes the same names.
+    ``pack`` makes tensors of vectors by name; else they are written as F32. A task that is run again writes the same names.
     """
     import numpy as np
     import pyarrow as pa
@@ -78,7 +78,7 @@ def _model_files(spark, sf_dir, pack=None):
                 rows = np.flatnonzero(labels == label)
                 for at in range(0, len(rows), FILE_VECTORS):
                     part = {f"v{ids[i]}": np.asarray(vectors[i], np.float32) for i in rows[at : at + FILE_VECTORS]}
-                    tensors = part if pack is None else {f"{k}.{kind}": x for k, v in part.items() for kind, x in pack(v).items()}
+                    tensors = part if pack is None else pack(part)
                     with system.open_output_stream(f"{inner}/label{label}-{task}-{n}.gguf") as f:
                         f.write(X.write_gguf({"general.name": f"label{label}", "n": len(part)}, tensors))
                     n += 1
@@ -107,16 +107,23 @@ def model_weight_stream(spark, sf_dir):
 STEPS = {"Q8_0": (2.0**-7, None), "Q4_0": (2.0**-4, None), "Q4_1": (2.0**-3, -1.0), "Q5_0": (2.0**-5, None), "Q5_1": (2.0**-4, -1.0), "Q4_K": (2.0**-3, -1.0), "Q5_K": (2.0**-5, None), "Q6_K": (2.0**-6, None)}
 
 
-def _pack(v):
-    """A vector in each kind; where a block is longer, the vector is repeated."""
+def _pack(vectors):
+    """Vectors in each kind, those of one length at once; where a block is longer, a vector is repeated."""
     import numpy as np
 
-    out = {}
-    for kind, (step, least) in STEPS.items():
-        k = Q.KINDS[kind]
-        x = np.tile(v, -(-k.values // len(v))) if k.values > len(v) else v
-        n = len(x) // k.values
-        out[kind] = kind, len(x), Q.quantise(x[: n * k.values], kind, np.full(n, step), None if least is None else np.full(n, least))
+    by_length, out = {}, {}
+    for name, v in vectors.items():
+        by_length.setdefault(len(v), []).append(name)
+    for length, names in by_length.items():
+        v = np.stack([vectors[i] for i in names])
+        for kind, (step, least) in STEPS.items():
+            k = Q.KINDS[kind]
+            x = np.tile(v, (1, -(-k.values // length))) if k.values > length else v
+            n = x.shape[1] // k.values
+            blocks = n * len(names)
+            raw = Q.quantise(x[:, : n * k.values].ravel(), kind, np.full(blocks, step), None if least is None else np.full(blocks, least))
+            for i, name in enumerate(names):
+                out[f"{name}.{kind}"] = kind, x.shape[1], raw[i * n * k.block : (i + 1) * n * k.block]
     return out
 
 

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
@@ -29,6 +30,8 @@ SCHEMA = "path string, tensor string, kind string, shape array<long>, start long
 _TYPES = pa.schema([("path", pa.string()), ("tensor", pa.string()), ("kind", pa.string()), ("shape", pa.list_(pa.int64())), ("start", pa.int64()), ("values", pa.list_(pa.float32())), ("error", pa.string())])
 #: Bytes of a header at most: longer ones are taken for broken.
 MOST_HEADER = 1 << 30
+#: Values of a batch of small tensors; bytes between tensors that are read along.
+BATCH_VALUES, GAP = 1 << 20, 1 << 12
 
 # Kinds of tensors by number, sizes of metadata values by type number (8 is text, 9 an array).
 GGUF_KINDS = {0: "F32", 1: "F16", 2: "Q4_0", 3: "Q4_1", 6: "Q5_0", 7: "Q5_1", 8: "Q8_0", 12: "Q4_K", 13: "Q5_K", 14: "Q6_K", 30: "BF16"}
@@ -221,7 +224,11 @@ class TensorReader(DataSourceReader):
             return
         system, _ = _open(self.path)
         with system.open_input_file(part.path) as f:
+            for some in self._small(part.ranges):
+                yield self._together(part.path, some, f)
             for tensor, kind, shape, first, n, begin in part.ranges:
+                if n <= self.chunk:
+                    continue
                 values, block = block_of(kind)
                 step = max(1, self.chunk // values) * values
                 for at in range(0, max(n, 1), step):
@@ -229,6 +236,50 @@ class TensorReader(DataSourceReader):
                     raw = f.read_at(-(-k // values) * block, begin + at // values * block)
                     yield self._rows([(part.path, tensor, kind, shape, first + at, dequantise(raw, kind)[:k], None)])
 
+    def _small(self, ranges: list[tuple]) -> Iterator[list[tuple]]:
+        """Ranges of one chunk at most, as many of a kind as are one batch; a row each costs more than its values."""
+        by_kind: dict[str, list[tuple]] = {}
+        for r in ranges:
+            if r[4] <= self.chunk:
+                by_kind.setdefault(r[1], []).append(r)
+        for some in by_kind.values():
+            i = held = 0
+            for j, r in enumerate(some):
+                if j > i and held + r[4] > BATCH_VALUES:
+                    yield some[i:j]
+                    i, held = j, 0
+                held += r[4]
+            yield some[i:]
+
+    def _together(self, path: str, some: list[tuple], f) -> pa.RecordBatch:
+        """A row for each range; ranges whose bytes follow closely on each other are read at once."""
+        kind = some[0][1]
+        values, block = block_of(kind)
+        whole = np.array([-(-n // values) for *_, n, _ in some], np.int64)
+        begin = np.array([r[5] for r in some], np.int64)
+        end = begin + whole * block
+        order = np.argsort(begin, kind="stable")
+        raw: list = [None] * len(some)
+        i = 0
+        while i < len(order):
+            j, top = i + 1, end[order[i]]
+            while j < len(order) and begin[order[j]] - top <= GAP and max(top, end[order[j]]) - begin[order[i]] <= self.partition_bytes:
+                top, j = max(top, end[order[j]]), j + 1
+            start = int(begin[order[i]])
+            got = memoryview(f.read_at(int(top) - start, start))
+            for k in order[i:j]:
+                raw[k] = got[begin[k] - start : end[k] - start]
+            i = j
+        x = dequantise(b"".join(raw), kind)
+        size = np.array([r[4] for r in some], np.int64)
+        if (whole * values != size).any():  # the last block isn't full
+            at = np.repeat(np.cumsum(whole * values) - whole * values - (np.cumsum(size) - size), size)
+            x = x[np.arange(len(at)) + at]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(x, pa.float32()))
+        m = len(some)
+        columns = [pa.array([path] * m, pa.string()), pa.array([r[0] for r in some], pa.string()), pa.array([kind] * m, pa.string()), pa.array([r[2] for r in some], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([r[3] for r in some], pa.int64()), lists, pa.nulls(m, pa.string())], schema=_TYPES)
+
     @staticmethod
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES.types)], schema=_TYPES)

@@ -128,3 +128,19 @@ def test_ranges_are_bounded(folder):
     assert sum(n for r in runs for t, *_, n, _ in r.ranges if t == "big") == 100_000
     for r in runs:
         assert sum(-(-n // block_of(k)[0]) * block_of(k)[1] for _, k, _, _, n, _ in r.ranges) <= 40_000
+
+
+def test_small_tensors_of_a_kind_are_one_batch(tmp_path, monkeypatch):
+    from atomweave.sources import tensors as T
+
+    r = np.random.default_rng(2)
+    made = {f"t{i}": r.integers(0, 9, 40 + i % 3).astype(np.float32) for i in range(50)}
+    packed = {k: ("Q8_0", len(v), quantise(np.resize(v, 64), "Q8_0", np.ones(2))) for k, v in made.items()}
+    (tmp_path / "m.gguf").write_bytes(X.write_gguf({}, made | {f"q{k}": x for k, x in packed.items()}))
+    for values, batches in ((1 << 20, 2), (100, 50)):
+        monkeypatch.setattr(T, "BATCH_VALUES", values)
+        reader = T.TensorReader({"path": str(tmp_path / "m.gguf")})
+        got = [b for part in reader.partitions() for b in reader.read(part)]
+        assert len(got) == batches
+        rows = {x["tensor"]: x["values"] for b in got for x in b.to_pylist()}
+        assert rows == {k: v.tolist() for k, v in made.items()} | {f"q{k}": v.tolist() for k, v in made.items()}
