@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atomweave.functions import vector as V
-from atomweave.operators.kd_join import in_group, radius_pairs
+from atomweave.operators.pairs import alike_pairs
 
 
 def literal(vector: Sequence[float]) -> Column:
@@ -65,10 +65,12 @@ def activation(frame: DataFrame, query: Sequence[float], threshold: float, n: in
 
 
 def duplicates(frame: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one label, smaller id first, at or over a cosine: on unit vectors that is a radius, so only cells near enough are measured.
+    """Pairs of one label, smaller id first, at or over a cosine: all pairs of a label in blocks, one matrix product each, as cells tell little apart at the angles asked for.
 
     Vectors without a length, or with broken components, take no part.
     """
-    unit = frame.where(V.norm(F.col("embedding")) > 0).select("vec_id", "label", V.normalize(F.col("embedding")).alias("unit"))
-    pairs = radius_pairs(unit.select("vec_id", in_group("label", "unit").alias("v")), "vec_id", "v", (2 - 2 * (threshold - 1e-6)) ** 0.5)
-    return pairs.select("a", "b", F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    v = frame.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    v = v.where(V.norm(F.col("embedding")) > 0).where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    unit = v.select("vec_id", "label", V.normalize(F.col("embedding")).alias("unit"))
+    pairs = alike_pairs(unit, "label", "vec_id", "unit", threshold - 1e-6)
+    return pairs.select("a", "b", F.round("cosine", 6).alias("similarity")).where(F.col("similarity") >= threshold)

@@ -78,3 +78,18 @@ def test_warping_by_tiles(spark, monkeypatch):
     rows = [(g, i, r.standard_normal(4).tolist()) for g, n in sizes.items() for i in range(n)]
     got = {x["label"]: json.loads(x["result"]) for x in P.warping_distance(spark.createDataFrame(rows, ROWS.replace("float", "double")), "label", "vec_id", "embedding").collect()}
     assert got == {g: G.dtw(np.array([v for h, _, v in rows if h == g])) for g in sizes}
+
+
+def test_pairs_of_unit_vectors_equal_brute_force(spark, monkeypatch):
+    from atomweave.operators import search
+
+    monkeypatch.setattr(P, "BLOCK", 7)
+    r = np.random.default_rng(8)
+    v = {i: r.standard_normal(4) for i in range(40)}
+    v[40] = v[3] * 2
+    rows = [(i, i % 3 if i < 40 else 0, x.tolist()) for i, x in v.items()] + [(50, 1, [0.0] * 4), (51, 1, [float("nan")] * 4), (52, 1, None), (53, None, [1.0] * 4), (3, 0, [9.0] * 4)]
+    got = search.duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), 0.5).collect()
+    some = [(i, g, np.array(x)) for i, g, x in rows if g is not None and x is not None and 0 < np.linalg.norm(x) < np.inf]
+    cos = lambda x, y: round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 6)
+    want = sorted((i, j, cos(x, y)) for i, g, x in some for j, h, y in some if g == h and i < j and cos(x, y) >= 0.5)
+    assert [x[:2] for x in want] == [(x["a"], x["b"]) for x in sorted(got)] and np.allclose([x[2] for x in want], [x["similarity"] for x in sorted(got)], atol=2e-6)
