@@ -5,8 +5,8 @@ term of a text is looked up. A term weighs (1 + ln tf) * idf; vectors have unit
 exact. Examples are at most ``EXAMPLES`` labelled documents of each label (in expectation; drawn by hash), a documented bound.
 
 Examples are numbered so that similar ones lie in one block: halves of their projections, along the widest direction. For each term and block
-the index keeps the largest weight. A text's bound for a block
-is the sum over its terms. The blocks of the largest bounds are opened first; then only those whose bound
+the index keeps the largest weight. Common terms are a matrix, whose product with ``TOGETHER`` texts at a time gives their part of every similarity. A text's bound for a block
+is the largest such part in it and the sum over the other terms. The blocks of the largest bounds are opened first; then only those whose bound
 reaches the k-th similarity so far, and postings are read of opened blocks alone, so pruning is exact. Sums over blocks are in single precision, and whatever comes within ``MARGIN`` of
 the k-th is measured again in double precision.
 
@@ -30,6 +30,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +51,13 @@ PULL = 0.5
 FLOOR = 1e-3
 #: A term in one of so many examples or more is common; so many numbers the matrix of common terms has at most.
 COMMON, DENSE = 64, 1 << 22
+#: Texts that meet the matrix in one product; their weights for it are as many rows.
+TOGETHER = 64
 #: More than single precision can be wrong by in a cosine.
 MARGIN = 1e-4
-MEMO_WORDS = 200_000
+MEMO_WORDS = 50_000
+#: Rows that are handed back at once.
+ROWS = 1000
 #: Bytes of text whose words are told apart at once; a longer text is taken alone.
 SLICE = 2 << 20
 WORD = re.compile(r"[^\W\d_]+")
@@ -74,6 +79,8 @@ class Terms:
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def _of(self, word: str) -> tuple[int, ...]:
+        if not self.fixed and word.isalpha():  # one run, which needn't be remembered
+            return (self.vocab.setdefault(word, len(self.vocab)),)
         got = self.memo.get(word)
         if got is None:
             runs = WORD.findall(word)
@@ -91,10 +98,16 @@ class Terms:
             some = words.flatten().dictionary_encode()
             if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
-            each = [self._of(w) for w in some.dictionary.to_pylist()]
-            size = np.fromiter(map(len, each), np.int64, len(each))
-            flat = np.fromiter((t for x in each for t in x), np.int64, int(size.sum()))
+            names = some.dictionary.to_pylist()
+            number = np.fromiter((self.vocab.get(w, -1) for w in names), np.int64, len(names))
+            size = (number >= 0).astype(np.int64)  # a word that is a term is that term alone
+            odd = [i for i in np.flatnonzero(number < 0).tolist() if not (self.fixed and names[i].isalpha())]
+            each = [self._of(names[i]) for i in odd]
+            size[odd] = [len(x) for x in each]
             first = np.concatenate([[0], np.cumsum(size)])
+            flat = np.empty(first[-1], np.int64)
+            flat[first[:-1][number >= 0]] = number[number >= 0]
+            flat[ranges(first[:-1][odd], first[1:][odd])[0]] = [t for x in each for t in x]
             w = some.indices.to_numpy()
             at, _ = ranges(first[w], first[w + 1])
             found = flat[at]
@@ -195,7 +208,7 @@ class Index:
 
     @cached_property
     def common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each term's row in the matrix of common terms or -1; the matrix (term, block, example); its largest weights by block; one (term, example) of weights with strength."""
+        """Each term's row in the matrix of common terms or -1; the matrix (term, example), examples filled up to whole blocks; one of weights with strength."""
         start, example, weight, told = self.postings
         df, n = np.diff(start), self.blocks * BLOCK
         some = np.argsort(-df, kind="stable")[: DENSE // max(1, n)]
@@ -205,8 +218,16 @@ class Index:
         for i, t in enumerate(some):
             part = slice(start[t], start[t + 1])
             out[i, example[part]], strong[i, example[part]] = weight[part], told[part]
-        out = out.reshape(len(some), self.blocks, BLOCK)
-        return row, out, out.max(2) if out.size else np.zeros(out.shape[:2], np.float32), strong
+        return row, out, strong
+
+    def parts(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What common terms add to the cosines of all examples with some texts (terms, weights): one product."""
+        row, matrix, _ = self.common
+        asked = np.zeros((len(texts), len(matrix)), np.float32)
+        for mine, (t, w) in zip(asked, texts):
+            r = row[t]
+            mine[r[r >= 0]] = w[r >= 0]
+        return asked @ matrix
 
     @cached_property
     def asked_for(self) -> np.ndarray:
@@ -226,20 +247,20 @@ class Index:
         """The k examples of the largest cosine over 0 with terms t, ascending, of weights w, exactly: example numbers, cosines, and cosines with strength."""
         if not len(t) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        e, _, _ = self._opened(t, w, k)
+        e, _, _ = self._opened(t, w, k, self.parts([(t, w)])[0])
         sims, told = self.cosines(e, t, w)
         best = np.lexsort([e, -sims])[:k]
         return e[best], sims[best], told[best]
 
-    def judged(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the NEIGHBOURS nearest the EVIDENCE first, their cosines, and those that vote and their cosines with strength.
+    def judged(self, t: np.ndarray, w: np.ndarray, without: int = -1, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the NEIGHBOURS nearest the EVIDENCE first, their cosines, and those that vote and their cosines with strength. ``part`` is the text's of ``parts``.
 
         Single precision tells apart what is further than MARGIN from a bound; the rest is measured in double.
         """
         none = np.zeros(0, np.int64), np.zeros(0)
         if not len(t) or not len(self.ids):
             return *none, *none
-        e, about, strong = self._opened(t, w, NEIGHBOURS + (without >= 0))
+        e, about, strong = self._opened(t, w, NEIGHBOURS + (without >= 0), self.parts([(t, w)])[0] if part is None else part)
         about, strong, e = about[e != without], strong[e != without], e[e != without]
         if not len(e):
             return *none, *none
@@ -250,60 +271,65 @@ class Index:
             by = by[np.lexsort([e[by], -self.cosines(e[by], t, w)[0]])][: NEIGHBOURS - np.count_nonzero(sure)]
             keep = np.concatenate([np.flatnonzero(sure), by])
             e, about, strong = e[keep], about[keep], strong[keep]
+        sizes = min(EVIDENCE, len(e)), min(VOTERS, len(e))
+        maybe = [est >= np.partition(est, len(est) - m)[len(est) - m] - MARGIN for est, m in zip((about, strong), sizes)]
+        either = maybe[0] | maybe[1]
+        e = e[either]
         out = []
-        for est, n, which in ((about, EVIDENCE, 0), (strong, VOTERS, 1)):
-            m = min(n, len(e))
-            some = e[est >= np.partition(est, len(est) - m)[len(est) - m] - MARGIN]
-            exact = self.cosines(some, t, w)[which]
+        for exact, mine, m in zip(self.cosines(e, t, w), maybe, sizes):
+            some, exact = e[mine[either]], exact[mine[either]]
             best = np.lexsort([some, -exact])[:m]
             out += [some[best], exact[best]]
         return tuple(out)
 
-    def _opened(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Examples that may be among the k nearest, all of these among them; in single precision their cosines, and cosines with strength."""
+    def _opened(self, t: np.ndarray, w: np.ndarray, k: int, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Examples that may be among the k nearest, all of these among them; in single precision their cosines, and cosines with strength. ``part`` is the text's of ``parts``."""
         _, example, weight, told = self.postings
         cell, block, most, begin = self.cells
-        row, matrix, heads, strong = self.common
+        row, _, strong = self.common
         dense = row[t] >= 0
         rows, wd, rare, wr = row[t[dense]], w[dense].astype(np.float32), t[~dense], w[~dense]
         c, of = ranges(cell[rare], cell[rare + 1])
-        bound = wd @ heads[rows] + np.bincount(block[c], wr[of] * most[c], self.blocks)
+        where, wr = block[c], wr[of]
+        bound = part.reshape(self.blocks, BLOCK).max(1) + np.bincount(where, wr * most[c], self.blocks)
         order = np.argsort(-bound, kind="stable")
+        falling = -bound[order]
         place = np.empty(self.blocks, np.int64)
         place[order] = np.arange(self.blocks)
-        where = place[block[c]]
-        by = np.argsort(where, kind="stable")
-        c, of, where = c[by], of[by], where[by]
-        score = np.zeros((self.blocks, BLOCK), np.float32)
+        where = place[where]
+        score = np.zeros(self.blocks * BLOCK, np.float32)
+        byblock = score.reshape(self.blocks, BLOCK)
         extra = np.zeros(self.blocks * BLOCK)
         done, least = 0, -MARGIN
         for upto in (*ROUNDS, self.blocks):
-            upto = min(upto, int(np.searchsorted(-bound[order], -max(least, 1e-12), "right")))
+            upto = min(upto, int(np.searchsorted(falling, -max(least, 1e-12), "right")))
             if upto <= done:
                 break
-            some = order[done:upto]
-            i, j = np.searchsorted(where, [done, upto])
-            p, q = ranges(begin[c[i:j]], begin[c[i:j] + 1])
-            mine, at = wr[of[i:j]][q], example[p]
-            score[some] = np.bincount(at, mine * weight[p], self.blocks * BLOCK).reshape(self.blocks, BLOCK)[some]
-            extra += np.bincount(at, mine * told[p], self.blocks * BLOCK)
-            if len(rows):
-                score[some] += (wd @ matrix[rows].reshape(len(rows), -1)).reshape(-1, BLOCK)[some] if 4 * len(some) > self.blocks else np.tensordot(wd, matrix[rows[:, None], some], 1)
+            some = np.flatnonzero((where >= done) & (where < upto))
+            p, q = ranges(begin[c[some]], begin[c[some] + 1])
+            mine, at = wr[some][q], example[p]
+            now = order[done:upto]
+            byblock[now] = part.reshape(self.blocks, BLOCK)[now]
+            score += np.bincount(at, mine * weight[p], len(score))
+            extra += np.bincount(at, mine * told[p], len(extra))
             done = upto
-            seen = score[order[:done]].ravel()
+            seen = byblock[order[:done]].ravel()
             least = (np.partition(seen, len(seen) - k)[len(seen) - k] if len(seen) >= k else 0.0) - MARGIN
         self.opened, self.asked = self.opened + done, self.asked + self.blocks
-        flat = score.ravel()
-        e = np.flatnonzero((flat >= least) & (flat > 0))
+        e = np.flatnonzero((score >= least) & (score > 0))
         own = w * self.strength[t]
-        return e, flat[e], (extra[e] + (wd @ strong[rows[:, None], e] if len(rows) else 0.0)) / np.sqrt(max(own @ own, 1e-300))
+        return e, score[e], (extra[e] + (wd @ strong[rows[:, None], e] if len(rows) else 0.0)) / np.sqrt(max(own @ own, 1e-300))
 
     def cosines(self, e: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of examples e with terms t of weights w, plain and with strength."""
-        at, of = ranges(self.first[e], self.first[e + 1])
+        begin, end = self.first[e], self.first[e + 1]
         self.asked_for[t] = w
-        mine = self.asked_for[self.term[at]]
+        mine = self.asked_for[np.concatenate([self.term[:0], *(self.term[a:b] for a, b in zip(begin.tolist(), end.tolist()))])]
         self.asked_for[t] = 0.0
+        hit = np.flatnonzero(mine)  # terms of both
+        mine, upto = mine[hit], np.cumsum(end - begin)
+        of = np.searchsorted(upto, hit, "right")
+        at = hit + (end - upto)[of]
         told = w * self.strength[t]
         return np.bincount(of, mine * self.weight[at], len(e)), np.bincount(of, mine * self.told[at], len(e)) / np.sqrt(max(told @ told, 1e-300))
 
@@ -337,10 +363,12 @@ class Scorer:
 
     def scores(self, texts: pa.Array) -> Iterator[tuple[float, list[dict]]]:
         x = self.index
-        for t, n in self.terms.counts(texts):
-            e, s, voters, told = x.judged(t, x.unit(t, n))
-            evidence = [{"doc_id": int(x.ids[i]), "similarity": float(c), "toxic": int(x.toxic[i])} for i, c in zip(e, s)]
-            yield x.probability(x.vote(voters, told)), evidence
+        counts = self.terms.counts(texts)
+        while some := [(t, x.unit(t, n)) for t, n in islice(counts, TOGETHER)]:
+            for (t, w), part in zip(some, x.parts(some)):
+                e, s, voters, told = x.judged(t, w, part=part)
+                evidence = [{"doc_id": int(x.ids[i]), "similarity": float(c), "toxic": int(x.toxic[i])} for i, c in zip(e, s)]
+                yield x.probability(x.vote(voters, told)), evidence
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFrame, dict[int, int]]:
@@ -436,7 +464,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(shared.value) if shared else None
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, len(whole), ROWS)):
             scores = [x for x, _ in s.scores(b.column(at))] if s else [index] * len(b)
             yield b.filter(pa.array([x < threshold for x in scores], pa.bool_()))
         if s:

@@ -177,6 +177,35 @@ def test_terms_by_columns_as_one_by_one(monkeypatch):
     assert [t.tolist() for t, _ in toxicity.Terms({"calm": 0}).counts(pa.array(texts[:2]))] == [[0], []]
 
 
+def test_many_texts_meet_the_common_terms_in_one_product():
+    r = random.Random(8)
+    x = _index(r, 300, 150, 60, lambda: min(int(r.expovariate(0.05)), 149))
+    texts = []
+    for n in (0, 1, 40):
+        t = np.array(sorted(r.sample(range(150), n)), np.int64)
+        texts.append((t, x.unit(t, np.ones(n))))
+    row, got = x.common[0], x.parts(texts)
+    assert (row >= 0).any() and got.shape == (3, x.blocks * toxicity.BLOCK) and x.parts([]).shape[0] == 0
+    for (t, w), part in zip(texts, got):
+        assert np.allclose(part[:300], x.cosines(np.arange(300), t[row[t] >= 0], w[row[t] >= 0])[0], atol=1e-5) and not part[300:].any()
+        for a, b in zip(x.judged(t, w), x.judged(t, w, part=part)):
+            assert np.array_equal(a, b)
+
+
+def test_plain_words_are_not_remembered():
+    for terms in (toxicity.Terms(), toxicity.Terms({"calm": 0, "tree": 1})):
+        assert [n.tolist() for _, n in terms.counts(pa.array(["calm tree calm, sea", "", "tree"]))] == ([[2, 1, 1], [], [1]] if not terms.fixed else [[2, 1], [], [1]])
+        assert {*terms.memo} - {""} == {"calm,"}
+
+
+def test_clean_rows_are_handed_back_in_small_batches(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(toxicity, "learn", lambda docs, labels: 0.0)
+    monkeypatch.setattr(toxicity, "tidy", lambda run: sizes.extend(len(b) for b in run(iter([pa.RecordBatch.from_pydict({"doc_id": range(2500), "text": ["a"] * 2500})]))) or run)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert toxicity.keep_clean(docs, docs).count() == 1 and sum(sizes) == 2500 and max(sizes) <= toxicity.ROWS
+
+
 def test_toxicity_keeps_every_term_of_every_example(spark):
     rows = [(i, f"calm tree w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" + (" vile scum" if i % 4 == 0 else ""), "en", "s", 1) for i in range(100)] + [(500, "onlyhere", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
