@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atomweave.llm.common import tidy
+from atomweave.llm.common import tidy, trim
 from atomweave.llm.language_id import remainder
 
 EXAMPLES = 1000
@@ -59,7 +59,7 @@ MEMO_WORDS = 50_000
 #: Rows that are handed back at once.
 ROWS = 1000
 #: Bytes of text whose words are told apart at once; a longer text is taken alone.
-SLICE = 2 << 20
+SLICE = 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -186,10 +186,10 @@ class Index:
 
     @cached_property
     def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Where each term's postings begin; their examples, ascending, weights and weights with strength."""
-        order = np.argsort(self.term, kind="stable")
+        """Where each term's postings begin; their examples, ascending, weights and weights with strength, both in single precision."""
+        order = np.argsort(self.term, kind="stable").astype(np.int32)
         example = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.first))[order]
-        return np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(self.vocab)))]), example, self.weight[order], self.told[order]
+        return np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(self.vocab)))]), example, self.weight.astype(np.float32)[order], self.told.astype(np.float32)[order]
 
     @cached_property
     def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -207,18 +207,27 @@ class Index:
         return -(-len(self.ids) // BLOCK)
 
     @cached_property
-    def common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each term's row in the matrix of common terms or -1; the matrix (term, example), examples filled up to whole blocks; one of weights with strength."""
-        start, example, weight, told = self.postings
+    def common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each term's row in the matrix of common terms or -1; the matrix (term, example), examples filled up to whole blocks; what its weights times strength squared lack of ``told``, by example."""
+        start, example, weight, _ = self.postings
         df, n = np.diff(start), self.blocks * BLOCK
         some = np.argsort(-df, kind="stable")[: DENSE // max(1, n)]
         some = some[(df[some] * COMMON >= len(self.ids)) & (df[some] > 0)]
-        row, out, strong = np.full(len(df), -1), np.zeros((len(some), n), np.float32), np.zeros((len(some), n), np.float32)
+        row, out = np.full(len(df), -1, np.int32), np.zeros((len(some), n), np.float32)
         row[some] = np.arange(len(some))
         for i, t in enumerate(some):
             part = slice(start[t], start[t + 1])
-            out[i, example[part]], strong[i, example[part]] = weight[part], told[part]
-        return row, out, strong
+            out[i, example[part]] = weight[part]
+        scale = np.zeros(n)
+        own = self.weight * self.strength[self.term]
+        scale[: len(self.ids)] = 1 / np.sqrt(np.add.reduceat(np.append(own * own, 0.0), self.first[:-1]).clip(1e-300))
+        return row, out, scale
+
+    def ready(self) -> Index:
+        """With what is derived made already, and what that took handed back: before texts take theirs."""
+        self.cells, self.common
+        trim()
+        return self
 
     def parts(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What common terms add to the cosines of all examples with some texts (terms, weights): one product."""
@@ -286,9 +295,9 @@ class Index:
         """Examples that may be among the k nearest, all of these among them; in single precision their cosines, and cosines with strength. ``part`` is the text's of ``parts``."""
         _, example, weight, told = self.postings
         cell, block, most, begin = self.cells
-        row, _, strong = self.common
+        row, matrix, scale = self.common
         dense = row[t] >= 0
-        rows, wd, rare, wr = row[t[dense]], w[dense].astype(np.float32), t[~dense], w[~dense]
+        rows, wd, rare, wr = row[t[dense]], (w * self.strength[t] ** 2)[dense].astype(np.float32), t[~dense], w[~dense]
         c, of = ranges(cell[rare], cell[rare + 1])
         where, wr = block[c], wr[of]
         bound = part.reshape(self.blocks, BLOCK).max(1) + np.bincount(where, wr * most[c], self.blocks)
@@ -318,7 +327,7 @@ class Index:
         self.opened, self.asked = self.opened + done, self.asked + self.blocks
         e = np.flatnonzero((score >= least) & (score > 0))
         own = w * self.strength[t]
-        return e, score[e], (extra[e] + (wd @ strong[rows[:, None], e] if len(rows) else 0.0)) / np.sqrt(max(own @ own, 1e-300))
+        return e, score[e], (extra[e] + (wd @ matrix[rows[:, None], e] * scale[e] if len(rows) else 0.0)) / np.sqrt(max(own @ own, 1e-300))
 
     def cosines(self, e: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of examples e with terms t of weights w, plain and with strength."""
@@ -440,7 +449,7 @@ def score(docs: DataFrame, index: Index | float) -> DataFrame:
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scorer(shared.value) if shared else None
+        s = Scorer(shared.value.ready()) if shared else None
         for b in batches:
             got = list(s.scores(b.column(1))) if s else [(index, [])] * len(b)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], kind)], ["doc_id", "score", "evidence"])
@@ -463,7 +472,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scorer(shared.value) if shared else None
+        s = Scorer(shared.value.ready()) if shared else None
         for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, len(whole), ROWS)):
             scores = [x for x, _ in s.scores(b.column(at))] if s else [index] * len(b)
             yield b.filter(pa.array([x < threshold for x in scores], pa.bool_()))

@@ -36,7 +36,23 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("language", language), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("packing", packing)]
+def in_small_batches(stage):
+    """``stage`` with ``BATCH`` rows at most to an Arrow batch: both ends of a Python worker's pipe hold whole batches, and keep what their largest took.
+
+    The session keeps the setting, as Spark reads it when the returned frame is run; results don't depend on it.
+    """
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not 0 < int(spark.conf.get(ROWS)) <= BATCH:
+            spark.conf.set(ROWS, BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+STAGES = [(f.__name__, in_small_batches(f)) for f in (language, toxicity, near_duplicates, packing)]
 
 ORACLE_SQL = None
 
