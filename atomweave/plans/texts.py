@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from atomweave.operators.grams import frequent_runs
 from atomweave.operators.vocabulary import vocabulary, with_ids
-from atomweave.plans.base import Registry, run_sql
+from atomweave.plans.base import Registry, run_sql, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -80,12 +81,19 @@ _TFIDF = """WITH t AS (SELECT doc_id, w, ID AS id, count(*) AS tf FROM TOK q GRO
     SELECT doc_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM s WHERE x <> 0"""
 R.sql("tfidf_vectors", _TFIDF.replace("TOK", _TOK_S).replace("ID AS", f"{_ID_S} AS"), _TFIDF.replace("TOK", _TOK_D).replace("ID AS", f"{_ID_D} AS"))
 _GRAMS = {n: "concat_ws(' ', w, " + ", ".join(f"lead(w, {i}) OVER o" for i in range(1, n)) + f") AS gram, lead(w, {n - 1}) OVER o AS last" for n in (5, 4, 3, 2)}
-_both(
+
+
+@R.add(
     "ngram_promotion",
     " UNION ALL ".join(
-        f"SELECT {n} AS size, gram, count(*) AS n FROM (SELECT {g} FROM TOK t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) g WHERE last IS NOT NULL GROUP BY gram HAVING count(*) >= 10" for n, g in _GRAMS.items()
+        f"SELECT {n} AS size, gram, count(*) AS n FROM (SELECT {g} FROM {_TOK_D} t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) g WHERE last IS NOT NULL GROUP BY gram HAVING count(*) >= 10" for n, g in _GRAMS.items()
     ),
 )
+def ngram_promotion(spark, sf_dir):
+    """Runs of two to five words that occur ten times or more."""
+    return frequent_runs(table(spark, sf_dir, "documents"), "text", tuple(_GRAMS), 10)
+
+
 R.sql(
     "atomize_text",
     f"SELECT sha2(w, 256) AS content_hash, w AS value, sum(n) AS reference_count, min(doc_id) AS first_parent FROM (SELECT doc_id, w, count(*) AS n FROM {_TOK_S} t GROUP BY doc_id, w) c GROUP BY w",
