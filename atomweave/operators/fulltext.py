@@ -7,13 +7,18 @@ lower-cased text. Null texts have no terms; rows that repeat an id are documents
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B, HALF = 1.2, 0.75, 5.0
-BUCKETS = 64
+BUCKETS, TOTALS = 64, -1
+#: Documents whose terms are told apart at once.
+ROWS = 1000
 
 
 def terms_of(text: Column) -> Column:
@@ -27,27 +32,47 @@ class TextIndex:
     mean_length: float
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's distinct terms with their counts, and for each batch a row without a term: documents and terms in it."""
+    for b in batches:
+        for i in range(0, len(b), ROWS):
+            ids, lists = b.column("doc_id").slice(i, ROWS), b.column("t").slice(i, ROWS)
+            length = np.diff(lists.offsets.to_numpy())
+            coded = lists.flatten().dictionary_encode()
+            names, of = coded.dictionary, np.repeat(np.arange(len(ids)), length)
+            pair, tf = np.unique(of * len(names) + coded.indices.to_numpy(), return_counts=True)
+            doc, term = np.divmod(pair, max(1, len(names)))
+            columns = names.take(pa.array(term)), ids.take(pa.array(doc)), pa.array(tf.astype(np.int64)), pa.array(length[doc].astype(np.int64))
+            yield pa.RecordBatch.from_arrays(list(columns), ["term", "doc_id", "tf", "length"])
+        if len(b):
+            total = pa.array([None], pa.string()), pa.array([len(b)], pa.int64()), pa.array([len(b.column("t").flatten())], pa.int64()), pa.array([0], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(total), ["term", "doc_id", "tf", "length"])
+
+
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> TextIndex:
-    """Counts are made within a document before anything is shuffled, and each posting goes to its term's bucket once."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), terms_of(F.col(text).cast("string")).alias("t"), F.monotonically_increasing_id().alias("row")).where("t IS NOT NULL")
-    size = rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).first()
-    # terms of a document, sorted: the places where one begins give the counts
-    s = rows.select("doc_id", F.size("t").cast("long").alias("length"), F.array_sort("t").alias("s"))
-    first = F.filter(F.sequence(F.lit(1), F.greatest(F.size("s"), F.lit(1))), lambda i: (i <= F.size("s")) & ((i == 1) | (F.get(F.col("s"), i - 1) != F.get(F.col("s"), i - 2))))
-    s = s.withColumn("at", first)
-    found = s.select("doc_id", "length", F.posexplode(F.transform("at", lambda i: F.get(F.col("s"), i - 1))).alias("k", "term"), "at", F.size("s").alias("m"))
-    found = found.select("term", "doc_id", (F.coalesce(F.get("at", F.col("k") + 1), F.col("m") + 1) - F.get("at", F.col("k"))).cast("long").alias("tf"), "length")
-    found = found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    """Counts are made within a document before anything is shuffled, and each posting goes to its term's bucket once.
+
+    Documents and terms are counted on the way, into a bucket of their own (``TOTALS``).
+    """
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), terms_of(F.col(text).cast("string")).alias("t")).where("t IS NOT NULL")
+    found = rows.mapInArrow(_postings, "term string, doc_id long, tf long, length long")
+    found = found.withColumn("bucket", F.when(F.col("term").isNull(), TOTALS).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).cast("int"))
     # a bucket is several files where it is large: frequent terms are dealt by document
     found.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
-    return TextIndex(path, size["n"], float(size["mean"] or 1.0) or 1.0)
+    size = _read(docs.sparkSession, path).where(F.col("bucket") == TOTALS).agg(F.sum("doc_id").alias("n"), F.sum("tf").alias("terms")).first()
+    n, terms = size["n"] or 0, size["terms"] or 0
+    return TextIndex(path, n, terms / n if terms else 1.0)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, doc_id long, tf long, length long, bucket int").parquet(path)
 
 
 def search(spark: SparkSession, index: TextIndex, query: str) -> DataFrame:
     """(doc_id, rank) of documents with any term of the query, rank from 0 to 1000."""
     asked = spark.range(1).select(F.explode(F.array_distinct(terms_of(F.lit(query)))).alias("term"), F.lit(0).alias("_"))
     names = [r["term"] for r in asked.collect()]  # the query's own words
-    rows = spark.read.schema("term string, doc_id long, tf long, length long, bucket int").parquet(index.path)
+    rows = _read(spark, index.path)
     buckets = [r[0] for r in spark.createDataFrame([(n,) for n in names], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()] if names else []
     hits = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(names)) if names else rows.limit(0)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
