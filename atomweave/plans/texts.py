@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from atomweave.operators.grams import frequent_runs
-from atomweave.operators.vocabulary import vocabulary, with_ids
+from atomweave.operators.vocabulary import text_ids, vocabulary
+from atomweave.operators.word_tables import word_counts
 from atomweave.plans.base import Registry, run_sql, table
 
 R = Registry()
@@ -54,20 +57,20 @@ def _both(name: str, sql: str) -> None:
 _VOCABULARY = f"v AS MATERIALIZED (SELECT w, count(*) AS frequency, row_number() OVER (ORDER BY count(*) DESC, w) AS id FROM {_TOK_D} t GROUP BY w HAVING count(*) >= 2)"
 
 
-def _words(spark, sf_dir):
-    return run_sql(spark, sf_dir, f"SELECT doc_id, pos, w FROM {_TOK_S} t")
+def _vocabulary(docs):
+    return vocabulary(word_counts(docs, "text"), times="n")
 
 
 @R.add("tokenize_vocabulary", f"WITH {_VOCABULARY} SELECT t.doc_id, t.pos, coalesce(v.id, 0) AS id FROM {_TOK_D} t LEFT JOIN v ON v.w = t.w")
 def tokenize_vocabulary(spark, sf_dir):
     """Every word's id in the vocabulary of words that occur twice or more."""
-    words = _words(spark, sf_dir)
-    return with_ids(words, vocabulary(words)).select("doc_id", "pos", "id")
+    docs = table(spark, sf_dir, "documents")
+    return text_ids(docs, "doc_id", "text", _vocabulary(docs)).select(F.col("k").alias("doc_id"), F.col("p").alias("pos"), "id")
 
 
 @R.add("vocabulary_table", f"WITH {_VOCABULARY} SELECT w, id, frequency FROM v")
 def vocabulary_table(spark, sf_dir):
-    return vocabulary(_words(spark, sf_dir))
+    return _vocabulary(table(spark, sf_dir, "documents"))
 
 
 # hashing needs no vocabulary: a word has its number wherever it is met
