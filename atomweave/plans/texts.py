@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from atomweave.operators.grams import frequent_runs
 from atomweave.operators.vocabulary import text_ids, vocabulary
-from atomweave.operators.word_tables import word_counts
+from atomweave.operators.word_tables import flat, repeated, word_counts, word_documents
+from atomweave.operators.work import written
 from atomweave.plans.base import Registry, run_sql, table
 
 R = Registry()
@@ -82,7 +83,23 @@ _TFIDF = """WITH t AS (SELECT doc_id, w, ID AS id, count(*) AS tf FROM TOK q GRO
     v AS (SELECT count(*) AS v FROM c), s AS (SELECT t.doc_id, t.id % 768 AS dim, sum(CASE WHEN cf IS NULL THEN CAST(0.25 AS DOUBLE) * tf ELSE tf * (ln((v + 1) / CAST(cf + 1 AS DOUBLE)) + 1) END) AS x
       FROM t LEFT JOIN c ON c.w = t.w CROSS JOIN v GROUP BY t.doc_id, t.id % 768)
     SELECT doc_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM s WHERE x <> 0"""
-R.sql("tfidf_vectors", _TFIDF.replace("TOK", _TOK_S).replace("ID AS", f"{_ID_S} AS"), _TFIDF.replace("TOK", _TOK_D).replace("ID AS", f"{_ID_D} AS"))
+
+
+@R.add("tfidf_vectors", _TFIDF.replace("TOK", _TOK_D).replace("ID AS", f"{_ID_D} AS"))
+def tfidf_vectors(spark, sf_dir):
+    """Hashed TF-IDF vectors of unit length. A word's number and weight are worked out once in each slice of texts."""
+    docs = table(spark, sf_dir, "documents")
+    counts = word_counts(docs, "text").unionByName(repeated(docs, "doc_id", "text").select("w", F.lit(0).cast("long").alias("n"), (-F.col("more")).alias("df")))
+    known = counts.groupBy("w").agg(F.sum("n").alias("cf"), F.sum("df").alias("df")).where("df >= 5").select("w", "cf")
+    known = written(known, "tfidf-words")
+    listed = word_documents(docs, "doc_id", "text").join(known, "w", "left").crossJoin(F.broadcast(known.agg(F.count("*").alias("v"))))
+    weight = F.expr("CASE WHEN cf IS NULL THEN CAST(0.25 AS DOUBLE) ELSE ln((v + 1) / CAST(cf + 1 AS DOUBLE)) + 1 END")
+    parts = flat(listed.select("ks", "ps", F.expr(f"{_ID_S} % 768").alias("dim"), weight.alias("weight")))
+    # from here on all is within a document
+    s = parts.repartition("k").groupBy("k", "dim").agg(F.sum(F.col("p") * F.col("weight")).alias("x")).where("x <> 0")
+    return s.selectExpr("k AS doc_id", "dim", "round(x / sqrt(sum(x * x) OVER (PARTITION BY k)), 6) AS weight")
+
+
 _GRAMS = {n: "concat_ws(' ', w, " + ", ".join(f"lead(w, {i}) OVER o" for i in range(1, n)) + f") AS gram, lead(w, {n - 1}) OVER o AS last" for n in (5, 4, 3, 2)}
 
 

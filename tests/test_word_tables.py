@@ -6,6 +6,7 @@ import pytest
 from atomweave.operators import tokens as K
 from atomweave.operators import vocabulary as V
 from atomweave.operators import word_tables as W
+from atomweave.plans import registry
 
 ROWS = [(1, "the cat the dog"), (2, None), (3, ""), (None, "the x"), (1, "cat é9 cat"), (None, "The end."), (4, "dog " * 30), (5, "--")]
 
@@ -38,3 +39,18 @@ def test_rows_that_have_a_word_and_keys_that_repeat(docs):
     more = {r["w"]: r["more"] for r in W.repeated(docs, "doc_id", "text").collect()}
     assert more == {"cat": 1, "the": 1}
     assert {w: n - more.get(w, 0) for w, n in df.items()} == Counter(w for _, w in {(k, w) for k, t in ROWS for w in words(t)})
+
+
+def test_tfidf_of_keys_that_repeat(spark, tmp_path):
+    """A word of five rows but four documents is not in the vocabulary, as in the SQL; words aren't shuffled as rows."""
+    import duckdb
+
+    rows = [(i, f"common rare{i} common") for i in range(6)] + [(i, "four other") for i in (0, 1, 2, 3, 3)] + [(9, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES["tfidf_vectors"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {(d, i): x for d, i, x in c.sql(registry.ORACLES["tfidf_vectors"]).fetchall()}
+    got = {(r["doc_id"], r["dim"]): r["weight"] for r in df.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert "explode" not in df._jdf.queryExecution().optimizedPlan().toString()
