@@ -4,11 +4,13 @@ The bound is the distance to the region's centre, which never falls by more than
 the region for which cost plus bound is least, then bound. A round takes the open atoms that can still matter, those of the least bounds if they are more than about ``FRONT``
 (twice as many in each further round), finds their neighbours through kd-cells, and keeps the cheapest way to each, with the atom it comes from; open and closed atoms are one written
 table. It ends when no open atom is below the best goal, so which of them a round takes doesn't change the result. Equal vectors are one
-atom, that of the smallest id. ``max_steps`` is how many atoms may be taken from the open set one by one before the goal; with more there is no path.
+atom, that of the smallest id. The search goes on until it has the goal or nothing is left, so no row means that there is no path. A caller may set ``max_steps``, how many
+atoms may be taken from the open set one by one before the goal; where they don't do, a ``StepsUsedUp`` warning says that the empty result is a search given up.
 """
 
 from __future__ import annotations
 
+import warnings
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -24,11 +26,15 @@ FRONT = 4096
 PATH = "step long, atom_id long, cost double, to_centre double"
 
 
+class StepsUsedUp(UserWarning):
+    """There is a path, but finding it takes more steps than the caller allows."""
+
+
 def _upto(f, most: float):
     return lambda key, table: f(most, table)
 
 
-def find_path(rows: DataFrame, key: str, vector: str, start: int, centre: list[float], region: float, radius: float, max_steps: int = 10_000) -> DataFrame:
+def find_path(rows: DataFrame, key: str, vector: str, start: int, centre: list[float], region: float, radius: float, max_steps: int | None = None) -> DataFrame:
     """(step, atom_id, cost, to_centre) from start to goal, steps from 0; no row without a path."""
     spark = rows.sparkSession
     points, _ = points_of(rows, key, vector, 1)
@@ -88,15 +94,19 @@ def find_path(rows: DataFrame, key: str, vector: str, start: int, centre: list[f
     if not goal:
         return spark.createDataFrame([], PATH)
     at = goal[0]
-    top = at["g"] + at["h"]
-    if state.where((bound < top) | ((bound == top) & (F.col("h") < at["h"]))).count() > max_steps:
-        return spark.createDataFrame([], PATH)
-    # bounds don't fall along a path: those up to the goal's are max_steps and a few
-    known = {r["pid"]: r for r in state.where(bound <= top + SLACK).select("pid", "g", "h", "parent").collect()}
-    path = [at["pid"]]
-    while known[path[-1]]["parent"] is not None:
-        path.append(known[path[-1]]["parent"])
-    path = [(i, p, known[p]["g"], known[p]["h"]) for i, p in enumerate(path[::-1])]
+    if max_steps is not None:
+        top = at["g"] + at["h"]
+        steps = state.where((bound < top) | ((bound == top) & (F.col("h") < at["h"]))).count()
+        if steps > max_steps:
+            warnings.warn(f"the path takes {steps} steps, {max_steps} are allowed; the result is empty", StepsUsedUp, stacklevel=2)
+            return spark.createDataFrame([], PATH)
+    # a path is short (no two steps in a row are within the radius together), what was searched isn't: it is followed back atom by atom
+    path, pid = [], at["pid"]
+    while pid is not None:
+        (r,) = state.where(F.col("pid") == pid).select("g", "h", "parent").collect()
+        path.append((pid, r["g"], r["h"]))
+        pid = r["parent"]
+    path = [(i, *x) for i, x in enumerate(path[::-1])]
     out = spark.createDataFrame(path, "step long, pid long, cost double, to_centre double").join(nodes.select("pid", "first"), "pid")
     return out.select("step", F.col("first").alias("atom_id"), "cost", "to_centre")
 

@@ -4,6 +4,7 @@ import datetime as dt
 import heapq
 import math
 import re
+import warnings
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ from atomweave.functions import segments as SG
 from atomweave.operators import fulltext, paths
 from atomweave.operators.curve_quality import locality, preservation, ranked
 from atomweave.operators.generate import STOP, generate
-from atomweave.operators.paths import PathCache, find_path
+from atomweave.operators.paths import PathCache, StepsUsedUp, find_path
 from atomweave.operators.work import fresh_path
 
 RNG = np.random.default_rng(20)
@@ -136,6 +137,21 @@ def test_rounds_of_few_atoms_find_the_same_path(spark, monkeypatch):
     assert want and [x["atom_id"] for x in got] == want[0] and abs(got[-1]["cost"] - want[1]) < 1e-9
 
 
+def test_a_search_given_up_is_no_missing_path(spark):
+    """More than 10,000 atoms around the start come before the goal, which is round a corner."""
+    r = np.random.default_rng(1)
+    cloud = (v for v in r.uniform(-0.05, 0.05, (25_000, 3)).tolist() if math.hypot(*v) < 0.05)
+    rows = spark.createDataFrame([(0, [0.0, 0.0, 0.0]), (1, [0.45, 0.39, 0.0]), (2, [0.93, 0.05, 0.0]), *((10 + i, v) for i, v in enumerate(cloud))], "id long, v array<double>")
+    near, alone = ([1.0, 0.0, 0.0], 0.1, 0.6), ([9.0, 0.0, 0.0], 0.1, 0.6)
+    assert rows.count() > 12_000
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", StepsUsedUp)
+        assert [x["atom_id"] for x in find_path(rows, "id", "v", 0, *near).orderBy("step").collect()] == [0, 1, 2]
+        assert find_path(rows.where("id < 10"), "id", "v", 0, *alone, max_steps=1).count() == 0  # there is none
+    with pytest.warns(StepsUsedUp):
+        assert find_path(rows, "id", "v", 0, *near, max_steps=10_000).count() == 0
+
+
 def test_path_cache_expires(spark):
     cache, now = PathCache(spark, fresh_path(spark, "paths"), minutes=10), dt.datetime(2024, 5, 1, 12)
     assert cache.get(1, "c", now) is None
