@@ -9,11 +9,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomweave.operators.tokens import repeats, slices
 
+#: Bytes of text whose compositions are put in order together (a longer text is taken alone), and places in a list of them.
+COMPOSED, LISTED = 12 << 20, 4096
+
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("k"), F.lower(F.col(text).cast("string")).alias("t")).where("t IS NOT NULL")
@@ -85,3 +89,53 @@ def flat(lists: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("ks").flatten(), b.column("ps").flatten(), *(b.column(c).take(of) for c in rest)], ["k", "p", *rest])
 
     return lists.mapInArrow(spread, ", ".join(["k long, p int", *(f"`{c}` {kinds[c]}" for c in rest)]))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``most`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < len(batch):
+            before = int(upto[i - 1]) if i else 0
+            j = int(np.searchsorted(upto, before + most - size, "right"))
+            j = j if held else max(i + 1, j)
+            held.append(batch.slice(i, j - i))
+            size += (int(upto[j - 1]) if j else 0) - before
+            if j < len(batch):
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            i = j
+    if held:
+        yield pa.concat_batches(held)
+
+
+def compositions(docs: DataFrame, text: str) -> DataFrame:
+    """(parent, seq, component): the hash of a text, the place of a word in it (words are parted by one space) and the word's hash.
+
+    A word's rows come one after another for each slice of texts, so Parquet, whose dictionaries end at 1 MB, keeps runs of a hash and not
+    the hash itself for each word.
+    """
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _gathered(batches, "t", COMPOSED):
+            ws = pc.split_pattern(rows.column("t"), " ")
+            edge = ws.offsets.to_numpy().astype(np.int64)
+            coded = ws.flatten().dictionary_encode()
+            order, first, n = repeats(coded.indices.to_numpy())
+            of = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(edge))[order]
+            at = (order - edge[of] + edge[0]).astype(np.int32)
+            lists = -(-n // LISTED)  # a frequent word's are cut
+            word = np.repeat(np.arange(len(n)), lists)
+            begin = np.append(first[word] + LISTED * (np.arange(len(word)) - np.repeat(np.cumsum(lists) - lists, lists)), len(order))
+            i = 0
+            while i < len(word):
+                j = max(i + 1, int(np.searchsorted(begin, begin[i] + 16 * LISTED, "right")) - 1)
+                part, edges = slice(begin[i], begin[j]), (begin[i : j + 1] - begin[i]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(word[i:j])), _lists(edges[:-1], edges[-1], rows.column("parent").take(pa.array(of[part]))), _lists(edges[:-1], edges[-1], pa.array(at[part]))], ["w", "parents", "seqs"])
+                i = j
+
+    texts = docs.select(F.sha2(F.col(text), 256).alias("parent"), F.col(text).alias("t")).where("t IS NOT NULL")
+    listed = texts.mapInArrow(place, "w string, parents array<string>, seqs array<int>").select(F.sha2("w", 256).alias("component"), "parents", "seqs")
+    return listed.select("component", "seqs", F.posexplode("parents").alias("i", "parent")).selectExpr("parent", "seqs[i] AS seq", "component")

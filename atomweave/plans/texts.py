@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from atomweave.operators.grams import frequent_runs
 from atomweave.operators.vocabulary import text_ids, vocabulary
-from atomweave.operators.word_tables import flat, repeated, word_counts, word_documents
+from atomweave.operators.word_tables import compositions, flat, repeated, word_counts, word_documents
 from atomweave.operators.work import written
 from atomweave.plans.base import Registry, run_sql, table
 
@@ -119,12 +119,13 @@ R.sql(
     f"SELECT sha2(w, 256) AS content_hash, w AS value, sum(n) AS reference_count, min(doc_id) AS first_parent FROM (SELECT doc_id, w, count(*) AS n FROM {_TOK_S} t GROUP BY doc_id, w) c GROUP BY w",
     f"SELECT sha256(w) AS content_hash, w AS value, count(*) AS reference_count, min(doc_id) AS first_parent FROM {_TOK_D} t GROUP BY w",
 )
-R.sql(
-    "text_compositions",
-    # a text is hashed once, before its words are rows
-    "SELECT parent, pos AS seq, sha2(word, 256) AS component FROM (SELECT sha2(text, 256) AS parent, split(text, ' ') AS ws FROM documents) t LATERAL VIEW posexplode(ws) p AS pos, word",
-    "SELECT sha256(text) AS parent, unnest(range(len(ws)))::INT AS seq, sha256(unnest(ws)) AS component FROM (SELECT text, string_split(text, ' ') AS ws FROM documents) t",
-)
+
+
+@R.add("text_compositions", "SELECT sha256(text) AS parent, unnest(range(len(ws)))::INT AS seq, sha256(unnest(ws)) AS component FROM (SELECT text, string_split(text, ' ') AS ws FROM documents) t")
+def text_compositions(spark, sf_dir):
+    return compositions(table(spark, sf_dir, "documents"), "text")
+
+
 R.sql(
     "reconstruct_text",
     "SELECT conv_id, listagg(text, ' ') WITHIN GROUP (ORDER BY turn) AS whole FROM conversations GROUP BY conv_id",

@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import Counter
 
@@ -54,3 +55,15 @@ def test_tfidf_of_keys_that_repeat(spark, tmp_path):
     got = {(r["doc_id"], r["dim"]): r["weight"] for r in df.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     assert "explode" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most, listed", [(12 << 20, 4096), (25, 4), (1, 1)])
+def test_compositions_come_word_by_word(docs, monkeypatch, most, listed):
+    """The result is large, and Parquet keeps it small only if a hash that repeats comes in runs."""
+    monkeypatch.setattr(W, "COMPOSED", most)
+    monkeypatch.setattr(W, "LISTED", listed)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = [(r["parent"], r["seq"], r["component"]) for r in W.compositions(docs.coalesce(1), "text").collect()]
+    assert Counter(got) == Counter((sha(t), i, sha(w)) for _, t in ROWS if t is not None for i, w in enumerate(t.split(" ")))
+    if most > 100:
+        assert sum(a[2] != b[2] for a, b in zip(got, got[1:])) + 1 == len({c for _, _, c in got})
