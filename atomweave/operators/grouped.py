@@ -1,7 +1,7 @@
 """Whole-group vector algorithms: one numpy function per group of bounded size, run by ``applyInPandas``.
 
 ``per_group`` refuses groups over ``MOST`` rows instead of letting one task swallow them, and over ``MOST_SQUARE`` where an algorithm holds a number for each pair
-of rows; larger groups are to be split by the caller. ``tsne`` takes groups of any size, as it goes through the pairs in strips; one group is one task's. Covariances, components, outlier factors and density clusters of groups of any size
+of rows; larger groups are to be split by the caller. ``tsne`` takes groups of any size, as it goes through the pairs in tiles; one group is one task's, and groups have tasks of their own. Covariances, components, outlier factors and density clusters of groups of any size
 are in ``moments`` and ``kd_join``; the functions here are their plain forms. Rows are ordered by an explicit column. Null vectors and vectors of another length than the
 group's first are skipped; an empty group gives no row.
 """
@@ -9,6 +9,7 @@ group's first are skipped; an empty group gives no row.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -17,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST, MOST_SQUARE = 100_000, 4096
-#: Numbers of a strip of ``tsne``, and likenesses that it keeps (half a gigabyte).
-STRIP, KEPT = 1 << 17, 1 << 26
+#: Numbers of a strip of ``tsne`` (two of its tiles), and likenesses that it keeps (0.8 GB: all of 14,000 rows).
+STRIP, KEPT = 1 << 17, 100_000_000
+#: Ranges for each group of any size, so that groups don't share one; ranges in all.
+RANGES, MOST_RANGES = 4, 1000
 
 
 def per_group(rows: DataFrame, group: str, order: str, vector: str, f: Callable[[np.ndarray, np.ndarray], list | dict]) -> DataFrame:
@@ -36,8 +39,9 @@ def per_group(rows: DataFrame, group: str, order: str, vector: str, f: Callable[
 
     kind = dict(rows.dtypes)[group]
     out = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v"))
-    if f in ANY_SIZE:  # much work on few bytes: groups are not to be put together in one task
-        out = out.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g")
+    if f in ANY_SIZE:  # much work on few bytes: groups are not to be put together in one task, as hashes of few values would
+        groups = out.select("g").distinct().count()
+        out = out.repartitionByRange(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(RANGES * groups, MOST_RANGES)), "g")
     out = out.groupBy("g").applyInPandas(run, f"g {kind}, result string")
     return out.withColumnRenamed("g", group)
 
@@ -167,38 +171,53 @@ def _bandwidths(v: np.ndarray, target: float) -> tuple[np.ndarray, np.ndarray, n
 
 
 def tsne(v: np.ndarray, _=None, dims: int = 2, seed: int = 42, rounds: int | None = None) -> list:
-    """All pairs, a strip of the upper triangle at a time: memory is linear in the rows, but for up to ``KEPT`` likenesses, which with more rows are found anew in each round."""
+    """All pairs, a tile of the upper triangle at a time: memory is linear in the rows, but for the likenesses of the first ``KEPT`` pairs; those of others are found anew in each round."""
     n = len(v)
     if n < 4:
         return _r(v[:, :dims])
     perplexity, rounds = min(30.0, n / 3), rounds or min(1000, 10 * n)
     factor, least, total = _bandwidths(v, np.log(perplexity))
-    vv, strips = (v * v).sum(1), _strips(n)
+    vv, side = (v * v).sum(1), max(1, math.isqrt(STRIP // 2))
+    cuts = [slice(i, min(n, i + side)) for i in range(0, n, side)]
+    tiles = [(s, t) for i, s in enumerate(cuts) for t in cuts[i:]]
 
-    def likeness(s: slice) -> np.ndarray:
-        t = slice(s.start, n)
+    def likeness(s: slice, t: slice) -> np.ndarray:
         d = np.maximum(vv[s, None] + vv[None, t] - 2 * (v[s] @ v[t].T), 0)
+        if s == t:
+            np.fill_diagonal(d, np.inf)  # no pair
         p = np.exp(-(d - least[s, None]) * factor[s, None]) / total[s, None] + np.exp(-(d - least[None, t]) * factor[None, t]) / total[None, t]
         return np.maximum(p / (2 * n), 1e-12)
 
-    kept = [likeness(s) for s in strips] if n * (n + 1) // 2 <= KEPT else None
+    kept, room = [], KEPT
+    for s, t in tiles:
+        room -= (s.stop - s.start) * (t.stop - t.start)
+        if room < 0:
+            break
+        kept.append(likeness(s, t))
     y, step = np.random.default_rng(seed).standard_normal((n, dims)) * 1e-4, np.zeros((n, dims))
-    one = np.ones((n, 1))
-    for t in range(rounds):
-        near, far, z = np.zeros((n, dims + 1)), np.zeros((n, dims + 1)), 0.0  # sums of weights times (y, 1)
-        yy, with_one = (y * y).sum(1)[:, None], np.hstack([y, one])
-        left, right = np.hstack([-2 * y, yy + 1, one]), np.hstack([y, one, yy]).T.copy()
-        for k, s in enumerate(strips):
-            p, m = kept[k] if kept else likeness(s), s.stop - s.start
-            w = left[s] @ right[:, s.start :]
-            np.maximum(w, 1, out=w)
+    one, space = np.ones(n), np.empty((2, side * side))
+    for r in range(rounds):
+        near, far, z = np.zeros((dims + 1, n)), np.zeros((dims + 1, n)), 0.0  # sums of weights times (y, 1)
+        yy = (y * y).sum(1)[:, None]
+        left, right = np.hstack([-2 * y, yy + 1, one[:, None]]), np.hstack([y, one[:, None], yy]).T.copy()
+        with_one, large = [*y.T.copy(), one], yy.max() > 1e6  # up to there rounding takes next to nothing from 1
+        for k, (s, t) in enumerate(tiles):
+            shape = s.stop - s.start, t.stop - t.start
+            w, x = (b[: shape[0] * shape[1]].reshape(shape) for b in space)
+            np.matmul(left[s], right[:, t], out=w)
+            if large:
+                np.maximum(w, 1, out=w)
             np.reciprocal(w, out=w)
-            w[:, :m] = np.triu(w[:, :m], 1)  # each pair once
-            z += 2 * w.sum()
-            for out, x in ((near, p * w), (far, np.multiply(w, w, out=w))):
-                out[s] += x @ with_one[s.start :]
-                out[s.start :] += x.T @ with_one[s]
-        pull = near * (4 if t < 100 else 1) - far / z
+            if s == t:
+                w *= np.tri(len(w), k=-1).T  # each pair once
+            z += 2 * (w @ one[t]).sum()
+            np.multiply(kept[k] if k < len(kept) else likeness(s, t), w, out=x)
+            np.square(w, out=w)
+            for out, a in ((near, x), (far, w)):
+                for i, c in enumerate(with_one):  # a matrix times a vector each: several times as fast as times three columns
+                    out[i, s] += a @ c[t]
+                    out[i, t] += c[s] @ a
+        pull = (near * (4 if r < 100 else 1) - far / z).T
         step = 0.8 * step - 20 * 4 * (pull[:, dims:] * y - pull[:, :dims])
         y = y + step
         y = y - y.mean(0)

@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from atomweave.operators import grouped as G
 
@@ -86,3 +87,25 @@ def test_tsne_by_strips_takes_groups_of_any_size(spark, monkeypatch):
     df = spark.createDataFrame([(1, i, x.tolist()) for i, x in enumerate(v)], "label int, vec_id int, embedding array<double>")
     (got,) = G.per_group(df, "label", "vec_id", "embedding", G.tsne).collect()
     assert len(json.loads(got["result"])) == len(whole) == 45
+
+
+def test_tsne_keeps_as_many_likenesses_as_fit(monkeypatch):
+    v = np.random.default_rng(4).standard_normal((50, 4))
+    v[7] = [60, 0, 0, 0]  # far from all
+    want = plain_tsne(v, 20)
+    for kept in (0, 300, G.KEPT):
+        monkeypatch.setattr(G, "STRIP", 200)
+        monkeypatch.setattr(G, "KEPT", kept)
+        assert np.allclose(G.tsne(v, rounds=20), want, atol=1e-5)
+
+
+def test_labels_of_any_size_have_a_task_each(spark):
+    """Ten labels hashed into twelve partitions are in five of them, four in one."""
+    df = spark.createDataFrame([(g, i, [float(i), float(g)]) for g in range(10) for i in range(5)], "label int, vec_id int, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        got = G.per_group(df, "label", "vec_id", "embedding", G.tsne).select("label", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 10 and len({r["p"] for r in got}) == 10
