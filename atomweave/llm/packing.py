@@ -16,6 +16,7 @@ Nulls count as empty text; every document has at least its end id. Repeated rows
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -114,7 +115,7 @@ class WordTokenizer:
 
     def _table(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each distinct word begin (one more at the end), and the ids."""
-        plain = pc.match_substring_regex(words, LETTERS)
+        plain = _parted(words, pc.match_substring_regex(words, LETTERS))
         cores = pc.utf8_rtrim(words.filter(plain), MARKS)
         ascii_ = pc.string_is_ascii(cores)
         cores = pc.if_else(ascii_, pc.ascii_lower(cores), cores).dictionary_encode()
@@ -156,6 +157,17 @@ class WordTokenizer:
             i = j
 
 
+def _parted(words: pa.StringArray, plain: pa.BooleanArray) -> pa.BooleanArray:
+    """``plain`` without words such as ``İ.``: normalised, their last letter ends in a sign that is no letter and one match with the mark after it."""
+    doubt = pc.and_(pc.and_(plain, pc.invert(pc.string_is_ascii(words))), pc.match_substring_regex(words, f"[{MARKS}]$"))
+    odd = np.array([unicodedata.category(unicodedata.normalize("NFC", w[-2]).lower()[-1])[0] != "L" for w in words.filter(doubt).to_pylist()], bool)
+    if not odd.any():
+        return plain
+    kept = plain.to_numpy(zero_copy_only=False).copy()
+    kept[np.flatnonzero(doubt.to_numpy(zero_copy_only=False))[odd]] = False
+    return pa.array(kept)
+
+
 def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin, begin + 1 ... of each in a row, as many as its size."""
     return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)

@@ -106,6 +106,14 @@ def test_tokenizer_memo_equals_the_library(text):
     assert next(iter(tokenizer(default_tokenizer()).encode(pa.array([text])))).tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["İ.", "aİ! İa. İ ?", "x \u0958, y", "\ufb2a; É. ǅ! a.", "İ.İ."])
+def test_a_sign_left_of_a_letter_goes_with_the_mark(text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(default_tokenizer()).encode(text, add_special_tokens=False).ids
+    assert next(iter(tokenizer(default_tokenizer()).encode(pa.array([text])))).tolist() == want
+
+
 def naive_packing(pieces, limits):
     """Bins of (tokens, loss, number) by the dot-product heuristic, one look at every piece that is left each time."""
     left, bins = sorted(pieces, key=lambda p: (-p[0], -p[1], p[2])), []
