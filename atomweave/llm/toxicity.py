@@ -440,7 +440,10 @@ def fit(ids: np.ndarray, label: np.ndarray, terms: Iterator[list[str]], counts:
 
 def _shared(docs: DataFrame, index: Index | float) -> tuple[Broadcast | None, float | None]:
     """An index as a broadcast, which a Python worker reads once for all its tasks; or a constant."""
-    return (None, index) if isinstance(index, float) else (docs.sparkSession.sparkContext.broadcast(index), None)
+    if isinstance(index, float):
+        return None, index
+    index.forget()
+    return docs.sparkSession.sparkContext.broadcast(index), None
 
 
 def score(docs: DataFrame, index: Index | float) -> DataFrame:
@@ -469,6 +472,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Rows of docs, all columns as they are, whose score is under the threshold. Learned as in ``classify``."""
     shared, index = _shared(docs, learn(docs, labels))
+    trim()  # the driver's part: what learning took is not to stay through later stages
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,3 +37,14 @@ def test_scorer_keeps_one_matrix_in_single_precision_and_the_same_neighbours():
         e, s, v, x = index.judged(t, w)
         assert e.tolist() == near[: T.EVIDENCE].tolist() and v.tolist() == voters.tolist()
         assert np.allclose(s, sims[e]) and np.allclose(x, told[v])
+
+
+def test_the_driver_keeps_nothing_of_learning(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 7} of {'bad' if i % 3 else 'good'} words {i}") for i in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "cast(doc_id % 3 > 0 AS int) AS toxic")
+    learn, made, done = T.learn, [], []
+    monkeypatch.setattr(T, "learn", lambda *a: made.append(learn(*a)) or made[0])
+    monkeypatch.setattr(T, "trim", lambda: done.append({*made[0].__dict__} & {"postings", "cells", "common", "asked_for"} if made else None))
+    kept = T.keep_clean(docs, labels)
+    assert done[-1] == set()
+    assert kept.count() < 60
